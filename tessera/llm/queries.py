@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, near_dedup, quality, substrings
+from tessera.llm import bpe, decontaminate, near_dedup, pii, quality, substrings
 from tessera.llm._spark import table
 
 
@@ -24,6 +24,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -39,4 +45,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_byte_bpe, op6_substring_dedup, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op10_quality_rules)}
