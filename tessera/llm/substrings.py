@@ -32,7 +32,7 @@ from tessera.llm import _spark, _words
 
 WINDOW = 13
 ANCHOR = 5
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
