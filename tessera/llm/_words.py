@@ -31,6 +31,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z folded."""
+    return _LOWER[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every bit of the result depends on every bit of x."""
     x = x ^ (x >> U64(30))

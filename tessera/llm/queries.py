@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, near_dedup, pii, quality, substrings
+from tessera.llm import bpe, chat, decontaminate, near_dedup, pii, quality, substrings, toxicity
 from tessera.llm._spark import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits_a_word")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"), shingle=3, similar=(85, 100))
 
@@ -62,4 +68,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op10_quality_rules)}
