@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, near_dedup, pii, quality, substrings, toxicity
+from tessera.llm import bpe, chat, decontaminate, html_text, near_dedup, pii, quality, substrings, token_counts, toxicity
 from tessera.llm._spark import table
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits_a_word")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"), shingle=3, similar=(85, 100))
 
@@ -64,8 +68,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op9_token_counts, op10_quality_rules)}
