@@ -8,11 +8,11 @@ Documents with equal sets are one class from the start, so a text that a third
 of all rows repeat is one row further on. In a bucket every class gets one edge,
 to the bucket's smallest id (a star), and each edge is confirmed on full sets.
 An edge that isn't confirmed says nothing about the bucket's other pairs, so
-after connected components over the confirmed edges, the pairs of a bucket that
-are still in different components are compared too, but for those that cannot
-be similar: Jaccard distance is a metric, so two members whose distances to
-their centre differ by more than the limit are apart, as are sets of too
-different sizes. So no candidate pair is left out, and there's no cap.
+after connected components over the confirmed edges, members of a bucket that
+are still in different components are joined by exact prefix and position
+filters on their shingles, and the pairs left are confirmed too. No candidate
+pair is left out and there is no cap; pairs that only share a common text,
+whose number would grow with the square of a group, aren't made.
 
 Words are separated by ASCII blanks, with A-Z folded. A text with fewer words
 than a shingle is one shingle of all its words. Texts that are null or have no
@@ -34,6 +34,7 @@ from tessera.llm import _spark, _words
 
 BINS = 128
 BANDS = 32
+SLOTS = 1 << 20
 _PROBES = 4096
 
 
@@ -131,6 +132,58 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, together long")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by SLOTS hashed counters: 8 MB, whatever the sets."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("members"):
+                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "counts": [x.tobytes() for x in np.split(counts, 64)]})
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts").combine_chunks())
+        return pa.table({"part": group.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part int, counts binary"
+    rows = {r.part: r.counts for r in sets.select("members").mapInArrow(counted, kind).groupBy("part").applyInArrow(summed, kind).collect()}
+    return np.concatenate([np.frombuffer(rows[k], np.int64) for k in range(64)]) if rows else np.zeros(SLOTS, np.int64)
+
+
+def _candidates(rest: DataFrame, over: int, under: int) -> DataFrame:
+    """a, b: the pairs of different components that can be similar, by exact prefix and position filters.
+
+    With shingles in one order for all sets, rarest first, similar sets share a shingle so early in both that enough
+    shingles follow it. Members that differ from a common text differ first in their rare shingles, and by more of
+    them than that allows, so the shingles of the common text make no pairs of them.
+    """
+    counts = _spark.share(rest.sparkSession, _rarity(rest))
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, heads = [], []
+            for x in batch.column("members"):
+                found = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(found)
+                order = np.lexsort((found, counts.value[(found % np.uint64(SLOTS)).astype(np.int64)]))
+                heads.append(found[order[: n - -(-n * over // under) + 1]].view(np.int64))
+                sizes.append(n)
+            names = ["id", "component", "lone"]
+            head = pa.array(heads, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), head], names=[*names, "n", "head"])
+
+    early_ = rest.select("id", "component", "lone", "members").mapInArrow(early, "id long, component long, lone boolean, n long, head array<long>")
+    rows = _spark.checkpoint(early_.select("id", "component", "lone", "n", F.posexplode("head").alias("at", "shingle")))
+    x, y = rows.where("lone").alias("x"), rows.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    near = left * (over + under) >= over * (F.col("x.n") + F.col("y.n"))
+    once = (F.col("x.component") != F.col("y.component")) & (~F.col("y.lone") | (F.col("x.id") < F.col("y.id")))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & near)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: for each end of an edge (a, b), the smallest id that can be reached.
 
@@ -160,34 +213,36 @@ def cluster(docs: DataFrame, *, shingle: int = 5, similar: tuple[int, int] = (80
     signed = _spark.checkpoint(signatures(source, shingle))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
     classes = classes.select("f1", "f2", F.col("n_shingles").alias("n"), F.col("least.doc_id").alias("id"), F.col("least.bands").alias("bands"))
-    entries = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    entries = classes.select("id", F.explode("bands").alias("bucket"))
     stars = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = _spark.checkpoint(entries.join(stars, "bucket"))
-    fit = lambda x, y: over * F.greatest(x, y) <= under * F.least(x, y)
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = _spark.checkpoint(_full_sets(texts, shingle))
     star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    compared = _spark.checkpoint(_compared(star, sets))
     link = F.col("shared") * under >= F.col("together") * over
-    links = compared.where(link).select("a", "b")
+    links = _spark.checkpoint(_compared(star, sets).where(link).select("a", "b"))
     labels = components(links)
 
-    # Members of one bucket that are still apart.
-    apart = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    far = compared.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("together")).alias("far"))
-    rest = apart.join(mixed, "bucket").join(far, ["centre", "id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    rest = _spark.checkpoint(rest.where("id <> centre"))
-    x, y = rest.alias("x"), rest.alias("y")
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - over / under + 1e-9
-    pairs = x.join(y, meet & near & fit(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _spark.checkpoint(_compared(pairs, sets).where(link).select("a", "b"))
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    # Members of one bucket that are still apart. Of two such, one at least isn't of the bucket's largest component.
+    apart = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    parts = apart.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    lone = F.max(F.col("component") != F.col("top.component")).alias("lone")
+    rest = _spark.checkpoint(apart.join(mixed, "bucket").groupBy("id", "component").agg(lone))
+    if rest.limit(1).count():
+        pairs = _candidates(sets.join(rest, "id"), over, under)
+        more = _spark.checkpoint(_compared(pairs, sets).where(link).select("a", "b"))
+        if more.limit(1).count():
+            labels = components(links.union(more))
 
     named = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "id").join(labels, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, shingle: int = 5, similar: tuple[int, int] = (80, 100), id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but those of documents that aren't the first of their class."""
+    gone = cluster(docs, shingle=shingle, similar=similar, id=id, text=text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[f"`{id}`"].cast("long") == gone["__gone"], "left_anti")
