@@ -225,3 +225,25 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id: str
 def contaminated() -> "F.Column":
     """Any hit, and at least a twentieth of the words."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated. A benchmark of one block needs one pass and no shuffle."""
+    items = _spark.columns(benchmark, item_id=item_id, text=item_text)
+    if _spark.total_bytes(items, "text") > block_bytes:
+        rows = _spark.checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+        hit = find(rows, benchmark, window=window, id="__row", text=text, item_id=item_id, item_text=item_text, block_bytes=block_bytes).where(contaminated())
+        return rows.join(hit.select(F.col("doc_id").alias("__row")), "__row", "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))
+    shared = _spark.share(docs.sparkSession, next(_blocks(items, block_bytes)))
+    at = docs.columns.index(text)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*shared.value, window)
+        for batch in batches:
+            clean = []
+            for low, high, data, offsets in _words.text_chunks(batch.column(at)):
+                found = _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
+                clean += [not (n_hit > 0 and 20 * n_hit >= n_words) for n_words, n_hit, *_ in _shard(found, high - low, items)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(left, docs.schema)

@@ -1,0 +1,226 @@
+"""Word-based operators against brute force: near duplicates, substrings, decontamination, quality rules."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from tessera.llm import _words, decontaminate, near_dedup, quality, substrings
+from tests.llm.conftest import prose
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def shingles(text, n):
+    w = BLANK.findall(lower(text))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def classes(rows, n, over, under):
+    sets, up = {}, {}
+    for i, t in rows:
+        if i is not None:
+            sets[i], up[i] = shingles(t, n), i
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and under * len(sets[a] & sets[b]) >= over * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in ids}
+
+
+def edited(text, r, n):
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_dedup_is_exact_where_a_star_is_not(spark, make):
+    r, base = random.Random(5), prose(9, 120)
+    rows = [(0, base)]
+    for k in range(1, 160):
+        parent = base if r.random() < 0.6 else rows[r.randrange(len(rows))][1]
+        rows.append((k, edited(parent, r, r.choice([0, 1, 2, 4, 6, 8, 10]))))
+    r.shuffle(rows)
+    expected = classes(rows, 3, 85, 100)
+    assert len({c for _, c, _ in expected.values()}) > 20
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.cluster(make(rows), shingle=3, similar=(85, 100)).collect()}
+    assert got == expected
+
+
+def test_near_dedup_candidates_hold_every_link(spark, make):
+    """The exact filters lose no link, even if no star had found any."""
+    from pyspark.sql import functions as F
+
+    r, base = random.Random(6), prose(10, 60)
+    rows = [(k, edited(base, r, r.choice([0, 1, 2, 3, 5]))) for k in range(60)]
+    docs = make(rows).select("doc_id", "text")
+    sets = near_dedup._full_sets(docs, 3)
+    rest = sets.withColumn("component", F.col("id")).withColumn("lone", F.col("id") != 0)
+    pairs = {tuple(p) for p in near_dedup._candidates(rest, 85, 100).collect()}
+    real = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(shingles(x, 3) & shingles(y, 3)) >= 85 * len(shingles(x, 3) | shingles(y, 3))}
+    assert real and real <= pairs
+
+
+def test_near_dedup_odd_rows(spark, make, odd_rows):
+    got = near_dedup.cluster(make(odd_rows), shingle=3, similar=(85, 100)).collect()
+    assert len(got) == len(odd_rows)
+    expected = classes(odd_rows, 3, 85, 100)
+    for x in got:
+        assert (x.component_id is None and x.kept) if x.doc_id is None else (x.n_shingles, x.component_id, x.kept) == expected[x.doc_id]
+    left = near_dedup.deduplicate(make(odd_rows))
+    assert left.columns == make(odd_rows).columns
+    assert sorted((x.doc_id or 0) for x in left.collect()) == [0, 1, 2, 3, 4, 6, 8, 10, 11]
+    assert near_dedup.cluster(make([])).count() == 0
+
+
+def test_signature_estimates_similarity():
+    r = random.Random(1)
+    a = _words.mix(_words.np.arange(500, dtype="u8"))
+    b = _words.mix(_words.np.arange(50, 550, dtype="u8"))
+    same = (near_dedup.signature(a) == near_dedup.signature(b)).mean()
+    assert abs(same - 450 / 550) < 0.15
+    one = near_dedup.signature(a[:1])
+    assert len(set(one.tolist())) == 1 and r
+
+
+def removed(rows, n=13):
+    first = {}
+    for i, t in rows:
+        w = BLANK.findall(t or "")
+        for k in range(len(w) - n + 1):
+            x = tuple(w[k : k + n])
+            first[x] = min(first.get(x, i), i)
+    out = []
+    for i, t in rows:
+        w = BLANK.findall(t or "")
+        gone = set()
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < i:
+                gone.update(range(k, k + n))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch", [1, 1 << 22])
+def test_substrings(spark, make, odd_rows, monkeypatch, batch):
+    monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    r = random.Random(3)
+    shared = [prose(100 + k, n) for k, n in enumerate((12, 13, 14, 40, 90))]
+    rows = [(k, " ".join(x for _ in range(r.randint(1, 4)) for x in (prose(r.randrange(10**6), r.randint(0, 20)), r.choice(shared)))) for k in range(1, 60)]
+    rows += [(100 + i, t) for i, t in odd_rows if i is not None] + [(-5, shared[3] + " " + shared[1])]
+    got = substrings.remove(make(rows)).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == removed(rows)
+
+
+def test_substrings_null_id_and_empty(spark, make):
+    text = prose(4, 30)
+    got = {x.doc_id: x.n_removed for x in substrings.remove(make([(1, text), (None, text), (2, text)])).collect()}
+    assert got == {1: 0, None: 0, 2: 30}
+    assert substrings.remove(make([])).count() == 0
+
+
+def hits(rows, items, n=13):
+    windows = {}
+    for i, t in items:
+        w = ALNUM.findall(lower(t))
+        for k in range(max(len(w) - n, 0) + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = []
+    for i, t in rows:
+        w = ALNUM.findall(lower(t))
+        hit, found = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if x := windows.get(tuple(w[k : k + size])):
+                    hit.update(range(k, k + size))
+                    found |= x
+        out.append((i or 0, len(w), len(hit), sorted(found)))
+    return sorted(out)
+
+
+ITEMS = [(1, prose(200, 60)), (2, "One-two, w1"), (3, None), (4, ""), (5, prose(200, 60)), (6, "..."), (7, prose(201, 13)), (8, "one")]
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
+def test_decontaminate(spark, make, odd_rows, block):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    words = ITEMS[0][1].split()
+    rows = [*odd_rows, (20, "a " + " ".join(words[5:40]) + " b"), (21, " ".join(words[:12])), (22, prose(201, 13).upper()), (23, prose(77, 400) + " " + " ".join(words[3:16]))]
+    got = decontaminate.find(make(rows), items, block_bytes=block).collect()
+    assert sorted((x.doc_id or 0, x.n_words, x.n_hit, sorted(x.items)) for x in got) == hits(rows, ITEMS)
+    by = {x.doc_id: x for x in got}
+    assert (by[20].longest, by[20].longest_item, by[20].longest_at) == (35, 1, 1) and by[21].longest == 12
+    left = decontaminate.drop_contaminated(make(rows), items, block_bytes=block)
+    kept = sorted(i for i, n, h, _ in hits(rows, ITEMS) if not (h > 0 and 20 * h >= n))
+    assert left.columns == make(rows).columns and sorted((x.doc_id or 0) for x in left.collect()) == kept
+
+
+def test_decontaminate_empty_sides(spark, make):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [(x.n_words, x.n_hit, x.items) for x in decontaminate.find(make([(1, "a b")]), none).collect()] == [(2, 0, [])]
+    assert decontaminate.find(make([]), none).count() == 0
+    assert decontaminate.drop_contaminated(make([(1, "a b")]), none).count() == 1
+
+
+def test_suffix_array():
+    r = random.Random(2)
+    for _ in range(200):
+        t = [r.randrange(3) for _ in range(r.randrange(0, 40))]
+        got = decontaminate.suffix_array(decontaminate.np.array(t, dtype="i8")).tolist()
+        assert got == sorted(range(len(t)), key=lambda k: t[k:])
+
+
+def counts(text):
+    text = text or ""
+    w = BLANK.findall(text)
+    seen = {}
+    for k in range(len(w) - 2):
+        seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+    again = {p for at in seen.values() if len(at) > 1 for k in at for p in range(k, k + 3)}
+    lines = [x for x in text.split("\n") if BLANK.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality(spark, make, odd_rows):
+    rows = [*odd_rows, (20, "a b c " * 40), (21, prose(30, 60) + " ## $"), (22, "\n".join([prose(31, 20)] * 2 + [prose(32, 40)])), (23, prose(33, 60) + " #" * 60), (24, " ".join("x" for _ in range(60)) + prose(5, 70))]
+    got = quality.cascade(make(rows)).collect()
+    expected = []
+    for i, t in rows:
+        c = counts(t)
+        base = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        expected.append((i or 0, *c, base))
+    assert sorted((x.doc_id or 0, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in got) == sorted(expected)
+    assert all(not (x.kept and x.base_failed) for x in got)
+    by = {x.doc_id: x.kept for x in got}
+    assert by[1] and by[21] and not by[23] and not by[20]
+    short = {x.doc_id: x.kept for x in quality.cascade(make(rows), metrics=False).collect()}
+    assert short == by
+    assert quality.cascade(make([])).count() == 0
+    assert set(quality.order(make(rows))) == {r.name for r in quality.RULES}
+
+
+def test_words_in_pieces(monkeypatch):
+    pa, np = _words.pa, _words.np
+    texts = [prose(k, k) + "é\n" * (k % 3) for k in range(60)] + ["x" * 100, None, ""]
+    whole = [list(_words.words(d, o, _words.BLANKS, True).hash) for _, _, d, o in _words.text_chunks(pa.array(texts))]
+    monkeypatch.setattr(_words, "PIECE", 64)
+    _words._tables.clear()
+    cut = [list(_words.words(d, o, _words.BLANKS, True).hash) for _, _, d, o in _words.text_chunks(pa.array(texts))]
+    _words._tables.clear()
+    assert whole == cut and np.unique(np.concatenate(whole)).size == len({w for t in texts for w in (t or "").split()})
+    assert hashlib
