@@ -97,7 +97,8 @@ def _folded() -> dict[str, str]:
 
 
 _FOLD = _folded()
-_FOLD_CHARS = re.compile("[" + "".join(map(re.escape, sorted(_FOLD))) + "]")
+# The blocks that hold them: a class of few ranges is quick to search.
+_FOLD_CHARS = re.compile("[\u00ad\u0391-\u03c9\u0405-\u0458\u0501-\u051d\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u04bb\u200b-\u200d\u2060\u2070-\u2089\u2460-\u2468\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 _DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_DIGITS) + ")"
@@ -112,7 +113,18 @@ _DISGUISE = re.compile(
     re.IGNORECASE,
 )
 _WORD = re.compile("[a-z]+", re.IGNORECASE)
-_SIGNS = re.compile(rf"[\[({{<][ ]{{0,2}}(?:at|dot|@|\.)[ ]{{0,2}}[\])}}>]|\bdot\b|\b{_NUMBER}[ -]{{1,2}}{_NUMBER}[ -]{{1,2}}{_NUMBER}\b", re.IGNORECASE)
+_WRITTEN = tuple(f" {w} " for w in _DIGITS)
+
+
+def _signs(text: str) -> bool:
+    """Whether a text can hold a disguise: a quick test, which may say yes in vain."""
+    if not text.isascii() and _FOLD_CHARS.search(text):
+        return True
+    folded = text.lower()
+    if "dot" in folded or any(f"{a}{gap}{sign}" in folded for a in "[({<" if a in folded for gap in ("", " ", "  ") for sign in ("at", "@", ".")):
+        return True
+    blank = folded.replace("-", " ")
+    return any(w in blank for w in _WRITTEN)  # the middle one of three written digits has a blank on both sides
 
 
 class Normalised:
@@ -153,10 +165,10 @@ def _edits(text: str) -> Iterator[tuple[int, int, str]]:
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
-    if not ((not text.isascii() and _FOLD_CHARS.search(text)) or _SIGNS.search(text)):
+    if not _signs(text):
         return []
     n = Normalised(text)
-    n.rewrite([(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text)] if not text.isascii() else [])
+    n.rewrite([(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text) if m[0] in _FOLD] if not text.isascii() else [])
     n.rewrite(list(_edits(n.text)))
     changed = np.r_[0, np.cumsum(n.changed)]
     dropped = np.r_[n.start[1:] > n.end[:-1], False] if len(n.start) else n.changed  # an invisible character goes after this one
