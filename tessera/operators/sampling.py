@@ -22,11 +22,12 @@ from tessera.operators.relational import top
 
 
 def bounded(rows: DataFrame, seeds: Sequence[str], column: str, *, min_per_seed: int, limit: int, order: Sequence[str], id: str) -> DataFrame:
-    """id, the order columns and the seeds of the rows that can be chosen."""
-    named = rows.select(F.col(id).alias("id"), *order, text.matched(F.col(column), seeds).alias("seeds"))
+    """id, the order columns as o0, o1 and so on, and the seeds of the rows that can be chosen."""
+    by = [f"o{n}" for n in range(len(order))]
+    named = rows.select(F.col(id).alias("id"), *(F.col(c).alias(o) for c, o in zip(order, by, strict=True)), text.matched(F.col(column), seeds).alias("seeds"))
     first = named.select("*", F.explode("seeds").alias("seed"))
-    quota = top(first, max(min_per_seed, 0), ["seed"], *(F.col(c).asc() for c in order)).drop("seed", "rank")
-    return quota.unionByName(named.orderBy(*order).limit(max(limit, 0))).dropDuplicates(["id"])
+    quota = top(first, max(min_per_seed, 0), ["seed"], *(F.col(c).asc() for c in by)).drop("seed", "rank")
+    return quota.unionByName(named.orderBy(*by).limit(max(limit, 0))).dropDuplicates(["id"])
 
 
 def choose(rows: pd.DataFrame, seeds: Sequence[str], min_per_seed: int, limit: int) -> list:
@@ -54,10 +55,12 @@ def quota_sample(rows: DataFrame, seeds: Sequence[str], column: str, *, min_per_
     seeds = tuple(seeds)
     few = bounded(rows, seeds, column, min_per_seed=min_per_seed, limit=limit, order=order, id=id)
 
+    by = [f"o{n}" for n in range(len(order))]
+
     def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if held:
-            ids = choose(pd.concat(held).sort_values(list(order)), seeds, min_per_seed, limit)
+            ids = choose(pd.concat(held).sort_values(by), seeds, min_per_seed, limit)
             yield pd.DataFrame({"id": ids, "pick": range(len(ids))})
 
     return few.coalesce(1).mapInPandas(greedy, f"id {few.schema['id'].dataType.simpleString()}, pick long")

@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-INGREDIENTS = _struct("cosing_id string not null, inci_name string not null, functions array<string> not null, restrictions map<string,array<string>>, cas_number string, updated_at timestamp not null")
-PRODUCTS = _struct("source string not null, source_id string not null, name string not null, brand string, category string, raw_ingredient_text string not null, updated_at timestamp not null")
-DOCUMENTS = _struct("source string not null, source_id string not null, pmid string, title string not null, url string not null, published_at date, license string not null, abstract string, full_text string, updated_at timestamp not null")
-RUNS = _struct("run_id string not null, dag string not null, started_at timestamp not null, finished_at timestamp, status string not null, counts map<string,bigint> not null, errors array<string> not null")
+def _struct(required: dict[str, T.DataType], optional: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t, False) for n, t in required.items()] + [T.StructField(n, t, True) for n, t in optional.items()])
+
+
+_TEXT, _TEXTS, _TIME = T.StringType(), T.ArrayType(T.StringType()), T.TimestampType()
+INGREDIENTS = _struct({"cosing_id": _TEXT, "inci_name": _TEXT, "functions": _TEXTS, "updated_at": _TIME}, {"restrictions": T.MapType(_TEXT, _TEXTS), "cas_number": _TEXT})
+PRODUCTS = _struct({"source": _TEXT, "source_id": _TEXT, "name": _TEXT, "raw_ingredient_text": _TEXT, "updated_at": _TIME}, {"brand": _TEXT, "category": _TEXT})
+DOCUMENTS = _struct(
+    {"source": _TEXT, "source_id": _TEXT, "title": _TEXT, "url": _TEXT, "license": _TEXT, "updated_at": _TIME},
+    {"pmid": _TEXT, "published_at": T.DateType(), "abstract": _TEXT, "full_text": _TEXT},
+)
+RUNS = _struct(
+    {"run_id": _TEXT, "dag": _TEXT, "started_at": _TIME, "status": _TEXT, "counts": T.MapType(_TEXT, T.LongType()), "errors": _TEXTS},
+    {"finished_at": _TIME},
+)
 
 
 @dataclass(frozen=True)
