@@ -1,8 +1,9 @@
 """Versioned tables on a shared folder: upsert, prune, both in one swap.
 
-A table is a folder of Parquet versions and a pointer to the current one. A
-write makes a new version and then moves the pointer by a rename, so readers
-see the old rows or all of the new ones. All files are reached through Hadoop's
+A table is a folder of Parquet versions and of commits. A writer claims the
+number after the last commit by making a file, which only one can, writes that
+version and then makes its commit, so readers see the old rows or all of the
+new ones and no writer's rows are lost. All files are reached through Hadoop's
 file systems, so the folder can be on any of them.
 """
 
@@ -35,15 +36,25 @@ class Store:
             return self.spark.createDataFrame([], table.schema)
         return self.spark.read.schema(table.schema).parquet(f"{self.root}/{table.name}/v{version or known[-1]}")
 
-    def commit(self, table: Table, rows: DataFrame) -> int:
-        """A new version; fails if another writer has committed the same number, so that no version is lost."""
-        number = (self.versions(table) or [0])[-1] + 1
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema)).write.mode("overwrite").parquet(f"{self.root}/{table.name}/v{number}")
-        files, path = self._path(table.name, "commits", str(number))
-        if not files.createNewFile(path):
-            raise RuntimeError(f"{table.name}: version {number} was committed by another writer")
+    def commit(self, table: Table, rows: DataFrame, base: int | None = None) -> int:
+        """The version after `base` (by default the last); fails if another writer has made or claimed it. A failed write gives its claim back."""
+        number = (base if base is not None else (self.versions(table) or [0])[-1]) + 1
+        files, claim = self._path(table.name, "claims", str(number))
+        if not files.createNewFile(claim):
+            raise RuntimeError(f"{table.name}: version {number} belongs to another writer")
+        try:
+            rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema)).write.mode("overwrite").parquet(f"{self.root}/{table.name}/v{number}")
+        except BaseException:
+            files.delete(claim, False)
+            raise
+        files.createNewFile(self._path(table.name, "commits", str(number))[1])
         return number
 
+    def release(self, table: Table) -> None:
+        """Takes back the claim of a writer that has died without a commit."""
+        files, claim = self._path(table.name, "claims", str((self.versions(table) or [0])[-1] + 1))
+        files.delete(claim, False)
+
 
 def upsert_rows(target: DataFrame, staged: DataFrame, key: Sequence[str], preserve: Sequence[str] = ()) -> DataFrame:
     """The columns of target, and action: inserted, updated (even if nothing differs) or kept.
@@ -93,12 +104,13 @@ def load(store: Store, table: Table, staged: DataFrame, *, prune_source: str | N
             if prune_source is not None:
                 raise ValueError(f"refusing to prune every row of {prune_source}: nothing is staged")
             return {"inserted": 0, "updated": 0}
-        merged = upsert_rows(store.read(table), staged, table.key, preserve)
+        base = (store.versions(table) or [0])[-1]
+        merged = upsert_rows(store.read(table, base or None), staged, table.key, preserve)
         is_gone = (F.col("action") == "kept") & (F.col("source") == prune_source) if prune_source is not None else F.lit(False)
         marked = merged.withColumn("action", F.when(is_gone, "pruned").otherwise(F.col("action"))).persist()
         try:
             counts = {r.action: r["count"] for r in marked.groupBy("action").count().collect()}
-            store.commit(table, marked.where("action <> 'pruned'").drop("action"))
+            store.commit(table, marked.where("action <> 'pruned'").drop("action"), base)
         finally:
             marked.unpersist()
     finally:

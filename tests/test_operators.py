@@ -87,6 +87,23 @@ def test_load_upserts_and_prunes_in_one_version(spark, tmp_path):
     assert st.versions(table) == [1, 2, 3]
 
 
+def test_two_writers(spark, tmp_path):
+    st, table = store.Store(spark, str(tmp_path)), TABLES["products"]
+    rows_ = spark.createDataFrame([product("1")], PRODUCT).withColumn("updated_at", F.current_timestamp())
+    assert st.commit(table, rows_) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        st.commit(table, rows_, base=0)
+    with pytest.raises(Exception, match="nowhere"):
+        st.commit(table, rows_.withColumn("name", F.raise_error(F.lit("nowhere")).cast("string")))
+    assert st.versions(table) == [1] and st.commit(table, rows_) == 2
+    files, claim = st._path(table.name, "claims", "3")
+    files.createNewFile(claim)
+    with pytest.raises(RuntimeError):
+        st.commit(table, rows_)
+    st.release(table)
+    assert st.commit(table, rows_) == 3
+
+
 def test_pruned_needs_equal_source(spark):
     d = spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "1"), (None, "3")], "source string, source_id string")
     left = store.pruned(d, "s", spark.createDataFrame([("2",)], "source_id string"))
