@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of 1,000 rows, unless the session has another number than Spark's own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the names that an operator uses; others can't clash with its own."""
+    text_batches(df.sparkSession)
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in names.items()))
 
 
@@ -36,3 +50,21 @@ def total_bytes(df: DataFrame, column: str) -> int:
 
 def share(spark: SparkSession, value: Any) -> Any:
     return spark.sparkContext.broadcast(value)
+
+
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(scan: Scan) -> Scan:
+    """The same function; at a task's end the memory that it no longer uses goes back, since its Python worker lives on."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return scanned

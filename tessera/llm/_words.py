@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 21  # bytes hashed at once
+PIECE = 1 << 20  # bytes hashed at once
 ROWS_BYTES = 1 << 22  # bytes of texts that are handled together
 
 

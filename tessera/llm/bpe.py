@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from tessera.llm import _spark
 
 LONG = 192
-STEP_ROWS = 4_000_000  # bound on a query's word-position rows over all its steps, twice
+STEP_ROWS = 1_500_000  # bound on a query's word-position rows over all its steps, twice
 DECODE_ROWS = 300_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000  # of each of two generations
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -54,22 +54,34 @@ DECODE = "SELECT part, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN
 
 
 class Codec:
-    """The merge table and the vocabulary in a DuckDB of one task at a time, with the words that were met."""
+    """The merge table and the vocabulary, in a DuckDB of one task at a time, with the words that were met."""
 
     def __init__(self, lines: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # those met before the present ones; a word met again is kept
         self.pattern = regex.compile(pattern)
         pairs = [(self.ranks[t[:k]] << 24 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merge_of = dict(pairs)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
-        left = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())})
-        pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
-        for name, rows in (("merges", left), ("vocabulary", pieces)):
+        self.tables = {
+            "merges": pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())}),
+            "vocabulary": pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}),
+        }
+        self.db = None
+
+    def __enter__(self) -> Codec:
+        """Opens the DuckDB of a task; at the task's end its memory goes back."""
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        for name, rows in self.tables.items():
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.db.close()
+        self.db = None
 
     def _contract(self, words: list[str]) -> None:
         coded = [w.encode() for w in words]
@@ -111,14 +123,15 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
+        if len(self.words) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
         new = {w for ws in split for w in ws if w not in self.words}
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words = {}
-            new = {w for ws in split for w in ws}
         group, rows = [], 0
         for word in new:
             raw = word.encode()
-            if (rank := self.ranks.get(raw)) is not None:
+            if (known := self.older.get(word)) is not None:
+                self.words[word] = known
+            elif (rank := self.ranks.get(raw)) is not None:
                 self.words[word] = rank.to_bytes(4, "little")
             elif len(raw) > LONG:
                 self.words[word] = self._by_heap(raw)
@@ -155,7 +168,7 @@ def _codec(lines: bytes, pattern: str) -> Codec:
     return _codecs[lines, pattern]
 
 
-def _groups(texts: Iterator[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def _groups(texts: Iterator[str], most: int = 2 << 20) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -176,16 +189,16 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id: str = "doc
         shared = _spark.share(docs.sparkSession, f.read())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in batches:
-            at = 0
-            for texts in _groups((x.as_py() or "") for x in batch.column("text")):
-                ids = codec.encode(texts)
-                decoded = codec.decode(ids)
-                sizes = [len(x) // 4 for x in ids]
-                rows = batch.column("doc_id").slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        with _codec(shared.value, pattern) as codec:
+            for batch in batches:
+                at = 0
+                for texts in _groups((x.as_py() or "") for x in batch.column("text")):
+                    ids = codec.encode(texts)
+                    decoded = codec.decode(ids)
+                    sizes = [len(x) // 4 for x in ids]
+                    rows = batch.column("doc_id").slice(at, len(texts))
+                    at += len(texts)
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     source = _spark.columns(docs, doc_id=id, text=text)
-    return source.mapInArrow(coded, f"doc_id {source.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+    return source.mapInArrow(_spark.freed(coded), f"doc_id {source.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")

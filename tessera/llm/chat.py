@@ -124,7 +124,7 @@ def format(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "t
             mask = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(out, pa.string()), pa.array(masks, mask)], names=["conv_id", "formatted", "mask"])
 
-    return whole.mapInArrow(rendered, f"conv_id {whole.schema[0].dataType.simpleString()}, formatted string, mask array<struct<start:long,end:long>>")
+    return whole.mapInArrow(_spark.freed(rendered), f"conv_id {whole.schema[0].dataType.simpleString()}, formatted string, mask array<struct<start:long,end:long>>")
 
 
 def recover(formatted: DataFrame) -> DataFrame:
@@ -141,4 +141,4 @@ def recover(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("formatted"), pa.array(turns, kind), pa.array(learnt, pa.list_(pa.string()))], names=["conv_id", "formatted", "turns", "learnt"])
 
     source = formatted.select("conv_id", "formatted", "mask")
-    return source.mapInArrow(parsed, f"conv_id {source.schema[0].dataType.simpleString()}, formatted string, turns array<struct<role:string,text:string>>, learnt array<string>")
+    return source.mapInArrow(_spark.freed(parsed), f"conv_id {source.schema[0].dataType.simpleString()}, formatted string, turns array<struct<role:string,text:string>>, learnt array<string>")

@@ -204,7 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id: str
                 cols[6] = [x.astype("<u4").tobytes() for x in cols[6]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at", "hits"])
 
-        passes.append(source.mapInArrow(scan, f"doc_id {source.schema[0].dataType.simpleString()}, {schema}"))
+        passes.append(source.mapInArrow(_spark.freed(scan), f"doc_id {source.schema[0].dataType.simpleString()}, {schema}"))
     if len(passes) == 1:
         return passes[0].drop("hits")
     union = passes[0]
@@ -246,4 +246,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
                 clean += [not (n_hit > 0 and 20 * n_hit >= n_words) for n_words, n_hit, *_ in _shard(found, high - low, items)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(left, docs.schema)
+    return docs.mapInArrow(_spark.freed(left), docs.schema)

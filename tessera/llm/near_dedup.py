@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 bands.append(_bands(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(signed, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(_spark.freed(signed), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in _sets(batch, n)], pa.binary())], names=["id", "members"])
 
-    return docs.mapInArrow(packed, "id long, members binary")
+    return docs.mapInArrow(_spark.freed(packed), "id long, members binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, shared long, together long")
+    return both.select("a", "b", "x", "y").mapInArrow(_spark.freed(compared), "a long, b long, shared long, together long")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -148,7 +148,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         return pa.table({"part": group.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     kind = "part int, counts binary"
-    rows = {r.part: r.counts for r in sets.select("members").mapInArrow(counted, kind).groupBy("part").applyInArrow(summed, kind).collect()}
+    rows = {r.part: r.counts for r in sets.select("members").mapInArrow(_spark.freed(counted), kind).groupBy("part").applyInArrow(summed, kind).collect()}
     return np.concatenate([np.frombuffer(rows[k], np.int64) for k in range(64)]) if rows else np.zeros(SLOTS, np.int64)
 
 
@@ -174,7 +174,7 @@ def _candidates(rest: DataFrame, over: int, under: int) -> DataFrame:
             head = pa.array(heads, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), head], names=[*names, "n", "head"])
 
-    early_ = rest.select("id", "component", "lone", "members").mapInArrow(early, "id long, component long, lone boolean, n long, head array<long>")
+    early_ = rest.select("id", "component", "lone", "members").mapInArrow(_spark.freed(early), "id long, component long, lone boolean, n long, head array<long>")
     rows = _spark.checkpoint(early_.select("id", "component", "lone", "n", F.posexplode("head").alias("at", "shingle")))
     x, y = rows.where("lone").alias("x"), rows.alias("y")
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))

@@ -196,13 +196,13 @@ def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _ARROW), pa.array(full, _ARROW)], names=["doc_id", "base", "spans"])
 
     source = _spark.columns(docs, doc_id=id, text=text)
-    return source.mapInArrow(scan, f"doc_id {source.schema[0].dataType.simpleString()}, base {SPANS}, spans {SPANS}")
+    return source.mapInArrow(_spark.freed(scan), f"doc_id {source.schema[0].dataType.simpleString()}, base {SPANS}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The same rows and columns with each span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
-    names = docs.columns
-    at = names.index(text)
+    _spark.text_batches(docs.sparkSession)
+    at = docs.columns.index(text)
 
     def hide(value: str | None) -> str | None:
         if not value:
@@ -221,7 +221,7 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
             column = pa.array([hide(x.as_py()) for x in batch.column(at)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
 
-    return docs.mapInArrow(hidden, docs.schema)
+    return docs.mapInArrow(_spark.freed(hidden), docs.schema)
 
 
 def listed(spans: str) -> Column:

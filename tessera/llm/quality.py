@@ -19,10 +19,12 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import _spark, _words
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
+SAMPLE_BYTES = 1 << 16
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -90,29 +92,35 @@ def _texts(batch: pa.RecordBatch) -> Iterator[Text]:
             yield Text(data[offsets[k] : offsets[k + 1]], found.hash[at], found.chars[at])
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
-    """rule, seconds, rejected, seen: what each rule costs and rejects on at most sample_rows rows."""
+@dataclass(frozen=True)
+class Measured:
+    rule: str
+    seconds: float
+    rejected: int
+    seen: int
 
-    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected, seen = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
-        for batch in batches:
-            for t in _texts(batch):
-                seen += 1
-                for rule in rules:
-                    began = time.perf_counter()
-                    rejected[rule] += bool(rule.rejects(Text(t.data, t.hashes, t.chars)))
-                    seconds[rule] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "seconds": list(seconds.values()), "rejected": list(rejected.values()), "seen": [seen] * len(rules)})
 
-    sample = _spark.columns(docs, text=text).limit(sample_rows)
-    return sample.mapInArrow(timed, "rule string, seconds double, rejected long, seen long").groupBy("rule").sum().toDF("rule", "seconds", "rejected", "seen")
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Measured]:
+    """What each rule costs and rejects on at most sample_rows texts of at most SAMPLE_BYTES each, which is what the driver gets.
+
+    Spark reads no more partitions than it takes to find them.
+    """
+    rows = _spark.columns(docs, text=text).where(F.octet_length("text") <= SAMPLE_BYTES).take(sample_rows)
+    sample = pa.RecordBatch.from_pydict({"text": pa.array([r.text for r in rows], pa.string())})
+    seconds, rejected = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+    for t in _texts(sample):
+        for rule in rules:
+            own = Text(t.data, t.hashes, t.chars)
+            began = time.perf_counter()
+            rejected[rule] += bool(rule.rejects(own))
+            seconds[rule] += time.perf_counter() - began
+    return [Measured(r.name, seconds[r], rejected[r], len(rows)) for r in rules]
 
 
 def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
-    """Names of the rules by rejections per second, most first; one row a rule comes to the driver."""
-    found = {r.rule: r for r in measure(docs, rules, sample_rows, text).collect()}
-    gain = lambda r: found[r.name].rejected / max(found[r.name].seconds, 1e-9) if r.name in found else 0.0
-    return [r.name for r in sorted(rules, key=gain, reverse=True)]
+    """Names of the rules by rejections per second, most first."""
+    found = measure(docs, rules, sample_rows, text)
+    return [m.rule for m in sorted(found, key=lambda m: m.rejected / max(m.seconds, 1e-9), reverse=True)]
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, sample_rows: int = SAMPLE_ROWS, id: str = "doc_id", text: str = "text", metrics: bool = True) -> DataFrame:
@@ -140,4 +148,4 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, sample_rows: in
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "kept", "base_failed", *names])
 
     source = _spark.columns(docs, doc_id=id, text=text)
-    return source.mapInArrow(judged, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", "kept boolean", "base_failed boolean", *(f"{n} long" for n in names)]))
+    return source.mapInArrow(_spark.freed(judged), ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", "kept boolean", "base_failed boolean", *(f"{n} long" for n in names)]))

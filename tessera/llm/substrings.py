@@ -155,7 +155,7 @@ def spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, bucket
         return pa.table(done, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
 
     source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
-    passages = source.mapInArrow(split, "block int, doc_id long, heads binary, windows binary")
+    passages = source.mapInArrow(_spark.freed(split), "block int, doc_id long, heads binary, windows binary")
     found = passages.groupBy("block").applyInArrow(factor, "doc_id long, spans binary")
     return found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
@@ -179,5 +179,5 @@ def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, bucke
 
     source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = spans(docs, window=window, anchor=anchor, buckets=buckets, id=id, text=text)
-    return source.join(found, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return source.join(found, "doc_id", "left").mapInArrow(_spark.freed(cut), "doc_id long, n_words long, n_removed long, kept_text string")
 

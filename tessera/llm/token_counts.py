@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import _spark
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 class Automaton:
@@ -108,4 +108,4 @@ def count(docs: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     source = _spark.columns(docs, doc_id=id, text=text)
-    return source.mapInArrow(counted, f"doc_id {source.schema[0].dataType.simpleString()}, n_words long, n_tokens long")
+    return source.mapInArrow(_spark.freed(counted), f"doc_id {source.schema[0].dataType.simpleString()}, n_words long, n_tokens long")

@@ -31,6 +31,7 @@ from tessera.llm import _spark, _words
 TRAIN_ROWS = 20_000
 LEXICON = 200
 EVIDENCE = 10.0
+COUNTED_TERMS = 50_000  # held by a task before it passes them on
 STEM = (4, 8)  # bytes of a word's beginning
 WINDOW = 4  # words on each side of a hit
 FEATURES = 6
@@ -192,11 +193,16 @@ def held_out(doc_id: Column) -> Column:
 def _counts(train: DataFrame, stems: bool) -> DataFrame:
     """term, stem, marked, clean: documents of either label that have each word or beginning, summed in each task first."""
 
+    def rows(seen: dict[tuple[bytes, bool], list[int]]) -> pa.RecordBatch:
+        columns = [t for t, _ in seen], [s for _, s in seen], [a for a, _ in seen.values()], [b for _, b in seen.values()]
+        kinds = pa.binary(), pa.bool_(), pa.int64(), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["term", "stem", "marked", "clean"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[bytes, bool], list[int]] = {}
         for batch in batches:
-            seen: dict[tuple[bytes, bool], list[int]] = {}
             labels = batch.column("toxic").to_pylist()
-            for low, high, data, offsets in _words.text_chunks(batch.column("text")):
+            for low, high, data, offsets in _words.text_chunks(batch.column("text"), 1 << 20):
                 found, folded = _words.words(data, offsets, _words.NOT_ALNUM, lower=True), _words.lowered(data)
                 edges = _words.by_row(found.row, high - low)
                 for row in range(high - low):
@@ -204,9 +210,12 @@ def _counts(train: DataFrame, stems: bool) -> DataFrame:
                     terms = {(w, False) for w in own} | {(w[:n], True) for w in own for n in range(STEM[0], min(STEM[1] + 1, len(w))) if stems}
                     for t in terms:
                         seen.setdefault(t, [0, 0])[1 - labels[low + row]] += 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in seen], pa.binary()), "stem": pa.array([s for _, s in seen], pa.bool_()), "marked": pa.array([a for a, _ in seen.values()], pa.int64()), "clean": pa.array([b for _, b in seen.values()], pa.int64())})
+                    if len(seen) >= COUNTED_TERMS:
+                        yield rows(seen)
+                        seen = {}
+        yield rows(seen)
 
-    return train.mapInArrow(counted, "term binary, stem boolean, marked long, clean long").groupBy("term", "stem").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean"))
+    return train.mapInArrow(_spark.freed(counted), "term binary, stem boolean, marked long, clean long").groupBy("term", "stem").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean"))
 
 
 def _lexicon(train: DataFrame, marked: int, clean: int, size: int) -> list[tuple[bytes, bool, float]]:
@@ -273,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
             found = features(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(FEATURES)), batch.column("toxic").cast(pa.float64())], names=[*names, "y"])
 
-    table = rows.mapInArrow(seen, ", ".join(f"{n} double" for n in [*names, "y"])).toArrow()
+    table = rows.mapInArrow(_spark.freed(seen), ", ".join(f"{n} double" for n in [*names, "y"])).toArrow()
     x, y = np.stack([table.column(n).to_numpy() for n in names], 1), table.column("y").to_numpy()
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
@@ -290,11 +299,12 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(found)), pa.array(found[:, 5])], names=["doc_id", "score", "hits_a_word"])
 
     source = _spark.columns(docs, doc_id=id, text=text)
-    return source.mapInArrow(scored, f"doc_id {source.schema[0].dataType.simpleString()}, score double, hits_a_word double")
+    return source.mapInArrow(_spark.freed(scored), f"doc_id {source.schema[0].dataType.simpleString()}, score double, hits_a_word double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
+    _spark.text_batches(docs.sparkSession)
     shared = _spark.share(docs.sparkSession, model)
     at = docs.columns.index(text)
 
@@ -302,4 +312,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(features(batch.column(at), shared.value.matcher)) < threshold))
 
-    return docs.mapInArrow(left, docs.schema)
+    return docs.mapInArrow(_spark.freed(left), docs.schema)

@@ -168,12 +168,13 @@ def test_bpe_cache_is_bounded(reference, monkeypatch):
     monkeypatch.setattr(bpe, "STEP_ROWS", 100)
     monkeypatch.setattr(bpe, "DECODE_ROWS", 7)
     with open(VOCABULARY, "rb") as f:
-        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
-    for k in range(5):
-        texts = [prose(k, 60), "thereupon " + "z" * 30]
-        coded = codec.encode(texts)
-        assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [reference.encode_ordinary(t) for t in texts]
-        assert codec.decode(coded) == [t.encode() for t in texts]
+        whole = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    with whole as codec:
+        for k in range(5):
+            texts = [prose(k, 60), "thereupon " + "z" * 30]
+            coded = codec.encode(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [reference.encode_ordinary(t) for t in texts]
+            assert codec.decode(coded) == [t.encode() for t in texts]
 
 
 def base_spans(t):
