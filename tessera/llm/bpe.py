@@ -1,9 +1,12 @@
 """Byte-level BPE, encoded and decoded by DuckDB queries in each Spark task.
 
-The distinct words of a batch become rows (word, position, token, next token).
-A recursive query joins them with the merge table and in each step contracts
-every word's leftmost pair of least rank, until no word has a pair. Decoding
-joins token rows with the vocabulary and aggregates in order of position.
+The distinct words of a batch become rows (word, position, token, and the next
+row's position and token). A recursive query joins them with the merge table
+and in each step contracts every word's leftmost pair of least rank, until no
+word has a pair: the right row of the pair takes the new token, the left one
+goes, and the row before learns of it. A word's least rank and its place are
+one aggregate, so no step sorts. Decoding joins token rows with the vocabulary
+and aggregates in order of position.
 
 A word that is itself in the vocabulary is that token, as in tiktoken. The
 query's cost grows with the square of a word's length, so words of over LONG
@@ -27,28 +30,26 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import _spark
 
-LONG = 192
+LONG = 192  # positions take 8 bits
 STEP_ROWS = 1_500_000  # bound on a query's word-position rows over all its steps, twice
 DECODE_ROWS = 300_000
 CACHED_WORDS = 100_000  # of each of two generations
 
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT w, pos, tok, nxt, 0 AS n FROM tokens
+  SELECT w, pos, follows, tok, nxt, false AS done FROM tokens
   UNION ALL
   SELECT w, pos,
-    CASE WHEN key = best THEN best >> 20 ELSE tok END,
-    CASE WHEN key = best THEN later WHEN after = best THEN best >> 20 ELSE nxt END,
-    n + 1
-  FROM (
-    SELECT w, pos, tok, nxt, n, key, min(key) OVER word AS best,
-      lag(key) OVER word AS before, lead(key) OVER word AS after, lead(nxt) OVER word AS later
-    FROM (SELECT s.*, m.rank * 1048576 + s.pos AS key FROM step s LEFT JOIN merges m ON m.pair = s.tok * 16777216 + s.nxt)
-    WINDOW word AS (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best))
-SELECT w, CAST(tok AS UINTEGER) AS tok
-FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n)
-ORDER BY w, pos
+    CASE WHEN follows = ((best >> 8) & 255) THEN (best & 255) ELSE follows END,
+    CASE WHEN pos = (best & 255) THEN best >> 16 ELSE tok END,
+    CASE WHEN follows = ((best >> 8) & 255) THEN best >> 16 ELSE nxt END,
+    best IS NULL
+  FROM step JOIN (
+    SELECT w, min((m.rank << 16) | (s.pos << 8) | s.follows) AS best
+    FROM step s LEFT JOIN merges m ON m.pair = (s.tok << 24) | s.nxt
+    WHERE NOT done GROUP BY w) USING (w)
+  WHERE NOT done AND (best IS NULL OR pos <> ((best >> 8) & 255)))
+SELECT w, CAST(tok AS UINTEGER) AS tok FROM step WHERE done ORDER BY w, pos
 """
 DECODE = "SELECT part, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
 
@@ -90,7 +91,7 @@ class Codec:
         owner = np.repeat(np.arange(len(coded)), sizes)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = np.r_[owner[1:] != owner[:-1], True]
-        self.db.register("tokens", pa.table({"w": owner, "pos": place, "tok": data, "nxt": pa.array(np.r_[data[1:], 0], mask=last)}))
+        self.db.register("tokens", pa.table({"w": owner, "pos": place, "tok": data, "nxt": pa.array(np.r_[data[1:], 0], mask=last), "follows": pa.array(place + 1, mask=last)}))
         found = self.db.sql(ENCODE).to_arrow_table()
         owner, tokens = found.column("w").to_numpy(), found.column("tok").to_numpy().astype("<u4")
         edges = np.searchsorted(owner, np.arange(len(words) + 1))
@@ -127,7 +128,7 @@ class Codec:
             self.older, self.words = self.words, {}
         new = {w for ws in split for w in ws if w not in self.words}
         group, rows = [], 0
-        for word in new:
+        for word in sorted(new, key=len):  # a query takes as many steps as its longest word, and each step builds the merge table's index anew
             raw = word.encode()
             if (known := self.older.get(word)) is not None:
                 self.words[word] = known
