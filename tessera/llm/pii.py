@@ -123,6 +123,8 @@ def _signs(text: str) -> bool:
     folded = text.lower()
     if "dot" in folded or any(f"{a}{gap}{sign}" in folded for a in "[({<" if a in folded for gap in ("", " ", "  ") for sign in ("at", "@", ".")):
         return True
+    if "plus " in folded or "plus-" in folded:
+        return True
     blank = folded.replace("-", " ")
     return any(w in blank for w in _WRITTEN)  # the middle one of three written digits has a blank on both sides
 
