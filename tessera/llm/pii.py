@@ -6,7 +6,11 @@ transducers: one folds homoglyphs, fullwidth and other digits and drops
 invisible characters, one reads spelled digits and "at" and "dot" written out.
 Each normalised character keeps the source span it came from, so what is found
 in the normalised text maps back to source characters. Such a span is added if
-it holds a changed character and isn't inside a plain span of its kind.
+it holds a changed character and isn't inside another span of its kind.
+
+A number word counts as a digit wherever a digit, number word, dot or plus is
+next to it; what it then belongs to is left to the plain patterns. As a word at
+the edge of an identifier may be prose, there are readings without those, too.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no
 spans and stay as they are. Rows are judged each for itself, with any or equal
@@ -15,8 +19,10 @@ ids. An empty table gives no rows. All scans are linear in the text.
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,12 +99,12 @@ def _folded() -> dict[str, str]:
             table[c] = n
     for c in map(chr, [*range(0x0660, 0x066A), *range(0x06F0, 0x06FA), *range(0x0966, 0x0970)]):
         table[c] = str(unicodedata.digit(c))
-    return table
+    return table | {"\u0130": "I", "\u0131": "i", "\u017f": "s", "\u212a": "K"}  # patterns that ignore case take these for ASCII letters
 
 
 _FOLD = _folded()
 # The blocks that hold them: a class of few ranges is quick to search.
-_FOLD_CHARS = re.compile("[\u00ad\u0391-\u03c9\u0405-\u0458\u0501-\u051d\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u04bb\u200b-\u200d\u2060\u2070-\u2089\u2460-\u2468\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+_FOLD_CHARS = re.compile("[\u00ad\u0130\u0131\u017f\u0391-\u03c9\u0405-\u0458\u0501-\u051d\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u04bb\u200b-\u200d\u2060\u2070-\u2089\u212a\u2460-\u2468\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 _DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_DIGITS) + ")"
@@ -109,11 +115,17 @@ _DISGUISE = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}dot[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}dot[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:dot|\.){_CLOSE}[a-z0-9])))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}dot[ ]{{1,2}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus[ -]{{1,2}}(?={_NUMBER}\b|[0-9]))"
-    rf"|(?P<digits>\b{_NUMBER}\b(?:[ -]{{1,2}}{_NUMBER}\b){{2,}})",
+    rf"|(?P<digits>\b{_NUMBER}\b(?:[ -]{{1,2}}{_NUMBER}\b)*)",
     re.IGNORECASE,
 )
 _WORD = re.compile("[a-z]+", re.IGNORECASE)
-_WRITTEN = tuple(f" {w} " for w in _DIGITS)
+# What makes a number word a digit: text before it that ends so, or after it that begins so.
+_BEFORE = re.compile(rf"(?:[0-9+\])}}>]|\b(?:{_NUMBER}|dot|plus))[ ().-]*\Z", re.IGNORECASE)
+_AFTER = re.compile(rf"[ ().-]*(?:[0-9\[({{<]|(?:{_NUMBER}|dot)\b)", re.IGNORECASE)
+_JOINT = re.compile("[ -]{1,2}(?=[0-9])")
+_BACK_JOINT = re.compile(r"(?<=[0-9])[ -]{1,2}\Z")
+_NEAR = 12  # characters that are looked at on each side
+_TOUCHING = re.compile(rf"(?:{_NUMBER}|[0-9])[ ().+-]+{_NUMBER}|{_NUMBER}[ ().+-]+[0-9]")
 
 
 def _signs(text: str) -> bool:
@@ -125,8 +137,7 @@ def _signs(text: str) -> bool:
         return True
     if "plus " in folded or "plus-" in folded:
         return True
-    blank = folded.replace("-", " ")
-    return any(w in blank for w in _WRITTEN)  # the middle one of three written digits has a blank on both sides
+    return any(w in folded for w in _DIGITS) and bool(_TOUCHING.search(folded))
 
 
 class Normalised:
@@ -153,34 +164,66 @@ class Normalised:
         self.start, self.end, self.changed = (np.concatenate([*x, y[at:]]) for x, y in ((start, self.start), (end, self.end), (changed, self.changed)))
 
 
-def _edits(text: str) -> Iterator[tuple[int, int, str]]:
+Edit = tuple[int, int, str]
+
+
+def _readings(text: str) -> list[tuple[list[Edit], str]]:
+    """Sets of edits, each with its name. Number words are read in runs of three or more, near digits, joined to these, or without runs at an edge."""
+    signs: list[Edit] = []
+    runs: dict[str, list[Edit]] = {k: [] for k in ("long", "near", "joined", "begun", "ended", "inner")}
     for m in _DISGUISE.finditer(text):
         if m.lastgroup != "digits":
-            yield m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
+            signs.append((m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
             continue
         words = list(_WORD.finditer(m[0]))
-        for k, w in enumerate(words):
-            stop = words[k + 1].start() if k + 1 < len(words) else w.end()
-            # A blank after a number word belongs to no digit: it goes with the word before, but for the last.
-            yield m.start() + w.start(), m.start() + (w.end() if k + 1 == len(words) else stop), _DIGITS[w[0].lower()]
+        low, high = text[max(0, m.start() - _NEAR) : m.start()], text[m.end() : m.end() + _NEAR]
+        begun, ended = bool(_BEFORE.search(low)), bool(_AFTER.match(high))
+        if len(words) == 1 and not (begun or ended):
+            continue
+        # A blank after a number word belongs to no digit: it goes with the word before, but for the last.
+        stops = [m.start() + w.start() for w in words[1:]] + [m.end()]
+        edits = [(m.start() + w.start(), stop, _DIGITS[w[0].lower()]) for w, stop in zip(words, stops, strict=True)]
+        for name, wanted in (("long", len(words) > 2), ("near", True), ("begun", begun), ("ended", ended), ("inner", begun and ended)):
+            runs[name] += edits if wanted else []
+        if gap := _BACK_JOINT.search(low):
+            runs["joined"].append((m.start() - len(gap[0]), m.start(), ""))
+        gap = _JOINT.match(high)
+        runs["joined"] += [*edits[:-1], (edits[-1][0], m.end() + (len(gap[0]) if gap else 0), edits[-1][2])]
+    unlike = {tuple(edits): name for name, edits in reversed(runs.items())}
+    return [(sorted([*signs, *edits]), name) for edits, name in unlike.items()]
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
     if not _signs(text):
         return []
-    n = Normalised(text)
-    n.rewrite([(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text) if m[0] in _FOLD] if not text.isascii() else [])
-    n.rewrite(list(_edits(n.text)))
-    changed = np.r_[0, np.cumsum(n.changed)]
-    dropped = np.r_[n.start[1:] > n.end[:-1], False] if len(n.start) else n.changed  # an invisible character goes after this one
-    gaps = np.r_[0, np.cumsum(dropped)]
-    found = []
-    for low, kind, high in plain(n.text):
-        start, end = int(n.start[low]), int(n.end[high - 1])
-        if changed[high] - changed[low] + gaps[high - 1] - gaps[low] and not any(k == kind and s <= start and end <= e for s, k, e in known):
-            found.append((start, kind, end))
-    return found
+    folded = Normalised(text)
+    folded.rewrite([(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text) if m[0] in _FOLD] if not text.isascii() else [])
+    plain_ones = [[(s, e) for s, k, e in known if k == kind] for kind in range(len(KINDS))]
+    found = set()
+    for edits, reading in _readings(folded.text):
+        n = copy.copy(folded)
+        n.rewrite(edits)
+        changed = np.r_[0, np.cumsum(n.changed)]
+        dropped = np.r_[n.start[1:] > n.end[:-1], False] if len(n.start) else n.changed  # an invisible character goes after this one
+        gaps = np.r_[0, np.cumsum(dropped)]
+        for low, kind, high in plain(n.text):
+            start, end = int(n.start[low]), int(n.end[high - 1])
+            if not changed[high] - changed[low] + gaps[high - 1] - gaps[low]:
+                continue
+            if reading != "long" and kind == 0:  # digits don't make an address, but would join the words before it
+                continue
+            if reading == "joined":
+                k = bisect_left(plain_ones[kind], (start, start))
+                if k < len(plain_ones[kind]) and plain_ones[kind][k][1] <= end:  # "two 10.0.0.1" is no 210.0.0.1
+                    continue
+            found.add((start, kind, end))
+    out, reach = [], [-1] * len(KINDS)
+    for start, end, added, kind in sorted([*((s, -e, False, k) for s, k, e in known), *((s, -e, True, k) for s, k, e in found)]):
+        if added and -end > reach[kind]:
+            out.append((start, kind, -end))
+        reach[kind] = max(reach[kind], -end)
+    return sorted(out)
 
 
 def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:

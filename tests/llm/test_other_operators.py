@@ -214,6 +214,21 @@ def test_pii_disguised(text, found):
     assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("at one two seven dot zero dot zero dot one home", "one two seven dot zero dot zero dot one"),
+        ("at one 2 seven dot 0 dot zero dot 1 home", "one 2 seven dot 0 dot zero dot 1"), ("at 127.zero.zero.one home", "127.zero.zero.one"),
+        ("call +49 one 5 one 2 three 4 four 5 six 6 ok", "+49 one 5 one 2 three 4 four 5 six 6"), ("call +49 (one five) 2345-6789 now", "+49 (one five) 2345-6789"),
+        ("pay 4111 one one 11 1111 11 one 1 now", "4111 one one 11 1111 11 one 1"), ("pay two 4111 1111 1111 one one 11 now", "4111 1111 1111 one one 11"),
+        ("two 10.0.0.1 hosts", None), ("one of 4 or two 5 six", None), ("two one@x.com", None), ("\u017fix six six", None),
+    ],
+)
+def test_pii_short_runs_of_number_words(text, found):
+    spans = pii.disguised(text, pii.plain(text))
+    assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
+
+
 def test_pii_signs_only_save_work(monkeypatch):
     text = "call plus 49 151 23456789 now"
     assert [text[s:e] for s, _, e in pii.disguised(text, [])] == ["plus 49 151 23456789"]
