@@ -109,21 +109,41 @@ _FOLD_CHARS = re.compile("[\u00ad\u0130\u0131\u017f\u0391-\u03c9\u0405-\u0458\u0
 _DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(_DIGITS) + ")"
 _OPEN, _CLOSE = r"[ ]{0,2}[\[({<][ ]{0,2}", r"[ ]{0,2}[\])}>][ ]{0,2}"
-# Written out without brackets, an address must end like one, or "look at the dot there" would be one.
+# An "at" without brackets may be prose: these endings, after dots written out, make it an address with any word before it.
 _ENDS = "(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es|it|nl|ch|at|ru|cn|jp|in|br|ca|au|test)"
+_DOT = rf"(?:\.|[ ]{{1,2}}dot[ ]{{1,2}}|{_OPEN}(?:dot|\.){_CLOSE})"
+# Other endings need only the shape of one, but then _is_address looks at the words around.
+_HOST = rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}}){{0,8}}{_DOT}[a-z]{{2,24}}\b"
 _DISGUISE = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}dot[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}dot[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:dot|\.){_CLOSE}[a-z0-9])))"
+    rf"|(?P<bare>(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?={_HOST}))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}dot[ ]{{1,2}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus[ -]{{1,2}}(?={_NUMBER}\b|[0-9]))"
     rf"|(?P<digits>\b{_NUMBER}\b(?:[ -]{{1,2}}{_NUMBER}\b)*)",
     re.IGNORECASE,
 )
+_HOSTS = re.compile(_HOST, re.IGNORECASE)
+_LABEL = re.compile("[a-z0-9-]+", re.IGNORECASE)
+_KEPT = re.compile("[a-z0-9.-]+", re.IGNORECASE)
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+_MAILBOX = re.compile(r"(?=.*[a-z])[a-z0-9+%-]+(?:[._%+][a-z0-9+%-]+)+\Z|[a-z-]+[0-9]+\Z", re.IGNORECASE)
+_CUE = re.compile(r"\b(?:e-?mail|mail|mailto|contact|reach|address|write|send|message|ping)(?:[ ]to|[ ]is)?[ ]?:?[ ]?[<(\[\x22']?\Z", re.IGNORECASE)
+# Words that stand before "at" in prose, and those that begin what it points to.
+_BEFORE_AT = frozenset(
+    "a about again aim aimed all and am angry are aren't arrive arrived arrives available back based be been best better bought but by call called come day directed down early even "
+    "ever everyone first found from glance glanced go good had half has have held her here him his hosted i in is it just last late laugh laughed least left listed live lived lives "
+    "located look looked looking looks made me meet meeting meets met more most much my no not now of off on once one only open or our out over people point pointed points posted "
+    "published read registered right seen sent she shop shout sit site sits so sold some stand stands stare stared start started starts stay stayed stays still stop stopped stops "
+    "study that the their them there they thing things this time to today together up us visit was we were what when where which while who will with work worked working works yet you".split()
+)
+_AFTER_AT = frozenset("a all an any both each every her his its least most my no one our some that the their these this those two what which your".split())
 _WORD = re.compile("[a-z]+", re.IGNORECASE)
 # What makes a number word a digit: text before it that ends so, or after it that begins so.
 _BEFORE = re.compile(rf"(?:[0-9+\])}}>]|\b(?:{_NUMBER}|dot|plus))[ ().-]*\Z", re.IGNORECASE)
 _AFTER = re.compile(rf"[ ().-]*(?:[0-9\[({{<]|(?:{_NUMBER}|dot)\b)", re.IGNORECASE)
 _JOINT = re.compile("[ -]{1,2}(?=[0-9])")
 _BACK_JOINT = re.compile(r"(?<=[0-9])[ -]{1,2}\Z")
+_KEPT_DOT = re.compile(r" at {1,2}[a-z0-9-]{1,63}\.[a-z0-9]")
 _NEAR = 12  # characters that are looked at on each side
 _TOUCHING = re.compile(rf"(?:{_NUMBER}|[0-9])[ ().+-]+{_NUMBER}|{_NUMBER}[ ().+-]+[0-9]")
 
@@ -135,6 +155,8 @@ def _signs(text: str) -> bool:
     folded = text.lower()
     if "dot" in folded or any(f"{a}{gap}{sign}" in folded for a in "[({<" if a in folded for gap in ("", " ", "  ") for sign in ("at", "@", ".")):
         return True
+    if _KEPT_DOT.search(folded):
+        return True
     if "plus " in folded or "plus-" in folded:
         return True
     return any(w in folded for w in _DIGITS) and bool(_TOUCHING.search(folded))
@@ -167,13 +189,29 @@ class Normalised:
 Edit = tuple[int, int, str]
 
 
+def _is_address(text: str, start: int, end: int) -> bool:
+    """Whether " at " from start to end, which a host follows, stands for @: by the word before, and the host's first."""
+    found = _LOCAL_END.search(text, max(0, start - 64), start)
+    if not found:
+        return False
+    local, host = found[0], _HOSTS.match(text, end)[0]
+    if _MAILBOX.match(local):
+        return True
+    if local.lower() in _BEFORE_AT or _LABEL.match(host)[0].lower() in _AFTER_AT:
+        return False
+    # A kept dot is how prose names a site, too: a bare word needs a cue before it.
+    return not _KEPT.fullmatch(host) or bool(_CUE.search(text, max(0, found.start() - 24), found.start()))
+
+
 def _readings(text: str) -> list[tuple[list[Edit], str]]:
     """Sets of edits, each with its name. Number words are read in runs of three or more, near digits, joined to these, or without runs at an edge."""
     signs: list[Edit] = []
     runs: dict[str, list[Edit]] = {k: [] for k in ("long", "near", "joined", "begun", "ended", "inner")}
     for m in _DISGUISE.finditer(text):
+        if m.lastgroup == "bare" and not _is_address(text, m.start(), m.end()):
+            continue
         if m.lastgroup != "digits":
-            signs.append((m.start(), m.end(), {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
+            signs.append((m.start(), m.end(), {"at": "@", "bare": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
             continue
         words = list(_WORD.finditer(m[0]))
         low, high = text[max(0, m.start() - _NEAR) : m.start()], text[m.end() : m.end() + _NEAR]

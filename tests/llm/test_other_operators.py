@@ -229,6 +229,23 @@ def test_pii_short_runs_of_number_words(text, found):
     assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ask jane.doe at example.com now", "jane.doe at example.com"), ("ask jdoe42 at mail.example.museum.", "jdoe42 at mail.example.museum"),
+        ("email: jane at example.com", "jane at example.com"), ("write to jane at example dot dev.", "jane at example dot dev"),
+        *((f"it is jane at firm dot {e} now", f"jane at firm dot {e}") for e in ("pl", "se", "be", "dk", "dev", "app", "photography")),
+        ("ask jane at mail.firm dot pl", "jane at mail.firm dot pl"), ("ask jane_doe at firm[.]pl", "jane_doe at firm[.]pl"),
+        ("me at mail dot com", "me at mail dot com"),
+        ("look at the dot there", None), ("see more at example.com", None), ("email us at example.com", None), ("stare at one dot there", None),
+        ("shares rose at example.com", None), ("meet at 10.30 pm", None), ("founded in 2024 at example.com", None), ("jane.doe at work. Then", None),
+    ],
+)
+def test_pii_unbracketed_at(text, found):
+    spans = pii.disguised(text, pii.plain(text))
+    assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
+
+
 def test_pii_signs_only_save_work(monkeypatch):
     text = "call plus 49 151 23456789 now"
     assert [text[s:e] for s, _, e in pii.disguised(text, [])] == ["plus 49 151 23456789"]
