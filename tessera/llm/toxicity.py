@@ -5,7 +5,7 @@ documents are marked far more often than others. A trie of them is intersected
 with Levenshtein automata (one edit for words of five bytes or more, none for
 beginnings, which match any ending) into one deterministic automaton, and all
 words of a batch go through it together, a byte at a time. Each hit gets a
-context score from the words around it: within quotation marks it counts less,
+context score: within a quotation, however long, it counts less,
 beside a second person more. A logistic regression on sums of these gives the score.
 
 Labels, language, source and id are never part of a score. Null and empty texts
@@ -17,6 +17,8 @@ the smoothed share of marked documents. Empty tables give no rows.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +38,11 @@ STEM = (4, 8)  # bytes of a word's beginning
 WINDOW = 4  # words on each side of a hit
 FEATURES = 6
 
-_QUOTES = "\"“”„«»"
+_MARKS = re.compile("|".join(["[\"'\n]", *"“”„‟«»‘’‚‛‹›「」『』《》〈〉〝〞〟｢｣"]).encode())
+_PAIRS = {a.encode(): b.encode() for a, b in ("「」", "『』", "《》", "〈〉", "〝〞", "〝〟", "｢｣")}
+_CLOSERS = {c.encode(): [a.encode() for a, b in ("「」", "『』", "《》", "〈〉", "〝〞", "〝〟", "｢｣") if b == c] for c in "」』》〉〞〟｣"}
+_SINGLE = frozenset(c.encode() for c in "'‘’‚‛‹›")
+_OPENS = frozenset(c.encode() for c in "“„‟‘‚‛")  # an open quotation begins anew with these, but where they close it
 _PERSONS = frozenset(b"you your yours u du dich dir dein tu te toi ton vous votre usted ti".split())
 
 
@@ -138,14 +144,65 @@ def compile_terms(terms: list[tuple[bytes, bool, float]]) -> Matcher:
 # Features of texts.
 
 
-def _context(data: np.ndarray, words: _words.Words, at: int, low: int, high: int, end: int) -> tuple[bool, bool]:
-    """Whether a hit stands in quotation marks, and whether a second person is near; its text is data[:end] of words low to high."""
+def _quotations(text: bytes) -> list[tuple[int, int]]:
+    """Spans within closed quotation marks, from one pass over the text; outer ones hide those they hold.
+
+    Double marks are one kind and single marks another, as languages open and close with different ones of them. A mark
+    that may be either is told by whether a word is on its left and right. Straight single marks close on their line.
+    """
+    spans: list[tuple[int, int]] = []
+    double, single, line = -1, -1, False  # where the open quotation begins; whether a straight single mark opened it
+    nested: dict[bytes, list[int]] = {c: [] for c in _PAIRS}
+    for m in _MARKS.finditer(text):
+        mark, low, high = m[0], m.start(), m.end()
+        if mark == b"\n":
+            if line:
+                single, line = -1, False
+            continue
+        if mark in nested:
+            nested[mark].append(high)
+            continue
+        if mark in _CLOSERS:
+            if opened := next((nested[c] for c in _CLOSERS[mark] if nested[c]), None):
+                spans.append((opened.pop(), low))
+            continue
+        before, after = text[low - 1 : low] if low else b" ", text[high : high + 1] or b" "
+        left, right = (c.isalnum() or c >= b"\x80" for c in (before, after))
+        if mark in _SINGLE:
+            if left and right and mark in (b"'", "’".encode()):  # an apostrophe
+                continue
+            begins = mark in _OPENS or mark in ("‹".encode(), "›".encode()) and single < 0 or mark == b"'" and not left and right
+            if single >= 0 and not before.isspace() and not right:
+                spans.append((single, low))
+                single, line = -1, False
+            elif begins:
+                single, line = high, mark == b"'"
+            elif single >= 0 and mark in ("’".encode(), "‹".encode(), "›".encode()):
+                spans.append((single, low))
+                single, line = -1, False
+        else:
+            opening, closing = not left and right, not right and not before.isspace()
+            if double < 0:
+                if mark != b'"' or not closing or opening or not left:
+                    double = high
+            elif mark in _OPENS | {b'"'} and opening and not closing:
+                double = double if before == b"\n" else high  # each paragraph of a long quotation may open anew
+            else:
+                spans.append((double, low))
+                double = -1
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if not out or low > out[-1][1]:
+            out.append((low, high))
+        elif high > out[-1][1]:
+            out[-1] = out[-1][0], high
+    return out
+
+
+def _person(data: np.ndarray, words: _words.Words, at: int, low: int, high: int) -> bool:
+    """Whether a second person is near a hit; its text has words low to high."""
     first, last = max(low, at - WINDOW), min(high - 1, at + WINDOW)
-    before = data[words.start[first] - min(2, int(words.start[first])) : words.start[at]].tobytes().decode("utf-8", "ignore")
-    after = data[words.end[at] : min(int(words.end[last]) + 3, end)].tobytes().decode("utf-8", "ignore")
-    quoted = sum(c in _QUOTES for c in before) % 2 == 1 and any(c in _QUOTES for c in after)
-    person = any(data[words.start[k] : words.end[k]].tobytes().lower() in _PERSONS for k in range(first, last + 1) if words.end[k] - words.start[k] <= 6)
-    return quoted, person
+    return any(data[words.start[k] : words.end[k]].tobytes().lower() in _PERSONS for k in range(first, last + 1) if words.end[k] - words.start[k] <= 6)
 
 
 def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
@@ -160,9 +217,14 @@ def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
         for row in np.unique(words.row[hits]):
             mine = hits[np.searchsorted(hits, edges[row]) : np.searchsorted(hits, edges[row + 1])]
             scores, kinds = [], Counter()
+            begin = int(offsets[row])
+            spans = _quotations(data[begin : int(offsets[row + 1])].tobytes())
+            opened = [a for a, _ in spans]
             for at in mine:
                 exact = matcher.edits[state[at]] == 0
-                quoted, person = _context(data, words, int(at), int(edges[row]), int(edges[row + 1]), int(offsets[row + 1]))
+                place = bisect_right(opened, int(words.start[at]) - begin) - 1
+                quoted = place >= 0 and int(words.end[at]) - begin <= spans[place][1]
+                person = _person(data, words, int(at), int(edges[row]), int(edges[row + 1]))
                 scores.append(weights[matcher.term[state[at]]] * (1.0 if exact else 0.6) * (0.4 if quoted else 1.0) * (1.2 if person else 1.0))
                 kinds["exact" if exact else "fuzzy"] += 1
                 kinds["quoted"] += quoted

@@ -79,6 +79,20 @@ def test_toxicity_misspelt_and_quoted(spark, make, learnt):
     assert f[0, 4] > 0 and f[1, 4] == 0 and f[1, 0] > f[0, 0]
 
 
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ('they said "w1 w2 w3 w4 w5 w6 gromble w7 w8 w9 w10 w11 w12" and left', 1), ("they said 'w1 don't w3 w4 w5 gromble w6 w7 w8 w9 w10' and left", 1),
+        ("w1 “w2 w3 w4 w5 w6 gromble w7 w8 w9 w10 w11” w12", 1), ("w1 „w2 w3 w4 w5 w6 gromble w7 w8 w9 w10 w11“ w12", 1), ("w1 »w2 gromble w3« gromble «w1 gromble w2» w3 ‹w4 gromble w5› w6", 3),
+        ("w1「w2 w3 w4 w5 w6 gromble w7『w8』 w9 w10」w11", 1), ("w1 ‘w2 isn’t gromble w4’ gromble w5", 1), ('w1 "w2" gromble "w3" w4', 0), ('a 5" gromble 6" w1', 0),
+        ('w1 "gromble', 0), ("don't gromble can't", 0), ("'tis gromble\nthe dogs' w1", 0), ('"gromble w1\n\n"w2 gromble" gromble', 2), ("w1」gromble「w2", 0),
+    ],
+)
+def test_toxicity_long_quotations(text, quoted):
+    matcher = toxicity.compile_terms([(b"gromble", False, 1.0)])
+    assert toxicity.features(pa.array(["w " * 9, text]), matcher)[1, 4] == pytest.approx(np.log1p(quoted))
+
+
 def test_toxicity_edges(spark, make, odd_rows, learnt):
     model = learnt[2]
     assert toxicity.score(make(odd_rows), model).count() == len(odd_rows)
