@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -33,10 +34,16 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """Written to the shared folder in spark.checkpoint.dir. Only a session of one process may leave it unset; then a temporary folder is as good.
+
+    Spark removes checkpoints that nothing refers to any more with spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

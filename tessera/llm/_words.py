@@ -1,5 +1,8 @@
 """Words, word hashes and word windows of whole texts, on Arrow buffers with numpy.
 
+Hashes only bring together what may be equal: wherever equality decides a
+result, the words' bytes are compared, and windows by the words' numbers.
+
 Every function here works on one piece of a batch at a time, so a very long
 text costs its word list (some 24 bytes a word), never a table per byte.
 Separators are ASCII bytes, which no multi-byte UTF-8 character contains.
@@ -7,7 +10,8 @@ Separators are ASCII bytes, which no multi-byte UTF-8 character contains.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,39 +49,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_BACK = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xA0761D6478BD642F)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(max(n, 1), np.uint64)
-    out[0], done = 1, 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * U64(pow(base, done, 1 << 64))
-        done += more
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 256  # bytes from which a word is hashed and compared by itself, as a loop over its eighths would be slower
+
+
+class Bytes:
+    """Bytes that can be read eight at a time from any place."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eights = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+
+    def one(self, start: int, end: int) -> bytes:
+        return self.data[start:end].tobytes()
+
+
+def _hash_spans(text: Bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span. Every eight bytes are mixed with all before them, so no structure of words makes them meet."""
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * _STEP + U64(1))
+    long, k = np.flatnonzero(length > _LONG), 0
+    alive = np.flatnonzero(length <= _LONG)
+    while len(alive):
+        left = length[alive] - k
+        block = text.eights[starts[alive] + k] & _MASKS[np.minimum(left, 8)]
+        out[alive] = mix((out[alive] ^ block) * U64(0x9E3779B97F4A7C15) + U64(k + 1))
+        alive = alive[left > 8]
+        k += 8
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text.data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return out
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > PIECE:
-        return _powers(_BASE, n), _powers(_BACK, n)
-    if PIECE not in _tables:
-        _tables[PIECE] = _powers(_BASE, PIECE), _powers(_BACK, PIECE)
-    return _tables[PIECE]
+def equal(x: Bytes, x_start: np.ndarray, x_end: np.ndarray, y: Bytes, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Which spans of x have the bytes of their spans of y."""
+    length = x_end - x_start
+    out = length == y_end - y_start
+    alive, k = np.flatnonzero(out & (length <= _LONG)), 0
+    for i in np.flatnonzero(out & (length > _LONG)).tolist():
+        out[i] = x.one(x_start[i], x_end[i]) == y.one(y_start[i], y_end[i])
+    while len(alive):
+        left = length[alive] - k
+        same = ((x.eights[x_start[alive] + k] ^ y.eights[y_start[alive] + k]) & _MASKS[np.clip(left, 0, 8)]) == 0
+        out[alive[~same]] = False
+        alive = alive[same & (left > 8)]
+        k += 8
+    return out
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+def numbered(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers for equal things, and the first thing of each number. Things of one key are compared, so keys may collide."""
+    numbers, firsts, todo, n = np.empty(len(keys), np.int64), [np.zeros(0, np.int64)], np.argsort(keys, kind="stable"), 0
+    while len(todo):
+        ordered = keys[todo]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        group, first = np.cumsum(new) - 1, todo[new]
+        fits = same(todo, first[group])
+        numbers[todo[fits]] = n + group[fits]
+        firsts.append(first)
+        n += len(first)
+        todo = todo[~fits]
+    return numbers, np.concatenate(firsts)
 
 
 @dataclass
@@ -142,13 +175,31 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
         points = np.zeros(len(piece) + 1, np.int32)
         np.cumsum((piece & 0xC0) != 0x80, out=points[1:])
         row = np.searchsorted(offsets, start + low, "right") - 1
-        parts.append((row, _hash_spans(folded, start, end), start + low, end + low, points[end] - points[start]))
+        parts.append((row, _hash_spans(Bytes(folded), start, end), start + low, end + low, points[end] - points[start]))
     if not parts:
         none = np.zeros(0, np.int64)
         return Words(none, none.astype(np.uint64), none, none, none)
     return Words(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+def identify(text: Bytes, found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal words only, and the first place of each number."""
+    return numbered(found.hash, lambda a, b: equal(text, found.start[a], found.end[a], text, found.start[b], found.end[b]))
+
+
+def identify_windows(ids: np.ndarray, keys: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A number for each window of n numbered words (all, or those that begin at `at`), equal for equal ones only; keys are their hashes."""
+    at = np.arange(len(keys)) if at is None else at
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for k in range(n):
+            out &= ids[at[a] + k] == ids[at[b] + k]
+        return out
+
+    return numbered(keys, same)[0]
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive entries; rows aren't looked at."""
     m = len(hashes) - n + 1

@@ -8,7 +8,8 @@ it is. Nothing is shuffled: a document's verdict needs its own shard and the
 benchmark, which is sent to the executors in blocks of a checked size; more
 blocks mean more passes, whose results meet by document.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded.
+Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded;
+a document's word is the benchmark's only if their bytes are equal.
 Null and empty texts have no words and are never hit. Items without words are
 never found. Repeated items count by id. Rows with equal doc_id stay apart as
 long as the benchmark fits one block; with more blocks they are told apart by a
@@ -67,18 +68,41 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], window: int):
         kept = [(i, t or "") for i, t in zip(ids, texts, strict=True)]
-        data = "".join(t for _, t in kept).encode()
+        data = np.frombuffer("".join(t for _, t in kept).encode(), np.uint8)
         offsets = np.cumsum([0, *(len(t.encode()) for _, t in kept)])
-        found = _words.words(np.frombuffer(data, np.uint8), offsets, _words.NOT_ALNUM, lower=True)
-        self.ids, self.hash, self.row = [i for i, _ in kept], found.hash, found.row
+        found = _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
+        self.ids, self.row, self.text = [i for i, _ in kept], found.row, _words.Bytes(_words.lowered(data))
+        numbers, first = _words.identify(self.text, found)
+        order = np.argsort(found.hash[first], kind="stable")
+        first = first[order]
+        # The vocabulary: distinct words by hash; `other` has the place in it of each of the items' words.
+        self.hash, self.word_start, self.word_end = found.hash[first], found.start[first], found.end[first]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.other = place[numbers]
         self.ends = _words.by_row(found.row, len(kept))[1:][found.row] if len(found.row) else found.row
-        starts = np.arange(len(self.hash))
+        starts = np.arange(len(self.row))
         length = self.ends - starts
         first = np.r_[True, self.row[1:] != self.row[:-1]] if len(self.row) else np.zeros(0, bool)
         self.start = starts
         self.length = np.minimum(length, window)
         self.is_window = (length >= window) | first
 
+    def places(self, text: _words.Bytes, found: _words.Words) -> np.ndarray:
+        """For each word, its place in the vocabulary or -1. The hash only finds what is compared."""
+        out, n = np.full(len(found.hash), -1), len(self.hash)
+        at = np.searchsorted(self.hash, found.hash)
+        open_ = np.arange(len(at))
+        while len(open_):
+            open_ = open_[at[open_] < n]
+            open_ = open_[self.hash[at[open_]] == found.hash[open_]]
+            c = at[open_]
+            same = _words.equal(text, found.start[open_], found.end[open_], self.text, self.word_start[c], self.word_end[c])
+            out[open_[same]] = c[same]
+            open_ = open_[~same]
+            at[open_] += 1
+        return out
+
 
 def _match(tokens: np.ndarray, n: int, at: np.ndarray, other: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many tokens from `at` equal those of `other` from `start`, at most `most`."""
@@ -112,24 +136,23 @@ def search(tokens: np.ndarray, order: np.ndarray, other: np.ndarray, start: np.n
         high[open_[~less]] = middle[~less]
 
 
-def _shard(found: _words.Words, n_rows: int, items: Items) -> Iterator[tuple]:
+def _shard(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tuple]:
     """n_words, n_hit, items found, longest match, its item, its first word, the hit words, for each row of a shard."""
+    n_rows, found = len(offsets) - 1, _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
     edges = _words.by_row(found.row, n_rows)
     counts = np.diff(edges)
     nothing = (0, [], 0, None, None, np.zeros(0, np.int64))
-    vocabulary = np.unique(items.hash)
-    place = np.minimum(np.searchsorted(vocabulary, found.hash), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == found.hash if len(vocabulary) else np.zeros(len(found.hash), bool)
-    if not known.any():
+    place = items.places(_words.Bytes(_words.lowered(data)), found)
+    if not (place >= 0).any():
         yield from ((int(c), *nothing) for c in counts)
         return
     # Tokens: the benchmark's words by rank; any other word, and the end of a text, a number of its own that equals nothing.
-    tokens = np.full(len(known) + n_rows, -1, np.int64)
-    slots = np.arange(len(known)) + found.row
-    tokens[slots] = np.where(known, place, -1)
+    tokens = np.full(len(place) + n_rows, -1, np.int64)
+    slots = np.arange(len(place)) + found.row
+    tokens[slots] = place
     at = np.flatnonzero(tokens < 0)
-    tokens[at] = len(vocabulary) + np.arange(len(at))
-    other = np.searchsorted(vocabulary, items.hash)
+    tokens[at] = len(items.hash) + np.arange(len(at))
+    other = items.other
     order = suffix_array(tokens)
     low = search(tokens, order, other, items.start, items.length, right=False)
     high = search(tokens, order, other, items.start, items.length, right=True)
@@ -198,8 +221,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id: str
             items = Items(*shared.value, window)
             for batch in batches:
                 out: list[tuple] = []
-                for low, high, data, offsets in _words.text_chunks(batch.column("text")):
-                    out += _shard(_words.words(data, offsets, _words.NOT_ALNUM, lower=True), high - low, items)
+                for _, _, data, offsets in _words.text_chunks(batch.column("text")):
+                    out += _shard(data, offsets, items)
                 cols = list(zip(*out, strict=True)) if out else [()] * 7
                 cols[6] = [x.astype("<u4").tobytes() for x in cols[6]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at", "hits"])
@@ -241,9 +264,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
         items = Items(*shared.value, window)
         for batch in batches:
             clean = []
-            for low, high, data, offsets in _words.text_chunks(batch.column(at)):
-                found = _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
-                clean += [not (n_hit > 0 and 20 * n_hit >= n_words) for n_words, n_hit, *_ in _shard(found, high - low, items)]
+            for _, _, data, offsets in _words.text_chunks(batch.column(at)):
+                clean += [not (n_hit > 0 and 20 * n_hit >= n_words) for n_words, n_hit, *_ in _shard(data, offsets, items)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(_spark.freed(left), docs.schema)

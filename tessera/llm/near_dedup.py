@@ -4,7 +4,7 @@ A document's set is its distinct word shingles. One hash of each shingle fills
 128 bins with their least values; empty bins copy a full one found by a
 universal probe (optimal densification). 32 bands of 4 bins make buckets.
 
-Documents with equal sets are one class from the start, so a text that a third
+Documents of the same words are one class from the start, so a text that a third
 of all rows repeat is one row further on. In a bucket every class gets one edge,
 to the bucket's smallest id (a star), and each edge is confirmed on full sets.
 An edge that isn't confirmed says nothing about the bucket's other pairs, so
@@ -14,15 +14,21 @@ filters on their shingles, and the pairs left are confirmed too. No candidate
 pair is left out and there is no cap; pairs that only share a common text,
 whose number would grow with the square of a group, aren't made.
 
+Hashes of shingles only make signatures and candidates. Sizes of sets and links
+come from the words themselves, so words of one hash link nothing; equal texts
+are known by a cryptographic digest of their words.
+
 Words are separated by ASCII blanks, with A-Z folded. A text with fewer words
 than a shingle is one shingle of all its words. Texts that are null or have no
 words have an empty set and are linked with nothing. Rows with a null id are kept and
 have a null component. Rows of equal id are the same document: all of them are
-kept or none. An empty table gives no rows.
+kept or none. An empty table gives no rows. The join of labels with their own
+labels has one key for each class; Spark's adaptive skew join splits a giant one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +45,7 @@ _PROBES = 4096
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The sorted set of a document's shingles."""
+    """The sorted set of the hashes of a document's shingles."""
     if len(hashes) >= n:
         return np.unique(_words.windows(hashes, n))
     return _words.windows(hashes, len(hashes)) if len(hashes) else hashes
@@ -80,107 +86,138 @@ def _bands(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
-    for low, high, data, offsets in _words.text_chunks(batch.column("text")):
+def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The hashed set of each text."""
+    for low, high, data, offsets in _words.text_chunks(texts):
         found = _words.words(data, offsets, _words.BLANKS, lower=True)
         edges = _words.by_row(found.row, high - low)
         for k in range(high - low):
             yield shingles(found.hash[edges[k] : edges[k + 1]], n)
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a fingerprint of the set), bands (null for an empty set)."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, f1, f2, bands = [], [], [], []
-            for found in _sets(batch, n):
-                sizes.append(len(found))
-                mixed = _words.mix(found + np.uint64(0x632BE59BD9B4E019))
-                f1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-                f2.append(int(np.bitwise_xor.reduce(_words.mix(mixed)).view(np.int64)) if len(mixed) else 0)
-                bands.append(_bands(signature(found)) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+def _exact_sets(data: np.ndarray, offsets: np.ndarray, found: _words.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each row as (row, shingle), sorted; shingles are numbered, equal for equal words only."""
+    ids, _ = _words.identify(_words.Bytes(_words.lowered(data)), found)
+    edges = _words.by_row(found.row, len(offsets) - 1)
+    m = max(len(ids) - n + 1, 0)
+    at = np.flatnonzero(found.row[:m] == found.row[len(ids) - m :]) if m else np.zeros(0, np.int64)
+    numbers = _words.identify_windows(ids, _words.windows(found.hash, n)[at], n, at)
+    short = np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) < n))
+    whole: dict[bytes, int] = {}  # texts shorter than a shingle equal each other alone
+    own = [-1 - whole.setdefault(ids[edges[k] : edges[k + 1]].tobytes(), len(whole)) for k in short]
+    rows, numbers = np.r_[found.row[at], short], np.r_[numbers, np.array(own, np.int64)]
+    order = np.lexsort((numbers, rows))
+    rows, numbers = rows[order], numbers[order]
+    new = np.r_[True, (rows[1:] != rows[:-1]) | (numbers[1:] != numbers[:-1])] if len(rows) else np.zeros(0, bool)
+    return rows[new], numbers[new]
 
-    return docs.mapInArrow(_spark.freed(signed), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, words (a digest of the words in order), bands (null for an empty set)."""
 
-def _full_sets(docs: DataFrame, n: int) -> DataFrame:
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in _sets(batch, n)], pa.binary())], names=["id", "members"])
-
-    return docs.mapInArrow(_spark.freed(packed), "id long, members binary")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            sizes, digests, bands = [], [], []
+            for low, high, data, offsets in _words.text_chunks(batch.column("text")):
+                found = _words.words(data, offsets, _words.BLANKS, lower=True)
+                edges = _words.by_row(found.row, high - low)
+                sizes += np.bincount(_exact_sets(data, offsets, found, n)[0], minlength=high - low).tolist()
+                for k in range(high - low):
+                    digests.append(hashlib.blake2b(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().lower().split()), digest_size=16).digest())
+                    mine = shingles(found.hash[edges[k] : edges[k + 1]], n)
+                    bands.append(_bands(signature(mine)) if len(mine) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "words", "bands"])
+
+    return docs.mapInArrow(_spark.freed(signed), "doc_id long, n_shingles long, words binary, bands array<long>")
+
+
+def compare(texts: list[str], n: int) -> Iterator[tuple[int, int]]:
+    """Sizes of intersection and union of the full sets of each two texts in a row, on their words."""
+    for low, high in _pairs_of_a_size(texts):
+        column = pa.array(texts[low:high], pa.large_string())
+        for _, _, data, offsets in _words.text_chunks(column, 1 << 62):
+            found = _words.words(data, offsets, _words.BLANKS, lower=True)
+            rows, numbers = _exact_sets(data, offsets, found, n)
+            edges = np.searchsorted(rows, np.arange(high - low + 1))
+            for k in range(0, high - low, 2):
+                x, y = numbers[edges[k] : edges[k + 1]], numbers[edges[k + 1] : edges[k + 2]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                yield shared, len(x) + len(y) - shared
+
+
+def _pairs_of_a_size(texts: list[str]) -> Iterator[tuple[int, int]]:
+    low = size = 0
+    for k in range(0, len(texts), 2):
+        size += len(texts[k]) + len(texts[k + 1])
+        if size >= _words.ROWS_BYTES // 2:
+            yield low, k + 2
+            low, size = k + 2, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """a, b, shared, together: sizes of intersection and union of the full sets of each pair."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, together = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                shared.append(int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)))
-                together.append(len(x) + len(y) - shared[-1])
+            both = [t.as_py() for pair in zip(batch.column("x"), batch.column("y"), strict=True) for t in pair]
+            shared, together = zip(*compare(both, n), strict=True) if both else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(together, pa.int64())], names=["a", "b", "shared", "together"])
 
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_spark.freed(compared), "a long, b long, shared long, together long")
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur in the sets, by SLOTS hashed counters: 8 MB, whatever the sets."""
+def _rarity(texts: DataFrame, n: int) -> np.ndarray:
+    """How often shingles occur in the sets, by SLOTS hashed counters that go to the driver: 8 MB at most, whatever the sets."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column("members"):
-                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
-        if counts.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "counts": [x.tobytes() for x in np.split(counts, 64)]})
-
-    def summed(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts").combine_chunks())
-        return pa.table({"part": group.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            for found in _sets(batch.column("text"), n):
+                np.add.at(counts, (found % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int32()), "n": pa.array(counts[slots], pa.int64())})
 
-    kind = "part int, counts binary"
-    rows = {r.part: r.counts for r in sets.select("members").mapInArrow(_spark.freed(counted), kind).groupBy("part").applyInArrow(summed, kind).collect()}
-    return np.concatenate([np.frombuffer(rows[k], np.int64) for k in range(64)]) if rows else np.zeros(SLOTS, np.int64)
+    rows = texts.select("text").mapInArrow(_spark.freed(counted), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
-def _candidates(rest: DataFrame, over: int, under: int) -> DataFrame:
+def _candidates(rest: DataFrame, n: int, over: int, under: int) -> DataFrame:
     """a, b: the pairs of different components that can be similar, by exact prefix and position filters.
 
     With shingles in one order for all sets, rarest first, similar sets share a shingle so early in both that enough
-    shingles follow it. Members that differ from a common text differ first in their rare shingles, and by more of
-    them than that allows, so the shingles of the common text make no pairs of them.
+    shingles follow it. The smaller set of a pair needs a shorter beginning than the larger one, as what both share is
+    at least 2t / (1 + t) of it: members that differ from a common text by more than that allows have none of its
+    shingles there, so the common text makes no pairs of them.
     """
-    counts = _spark.share(rest.sparkSession, _rarity(rest))
+    counts = _spark.share(rest.sparkSession, _rarity(rest, n))
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, heads = [], []
-            for x in batch.column("members"):
-                found = np.frombuffer(x.as_buffer(), np.uint64)
-                n = len(found)
+            sizes, heads, brief = [], [], []
+            for found in _sets(batch.column("text"), n):
+                size = len(found)
                 order = np.lexsort((found, counts.value[(found % np.uint64(SLOTS)).astype(np.int64)]))
-                heads.append(found[order[: n - -(-n * over // under) + 1]].view(np.int64))
-                sizes.append(n)
+                heads.append(found[order[: size - -(-size * over // under) + 1]].view(np.int64))
+                sizes.append(size)
+                brief.append(size - -(-2 * over * size // (over + under)) + 1)
             names = ["id", "component", "lone"]
-            head = pa.array(heads, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), head], names=[*names, "n", "head"])
+            arrays = [pa.array(sizes, pa.int64()), pa.array(brief, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "n", "brief", "head"])
 
-    early_ = rest.select("id", "component", "lone", "members").mapInArrow(_spark.freed(early), "id long, component long, lone boolean, n long, head array<long>")
-    rows = _spark.checkpoint(early_.select("id", "component", "lone", "n", F.posexplode("head").alias("at", "shingle")))
-    x, y = rows.where("lone").alias("x"), rows.alias("y")
+    early_ = rest.select("id", "component", "lone", "text").mapInArrow(_spark.freed(early), "id long, component long, lone boolean, n long, brief long, head array<long>")
+    rows = _spark.checkpoint(early_.select("id", "component", "lone", "n", "brief", F.posexplode("head").alias("at", "shingle")))
+    small, y = rows.where("at < brief"), rows.alias("y")
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     near = left * (over + under) >= over * (F.col("x.n") + F.col("y.n"))
-    once = (F.col("x.component") != F.col("y.component")) & (~F.col("y.lone") | (F.col("x.id") < F.col("y.id")))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & near)
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    fits = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & smaller & near
+    met = small.where("lone").alias("x").join(y, fits).unionAll(small.where("not lone").alias("x").join(rows.where("lone").alias("y"), fits))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -211,17 +248,16 @@ def cluster(docs: DataFrame, *, shingle: int = 5, similar: tuple[int, int] = (80
     over, under = similar
     source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = _spark.checkpoint(signatures(source, shingle))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
-    classes = classes.select("f1", "f2", F.col("n_shingles").alias("n"), F.col("least.doc_id").alias("id"), F.col("least.bands").alias("bands"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
+    classes = classes.select("words", F.col("least.doc_id").alias("id"), F.col("least.bands").alias("bands"))
     entries = classes.select("id", F.explode("bands").alias("bucket"))
     stars = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = _spark.checkpoint(entries.join(stars, "bucket"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _spark.checkpoint(_full_sets(texts, shingle))
+    texts = _spark.checkpoint(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"))
     star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     link = F.col("shared") * under >= F.col("together") * over
-    links = _spark.checkpoint(_compared(star, sets).where(link).select("a", "b"))
+    links = _spark.checkpoint(_compared(star, texts, shingle).where(link).select("a", "b"))
     labels = components(links)
 
     # Members of one bucket that are still apart. Of two such, one at least isn't of the bucket's largest component.
@@ -231,13 +267,13 @@ def cluster(docs: DataFrame, *, shingle: int = 5, similar: tuple[int, int] = (80
     lone = F.max(F.col("component") != F.col("top.component")).alias("lone")
     rest = _spark.checkpoint(apart.join(mixed, "bucket").groupBy("id", "component").agg(lone))
     if rest.limit(1).count():
-        pairs = _candidates(sets.join(rest, "id"), over, under)
-        more = _spark.checkpoint(_compared(pairs, sets).where(link).select("a", "b"))
+        pairs = _candidates(texts.join(rest, "id"), shingle, over, under)
+        more = _spark.checkpoint(_compared(pairs, texts, shingle).where(link).select("a", "b"))
         if more.limit(1).count():
             labels = components(links.union(more))
 
-    named = classes.select("f1", "f2", F.col("n").alias("n_shingles"), "id").join(labels, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    named = classes.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("component", "id").alias("component"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words")).join(named, "words", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

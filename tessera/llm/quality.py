@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
 A document is kept if no rule rejects it. The order of the rules doesn't change
-that, only the work: on a bounded sample the cascade measures what share of
-texts each rule rejects and the seconds it takes, and then runs the rules by
-rejections per second, stopping at a text's first rejection.
-
-Null and empty texts have no words and are rejected by `few_words`. Repeated
+that, only the work: on a sample the cascade measures what share of texts each
+rule rejects and the seconds it takes, and then runs the rules by rejections
+per second, stopping at a text's first rejection. The sample is taken by a hash
+of the row, whole texts, and measured where the rows are; the driver gets three
+numbers a rule. With `metrics` all counts are asked for, so there the order
+saves nothing but the verdict's own work.
+
+Words and windows are compared as such, not by their hashes. Null and empty texts have no words and are rejected by `few_words`. Repeated
 rows and equal ids are judged row by row. An empty table gives no rows.
 """
 
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 from tessera.llm import _spark, _words
 
 SAMPLE_ROWS = 500
-SAMPLE_BYTES = 1 << 16
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -33,12 +35,12 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 class Text:
     """Counts of one text, each made when a rule first asks for it."""
 
-    def __init__(self, data: np.ndarray, hashes: np.ndarray, chars: np.ndarray):
-        self.data, self.hashes, self.chars = data, hashes, chars
+    def __init__(self, data: np.ndarray, found: _words.Words):
+        self.data, self.words, self.chars = data, found, found.chars
 
     @cached_property
     def n_words(self) -> int:
-        return len(self.hashes)
+        return len(self.chars)
 
     @cached_property
     def word_chars(self) -> int:
@@ -58,11 +60,14 @@ class Text:
 
     @cached_property
     def n_repeat_words(self) -> int:
-        found = _words.windows(self.hashes, 3)
-        if not len(found):
+        keys = _words.windows(self.words.hash, 3)
+        order = np.argsort(keys)
+        again = keys[order[1:]] == keys[order[:-1]]
+        if not again.any():
             return 0
-        _, which, counts = np.unique(found, return_inverse=True, return_counts=True)
-        starts = np.flatnonzero(counts[which] > 1)
+        ids, _ = _words.identify(_words.Bytes(self.data), self.words)
+        which = _words.identify_windows(ids, keys, 3)
+        starts = np.flatnonzero(np.bincount(which)[which] > 1)
         return int(_words.covered(starts, np.full(len(starts), 3), self.n_words).sum())
 
 
@@ -89,7 +94,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[Text]:
         edges = _words.by_row(found.row, high - low)
         for k in range(high - low):
             at = slice(edges[k], edges[k + 1])
-            yield Text(data[offsets[k] : offsets[k + 1]], found.hash[at], found.chars[at])
+            own = _words.Words(found.row[at], found.hash[at], found.start[at] - offsets[k], found.end[at] - offsets[k], found.chars[at])
+            yield Text(data[offsets[k] : offsets[k + 1]], own)
 
 
 @dataclass(frozen=True)
@@ -100,26 +106,33 @@ class Measured:
     seen: int
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Measured]:
-    """What each rule costs and rejects on at most sample_rows texts of at most SAMPLE_BYTES each, which is what the driver gets.
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, id: str = "doc_id", text: str = "text") -> list[Measured]:
+    """What each rule costs and rejects on about sample_rows rows, taken by a hash of their id."""
+    source = _spark.columns(docs, doc_id=id, text=text)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
 
-    Spark reads no more partitions than it takes to find them.
-    """
-    rows = _spark.columns(docs, text=text).where(F.octet_length("text") <= SAMPLE_BYTES).take(sample_rows)
-    sample = pa.RecordBatch.from_pydict({"text": pa.array([r.text for r in rows], pa.string())})
-    seconds, rejected = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
-    for t in _texts(sample):
-        for rule in rules:
-            own = Text(t.data, t.hashes, t.chars)
-            began = time.perf_counter()
-            rejected[rule] += bool(rule.rejects(own))
-            seconds[rule] += time.perf_counter() - began
-    return [Measured(r.name, seconds[r], rejected[r], len(rows)) for r in rules]
-
-
-def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
+    def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
+        for batch in batches:
+            for t in _texts(batch):
+                seen += 1
+                for k, rule in enumerate(rules):
+                    own = Text(t.data, t.words)
+                    began = time.perf_counter()
+                    rejected[k] += bool(rule.rejects(own))
+                    seconds[k] += time.perf_counter() - began
+        if seen:
+            yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "seconds": seconds, "rejected": rejected, "seen": [seen] * len(rules)})
+
+    found = sample.mapInArrow(_spark.freed(timed), "rule int, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("seen"))
+    by_rule = {r[0]: r[1:] for r in found.collect()}
+    return [Measured(rule.name, *by_rule.get(k, (0.0, 0, 0))) for k, rule in enumerate(rules)]
+
+
+def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, id: str = "doc_id", text: str = "text") -> list[str]:
     """Names of the rules by rejections per second, most first."""
-    found = measure(docs, rules, sample_rows, text)
+    found = measure(docs, rules, sample_rows, id, text)
     return [m.rule for m in sorted(found, key=lambda m: m.rejected / max(m.seconds, 1e-9), reverse=True)]
 
 
@@ -129,7 +142,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, sample_rows: in
     base_failed is true if a rule marked `base` rejects. Without `metrics` it is null unless the first rejection shows it.
     """
     by_name = {r.name: r for r in rules}
-    ranked = [by_name[n] for n in order(docs, rules, sample_rows, text)]
+    ranked = [by_name[n] for n in order(docs, rules, sample_rows, id, text)]
     names = METRICS if metrics else ()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

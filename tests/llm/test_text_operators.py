@@ -69,13 +69,60 @@ def test_near_dedup_candidates_hold_every_link(spark, make):
     r, base = random.Random(6), prose(10, 60)
     rows = [(k, edited(base, r, r.choice([0, 1, 2, 3, 5]))) for k in range(60)]
     docs = make(rows).select("doc_id", "text")
-    sets = near_dedup._full_sets(docs, 3)
-    rest = sets.withColumn("component", F.col("id")).withColumn("lone", F.col("id") != 0)
-    pairs = {tuple(p) for p in near_dedup._candidates(rest, 85, 100).collect()}
+    rest = docs.withColumnRenamed("doc_id", "id").withColumn("component", F.col("id")).withColumn("lone", F.col("id") != 0)
+    pairs = {tuple(p) for p in near_dedup._candidates(rest, 3, 85, 100).collect()}
     real = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(shingles(x, 3) & shingles(y, 3)) >= 85 * len(shingles(x, 3) | shingles(y, 3))}
     assert real and real <= pairs
 
 
+def words_that_hashes_may_mistake():
+    """A Thue-Morse word and its complement: hashes that are polynomials modulo a power of two can't tell them."""
+    word = "a"
+    while len(word) < 1024:
+        word += "".join("b" if c == "a" else "a" for c in word)
+    return word, "".join("b" if c == "a" else "a" for c in word)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_words_are_compared_where_hashes_meet(spark, make, monkeypatch, collide):
+    """The same results if all words of a length have one hash."""
+    if collide:
+        monkeypatch.setattr(_words, "_hash_spans", lambda text, starts, ends: (ends - starts).astype("u8"))
+    one, other = words_that_hashes_may_mistake()
+    twelve = prose(5, 12)
+    rows = [(1, f"{twelve} {one}"), (2, f"{twelve} {other}"), (3, f"x y {one} x y {other}"), (4, f"{prose(6, 30)}"), (5, f"{prose(7, 3)} {prose(6, 30)}")]
+    column = _words.pa.array([t for _, t in rows])
+    (_, _, data, offsets), = _words.text_chunks(column)
+    found = _words.words(data, offsets, _words.BLANKS, lower=True)
+    ids, first = _words.identify(_words.Bytes(data), found)
+    every = [w for _, t in rows for w in t.split()]
+    assert len(first) == len(set(every)) and len({(w, i) for w, i in zip(every, ids.tolist(), strict=True)}) == len(first)
+    texts = [t for x, y in ((0, 1), (0, 2), (3, 4), (3, 3)) for t in (rows[x][1], rows[y][1])]
+    sets = [shingles(t, 3) for t in texts]
+    assert list(near_dedup.compare(texts, 3)) == [(len(a & b), len(a | b)) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert [t.n_repeat_words for t in quality._texts(_words.pa.RecordBatch.from_pydict({"text": column}))] == [counts(t)[4] for _, t in rows]
+    items = decontaminate.Items([1, 2], [rows[0][1], prose(6, 30)], 13)
+    assert [x[:3] for x in decontaminate._shard(data, offsets, items)] == [(n, h, f) for _, n, h, f in hits(rows, [(1, rows[0][1]), (2, prose(6, 30))])]
+    if not collide:
+        got = near_dedup.cluster(make(rows), shingle=3, similar=(85, 100)).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == classes(rows, 3, 85, 100)
+        assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in substrings.remove(make(rows)).collect()) == removed(rows)
+
+
+def test_signatures_miss_no_similar_pair():
+    """Recall: of pairs at the bar or above it, each shares a bucket."""
+    r, pairs = random.Random(12), 0
+    for k in range(400):
+        text = prose(k, r.randint(20, 200))
+        near = edited(text, r, r.choice([1, 1, 2, 3]))
+        a, b = shingles(text, 3), shingles(near, 3)
+        if 100 * len(a & b) >= 85 * len(a | b):
+            x, y = (near_dedup._bands(near_dedup.signature(s)) for s in near_dedup._sets(_words.pa.array([text, near]), 3))
+            assert (x == y).any()
+            pairs += 1
+    assert pairs > 100
+
+
 def test_near_dedup_odd_rows(spark, make, odd_rows):
     got = near_dedup.cluster(make(odd_rows), shingle=3, similar=(85, 100)).collect()
     assert len(got) == len(odd_rows)
@@ -219,8 +266,6 @@ def test_words_in_pieces(monkeypatch):
     texts = [prose(k, k) + "é\n" * (k % 3) for k in range(60)] + ["x" * 100, None, ""]
     whole = [list(_words.words(d, o, _words.BLANKS, True).hash) for _, _, d, o in _words.text_chunks(pa.array(texts))]
     monkeypatch.setattr(_words, "PIECE", 64)
-    _words._tables.clear()
     cut = [list(_words.words(d, o, _words.BLANKS, True).hash) for _, _, d, o in _words.text_chunks(pa.array(texts))]
-    _words._tables.clear()
     assert whole == cut and np.unique(np.concatenate(whole)).size == len({w for t in texts for w in (t or "").split()})
     assert hashlib
