@@ -1,26 +1,36 @@
 """Exact substring deduplication by relative Lempel-Ziv parsing.
 
-A reference block holds the passages whose rarest 5-word anchor (the one of the
-least hash in a 13-word window) falls to it. Equal windows have equal anchors,
-so a passage can match in its own block alone, and parsing it against that
-block is parsing it against every block. In a block each passage is factored
-greedily against the documents with smaller ids: a factor goes on while the
-next window is the next one of its reference, and where it ends the window that
-straddles the boundary is looked up anew, so no window is missed.
-
-Before anything is shuffled, each batch of documents is parsed against itself:
-of equal windows in a batch only the one of the smallest doc_id goes on to its
-block. A passage that a third of all documents share reaches its block once a
-batch. What is shuffled is 8 bytes for each window left, and the spans found.
-
-Words are separated by ASCII blanks and compared by 64-bit hashes of 13 words.
-Null, empty and shorter texts have no window and lose nothing. Windows are
-judged on the input; equal ids count as one document, so repeated rows of one
-id don't remove each other. An empty table gives no rows.
+A passage is factored greedily against an indexed reference block: a suffix
+array of the block's words gives, for each place, the longest match in a
+document with a smaller id; a match of a window or more is a factor, the parse
+goes on at its end, and there the windows that straddle the boundary are
+checked, of which the one that reaches farthest begins the next factor. Words
+in factors are duplicates. Matches are taken up to LONGEST words, so a longer
+repeat is several factors in a row.
+
+Which blocks can match is known beforehand: a window's block is the one of its
+rarest 5-word anchor (of least hash), and equal windows have equal anchors, so
+parsing a passage against its own block is parsing it against every block. What
+is shuffled is the passages' text, compressed. Before that, each batch of
+documents is parsed against itself and windows that a smaller document of the
+batch has are left out: a passage that a third of all documents share reaches
+its block once a batch.
+
+Blocks are as many as the text's measured bytes ask for. The windows of each
+block are counted first; where one has far more than the mean, as a frequent
+anchor in many contexts makes it, each of its windows goes to a block by its own
+hash instead, which spreads them and keeps equal ones together.
+
+Words are separated by ASCII blanks. Hashes only choose blocks and skip windows
+that are alone; matches are of words. Null, empty and shorter texts have no
+window and lose nothing. Windows are judged on the input; equal ids count as one
+document, so repeated rows of one id don't remove each other. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +42,14 @@ from tessera.llm import _spark, _words
 
 WINDOW = 13
 ANCHOR = 5
+LONGEST = 64
 BATCH_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20  # of passages, whose text overlaps: some OVERLAP times that of the documents
+OVERLAP = 3.3
+HEAVY = 4  # times the mean
+
+HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("bytes", "<u4")])
+FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("ref_start", "<u4"), ("ref_doc", "<i8")])
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -45,122 +62,242 @@ def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return least
 
 
-HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
-FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("ref_start", "<u4"), ("ref_doc", "<i8")])
+def longest_matches(tokens: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the length of the longest match, up to `most`, that begins in a smaller document, and where it does.
 
+    The index is the order of all suffixes by their first `most` tokens, found by prefix doubling. On both sides of a
+    place the nearest of a smaller document is the best of that side; ranks of each depth tell how far it matches.
+    """
+    n = len(tokens)
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    levels, depth = [rank.astype(np.int32)], 1
+    while depth < most and len(tied := np.flatnonzero(~(new & np.r_[new[1:], True]))):
+        at = order[tied]
+        own, then = rank[at], rank[np.minimum(at + depth, n)]
+        again = np.lexsort((at, then, own))
+        at, own, then = at[again], own[again], then[again]
+        order[tied] = at
+        first = np.r_[True, (own[1:] != own[:-1]) | (then[1:] != then[:-1])]
+        new[tied] = first
+        rank[at] = np.maximum.accumulate(np.where(first, tied, 0))
+        levels.append(rank.astype(np.int32))
+        depth *= 2
+    owner = docs[order]
+    length, source = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for side in (-1, 1):
+        near = np.arange(n) + side
+        open_ = np.arange(n)
+        while len(open_):
+            to = near[open_]
+            open_ = open_[(to >= 0) & (to < n)]
+            open_ = open_[owner[near[open_]] >= owner[open_]]
+            near[open_] = near[near[open_]]
+        found = np.flatnonzero((near >= 0) & (near < n))
+        a, b = order[found], order[near[found]]
+        same = np.zeros(len(found), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same += np.where(levels[k][a + same] == levels[k][b + same], 1 << k, 0)
+        same = np.minimum(same, most)
+        better = same > length[a]
+        length[a[better]], source[a[better]] = same[better], b[better]
+    return length, source
 
-def _references(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Where in the block each window occurs first in the smallest document."""
-    order = np.lexsort((docs, hashes))  # stable: equal windows of a document stay in order
-    ordered = hashes[order]
-    first = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, bool)
-    reference = np.empty(len(order), np.int64)
-    reference[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    return reference
 
+def parse(length: np.ndarray, window: int) -> list[int]:
+    """Where the factors begin: the greedy parse over the longest matches of all places."""
+    starts = np.flatnonzero(length >= window)
+    reach = (starts + length[starts]).tolist()
+    starts = starts.tolist()
+    out, end, k, n = [], -1, 0, len(starts)
+    while k < n:
+        best = k
+        if starts[k] <= end:  # windows that straddle the boundary
+            j = k
+            while j < n and starts[j] <= end:
+                best = j if reach[j] > reach[best] else best
+                j += 1
+            if reach[best] <= end:
+                k = j
+                continue
+        out.append(starts[best])
+        end = reach[best]
+        k = bisect_left(starts, end - window + 1, best + 1)
+    return out
 
-def _factors(docs: np.ndarray, starts: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, dict[int, bytes]]:
-    """The greedy parse: which windows occur in a smaller document, and each document's factors, packed.
 
-    A factor goes on while the next window of the document is the next one of the reference; at its end the
-    window that straddles the boundary begins another. Windows without a smaller document are literals.
-    """
-    again = docs[reference] < docs
-    at = np.flatnonzero(again)
-    if not len(at):
-        return again, {}
-    to = reference[at]
-    steps = (np.diff(docs[at]) == 0) & (np.diff(starts[at]) == 1) & (docs[to][1:] == docs[to][:-1]) & (np.diff(starts[to]) == 1)
-    new = np.flatnonzero(np.r_[True, ~steps])
-    out = np.empty(len(new), FACTOR)
-    out["start"], out["n"] = starts[at[new]], np.diff(np.r_[new, len(at)])
-    out["ref_doc"], out["ref_start"] = docs[to[new]], starts[to[new]]
-    owner = docs[at[new]]
+class Block:
+    """Passages with their documents, parsed against those of smaller documents."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, window: int):
+        self.found = found = _words.words(data, offsets, _words.BLANKS, lower=False)
+        self.docs, n = docs[found.row], len(found.row)
+        m = max(n - window + 1, 0)
+        self.at = np.flatnonzero(found.row[:m] == found.row[n - m :]) if m else np.zeros(0, np.int64)  # where windows begin
+        self.keys = _words.windows(found.hash, window)[self.at]
+        self.again = np.zeros(len(self.at), bool)  # windows that a smaller document has
+        self.start = self.n = self.source = np.zeros(0, np.int64)  # factors: first word, words, first word of the match
+        order = np.argsort(self.keys, kind="stable")
+        same = self.keys[order[1:]] == self.keys[order[:-1]]
+        shared = np.zeros(len(order), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        if not shared.any():
+            return
+        # The index holds the words of windows that aren't alone, with a token of its own after each passage of these.
+        held = np.flatnonzero(_words.covered(self.at[shared], np.full(int(shared.sum()), window), n))
+        ends = np.r_[(np.diff(held) > 1) | (np.diff(found.row[held]) != 0), True]
+        place = np.arange(len(held)) + np.r_[0, np.cumsum(ends)[:-1]]
+        words = _words.Words(*(x[held] for x in (found.row, found.hash, found.start, found.end, found.chars)))
+        ids, first = _words.identify(_words.Bytes(data), words)
+        tokens = np.empty(len(held) + int(ends.sum()), np.int64)
+        word_of = np.zeros(len(tokens), np.int64)
+        tokens[place], word_of[place] = ids, held
+        stops = place[ends] + 1
+        tokens[stops] = len(first) + np.arange(len(stops))
+        word_of[stops] = held[ends]
+        length, source = longest_matches(tokens, self.docs[word_of], LONGEST)
+        length[stops] = 0
+        again = np.zeros(n, bool)
+        again[word_of[length >= window]] = True
+        self.again = again[self.at]
+        factors = np.array(parse(length, window), np.int64)
+        self.start, self.n, self.source = word_of[factors], length[factors], word_of[source[factors]]
+
+
+def _packed(block: Block, starts: np.ndarray) -> dict[int, bytes]:
+    """Each document's factors; starts: where the passage of each word's row begins in its document, less its place in the block."""
+    out = np.empty(len(block.start), FACTOR)
+    out["start"], out["n"] = block.start + starts[block.start], block.n
+    out["ref_doc"], out["ref_start"] = block.docs[block.source], block.source + starts[block.source]
+    owner = block.docs[block.start]
     order = np.argsort(owner, kind="stable")
     owner, out = owner[order], out[order]
-    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-    return again, {int(owner[a]): out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)}
-
-
-def _passages(batch: list[tuple[int, np.ndarray]], buckets: int, window: int, anchor: int) -> pa.RecordBatch:
-    """A batch, parsed against itself: spans that are known, and the windows left for each block."""
-    ids = np.array([i for i, _ in batch], np.int64)
-    hashes = np.concatenate([h for _, h in batch])
-    sizes = np.array([len(h) for _, h in batch])
-    row = np.repeat(np.arange(len(batch)), sizes)
-    base = np.cumsum(sizes) - sizes
-    m = max(len(hashes) - window + 1, 0)
-    whole = np.flatnonzero(row[:m] == row[window - 1 :]) if m else np.zeros(0, np.int64)
-    keys = _words.windows(hashes, window)[whole]
-    block = _words.mix(_anchors(hashes, window, anchor)[whole] if m else keys) % np.uint64(buckets)
-    row, start = row[whole], whole - base[row[whole]]
-    again, known = _factors(ids[row], start, _references(keys, ids[row]))
-    left = np.flatnonzero(~again)
-    left = left[np.argsort(block[left], kind="stable")]
-    keys, block, row, start = keys[left], block[left], row[left], start[left]
-    new = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(row) != 0) | (np.diff(block) != 0)]) if len(left) else np.zeros(0, np.int64)
-    length = np.diff(np.r_[new, len(left)])
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
+    return {int(owner[a]): out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)}
+
+
+def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """bytes, offsets and ids of at most so many bytes of texts, or of one text."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shifts = np.cumsum([0, *(len(d) for d, _, _ in held)])
+        offsets = np.concatenate([[0], *(o[1:] + s for (_, o, _), s in zip(held, shifts, strict=False))]).astype(np.int64)
+        return np.concatenate([d for d, _, _ in held]), offsets, np.concatenate([i for _, _, i in held])
+
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for low, high, data, offsets in _words.text_chunks(batch.column("text"), most):
+            if held and size + len(data) > most:
+                yield joined()
+                held, size = [], 0
+            held.append((data, offsets, ids[low:high]))
+            size += len(data)
+    if held:
+        yield joined()
+
+
+def _slots(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_words.mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.ndarray, window: int, anchor: int) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """(block, heads, text, its size): the windows that are left, as passages for each block."""
+    found, buckets = block.found, len(heavy)
+    if not len(block.at):
+        return
+    slot = _slots(_anchors(found.hash, window, anchor)[block.at], buckets)
+    slot = np.where(heavy[slot], _slots(block.keys, buckets), slot)
+    left = np.flatnonzero(~block.again)
+    left = left[np.argsort(slot[left], kind="stable")]
+    at, slot = block.at[left], slot[left]
+    if not len(at):
+        return
+    row = found.row[at]
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(row) != 0) | (np.diff(slot) != 0)])
+    last = at[np.r_[new[1:], len(at)] - 1] + window - 1
+    low, size = found.start[at[new]], found.end[last] - found.start[at[new]]
     heads = np.empty(len(new), HEAD)
-    heads["doc"], heads["start"], heads["n"] = ids[row[new]], start[new], length
-    cuts = np.flatnonzero(np.r_[True, np.diff(block[new]) != 0, True]) if len(new) else np.zeros(1, int)
-    rows = [(int(_words.mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(buckets)), i, x, b"") for i, x in known.items()]
-    ends = np.r_[new, len(left)]
-    rows += [(int(block[new[a]]), None, heads[a:b].tobytes(), keys[ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "doc_id", "heads", "windows"])
+    heads["doc"], heads["start"], heads["bytes"] = block.docs[at[new]], at[new] + docs_start[at[new]], size
+    cuts = np.flatnonzero(np.r_[True, np.diff(slot[new]) != 0, True])
+    codec = pa.Codec("zstd", 1)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        sizes = size[a:b]
+        shift = np.repeat(low[a:b] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+        text = data[np.arange(int(sizes.sum())) + shift].tobytes()
+        yield int(slot[new[a]]), heads[a:b].tobytes(), codec.compress(text, asbytes=True), len(text)
 
 
-def spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, spans: the factors of each document that has any, as arrays of packed FACTOR records: first word, windows, and where they are in a smaller document.
+def _heavy(source: DataFrame, buckets: int, window: int, anchor: int) -> np.ndarray:
+    """Which blocks have HEAVY times the mean of windows: a bit for each block; less than a quarter of them come to the driver."""
 
-    buckets: reference blocks, by default four for each shuffle partition, so that a block stays some megabytes when partitions grow with the input.
-    """
-    buckets = buckets or 4 * _spark.partitions(docs.sparkSession)
+    batch_bytes = BATCH_BYTES
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.int64)
+        for data, offsets, _ in _batches(batches, batch_bytes):
+            found = _words.words(data, offsets, _words.BLANKS, lower=False)
+            m = max(len(found.row) - window + 1, 0)
+            at = np.flatnonzero(found.row[:m] == found.row[len(found.row) - m :]) if m else np.zeros(0, np.int64)
+            if len(at):
+                _, first = np.unique(_words.windows(found.hash, window)[at], return_index=True)
+                counts += np.bincount(_slots(_anchors(found.hash, window, anchor)[at[first]], buckets), minlength=buckets)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64())})
+
+    counts = source.mapInArrow(_spark.freed(counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total")).select((HEAVY * F.col("total") / buckets).alias("most"))
+    heavy = np.zeros(buckets, bool)
+    heavy[[r.slot for r in counts.join(F.broadcast(total), F.col("n") > F.col("most")).select("slot").collect()]] = True  # total is one row
+    return heavy
+
+
+def spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, spans: the factors of each document that has any, as arrays of packed FACTOR records: first word, words, and where they are in a smaller document."""
+    source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
+    buckets = max(_spark.partitions(docs.sparkSession), int(OVERLAP * _spark.total_bytes(source, "text") / block_bytes) + 1)
+    heavy, batch_bytes = _spark.share(docs.sparkSession, _heavy(source, buckets, window, anchor)), BATCH_BYTES
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            ids, at = batch.column("doc_id").to_pylist(), 0
-            for low, high, data, offsets in _words.text_chunks(batch.column("text")):
-                found = _words.words(data, offsets, _words.BLANKS, lower=False)
-                edges = _words.by_row(found.row, high - low)
-                for k in range(high - low):
-                    if edges[k + 1] - edges[k] >= window:
-                        held.append((ids[at + k], found.hash[edges[k] : edges[k + 1]]))
-                        size += int(offsets[k + 1] - offsets[k])
-                at += high - low
-                if size >= BATCH_BYTES:
-                    yield _passages(held, buckets, window, anchor)
-                    held, size = [], 0
-        if held:
-            yield _passages(held, buckets, window, anchor)
-
-    def factor(block: pa.Table) -> pa.Table:
-        done = {"doc_id": [], "spans": []}
-        heads, keys = [], []
-        for i, h, w in zip(block.column("doc_id").to_pylist(), block.column("heads").to_pylist(), block.column("windows").to_pylist(), strict=True):
+        for data, offsets, ids in _batches(batches, batch_bytes):
+            block = Block(data, offsets, ids, window)
+            edges = _words.by_row(block.found.row, len(ids))
+            docs_start = -edges[:-1][block.found.row]
+            rows = [(int(_slots(np.array([i], np.int64).view(np.uint64), buckets)[0]), i, x, None, 0) for i, x in _packed(block, docs_start).items()]
+            rows += [(b, None, h, t, n) for b, h, t, n in _passages(block, data, docs_start, heavy.value, window, anchor)]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "heads": pa.binary(), "passages": pa.binary(), "size": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    def factor(group: pa.Table) -> pa.Table:
+        done: dict[str, list] = {"doc_id": [], "spans": []}
+        heads, texts = [], []
+        for i, h, t, n in zip(*(group.column(c).to_pylist() for c in ("doc_id", "heads", "passages", "size")), strict=True):
             if i is not None:
                 done["doc_id"].append(i)
                 done["spans"].append(h)
             else:
                 heads.append(np.frombuffer(h, HEAD))
-                keys.append(np.frombuffer(w, "<u8"))
+                texts.append(pa.decompress(t, n, "zstd", asbytes=True))
         if heads:
-            head, key = np.concatenate(heads), np.concatenate(keys)
-            doc = np.repeat(head["doc"], head["n"])
-            start = np.arange(len(key)) - np.repeat(np.cumsum(head["n"]) - head["n"], head["n"]) + np.repeat(head["start"], head["n"]).astype(np.int64)
-            for i, x in _factors(doc, start, _references(key, doc))[1].items():
-                done["doc_id"].append(i)
-                done["spans"].append(x)
+            head, data = np.concatenate(heads), np.frombuffer(b"".join(texts), np.uint8)
+            block = Block(data, np.r_[0, np.cumsum(head["bytes"].astype(np.int64))], head["doc"], window)
+            first = _words.by_row(block.found.row, len(head))[:-1]
+            found = _packed(block, (head["start"].astype(np.int64) - first)[block.found.row])
+            done["doc_id"] += found
+            done["spans"] += found.values()
         return pa.table(done, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
 
-    source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
-    passages = source.mapInArrow(_spark.freed(split), "block int, doc_id long, heads binary, windows binary")
+    passages = source.mapInArrow(_spark.freed(split), "block long, doc_id long, heads binary, passages binary, size long")
     found = passages.groupBy("block").applyInArrow(factor, "doc_id long, spans binary")
     return found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
-def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by one space), for every row of docs; with a null id nothing is removed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +308,12 @@ def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, bucke
                 n_words.append(len(found))
                 if packed.is_valid:
                     factors = np.frombuffer(b"".join(packed.as_py()), FACTOR)
-                    gone = _words.covered(factors["start"].astype(np.int64), factors["n"].astype(np.int64) + window - 1, len(found))
+                    gone = _words.covered(factors["start"].astype(np.int64), factors["n"].astype(np.int64), len(found))
                     found = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(found))
                 kept.append(b" ".join(found).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = spans(docs, window=window, anchor=anchor, buckets=buckets, id=id, text=text)
+    found = spans(docs, window=window, anchor=anchor, block_bytes=block_bytes, id=id, text=text)
     return source.join(found, "doc_id", "left").mapInArrow(_spark.freed(cut), "doc_id long, n_words long, n_removed long, kept_text string")
-

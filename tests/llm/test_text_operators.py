@@ -103,6 +103,9 @@ def test_words_are_compared_where_hashes_meet(spark, make, monkeypatch, collide)
     assert [t.n_repeat_words for t in quality._texts(_words.pa.RecordBatch.from_pydict({"text": column}))] == [counts(t)[4] for _, t in rows]
     items = decontaminate.Items([1, 2], [rows[0][1], prose(6, 30)], 13)
     assert [x[:3] for x in decontaminate._shard(data, offsets, items)] == [(n, h, f) for _, n, h, f in hits(rows, [(1, rows[0][1]), (2, prose(6, 30))])]
+    block = substrings.Block(data, offsets, _words.np.arange(5), 13)
+    again = {tuple(found.row[[a]].tolist()) + (int(a),) for a, x in zip(block.at, block.again, strict=True) if x}
+    assert {i for i, _ in again} == {4} and len(again) == 18 and block.n.sum() == 30
     if not collide:
         got = near_dedup.cluster(make(rows), shingle=3, similar=(85, 100)).collect()
         assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == classes(rows, 3, 85, 100)
@@ -163,9 +166,39 @@ def removed(rows, n=13):
     return sorted(out)
 
 
+def test_factors_are_longest_matches():
+    """The greedy parse against brute force: each factor is the longest match of its place, and no window of a smaller document is left out."""
+    np, r = _words.np, random.Random(11)
+    for _ in range(150):
+        window, most = r.choice([2, 3, 4]), r.choice([4, 8, 64])
+        passages = [(r.randrange(6), [r.choice("abc") for _ in range(r.randint(1, 14))]) for _ in range(r.randint(1, 8))]
+        tokens = np.array([ord(w) if w != "." else 1000 + 50 * k for k, (_, p) in enumerate(passages) for w in [*p, "."]])
+        docs = np.array([d for d, p in passages for _ in range(len(p) + 1)])
+        length, source = substrings.longest_matches(tokens, docs, most)
+
+        def match(a, b):
+            n = 0
+            while n < most and a + n < len(tokens) and b + n < len(tokens) and tokens[a + n] == tokens[b + n]:
+                n += 1
+            return n
+
+        for a in range(len(tokens)):
+            assert length[a] == max((match(a, b) for b in range(len(tokens)) if docs[b] < docs[a]), default=0)
+            assert not length[a] or docs[source[a]] < docs[a] and match(a, source[a]) == length[a]
+        factors = substrings.parse(length, window)
+        assert all(length[a] >= window for a in factors)
+        covered = {p for a in factors for p in range(a, a + length[a])}
+        assert covered == {p for a in range(len(tokens)) if length[a] >= window for p in range(a, a + window)}
+        for a, b in zip(factors, factors[1:], strict=False):  # a factor begins at the boundary or straddles it, unless nothing does
+            end = a + length[a]
+            assert b > end or b + length[b] == max(c + length[c] for c in range(a, min(end, len(length) - 1) + 1) if length[c] >= window and c > end - window)
+
+
 @pytest.mark.parametrize("batch", [1, 1 << 22])
-def test_substrings(spark, make, odd_rows, monkeypatch, batch):
+@pytest.mark.parametrize("heavy", [0, 4])
+def test_substrings(spark, make, odd_rows, monkeypatch, batch, heavy):
     monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
     r = random.Random(3)
     shared = [prose(100 + k, n) for k, n in enumerate((12, 13, 14, 40, 90))]
     rows = [(k, " ".join(x for _ in range(r.randint(1, 4)) for x in (prose(r.randrange(10**6), r.randint(0, 20)), r.choice(shared)))) for k in range(1, 60)]
