@@ -99,8 +99,8 @@ def equal(x: Bytes, x_start: np.ndarray, x_end: np.ndarray, y: Bytes, y_start: n
 
 
 def numbered(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Equal numbers for equal things, and the first thing of each number. Things of one key are compared, so keys may collide."""
-    numbers, firsts, todo, n = np.empty(len(keys), np.int64), [np.zeros(0, np.int64)], np.argsort(keys, kind="stable"), 0
+    """Equal numbers for equal things, and one thing of each number. Things of one key are compared, so keys may collide."""
+    numbers, firsts, todo, n = np.empty(len(keys), np.int64), [np.zeros(0, np.int64)], np.argsort(keys), 0
     while len(todo):
         ordered = keys[todo]
         new = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -115,7 +115,7 @@ def numbered(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarr
 
 @dataclass
 class Words:
-    """One entry a word: row (in the chunk), hash, byte offsets in the chunk, code points."""
+    """One entry a word: row (in the chunk), hash, byte offsets in the chunk, and code points where they were asked for."""
 
     row: np.ndarray
     hash: np.ndarray
@@ -158,7 +158,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Iter
         low = high
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool, chars: bool = False) -> Words:
     """The maximal runs of other bytes than separators in each row, hashed after lower-casing A-Z if asked."""
     parts: list[tuple[np.ndarray, ...]] = []
     for low, high in _cuts(data, offsets, separators):
@@ -172,10 +172,11 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
         begins[edges] = inside[edges]
         stops[edges - 1] = inside[edges - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        points = np.zeros(len(piece) + 1, np.int32)
-        np.cumsum((piece & 0xC0) != 0x80, out=points[1:])
-        row = np.searchsorted(offsets, start + low, "right") - 1
-        parts.append((row, _hash_spans(Bytes(folded), start, end), start + low, end + low, points[end] - points[start]))
+        points = np.zeros(len(piece) + 1 if chars else 0, np.int32)
+        if chars:
+            np.cumsum((piece & 0xC0) != 0x80, out=points[1:])
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets - low)))
+        parts.append((row, _hash_spans(Bytes(folded), start, end), start + low, end + low, points[end] - points[start] if chars else points))
     if not parts:
         none = np.zeros(0, np.int64)
         return Words(none, none.astype(np.uint64), none, none, none)
@@ -183,7 +184,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
 
 
 def identify(text: Bytes, found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, equal for equal words only, and the first place of each number."""
+    """A number for each word, equal for equal words only, and a place of each number."""
     return numbered(found.hash, lambda a, b: equal(text, found.start[a], found.end[a], text, found.start[b], found.end[b]))
 
 
@@ -202,16 +203,25 @@ def identify_windows(ids: np.ndarray, keys: np.ndarray, n: int, at: np.ndarray |
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive entries; rows aren't looked at."""
-    m = len(hashes) - n + 1
-    if m <= 0:
+    if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    total = hashes[:m].copy()
-    for k in range(1, n):
-        total *= _STEP
-        total += hashes[k : k + m]
+    total, size = hashes.copy(), 1
+    for bit in f"{n:b}"[1:]:  # of two neighbours of a size one of twice the size, then one entry more where n has it
+        total, size = total[:-size] * U64(pow(int(_STEP), size, 1 << 64)) + total[size:], 2 * size
+        if bit == "1":
+            total, size = total[:-1] * _STEP + hashes[size:], size + 1
     return mix(total + U64(n))
 
 
+def least(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n consecutive entries."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        values, size = np.minimum(values[:-step], values[step:]), size + step
+    return values
+
+
 def by_row(row: np.ndarray, n_rows: int) -> np.ndarray:
     """Where each row's entries begin in a column that is sorted by row; n_rows + 1 entries."""
     return np.searchsorted(row, np.arange(n_rows + 1))

@@ -90,7 +90,7 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _texts(batch: pa.RecordBatch) -> Iterator[Text]:
     for low, high, data, offsets in _words.text_chunks(batch.column("text")):
-        found = _words.words(data, offsets, _words.BLANKS, lower=False)
+        found = _words.words(data, offsets, _words.BLANKS, lower=False, chars=True)
         edges = _words.by_row(found.row, high - low)
         for k in range(high - low):
             at = slice(edges[k], edges[k + 1])

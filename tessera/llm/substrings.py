@@ -9,7 +9,7 @@ in factors are duplicates. Matches are taken up to LONGEST words, so a longer
 repeat is several factors in a row.
 
 Which blocks can match is known beforehand: a window's block is the one of its
-rarest 5-word anchor (of least hash), and equal windows have equal anchors, so
+rarest 4-word anchor (of least hash), and equal windows have equal anchors, so
 parsing a passage against its own block is parsing it against every block. What
 is shuffled is the passages' text, compressed. Before that, each batch of
 documents is parsed against itself and windows that a smaller document of the
@@ -41,25 +41,19 @@ from pyspark.sql import functions as F
 from tessera.llm import _spark, _words
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 4
 LONGEST = 64
 BATCH_BYTES = 6 << 20
 BLOCK_BYTES = 8 << 20  # of passages, whose text overlaps: some OVERLAP times that of the documents
 OVERLAP = 3.3
 HEAVY = 4  # times the mean
 
-HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("bytes", "<u4")])
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("ref_start", "<u4"), ("ref_doc", "<i8")])
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """For each window, the least hash of its anchors."""
-    grams = _words.windows(hashes, anchor)
-    m = len(hashes) - window + 1
-    least = grams[:m].copy()
-    for k in range(1, window - anchor + 1):
-        np.minimum(least, grams[k : k + m], out=least)
-    return least
+    return _words.least(_words.windows(hashes, anchor), window - anchor + 1)
 
 
 def longest_matches(tokens: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +63,7 @@ def longest_matches(tokens: np.ndarray, docs: np.ndarray, most: int) -> tuple[np
     place the nearest of a smaller document is the best of that side; ranks of each depth tell how far it matches.
     """
     n = len(tokens)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     ordered = tokens[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
     rank = np.full(n + 1, -1, np.int64)
@@ -140,7 +134,7 @@ class Block:
         self.keys = _words.windows(found.hash, window)[self.at]
         self.again = np.zeros(len(self.at), bool)  # windows that a smaller document has
         self.start = self.n = self.source = np.zeros(0, np.int64)  # factors: first word, words, first word of the match
-        order = np.argsort(self.keys, kind="stable")
+        order = np.argsort(self.keys)
         same = self.keys[order[1:]] == self.keys[order[:-1]]
         shared = np.zeros(len(order), bool)
         shared[order[1:][same]] = shared[order[:-1][same]] = True
@@ -150,7 +144,7 @@ class Block:
         held = np.flatnonzero(_words.covered(self.at[shared], np.full(int(shared.sum()), window), n))
         ends = np.r_[(np.diff(held) > 1) | (np.diff(found.row[held]) != 0), True]
         place = np.arange(len(held)) + np.r_[0, np.cumsum(ends)[:-1]]
-        words = _words.Words(*(x[held] for x in (found.row, found.hash, found.start, found.end, found.chars)))
+        words = _words.Words(*(x[held] for x in (found.row, found.hash, found.start, found.end)), found.chars)
         ids, first = _words.identify(_words.Bytes(data), words)
         tokens = np.empty(len(held) + int(ends.sum()), np.int64)
         word_of = np.zeros(len(tokens), np.int64)
@@ -205,8 +199,17 @@ def _slots(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_words.mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.ndarray, window: int, anchor: int) -> Iterator[tuple[int, bytes, bytes, int]]:
-    """(block, heads, text, its size): the windows that are left, as passages for each block."""
+def _planes(heads: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as differences, byte by byte of all numbers, so that what repeats stands together."""
+    return np.ascontiguousarray(np.diff(heads, axis=1, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _heads(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").reshape(3, -1), axis=1)
+
+
+def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.ndarray, window: int, anchor: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """(block, heads, text, passages, bytes of text): the windows that are left, as passages for each block. Heads have document, first word and bytes of each."""
     found, buckets = block.found, len(heavy)
     if not len(block.at):
         return
@@ -221,15 +224,14 @@ def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.
     new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(row) != 0) | (np.diff(slot) != 0)])
     last = at[np.r_[new[1:], len(at)] - 1] + window - 1
     low, size = found.start[at[new]], found.end[last] - found.start[at[new]]
-    heads = np.empty(len(new), HEAD)
-    heads["doc"], heads["start"], heads["bytes"] = block.docs[at[new]], at[new] + docs_start[at[new]], size
+    heads = np.stack([block.docs[at[new]], at[new] + docs_start[at[new]], size])
     cuts = np.flatnonzero(np.r_[True, np.diff(slot[new]) != 0, True])
-    codec = pa.Codec("zstd", 1)
+    codec = pa.Codec("zstd", 3)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         sizes = size[a:b]
         shift = np.repeat(low[a:b] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         text = data[np.arange(int(sizes.sum())) + shift].tobytes()
-        yield int(slot[new[a]]), heads[a:b].tobytes(), codec.compress(text, asbytes=True), len(text)
+        yield int(slot[new[a]]), codec.compress(_planes(heads[:, a:b]), asbytes=True), codec.compress(text, asbytes=True), b - a, len(text)
 
 
 def _heavy(source: DataFrame, buckets: int, window: int, anchor: int) -> np.ndarray:
@@ -267,32 +269,32 @@ def spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, block_
             block = Block(data, offsets, ids, window)
             edges = _words.by_row(block.found.row, len(ids))
             docs_start = -edges[:-1][block.found.row]
-            rows = [(int(_slots(np.array([i], np.int64).view(np.uint64), buckets)[0]), i, x, None, 0) for i, x in _packed(block, docs_start).items()]
-            rows += [(b, None, h, t, n) for b, h, t, n in _passages(block, data, docs_start, heavy.value, window, anchor)]
-            cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "heads": pa.binary(), "passages": pa.binary(), "size": pa.int64()}
+            rows = [(int(_slots(np.array([i], np.int64).view(np.uint64), buckets)[0]), i, x, None, 0, 0) for i, x in _packed(block, docs_start).items()]
+            rows += [(b, None, *rest) for b, *rest in _passages(block, data, docs_start, heavy.value, window, anchor)]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "heads": pa.binary(), "passages": pa.binary(), "n": pa.int64(), "size": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
     def factor(group: pa.Table) -> pa.Table:
         done: dict[str, list] = {"doc_id": [], "spans": []}
         heads, texts = [], []
-        for i, h, t, n in zip(*(group.column(c).to_pylist() for c in ("doc_id", "heads", "passages", "size")), strict=True):
+        for i, h, t, n, size in zip(*(group.column(c).to_pylist() for c in ("doc_id", "heads", "passages", "n", "size")), strict=True):
             if i is not None:
                 done["doc_id"].append(i)
                 done["spans"].append(h)
             else:
-                heads.append(np.frombuffer(h, HEAD))
-                texts.append(pa.decompress(t, n, "zstd", asbytes=True))
+                heads.append(_heads(pa.decompress(h, 24 * n, "zstd", asbytes=True)))
+                texts.append(pa.decompress(t, size, "zstd", asbytes=True))
         if heads:
-            head, data = np.concatenate(heads), np.frombuffer(b"".join(texts), np.uint8)
-            block = Block(data, np.r_[0, np.cumsum(head["bytes"].astype(np.int64))], head["doc"], window)
-            first = _words.by_row(block.found.row, len(head))[:-1]
-            found = _packed(block, (head["start"].astype(np.int64) - first)[block.found.row])
+            (docs, starts, sizes), data = np.concatenate(heads, axis=1), np.frombuffer(b"".join(texts), np.uint8)
+            block = Block(data, np.r_[0, np.cumsum(sizes)], docs, window)
+            first = _words.by_row(block.found.row, len(docs))[:-1]
+            found = _packed(block, (starts - first)[block.found.row])
             done["doc_id"] += found
             done["spans"] += found.values()
         return pa.table(done, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
 
-    passages = source.mapInArrow(_spark.freed(split), "block long, doc_id long, heads binary, passages binary, size long")
+    passages = source.mapInArrow(_spark.freed(split), "block long, doc_id long, heads binary, passages binary, n long, size long")
     found = passages.groupBy("block").applyInArrow(factor, "doc_id long, spans binary")
     return found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 

@@ -122,6 +122,14 @@ def test_toxicity_edges(spark, make, odd_rows, learnt):
         ("<table><tr><td><table><tr><td>a<td>b</table><td>c</table>", "a  b  c"),
         ("<td>x</p></div></ul>y", "xy"),
         ('<img alt="pic"> <input type=submit value=Go><input type=hidden value=no>', "pic Go"),
+        ("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>b", "a\nyes\nb"),
+        ("<style>.x, p#q {display:none} /* .z{display:none} */ .y{visibility:hidden}@media print{.z{display:none}} b.w{display:none!important}</style><i class='a x'>no</i><p id=q>no<p id=r>1<i class=y>no</i><i class=z>2</i><b class=w style='display:block'>no</b><i class=x style='display:inline'>3</i>", "123"),
+        ("<style>.x{display:none}</style><style>i.x{display:inline}</style><i class=x>1</i><b class=x>2</b><b hidden>3</b>", "1"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>", "a   b\n    c\ndd  e"),
+        ("<table><tr><td>k<td rowspan=0>v<td>w<tr><td>x<td>y</table>", "k  v  w\nx     y"),
+        ("<table><tr><td>" + "word " * 20 + "<td>z<tr><td>q<td>r</table>", "word word word word word word word word  z\nword word word word word word word word\nword word word word\nq                                        r"),
+        ("<svg><title>no</title><text>label</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "label x=1"),
+        ("<table><tr><td style='visibility:hidden'>no<td>a<tr><td>bb<td>c</table>", "    a\nbb  c"),
         ("", ""), (None, ""), ("<a href='x", ""), ("</", "</"), ("<!doctype html><html><head><meta charset=x><body>hi", "hi"),
     ],
 )
@@ -129,6 +137,24 @@ def test_html(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<ul><li>x" * 60_000, "<blockquote>x" * 60_000, "<table><tr><td>" + "<b>" * 30_000 + "</i></p></u>" * 40_000, "<td></b>" * 60_000, "<table><tr><td>x" * 40_000, "<table><tr>" + "<td rowspan=60000>x" * 200 + "<tr><td>y" * 60_000,
+        "<table>" + "<tr><td colspan=100><td>x" * 40_000, "<table><tr><td><p>" + "<b>" * 50_000 + "<p>x" * 50_000, "<style>" + "p.a{display:none}" * 30_000 + "</style>" + "<p class=a>x" * 40_000, "<style>" + "a{" * 300_000, "<li>x<table>" * 50_000,
+        "<table><tr><td>" + "x" * 300_000 + "<td>y" + "<tr><td>z<td>w" * 40_000, "<table><tr>" + "<td>x" * 100_000 + "<tr><td>y" * 30_000, "<!--" * 200_000, "&amp" * 200_000, "<div class='" + "a " * 300_000 + "'>x",
+    ],
+)
+def test_html_is_linear(html):
+    import time
+
+    began = time.perf_counter()
+    text = html_text.page_text(html)
+    assert time.perf_counter() - began < 20 and len(text) < 60 * len(html)
+    marks = html.count(">x") + html.count(">y") + html.count(">z") + html.count(">w")
+    assert "display:none" in html or sum(text.count(c) for c in "xyzw") >= marks
+
+
 def test_html_table_of_pages(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, "y"), (2, "<div>" * 50_000 + "deep", "z"), (3, "<a " * 50_000, "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
