@@ -1,12 +1,14 @@
 """Toxicity: a learned lexicon, matched with misspellings, read in context.
 
 From labelled documents the trainer takes the words and word beginnings whose
-documents are marked far more often than others. A trie of them is intersected
-with Levenshtein automata (one edit for words of five bytes or more, none for
-beginnings, which match any ending) into one deterministic automaton, and all
-words of a batch go through it together, a byte at a time. Each hit gets a
-context score: within a quotation, however long, it counts less,
-beside a second person more. A logistic regression on sums of these gives the score.
+documents are marked far more often than others: all that the sample gives
+EVIDENCE for, of at most TERM_SIZE characters. A trie of them is intersected with
+Levenshtein automata (one edit, of a character, for words of four characters or
+more and beginnings of five or more, which match any ending) into one
+deterministic automaton, and all words of a batch go through it together, a
+character at a time. Each hit gets a context score: within a quotation, however
+long, it counts less, beside a second person more; misspellings of words of four
+characters are only counted. A logistic regression on sums of these gives the score.
 
 Labels, language, source and id are never part of a score. Null and empty texts
 have no hits and get the score of a text without any. Rows are scored each for
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from tessera.llm import _spark, _words
 
 TRAIN_ROWS = 20_000
-LEXICON = 200
-EVIDENCE = 10.0
+EVIDENCE = 10.0  # for EVIDENCE_ROWS training rows; more rows have more terms that stand out by chance
+EVIDENCE_ROWS = 400
+TERM_SIZE = 64
+SHORT = 4  # characters of a word that is only counted when it is misspelled
 COUNTED_TERMS = 50_000  # held by a task before it passes them on
-STEM = (4, 8)  # bytes of a word's beginning
+STEM = (4, 8)  # characters of a word's beginning
 WINDOW = 4  # words on each side of a hit
-FEATURES = 6
+FEATURES = 7
 
 _MARKS = re.compile("|".join(["[\"'\n]", *"“”„‟«»‘’‚‛‹›「」『』《》〈〉〝〞〟｢｣"]).encode())
 _PAIRS = {a.encode(): b.encode() for a, b in ("「」", "『』", "《》", "〈〉", "〝〞", "〝〟", "｢｣")}
@@ -51,15 +55,15 @@ _PERSONS = frozenset(b"you your yours u du dich dir dein tu te toi ton vous votr
 
 @dataclass
 class Matcher:
-    """A deterministic automaton over classes of bytes. State 0 is dead, 1 the start."""
+    """A deterministic automaton over classes of characters. State 0 is dead, 1 the start."""
 
-    terms: list[tuple[bytes, bool, float]]
+    terms: list[tuple[str, bool, float]]
     classes: np.ndarray = field(repr=False)
     table: np.ndarray = field(repr=False)
     term: np.ndarray = field(repr=False)
     edits: np.ndarray = field(repr=False)
 
-    def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def run(self, characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The state after each word."""
         state = np.ones(len(start), np.int32)
         if not self.terms:
@@ -68,74 +72,82 @@ class Matcher:
         settled = (self.table == np.arange(len(self.table))[:, None]).all(axis=1)
         while len(still):
             still = still[end[still] - start[still] > k]
-            new = self.table[state[still], self.classes[data[start[still] + k]]]
+            new = self.table[state[still], self.classes[characters[start[still] + k]]]
             state[still] = new
             still = still[~settled[new]]
             k += 1
         return state
 
 
-def compile_terms(terms: list[tuple[bytes, bool, float]]) -> Matcher:
-    """terms: (bytes, whether any ending may follow, weight)."""
+def edits_allowed(term: str, stem: bool) -> int:
+    return int(len(term) >= (5 if stem else SHORT))
+
+
+def compile_terms(terms: list[tuple[str, bool, float]]) -> Matcher:
+    """terms: (characters, whether any ending may follow, weight)."""
     children: list[dict[int, int]] = [{}]
     allowed, ends = [0], [dict[int, int]()]  # edits allowed below a node; term at a node: its edits
     for number, (word, stem, _) in enumerate(terms):
-        edits, node = (0 if stem or len(word) < 5 else 1), 0
+        edits, node = edits_allowed(word, stem), 0
         allowed[0] = max(allowed[0], edits)
-        for byte in word:
-            if byte not in children[node]:
-                children[node][byte] = len(children)
+        for character in map(ord, word):
+            if character not in children[node]:
+                children[node][character] = len(children)
                 children.append({})
                 allowed.append(0)
                 ends.append({})
-            node = children[node][byte]
+            node = children[node][character]
             allowed[node] = max(allowed[node], edits)
         ends[node][number] = edits
-    alphabet = sorted({b for c in children for b in c})
-    classes = np.full(256, len(alphabet), np.uint8)
+    alphabet = sorted({c for node in children for c in node})
+    classes = np.full(0x110000, len(alphabet), np.uint16)
     classes[alphabet] = np.arange(len(alphabet))
+    stems = [[t for t in e if terms[t][1]] for e in ends]
 
     def closed(places: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """With the places that are reached by leaving out bytes of a term; (-1 - term, 0) is a beginning that was read."""
+        """With the places that are reached by leaving out characters of a term; (-1 - term, edits) is a beginning that was read."""
         todo, out = list(places), set(places)
         while todo:
             node, edits = todo.pop()
             if node < 0:
                 continue
-            out |= {(-1 - t, 0) for t in ends[node] if terms[t][1] and edits == 0}
+            for t in stems[node]:
+                if edits <= ends[node][t]:
+                    out.add((-1 - t, edits))
             for child in children[node].values():
                 if edits < allowed[child] and (child, edits + 1) not in out:
                     out.add((child, edits + 1))
                     todo.append((child, edits + 1))
-        return frozenset(p for p in out if p[0] < 0 or p[1] == 0 or (p[0], p[1] - 1) not in out)
+        return frozenset(p for p in out if p[1] == 0 or (p[0], p[1] - 1) not in out)
 
     begin = closed({(0, 0)})
     numbers, states, rows = {frozenset(): 0, begin: 1}, [frozenset(), begin], []
     for state in states:
-        row = []
-        for byte in [*alphabet, None]:
-            new = set()
-            for node, edits in state:
-                if node < 0:
-                    new.add((node, 0))
-                    continue
-                if edits < allowed[node]:
-                    new.add((node, edits + 1))
-                for b, child in children[node].items():
-                    if b == byte:
-                        new.add((child, edits))
-                    elif edits < allowed[child]:
-                        new.add((child, edits + 1))
-            new = closed(new)
+        over: set[tuple[int, int]] = set()  # where any character leads
+        led: dict[int, set[tuple[int, int]]] = {}  # where some lead besides
+        for node, edits in state:
+            if node < 0:
+                over.add((node, edits))
+                continue
+            if edits < allowed[node]:
+                over.add((node, edits + 1))
+            for character, child in children[node].items():
+                led.setdefault(character, set()).add((child, edits))
+                if edits < allowed[child]:
+                    over.add((child, edits + 1))
+        row = [0] * (len(alphabet) + 1)
+        other = closed(over)
+        for at, character in enumerate([*alphabet, None]):
+            new = closed(over | led[character]) if character in led else other
             if new not in numbers:
                 numbers[new] = len(states)
                 states.append(new)
-            row.append(numbers[new])
+            row[at] = numbers[new]
         rows.append(row)
     term, edits = np.full(len(states), -1, np.int32), np.zeros(len(states), np.int32)
     for number, state in enumerate(states):
         hits = [(e, t) for node, e in state if node >= 0 for t, most in ends[node].items() if e <= most]
-        hits += [(0, -1 - node) for node, _ in state if node < 0]
+        hits += [(e, -1 - node) for node, e in state if node < 0]
         if hits:
             edits[number], term[number] = min(hits)
     return Matcher(terms, classes, np.array(rows, np.int32), term, edits)
@@ -206,12 +218,17 @@ def _person(data: np.ndarray, words: _words.Words, at: int, low: int, high: int)
 
 
 def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
-    """A row for each text: log of summed scores, highest score, logs of exact, misspelled and quoted hits, hits a word."""
+    """A row for each text: log of summed scores, highest score, logs of exact, misspelled and quoted hits, hits a word, log of misspelled short words."""
     out = np.zeros((len(column), FEATURES))
     weights = np.array([w for _, _, w in matcher.terms])
+    short = np.array([len(t) <= SHORT for t, _, _ in matcher.terms], bool)
     for low, high, data, offsets in _words.text_chunks(column):
         words = _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
-        state = matcher.run(_words.lowered(data), words.start, words.end)
+        folded = _words.lowered(data)
+        place = np.zeros(len(folded) + 1, np.int32)
+        np.cumsum((folded & 0xC0) != 0x80, out=place[1:])
+        characters = np.frombuffer(folded.tobytes().decode().encode("utf-32-le"), "<u4")
+        state = matcher.run(characters, place[words.start], place[words.end])
         hits = np.flatnonzero(matcher.term[state] >= 0)
         edges = _words.by_row(words.row, high - low)
         for row in np.unique(words.row[hits]):
@@ -222,13 +239,16 @@ def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
             opened = [a for a, _ in spans]
             for at in mine:
                 exact = matcher.edits[state[at]] == 0
-                place = bisect_right(opened, int(words.start[at]) - begin) - 1
-                quoted = place >= 0 and int(words.end[at]) - begin <= spans[place][1]
+                if not exact and short[matcher.term[state[at]]]:
+                    kinds["short"] += 1
+                    continue
+                within = bisect_right(opened, int(words.start[at]) - begin) - 1
+                quoted = within >= 0 and int(words.end[at]) - begin <= spans[within][1]
                 person = _person(data, words, int(at), int(edges[row]), int(edges[row + 1]))
                 scores.append(weights[matcher.term[state[at]]] * (1.0 if exact else 0.6) * (0.4 if quoted else 1.0) * (1.2 if person else 1.0))
                 kinds["exact" if exact else "fuzzy"] += 1
                 kinds["quoted"] += quoted
-            out[low + row] = [np.log1p(sum(scores)), max(scores), np.log1p(kinds["exact"]), np.log1p(kinds["fuzzy"]), np.log1p(kinds["quoted"]), len(mine) / (edges[row + 1] - edges[row])]
+            out[low + row] = [np.log1p(sum(scores)), max(scores, default=0.0), np.log1p(kinds["exact"]), np.log1p(kinds["fuzzy"]), np.log1p(kinds["quoted"]), len(scores) / (edges[row + 1] - edges[row]), np.log1p(kinds["short"])]
     return out
 
 
@@ -255,21 +275,21 @@ def held_out(doc_id: Column) -> Column:
 def _counts(train: DataFrame, stems: bool) -> DataFrame:
     """term, stem, marked, clean: documents of either label that have each word or beginning, summed in each task first."""
 
-    def rows(seen: dict[tuple[bytes, bool], list[int]]) -> pa.RecordBatch:
+    def rows(seen: dict[tuple[str, bool], list[int]]) -> pa.RecordBatch:
         columns = [t for t, _ in seen], [s for _, s in seen], [a for a, _ in seen.values()], [b for _, b in seen.values()]
-        kinds = pa.binary(), pa.bool_(), pa.int64(), pa.int64()
+        kinds = pa.string(), pa.bool_(), pa.int64(), pa.int64()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["term", "stem", "marked", "clean"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bytes, bool], list[int]] = {}
+        seen: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
             for low, high, data, offsets in _words.text_chunks(batch.column("text"), 1 << 20):
                 found, folded = _words.words(data, offsets, _words.NOT_ALNUM, lower=True), _words.lowered(data)
                 edges = _words.by_row(found.row, high - low)
                 for row in range(high - low):
-                    own = {folded[found.start[k] : min(found.end[k], found.start[k] + 40)].tobytes() for k in range(edges[row], edges[row + 1])}
-                    terms = {(w, False) for w in own} | {(w[:n], True) for w in own for n in range(STEM[0], min(STEM[1] + 1, len(w))) if stems}
+                    own = {folded[found.start[k] : found.end[k]].tobytes().decode() for k in range(edges[row], edges[row + 1])}
+                    terms = {(w, False) for w in own if len(w) <= TERM_SIZE} | {(w[:n], True) for w in own for n in range(STEM[0], min(STEM[1] + 1, len(w))) if stems}
                     for t in terms:
                         seen.setdefault(t, [0, 0])[1 - labels[low + row]] += 1
                     if len(seen) >= COUNTED_TERMS:
@@ -277,31 +297,34 @@ def _counts(train: DataFrame, stems: bool) -> DataFrame:
                         seen = {}
         yield rows(seen)
 
-    return train.mapInArrow(_spark.freed(counted), "term binary, stem boolean, marked long, clean long").groupBy("term", "stem").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean"))
+    return train.mapInArrow(_spark.freed(counted), "term string, stem boolean, marked long, clean long").groupBy("term", "stem").agg(F.sum("marked").alias("marked"), F.sum("clean").alias("clean"))
 
 
-def _lexicon(train: DataFrame, marked: int, clean: int, size: int) -> list[tuple[bytes, bool, float]]:
-    """At most `size` terms by how many marked documents they tell apart."""
+def _lexicon(train: DataFrame, marked: int, clean: int) -> list[tuple[str, bool, float]]:
+    """The terms that tell marked documents apart. How many there can be is bounded by the training rows' words."""
     weight = F.log((F.col("marked") + 0.5) / (marked + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     told = _counts(train, stems=True).withColumn("weight", weight)
     base = marked / (marked + clean)
     share = F.col("marked") / (F.col("marked") + F.col("clean"))
     # The log of the likelihood ratio against a term that has nothing to do with the label: among many thousands of terms few reach EVIDENCE by chance.
     gain = F.col("marked") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    good = told.where((F.col("marked") > 2 * F.col("clean")) & (gain >= EVIDENCE))
+    evidence = EVIDENCE + float(np.log(max(1.0, (marked + clean) / EVIDENCE_ROWS)))
+    rows = told.where((F.col("marked") > 2 * F.col("clean")) & (gain >= evidence)).collect()
     # A beginning that is mostly one word is left to that word.
-    rows = good.orderBy(F.desc(F.col("marked") * F.col("weight")), F.length("term"), "term", "stem").limit(20 * size).collect()
-    words = {bytes(r.term): r for r in rows if not r.stem}
-    kept: list[tuple[bytes, bool, float]] = []
-    for r in sorted(rows, key=lambda r: (not r.stem, len(r.term), bytes(r.term))):
-        term = bytes(r.term)
-        if any(s and term.startswith(w) for w, s, _ in kept):
-            continue
-        if r.stem and max((w.marked for t, w in words.items() if t.startswith(term)), default=0) >= 0.6 * r.marked:
+    words = {r.term: r.marked for r in rows if not r.stem}
+    most: dict[str, int] = {}
+    for word, n in words.items():
+        for size in range(STEM[0], min(STEM[1], len(word)) + 1):
+            most[word[:size]] = max(most.get(word[:size], 0), n)
+    kept: list[tuple[str, bool, float]] = []
+    stems: set[str] = set()
+    for r in sorted(rows, key=lambda r: (not r.stem, len(r.term), r.term)):
+        if any(r.term[:size] in stems for size in range(STEM[0], STEM[1] + 1)) or r.stem and most.get(r.term, 0) >= 0.6 * r.marked:
             continue
-        kept.append((term, r.stem, float(r.weight)))
-    place = {(bytes(r.term), r.stem): k for k, r in enumerate(rows)}
-    return sorted(kept, key=lambda t: place[t[0], t[1]])[:size]
+        kept.append((r.term, r.stem, float(r.weight)))
+        if r.stem:
+            stems.add(r.term)
+    return sorted(kept, key=lambda t: (-t[2], t[0], t[1]))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -318,7 +341,7 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarra
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, lexicon: int = LEXICON, id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label_id: str = "doc_id", toxic: str = "toxic") -> Model:
     """A model of at most about train_rows labelled documents, taken by a hash of their id; none is of the held-out fold.
 
     The driver gets the lexicon's terms and FEATURES numbers for each of these documents.
@@ -331,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, l
     rows = _spark.checkpoint(source.join(marks, "doc_id").select("text", "toxic"))
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     marked, clean = sizes.get(1, 0), sizes.get(0, 0)
-    matcher = compile_terms(_lexicon(rows, marked, clean, lexicon) if marked and clean else [])
+    matcher = compile_terms(_lexicon(rows, marked, clean) if marked and clean else [])
     zeros, ones = np.zeros(FEATURES), np.ones(FEATURES)
     if not (marked and clean):
         prior = (marked + 0.5) / (marked + clean + 1)
