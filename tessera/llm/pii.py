@@ -97,27 +97,50 @@ def _folded() -> dict[str, str]:
     for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2070, 0x208A), *range(0x2460, 0x2469), 0xFE52, 0xFE6B]):
         if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii():
             table[c] = n
-    for c in map(chr, [*range(0x0660, 0x066A), *range(0x06F0, 0x06FA), *range(0x0966, 0x0970)]):
-        table[c] = str(unicodedata.digit(c))
-    return table | {"\u0130": "I", "\u0131": "i", "\u017f": "s", "\u212a": "K"}  # patterns that ignore case take these for ASCII letters
+    for c in map(chr, range(0x80, 0x20000)):  # digits of every script
+        if unicodedata.category(c) == "Nd":
+            table[c] = str(unicodedata.digit(c))
+    return table | dict.fromkeys("\u3002\uff61", ".") | {"\u0130": "I", "\u0131": "i", "\u017f": "s", "\u212a": "K"}  # patterns that ignore case take these for ASCII letters
 
 
-_FOLD = _folded()
-# The blocks that hold them: a class of few ranges is quick to search.
-_FOLD_CHARS = re.compile("[\u00ad\u0130\u0131\u017f\u0391-\u03c9\u0405-\u0458\u0501-\u051d\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u04bb\u200b-\u200d\u2060\u2070-\u2089\u212a\u2460-\u2468\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
+def _ranges(characters: set[int]) -> str:
+    """A class of the ranges that hold them; ranges that are near each other become one, as a class of few is quick to search."""
+    out: list[list[int]] = []
+    for c in sorted(characters):
+        if out and c - out[-1][1] <= 12 and out[-1][0] >= 0x80:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
 
-_DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+_FOLD = _folded()
+_FOLD_CHARS = re.compile(_ranges(set(map(ord, _FOLD))))
+
+# Digits, at and dot as written out in the corpus's languages.
+_DIGITS = {
+    word: str(n)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for n, word in enumerate(words.split())
+} | {"oh": "0", "une": "1", "zwo": "2", "fuenf": "5"}
 _NUMBER = "(?:" + "|".join(_DIGITS) + ")"
+_AT_WORD, _AT_NAME, _DOT_WORD = "at", "(?:arobase|arroba|klammeraffe)", "(?:dot|point|punkt|punto)"
 _OPEN, _CLOSE = r"[ ]{0,2}[\[({<][ ]{0,2}", r"[ ]{0,2}[\])}>][ ]{0,2}"
 # An "at" without brackets may be prose: these endings, after dots written out, make it an address with any word before it.
 _ENDS = "(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es|it|nl|ch|at|ru|cn|jp|in|br|ca|au|test)"
-_DOT = rf"(?:\.|[ ]{{1,2}}dot[ ]{{1,2}}|{_OPEN}(?:dot|\.){_CLOSE})"
+_DOT = rf"(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE})"
 # Other endings need only the shape of one, but then _is_address looks at the words around.
 _HOST = rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}}){{0,8}}{_DOT}[a-z]{{2,24}}\b"
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}dot[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}dot[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:dot|\.){_CLOSE}[a-z0-9])))"
+    rf"(?P<at>{_OPEN}(?:{_AT_WORD}|{_AT_NAME}|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}[a-z0-9]))"
+    rf"|(?<=[a-z0-9])[ ]{{1,2}}{_AT_NAME}[ ]{{1,2}}(?={_HOST}))"
     rf"|(?P<bare>(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?={_HOST}))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}dot[ ]{{1,2}}(?=[a-z0-9]))"
+    rf"|(?P<dot>{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus[ -]{{1,2}}(?={_NUMBER}\b|[0-9]))"
     rf"|(?P<digits>\b{_NUMBER}\b(?:[ -]{{1,2}}{_NUMBER}\b)*)",
     re.IGNORECASE,
@@ -137,14 +160,17 @@ _BEFORE_AT = frozenset(
     "study that the their them there they thing things this time to today together up us visit was we were what when where which while who will with work worked working works yet you".split()
 )
 _AFTER_AT = frozenset("a all an any both each every her his its least most my no one our some that the their these this those two what which your".split())
-_WORD = re.compile("[a-z]+", re.IGNORECASE)
+_WORD = re.compile(r"[^\W\d_]+")
+_ALONE_BEFORE, _ALONE_AFTER = re.compile(r"(?:^|[\n(<\[,;:|])[ ]*\Z"), re.compile(r"[ ]*(?:\Z|[\n)>\],;|])")
 # What makes a number word a digit: text before it that ends so, or after it that begins so.
-_BEFORE = re.compile(rf"(?:[0-9+\])}}>]|\b(?:{_NUMBER}|dot|plus))[ ().-]*\Z", re.IGNORECASE)
-_AFTER = re.compile(rf"[ ().-]*(?:[0-9\[({{<]|(?:{_NUMBER}|dot)\b)", re.IGNORECASE)
+_BEFORE = re.compile(rf"(?:[0-9+\])}}>]|\b(?:{_NUMBER}|{_DOT_WORD}|plus))[ ().-]*\Z", re.IGNORECASE)
+_AFTER = re.compile(rf"[ ().-]*(?:[0-9\[({{<]|(?:{_NUMBER}|{_DOT_WORD})\b)", re.IGNORECASE)
 _JOINT = re.compile("[ -]{1,2}(?=[0-9])")
 _BACK_JOINT = re.compile(r"(?<=[0-9])[ -]{1,2}\Z")
 _KEPT_DOT = re.compile(r" at {1,2}[a-z0-9-]{1,63}\.[a-z0-9]")
 _NEAR = 12  # characters that are looked at on each side
+# What a text has that can be rewritten, by plain searches first. A sign of its own stands for each alternative of _DISGUISE.
+_SIGNED = re.compile(rf"[\[({{<][ ]{{0,2}}(?:at|{_AT_NAME}|@|\.|{_DOT_WORD})|[a-z0-9][ ]{{1,2}}(?:{_AT_NAME}|{_DOT_WORD})[ ]{{1,2}}[a-z0-9-]|plus[ -]")
 _TOUCHING = re.compile(rf"(?:{_NUMBER}|[0-9])[ ().+-]+{_NUMBER}|{_NUMBER}[ ().+-]+[0-9]")
 
 
@@ -153,13 +179,9 @@ def _signs(text: str) -> bool:
     if not text.isascii() and _FOLD_CHARS.search(text):
         return True
     folded = text.lower()
-    if "dot" in folded or any(f"{a}{gap}{sign}" in folded for a in "[({<" if a in folded for gap in ("", " ", "  ") for sign in ("at", "@", ".")):
+    if _SIGNED.search(folded) or (" at " in folded and _KEPT_DOT.search(folded)):
         return True
-    if _KEPT_DOT.search(folded):
-        return True
-    if "plus " in folded or "plus-" in folded:
-        return True
-    return any(w in folded for w in _DIGITS) and bool(_TOUCHING.search(folded))
+    return bool(_TOUCHING.search(folded))
 
 
 class Normalised:
@@ -199,8 +221,10 @@ def _is_address(text: str, start: int, end: int) -> bool:
         return True
     if local.lower() in _BEFORE_AT or _LABEL.match(host)[0].lower() in _AFTER_AT:
         return False
-    # A kept dot is how prose names a site, too: a bare word needs a cue before it.
-    return not _KEPT.fullmatch(host) or bool(_CUE.search(text, max(0, found.start() - 24), found.start()))
+    # A kept dot is how prose names a site, too: a bare word needs a cue before it, or to stand alone with its host.
+    if not _KEPT.fullmatch(host) or _CUE.search(text, max(0, found.start() - 24), found.start()):
+        return True
+    return bool(_ALONE_BEFORE.search(text, max(0, found.start() - 24), found.start()) and _ALONE_AFTER.match(text, end + len(host)))
 
 
 def _readings(text: str) -> list[tuple[list[Edit], str]]:

@@ -311,7 +311,13 @@ def test_pii_plain():
         ("call plus one five five five one two three four five six seven ok", "plus one five five five one two three four five six seven"),
         ("pay four one one one one one one one one one one one one one one one", "four one one one one one one one one one one one one one one one"),
         ("at ١٢٧.0.0.1 home", "١٢٧.0.0.1"),
-        ("look at the dot there", None), ("meet me at nine one one", None), ("bob@mail.com is plain", None), ("", None),
+        ("bob＠mail。com", "bob＠mail。com"), ("at ১২৭.০.০.১ home", "১২৭.০.০.১"), ("bob at example.com", "bob at example.com"), ("Kontakt:\nbob at example.com\nDanke", "bob at example.com"),
+        ("carte quatre un un un un un un un un un un un un un un un ok", "quatre un un un un un un un un un un un un un un un"),
+        ("tarjeta cuatro uno uno uno uno uno uno uno uno uno uno uno uno uno uno uno", "cuatro uno uno uno uno uno uno uno uno uno uno uno uno uno uno uno"),
+        ("ruf plus vier neun eins fünf eins zwei drei vier fünf sechs sieben an", "plus vier neun eins fünf eins zwei drei vier fünf sechs sieben"),
+        ("bob arroba mail punto example punto com y", "bob arroba mail punto example punto com"), ("à bob arobase mail point fr merci", "bob arobase mail point fr"), ("bob [arroba] mail [punto] es", "bob [arroba] mail [punto] es"),
+        ("à 127 point 0 point 0 point 1 ici", "127 point 0 point 0 point 1"), ("Visit bob at mail dot example dot shop", "bob at mail dot example dot shop"),
+        ("look at the dot there", None), ("meet me at nine one one", None), ("bob@mail.com is plain", None), ("", None), ("Available at example.com", None), ("at this point one or two", None),
     ],
 )
 def test_pii_disguised(text, found):
@@ -355,7 +361,7 @@ def test_pii_signs_only_save_work(monkeypatch):
     text = "call plus 49 151 23456789 now"
     assert [text[s:e] for s, _, e in pii.disguised(text, [])] == ["plus 49 151 23456789"]
     r = random.Random(6)
-    parts = ["plus", "Plus-", "49", "151", "23456789", "one", "Two", "seven", "127", "0", "at", "dot", "[at]", "(dot)", "<.>", ".", "-", "+", "bob", "mail", "com", "é", "@", "four"]
+    parts = ["punto", "point", "arroba", "(arobase)", "fünf", "Un", "dos", "১", "。", "plus", "Plus-", "49", "151", "23456789", "one", "Two", "seven", "127", "0", "at", "dot", "[at]", "(dot)", "<.>", ".", "-", "+", "bob", "mail", "com", "é", "@", "four"]
     texts = ["".join(r.choice(parts) + r.choice(["", " ", " ", "  "]) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
     quick = [pii.disguised(t, pii.plain(t)) for t in texts]
     monkeypatch.setattr(pii, "_signs", lambda text: True)
