@@ -9,8 +9,12 @@ one aggregate, so no step sorts. Decoding joins token rows with the vocabulary
 and aggregates in order of position.
 
 A word that is itself in the vocabulary is that token, as in tiktoken. The
-query's cost grows with the square of a word's length, so words of over LONG
-bytes (runs without a break) are contracted by the same rule with a heap.
+query's cost grows with the square of a word's length (1 s for 4,096 bytes), so
+a word of over PIECE bytes (a run without a break) is contracted in pieces by
+the same query. Tokens are the encoding of what they spell if each two
+neighbours are the encoding of what these two spell; where two pieces meet and
+aren't, the query contracts the tokens around the joint anew, more of them until
+their neighbours agree. Pieces of twice the size follow if they never do.
 
 Null and empty texts have no tokens. Rows are independent: repeated rows and
 equal or null ids are encoded each for itself. An empty table gives no rows.
@@ -19,7 +23,6 @@ equal or null ids are encoded each for itself. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -30,7 +33,8 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import _spark
 
-LONG = 192  # positions take 8 bits
+PIECE = 1024  # bytes of a word that are contracted at once
+MOST_PIECE = 1 << 20  # positions take 20 bits
 STEP_ROWS = 1_500_000  # bound on a query's word-position rows over all its steps, twice
 DECODE_ROWS = 300_000
 CACHED_WORDS = 100_000  # of each of two generations
@@ -40,15 +44,15 @@ WITH RECURSIVE step AS (
   SELECT w, pos, follows, tok, nxt, false AS done FROM tokens
   UNION ALL
   SELECT w, pos,
-    CASE WHEN follows = ((best >> 8) & 255) THEN (best & 255) ELSE follows END,
-    CASE WHEN pos = (best & 255) THEN best >> 16 ELSE tok END,
-    CASE WHEN follows = ((best >> 8) & 255) THEN best >> 16 ELSE nxt END,
+    CASE WHEN follows = ((best >> 20) & 1048575) THEN (best & 1048575) ELSE follows END,
+    CASE WHEN pos = (best & 1048575) THEN best >> 40 ELSE tok END,
+    CASE WHEN follows = ((best >> 20) & 1048575) THEN best >> 40 ELSE nxt END,
     best IS NULL
   FROM step JOIN (
-    SELECT w, min((m.rank << 16) | (s.pos << 8) | s.follows) AS best
+    SELECT w, min((m.rank << 40) | (s.pos << 20) | s.follows) AS best
     FROM step s LEFT JOIN merges m ON m.pair = (s.tok << 24) | s.nxt
     WHERE NOT done GROUP BY w) USING (w)
-  WHERE NOT done AND (best IS NULL OR pos <> ((best >> 8) & 255)))
+  WHERE NOT done AND (best IS NULL OR pos <> ((best >> 20) & 1048575)))
 SELECT w, CAST(tok AS UINTEGER) AS tok FROM step WHERE done ORDER BY w, pos
 """
 DECODE = "SELECT part, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part"
@@ -64,7 +68,7 @@ class Codec:
         self.older: dict[str, bytes] = {}  # those met before the present ones; a word met again is kept
         self.pattern = regex.compile(pattern)
         pairs = [(self.ranks[t[:k]] << 24 | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.merge_of = dict(pairs)
+        self.pieces = {r: t for t, r in self.ranks.items()}
         self.tables = {
             "merges": pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())}),
             "vocabulary": pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}),
@@ -84,66 +88,84 @@ class Codec:
         self.db.close()
         self.db = None
 
-    def _contract(self, words: list[str]) -> None:
-        coded = [w.encode() for w in words]
-        sizes = np.array([len(x) for x in coded])
-        data = self.bytes[np.frombuffer(b"".join(coded), np.uint8)]
-        owner = np.repeat(np.arange(len(coded)), sizes)
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word."""
+        sizes = np.array([len(x) for x in words])
+        data = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = np.r_[owner[1:] != owner[:-1], True]
         self.db.register("tokens", pa.table({"w": owner, "pos": place, "tok": data, "nxt": pa.array(np.r_[data[1:], 0], mask=last), "follows": pa.array(place + 1, mask=last)}))
         found = self.db.sql(ENCODE).to_arrow_table()
-        owner, tokens = found.column("w").to_numpy(), found.column("tok").to_numpy().astype("<u4")
-        edges = np.searchsorted(owner, np.arange(len(words) + 1))
-        for k, word in enumerate(words):
-            self.words[word] = tokens[edges[k] : edges[k + 1]].tobytes()
-
-    def _by_heap(self, word: bytes) -> bytes:
-        tokens = [int(x) for x in self.bytes[np.frombuffer(word, np.uint8)]]
-        n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (rank := self.merge_of.get(tokens[i] << 24 | tokens[after[i]])) is not None:
-                heapq.heappush(heap, (rank, i, tokens[i], tokens[after[i]]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] != left or j >= n or tokens[j] != right:
-                continue
-            tokens[i], tokens[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return np.array([t for t in tokens if t >= 0], "<u4").tobytes()
+        return np.split(found.column("tok").to_numpy(), np.searchsorted(found.column("w").to_numpy(), np.arange(1, len(words))))
+
+    def _all(self, words: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each word, equal ones once, in queries of a bounded size."""
+        known: dict[bytes, np.ndarray] = {}
+        group, rows = [], 0
+        for word in sorted(set(words), key=len):  # a query takes as many steps as its longest word, and each step builds the merge table's index anew
+            group.append(word)
+            rows += len(word) ** 2
+            if rows > STEP_ROWS:
+                known |= zip(group, self._contract(group), strict=True)
+                group, rows = [], 0
+        if group:
+            known |= zip(group, self._contract(group), strict=True)
+        return [known[w] for w in words]
+
+    def _spelled(self, tokens: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, tokens.tolist()))
+
+    def _agree(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether each two tokens are the encoding of what they spell."""
+        found = self._all([self.pieces[a] + self.pieces[b] for a, b in pairs]) if pairs else []
+        return [f.tolist() == list(p) for f, p in zip(found, pairs, strict=True)]
+
+    def _long(self, word: bytes, piece: int) -> np.ndarray:
+        if len(word) <= piece:
+            return self._all([word])[0]
+        if piece > MOST_PIECE:
+            raise ValueError("no part of a word's tokens stands by itself")
+        parts = self._all([word[k : k + piece] for k in range(0, len(word), piece)])
+        joints = list(range(len(parts) - 1))
+        middle: dict[int, np.ndarray] = {}
+        cut = dict.fromkeys(joints, 0)  # tokens on each side of a joint that its middle replaces
+        good = self._agree([(int(parts[j][-1]), int(parts[j + 1][0])) for j in joints])
+        bad, k = [j for j, g in zip(joints, good, strict=True) if not g], 1
+        while bad:
+            if any(3 * k > len(parts[j]) for j in bad) or any(3 * k > len(parts[j + 1]) for j in bad):  # middles of neighbouring joints would meet
+                return self._long(word, 2 * piece)
+            found = self._all([self._spelled(parts[j][-k:]) + self._spelled(parts[j + 1][:k]) for j in bad])
+            sides = [(int(parts[j][-k - 1]), int(f[0])) for j, f in zip(bad, found, strict=True)] + [(int(f[-1]), int(parts[j + 1][k])) for j, f in zip(bad, found, strict=True)]
+            good = self._agree(sides)
+            for n, j in enumerate(bad):
+                middle[j], cut[j] = found[n], k
+            bad = [j for n, j in enumerate(bad) if not (good[n] and good[n + len(bad)])]
+            k *= 2
+        out = []
+        for j, part in enumerate(parts):
+            out.append(part[cut.get(j - 1, 0) : len(part) - cut.get(j, 0)])
+            out.append(middle.get(j, part[:0]))
+        return np.concatenate(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.older, self.words = self.words, {}
         new = {w for ws in split for w in ws if w not in self.words}
-        group, rows = [], 0
-        for word in sorted(new, key=len):  # a query takes as many steps as its longest word, and each step builds the merge table's index anew
+        group: list[str] = []
+        for word in new:
             raw = word.encode()
             if (known := self.older.get(word)) is not None:
                 self.words[word] = known
             elif (rank := self.ranks.get(raw)) is not None:
                 self.words[word] = rank.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.words[word] = self._by_heap(raw)
+            elif len(raw) > PIECE:
+                self.words[word] = self._long(raw, PIECE).astype("<u4").tobytes()
             else:
                 group.append(word)
-                rows += len(raw) ** 2
-                if rows > STEP_ROWS:
-                    self._contract(group)
-                    group, rows = [], 0
-        if group:
-            self._contract(group)
+        for word, tokens in zip(group, self._all([w.encode() for w in group]) if group else [], strict=True):
+            self.words[word] = tokens.astype("<u4").tobytes()
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
@@ -184,7 +206,7 @@ def _groups(texts: Iterator[str], most: int = 2 << 20) -> Iterator[list[str]]:
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (bytes, decoded from the ids) for every row.
 
-    vocabulary: a file of ranks (base64 token, rank; under 2^24 of them), which the driver reads and sends to the tasks.
+    vocabulary: a file of ranks (base64 token, rank; under 2^23 of them), which the driver reads and sends to the tasks.
     """
     with open(vocabulary, "rb") as f:
         shared = _spark.share(docs.sparkSession, f.read())

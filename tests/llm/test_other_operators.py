@@ -260,7 +260,7 @@ def test_bpe_is_tiktoken(spark, make, odd_rows, reference):
     r = random.Random(3)
     parts = ["a", "th", "é", "ñ", " ", "  ", "\n", "the", "ing", "1", "=", "日本", "🙂", "'s", "\x1c", "\t", "A", "<|endoftext|>"]
     rows = [*odd_rows, *((100 + k, "".join(r.choice(parts) for _ in range(r.randint(0, 120)))) for k in range(300))]
-    rows += [(900, "a" * 5000), (901, "=" * 3000), (902, "日本語" * 300), (903, "".join(r.choice("thein") for _ in range(4000)))]
+    rows += [(900, "a" * 5000), (901, "=" * 30_000), (902, "日本語" * 300), (903, "".join(r.choice("thein") for _ in range(4000)))]
     got = bpe.round_trip(make(rows), VOCABULARY, public_tokenizers.PATTERN).collect()
     expected = sorted((i or 0, np.array(reference.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
     assert sorted((x.doc_id or 0, bytes(x.ids), bytes(x.decoded)) for x in got) == expected
@@ -268,6 +268,23 @@ def test_bpe_is_tiktoken(spark, make, odd_rows, reference):
     assert bpe.round_trip(make([]), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_words_in_pieces(monkeypatch):
+    """Words in pieces are what tiktoken makes of them, also where most joints are wrong at first."""
+    r = random.Random(21)
+    kinds = ["a", "=", "ab", "the", "ational", "thein", "日本語", "-_", "0", "éa", "abcdefghijklmnopqrstuvwxyz", "international"]
+    words = ["".join(r.choice(k) for _ in range(r.randint(20, 300))) for k in kinds for _ in range(2)] + [k * 40 for k in kinds]
+    words += ["".join(r.choice(["inter", "nation", "al", "iz", "ation", "s", "the", "under", "stand", "ing"]) for _ in range(60)) for _ in range(12)]
+    with open(VOCABULARY, "rb") as f:
+        whole = bpe.Codec(f.read(), r"(?s).+")
+    whole_word = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=whole.ranks, special_tokens={})
+    expected = [whole_word.encode_ordinary(w) for w in words]
+    with whole as codec:
+        for piece in (7, 24, 100):
+            monkeypatch.setattr(bpe, "PIECE", piece)
+            codec.words.clear()
+            assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(words)] == expected
+
+
 def test_bpe_cache_is_bounded(reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 50)
     monkeypatch.setattr(bpe, "STEP_ROWS", 100)
