@@ -17,6 +17,11 @@ def valid(payload: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, "$.results", "variant")).startswith("ARRAY"), F.lit(False))
 
 
+def faults(answers: DataFrame) -> DataFrame:
+    """key, fault of answers (key, payload)."""
+    return answers.select("key", F.when(~valid(F.col("payload")), "not a search result").alias("fault"))
+
+
 def restrictions(metadata: Column) -> Column:
     """The restriction fields that have values; null if none has."""
     entries = [F.struct(F.lit(f).alias("key"), text.variant_values(metadata, f).alias("value")) for f in RESTRICTIONS]

@@ -30,7 +30,7 @@ def test_ordered_union_and_coverage(spark):
     hits = spark.createDataFrame([("S", "1"), ("S", "2"), ("T", "2")], "seed string, id string")
     got = relational.hit_coverage(hits, spark.createDataFrame([("2",), ("2",)], "id string"), ("S", "T", "U"), 1).orderBy("seed_order").collect()
     assert [(r.n, r.low) for r in got] == [(1, False), (1, False), (0, True)]
-    assert relational.seed_report({"seed:AB": 3, "seed:ABCD": 20, "other": 1}, 10) == "  AB       3  LOW\n  ABCD    20"
+    assert relational.seed_report({"seed:AB": 3, "other": 1, "seed:ABCD": 20}, 10) == [{"seed": "AB", "n": 3, "low": True}, {"seed": "ABCD", "n": 20, "low": False}]
 
 
 def greedy(items, seeds, quota, limit):
@@ -112,17 +112,19 @@ def test_pruned_needs_equal_source(spark):
 
 def test_runs(spark, tmp_path):
     log = str(tmp_path / "runs")
-    with runs.tracked(spark, log, "good") as stats:
-        stats.counts["fetched"] = 3
-    with pytest.raises(RuntimeError), runs.tracked(spark, log, "bad"):
+
+    def bad(stats):
         raise RuntimeError("why")
-    got = {r.dag: r for r in runs.current(spark.read.parquet(log)).collect()}
+
+    runs.run(spark, log, "good", lambda stats: stats.counts.update({"fetched": 3}))
+    with pytest.raises(RuntimeError):
+        runs.run(spark, log, "bad", bad)
+    entries = spark.read.parquet(log)
+    assert entries.where("status = 'running' and finished_at is null").count() == 2
+    got = {r.dag: r for r in runs.current(entries).collect()}
     assert got["good"].status == "success" and got["good"].counts == {"fetched": 3} and got["good"].finished_at
     assert got["bad"].status == "failed" and got["bad"].errors == ["RuntimeError: why"]
-    s = runs.Stats()
-    assert runs.may_prune(s, True, True) and not runs.may_prune(s, False, True) and not s.errors
-    s.counts["fetch_errors"] = 1
-    assert not runs.may_prune(s, True, True) and s.errors
+    assert runs.hindrance(True, 0) is None and runs.hindrance(False, 0) and runs.hindrance(True, 1)
 
 
 def test_token_set_ratio(spark):

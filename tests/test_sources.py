@@ -65,7 +65,8 @@ def test_products(spark, dump):
         ("1", "later", None, "face", "b", True),
         ("6", "n", None, "face", "retinol", True),
     ]
-    assert products.sample_key(config.Settings(), ("a",)) != products.sample_key(config.Settings(product_limit=1), ("a",))
+    other = [config.Products(most=1), config.Products(quota=1), config.Products(english_first=False), config.Products(dump="d"), config.Products(wanted="w")]
+    assert len({products.sample_folder(p, ("a",)) for p in (config.Products(), *other)} | {products.sample_folder(config.Products(), ("b",))}) == 7
 
 
 def article(ids, title="T", license_="https://creativecommons.org/licenses/by/4.0/", dates="", abstract="", ref=""):
@@ -92,70 +93,70 @@ def test_articles(spark):
     assert (one.source_id, one.pmid, one.title, one.license, one.published_at) == ("PMC1", "77", "A nice title", "CC BY 4.0", dt.date(2020, 1, 1))
     assert one.abstract == "Aim: one two\nthree" and one.url.endswith("/PMC1/") and one.full_text is None
     assert (three.source_id, three.license, three.published_at, three.abstract) == ("PMC3", "CC0 1.0", dt.date(2021, 1, 1), "plain text")
-    with pytest.raises(articles.ServiceError):
-        articles.check_articles(b"<x><ERROR>gone</ERROR></x>")
-    for bad in (b"{}", b"x", b'{"esearchresult": {"ERROR": "e"}}'):
-        with pytest.raises(articles.ServiceError):
-            articles.check_ids(bad)
+    assert {r.key: r.fault is None for r in articles.article_faults(d).collect()} == {"a": True, "b": False, "c": False}
+    answers = ["{}", "x", '{"esearchresult": {"ERROR": "e"}}', '{"esearchresult": {"idlist": []}}', '{"esearchresult": 3}', ""]
+    judged = articles.search_faults(spark.createDataFrame(list(enumerate(answers)), "key int, payload string")).orderBy("key").collect()
+    assert [r.fault is None for r in judged] == [False, False, False, True, False, False] and judged[2].fault.endswith(": e")
 
 
 def test_query_text():
     plain = articles.query("RETINOL", ("skin",), ("acne", "cosmetic*"))
     assert plain.startswith('"retinol"[tiab] AND (skin[tiab]) AND (acne[tiab] OR cosmetic*[tiab]) AND "open access"[filter]')
-    assert articles.query("CERAMIDE NP", ("skin",), ("acne",), ("ceramide np", "ceramides")).startswith('("ceramide np"[tiab] OR "ceramides"[tiab]) AND')
+    assert articles.query("CERAMIDE NP", ("skin",), ("acne",), synonyms=("ceramide np", "ceramides")).startswith('("ceramide np"[tiab] OR "ceramides"[tiab]) AND')
     with pytest.raises(articles.MissingAddressError):
-        articles.caller(config.Settings())
-    assert articles.caller(config.Settings(paper_email="a@b.c", paper_key="k"))["api_key"] == "k"
-
-
-def test_rate_limiter_and_retries():
-    now, slept = [0.0], []
-
-    def sleep(s):
-        slept.append(round(s, 6))
-        now[0] += s
-
-    limiter = http.RateLimiter(2.0, clock=lambda: now[0], sleep=sleep)
-    limiter.wait()
-    limiter.wait()
-    now[0] += 10
-    limiter.wait()
-    limiter.wait()
-    assert slept == [0.5, 0.5]
-    answers = iter([(503, {}, b""), (429, {"Retry-After": "7"}, b""), (200, {}, b"ok")])
-    waits = []
-    free = http.RateLimiter(1e9)
-    request = urllib.request.Request("http://localhost/")
-    assert http.send(lambda r: next(answers), free, request, max_retries=4, backoff_seconds=1.0, sleep=waits.append) == b"ok" and waits == [1.0, 7]
-    waits.clear()
+        articles.caller(config.Papers(), "t")
+    assert articles.caller(config.Papers(email="a@b.c", key="k"), "t") == {"tool": "t", "email": "a@b.c", "api_key": "k"}
+    assert "api_key" not in articles.caller(config.Papers(email="a@b.c"), "t")
+
+
+def test_settings():
+    got = config.from_environment({"TESSERA_DATA": "/d", "TESSERA_PAPERS_RATE": "3", "TESSERA_PRODUCTS_ENGLISH_FIRST": "no", "TESSERA_REGISTRY_PAGES": "7", "OTHER": "x"})
+    assert got == config.Settings(data="/d", papers=config.Papers(rate=3.0), products=config.Products(english_first=False), registry=config.Registry(pages=7))
+
+
+def test_pace_and_retries():
+    now = [0.0]
+    pace, waits = http.Pace(2.0, clock=lambda: now[0]), []
+    for step in (0, 0, 10.5, 0, 0):
+        now[0] += step
+        waits.append(round(pace.turn(), 6))
+        now[0] += waits[-1]
+    assert waits == [0, 0.5, 0, 0.5, 0.5]
+    request, slept = urllib.request.Request("http://localhost/"), []
+
+    def asked(answers, tries):
+        slept.clear()
+        left = iter(answers)
+        return http.asking(lambda r: next(left), http.Pace(1e12), tries=tries, first_pause=1.0, sleep=lambda x: slept.append(round(x, 3)) if x > 0.001 else None)(request)
+
+    assert asked([(503, {}, b""), (429, {"Retry-After": "7"}, b""), (503, {}, b""), (200, {}, b"ok")], 5) == b"ok" and slept == [1.0, 7, 4.0]
     with pytest.raises(http.StatusError):
-        http.send(lambda r: (500, {}, b""), free, request, max_retries=2, backoff_seconds=1.0, sleep=waits.append)
-    assert waits == [1.0, 2.0]
+        asked([(500, {}, b"")] * 9, 3)
+    assert slept == [1.0, 2.0]
     with pytest.raises(http.StatusError):
-        http.send(lambda r: (404, {}, b""), free, request, max_retries=2, backoff_seconds=1.0, sleep=waits.append)
-    assert len(waits) == 2
+        asked([(404, {}, b"")], 3)
+    assert slept == []
 
 
 def test_snapshots(spark, tmp_path):
     root, day = str(tmp_path), dt.date
-    first = http.Snapshots(spark, root, "s", today=day(2026, 1, 1))
-    assert first.fetch("k", lambda: b"one") == b"one" and first.fetch("k", lambda: b"two") == b"one"
-    assert (first.hits, first.misses) == (1, 1)
-    later = http.Snapshots(spark, root, "s", today=day(2026, 1, 5))
-    assert later.fetch("k", lambda: b"two") == b"one"
-    fresh = http.Snapshots(spark, root, "s", refresh=True, today=day(2026, 1, 5))
-    assert fresh.fetch("k", lambda: b"three") == b"three"
-    assert http.Snapshots(spark, root, "s").get("k") == b"three"
-
-    def bad(payload):
-        if payload != b"good":
-            raise ValueError("bad")
-
-    with pytest.raises(ValueError, match="bad"):
-        fresh.fetch("n", lambda: b"bad", bad)
-    assert fresh.get("n") is None
-    assert fresh.fetch("k", lambda: b"good", bad) == b"good" and fresh.get("k") == b"good"
-    assert [(r.key, r.payload) for r in fresh.read().collect()] == [("k", "good")]
+    none = lambda d: d.select("key", F.lit(None).cast("string").alias("fault"))
+    good = lambda d: d.select("key", F.when(F.col("payload") != "good", "bad").alias("fault"))
+    held = lambda s: {r.key: r.payload for r in s.read().collect()}
+    first = http.Snapshots(spark, root, "s", day=day(2026, 1, 1))
+    assert first.gather({"k": lambda: b"one"}, none) == {} and first.gather({"k": lambda: b"two"}, none) == {} and held(first) == {"k": "one"}
+    assert first.used == {"stored": 1, "asked": 1}
+    later = http.Snapshots(spark, root, "s", day=day(2026, 1, 5))
+    assert later.gather({"k": lambda: b"two"}, none) == {} and held(later) == {"k": "one"}
+    fresh = http.Snapshots(spark, root, "s", new=True, day=day(2026, 1, 5))
+    assert fresh.gather({"k": lambda: b"three"}, none) == {} and held(http.Snapshots(spark, root, "s")) == {"k": "three"}
+
+    def gone():
+        raise http.StatusError(404)
+
+    wrong = fresh.gather({"n": lambda: b"bad", "k": lambda: b"good", "m": gone}, good)
+    assert wrong["n"] == "bad" and isinstance(wrong["m"], http.StatusError) and len(wrong) == 2
+    assert held(fresh) == {"k": "good"} and fresh.used == {"stored": 0, "asked": 4}
 
 
 @pytest.fixture
@@ -175,7 +176,12 @@ def context(spark, tmp_path, dump):
             return 404, {}, b""
         return 200, {}, (ARTICLES if "id=1" in url else article(PMC.format("pmc", "3"))).encode()
 
-    s = config.Settings(data_dir=str(tmp_path / "data"), registry_url="http://registry", paper_url="http://papers", paper_email="a@b.c", product_dump=dump, registry_pages=1, registry_requests_per_second=1e9, paper_key="", product_limit=5)
+    s = config.Settings(
+        data=str(tmp_path / "data"),
+        registry=config.Registry(url="http://registry", pages=1, rate=1e9),
+        papers=config.Papers(url="http://papers", email="a@b.c"),
+        products=config.Products(dump=dump, most=5),
+    )
     c = jobs.Context(spark, s, store.Store(spark, str(tmp_path / "store")), open_, seeds=("RETINOL", "PANTHENOL"), sleep=lambda _: None)
     c.asked = asked
     return c
@@ -194,7 +200,7 @@ def test_products_job(context):
     context.options = jobs.Options(prune=True)
     stats = jobs.run(context, "products")
     assert (stats.counts["fetched"], stats.counts["inserted"], stats.counts["pruned"], stats.counts["english_names"]) == (2, 2, 0, 2)
-    assert stats.counts["seed:RETINOL"] == 1 and any(e.startswith("LOW coverage: PANTHENOL") for e in stats.errors)
+    assert stats.counts["seed:RETINOL"] == 1 and "too few products: 0 of PANTHENOL" in stats.errors
     assert {r.source_id for r in context.store.read(TABLES["products"]).collect()} == {"1", "6"}
 
 
@@ -203,7 +209,7 @@ def test_papers_job(context):
     stats = jobs.run(context, "papers")
     assert (stats.counts["fetched"], stats.counts["fetch_errors"], stats.counts["rejected_license"]) == (2, 1, 2)
     assert stats.counts["seed:RETINOL"] == 2 and stats.counts["seed:PANTHENOL"] == 1
-    assert "prune skipped: the fetch was incomplete" in stats.errors and "pruned" not in stats.counts
+    assert "not pruned: 1 answers are missing" in stats.errors and "pruned" not in stats.counts
     got = {r.source_id: r.title for r in context.store.read(TABLES["documents"]).collect()}
     assert got == {"PMC1": "A nice title", "PMC3": "T"}
 
@@ -213,10 +219,11 @@ def test_a_failed_job_leaves_no_rows(context):
     with pytest.raises(ValueError, match="not a search result"):
         jobs.run(context, "ingredients")
     assert context.store.versions(TABLES["ingredients"]) == []
-    from tessera.operators.runs import current
+    from tessera.operators.runs import current, of
 
     [run] = current(context.spark.read.parquet(f"{context.store.root}/ingestion_runs")).collect()
     assert run.status == "failed" and run.errors
+    assert [r.status for r in of(context.spark.read.parquet(f"{context.store.root}/ingestion_runs"), run.run_id).collect()] == ["failed"]
 
 
 def test_tables(spark):
