@@ -28,8 +28,35 @@ def share(rows: DataFrame, **conditions: Column) -> DataFrame:
     return rows.agg(*(F.avg(c.cast("double")).alias(n) for n, c in conditions.items()))
 
 
-def latency(rows: DataFrame, value: str, by: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.percentile(value, F.lit(0.95)).alias("p95"))
+BINS = 4096
+
+
+def latency(rows: DataFrame, value: str, by: str, share: float = 0.95) -> DataFrame:
+    """by, p95: the exact quantile of each group, interpolated between its neighbours; nulls don't count.
+
+    No task holds a group's values: values are counted in bins between the least and greatest, and only the one or two
+    bins with the wanted places are put in order.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+    edges = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    place = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+    binned = given.alias("a").join(edges.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g"))).select("b.g", "v", "n", F.coalesce(place, F.lit(0)).alias("bin"))
+    counts = binned.groupBy("g", "bin", "n").agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))  # a group has BINS rows here at most
+    at = (F.col("n") - 1) * F.lit(share)
+    wanted = counts.where((F.ceil(at) >= F.col("before")) & (F.floor(at) < F.col("before") + F.col("held"))).select(F.col("g").alias("wg"), F.col("bin").alias("wbin"), "before")
+    held = binned.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("bin") == F.col("wbin")))
+    ranked = held.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("g", "bin").orderBy("v")) - 1)
+    low, high = (F.max(F.when(F.col("k") == f(at), F.col("v"))) for f in (F.floor, F.ceil))
+    found = ranked.groupBy("g", "n").agg(low.alias("x"), high.alias("y"))
+    return found.select(F.col("g").alias(by), (F.col("x") + (F.col("y") - F.col("x")) * (at - F.floor(at))).alias("p95"))
+
+
+def cost(calls: DataFrame, prices: DataFrame, by: str) -> DataFrame:
+    """by, calls, cost, mean: what the answers of each kind cost; calls: call, by, part, units; prices: part, price of a unit, a row for each part of the service."""
+    priced = calls.join(F.broadcast(prices), "part")
+    return priced.groupBy(by).agg(F.countDistinct("call").alias("calls"), F.sum(F.col("units") * F.col("price")).alias("cost")).withColumn("mean", F.col("cost") / F.col("calls"))
 
 
 def gate(metrics: DataFrame, order: str, value: str, most: float = 3.0) -> DataFrame:

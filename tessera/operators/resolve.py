@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.relational import top
+from tessera.operators.shared import kept
 
 ACCEPT = 92  # of 100
 CANDIDATES = 5
@@ -67,11 +68,30 @@ def trigram_pairs(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     return named.select("left_id", "right_id", "l_name", "r_name", "similarity")
 
 
+def subset_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, l_name, r_name of names (id, name) of which one has all words of the other: an equi-join on the smaller one's rarest word."""
+    sets = lambda d, side: d.select(F.col("name").alias(f"{side}_name")).distinct().withColumn(f"{side}_words", F.array_sort(F.array_distinct(text.words(F.col(f"{side}_name"))))).where(F.size(f"{side}_words") > 0)
+    a, b = sets(left, "l"), sets(right, "r")
+    each = lambda d, side: d.select(f"{side}_name", F.explode(f"{side}_words").alias("word"))
+    often = each(a, "l").union(each(b, "r")).groupBy("word").agg(F.count("*").alias("often"))
+    rarest = lambda d, side: each(d, side).join(often, "word").groupBy(f"{side}_name").agg(F.min(F.struct("often", "word")).alias("m")).select(f"{side}_name", F.col("m.word").alias("word"))
+    met = rarest(a, "l").join(each(b, "r"), "word").select("l_name", "r_name").union(rarest(b, "r").join(each(a, "l"), "word").select("l_name", "r_name")).distinct()
+    both = met.join(a, "l_name").join(b, "r_name")
+    shared = F.size(F.array_intersect("l_words", "r_words"))
+    held = both.where(shared == F.least(F.size("l_words"), F.size("r_words"))).select("l_name", "r_name")
+    return held.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("l_name")), "l_name").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("r_name")), "r_name").select("left_id", "right_id", "l_name", "r_name")
+
+
 def fuzzy(parts: DataFrame, aliases: DataFrame, accept: float = ACCEPT, least: float = 0.3) -> DataFrame:
-    """mention_id, part, entity_id, score: the best alias by token-set ratio among those that share trigrams, if it is good enough."""
+    """mention_id, part, entity_id, score: the best alias by token-set ratio, if it is good enough.
+
+    Scored are aliases whose trigram similarity is `least` or more, and those whose words hold all of the mention's or
+    are all among them, however long either is. The first by score, then trigram similarity, then least entity.
+    """
     keyed = parts.select(F.struct("mention_id", "part").alias("id"), "name")
     named = aliases.select(F.col("entity_id").alias("id"), text.normalise_mention(F.col("alias")).alias("name")).distinct()
-    scored = trigram_pairs(keyed, named, least).withColumn("score", token_set_ratio(F.col("l_name"), F.col("r_name"))).where(F.col("score") >= accept)
+    near = trigram_pairs(keyed, named, least).unionByName(subset_pairs(keyed, named).withColumn("similarity", F.lit(0.0)))
+    scored = near.withColumn("score", token_set_ratio(F.col("l_name"), F.col("r_name"))).where(F.col("score") >= accept)
     best = scored.groupBy("left_id").agg(F.max(F.struct("score", "similarity", (-F.col("right_id")).alias("r"))).alias("b"))
     return best.select("left_id.*", (-F.col("b.r")).alias("entity_id"), F.col("b.score").alias("score"))
 
@@ -108,9 +128,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> Data
                 least = min(k, scores.shape[1])
                 floor = np.partition(scores, -least, axis=1)[:, -least]
                 q, at = np.nonzero(scores >= floor[:, None] - 1e-9)  # with all ties
-                yield pd.DataFrame({"query_id": np.array(ids)[q], "id": batch["id"].to_numpy()[at], "score": scores[q, at]})
+                yield pd.DataFrame({"query_id": [ids[n] for n in q], "id": batch["id"].to_numpy()[at], "score": scores[q, at]})
 
         found = vectors.select("id", "vector").mapInPandas(scored, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        if n > 1:  # one block is held at a time
+            found = kept(top(found, k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id")).drop("rank"))
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return top(out, k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id"))
 
@@ -140,8 +163,26 @@ def adjudicate(candidates: DataFrame, judge: Judge | None = None) -> DataFrame:
     return candidates.select("mention_id", "part", chosen.alias("entity_id")).where("entity_id is not null")
 
 
-def cascade(mentions: DataFrame, aliases: DataFrame, *, id: str = "mention_id", mention: str = "mention", judged: DataFrame | None = None) -> DataFrame:
-    """mention_id, part, name, entity_id, stage (exact, fuzzy, judged or unresolved): each stage sees what the ones before left."""
+def embedded(names: DataFrame, mention_vectors: DataFrame, entity_vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """mention_id, part, name, names, ids, scores: the k entities nearest to each name, best first; candidates for a judge, never an answer.
+
+    mention_vectors: name, vector; entity_vectors: id, name, vector.
+    """
+    asked = names.join(mention_vectors, "name").select(F.struct("mention_id", "part", "name").alias("query_id"), "vector")
+    found = nearest(asked, entity_vectors.select("id", "vector"), k).join(entity_vectors.select("id", F.col("name").alias("entity")), "id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "entity", "id", "score")))
+    grouped = found.groupBy("query_id").agg(ordered.alias("c"))
+    return grouped.select("query_id.*", F.col("c.entity").alias("names"), F.col("c.id").alias("ids"), F.col("c.score").alias("scores"))
+
+
+def cascade(
+    mentions: DataFrame, aliases: DataFrame, *, id: str = "mention_id", mention: str = "mention", judged: DataFrame | None = None, mention_vectors: DataFrame | None = None, entity_vectors: DataFrame | None = None, judge: Judge | None = None
+) -> DataFrame:
+    """mention_id, part, name, entity_id, stage (exact, fuzzy, judged or unresolved): each stage sees what the ones before left.
+
+    judged: earlier decisions (name, entity_id). With vectors, what is left then gets its nearest entities as candidates,
+    of which the judge names one or none.
+    """
     parts = mention_parts(mentions, id, mention)
     names = parts.select("name").distinct().select(F.xxhash64("name").alias("mention_id"), F.lit(0).alias("part"), "name")  # each name once
     one = exact(names, aliases).withColumn("stage", F.lit("exact"))
@@ -151,9 +192,17 @@ def cascade(mentions: DataFrame, aliases: DataFrame, *, id: str = "mention_id",
     if judged is not None:
         three = judged.select(F.xxhash64("name").alias("mention_id"), F.lit(0).alias("part"), "entity_id", F.lit("judged").alias("stage"))
         found = found.unionByName(three.join(found, "mention_id", "left_anti"))
+    if mention_vectors is not None and entity_vectors is not None:
+        candidates = embedded(kept(names.join(found, "mention_id", "left_anti")), mention_vectors, entity_vectors)
+        found = found.unionByName(adjudicate(candidates, judge).withColumn("stage", F.lit("judged")))
     known = names.join(found.drop("part"), "mention_id", "left").select("name", "entity_id", F.coalesce("stage", F.lit("unresolved")).alias("stage"))
     return parts.join(known, "name").select("mention_id", "part", "name", "entity_id", "stage")
 
 
+def review_queue(resolved: DataFrame) -> DataFrame:
+    """name, n: what no stage is sure of, and how many mentions wait for it."""
+    return resolved.where("stage = 'unresolved'").groupBy("name").agg(F.count("*").alias("n"))
+
+
 def stages(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("stage").agg(F.count("*").alias("n"))

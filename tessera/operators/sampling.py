@@ -25,9 +25,11 @@ def bounded(rows: DataFrame, seeds: Sequence[str], column: str, *, min_per_seed:
     """id, the order columns as o0, o1 and so on, and the seeds of the rows that can be chosen."""
     by = [f"o{n}" for n in range(len(order))]
     named = rows.select(F.col(id).alias("id"), *(F.col(c).alias(o) for c, o in zip(order, by, strict=True)), text.matched(F.col(column), seeds).alias("seeds"))
-    first = named.select("*", F.explode("seeds").alias("seed"))
-    quota = top(first, max(min_per_seed, 0), ["seed"], *(F.col(c).asc() for c in by)).drop("seed", "rank")
-    return quota.unionByName(named.orderBy(*by).limit(max(limit, 0))).dropDuplicates(["id"])
+    # The fill is one more list beside those of the seeds, so that the texts are matched once; a task keeps the head of each list alone.
+    listed = named.select("*", F.explode(F.concat("seeds", F.array(F.lit(None).cast("string")))).alias("list"))
+    most = F.when(F.col("list").isNull(), limit).otherwise(min_per_seed)
+    heads = top(listed, max(min_per_seed, limit, 0), ["list"], *(F.col(c).asc() for c in by)).where(F.col("rank") <= most)
+    return heads.drop("list", "rank").dropDuplicates(["id"])
 
 
 def choose(rows: pd.DataFrame, seeds: Sequence[str], min_per_seed: int, limit: int) -> list:

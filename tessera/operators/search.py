@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.relational import top
+from tessera.operators.shared import kept
 
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -37,14 +38,13 @@ def about(tags: Column, ids: Sequence[int], every: bool) -> Column:
 def bm25(documents: DataFrame, terms: Sequence[str], k: int = 30, id: str = "id", body: str = "text") -> DataFrame:
     """id, score, rank: the k best texts for the terms.
 
-    One pass: term frequencies of the few terms are counted in place, so nothing is exploded but the terms; the
-    corpus figures are one row. Texts without any term don't count as hits.
+    One pass over the texts, without making their words: what is kept of each is its length and how often it has each
+    term. The corpus figures and the scores come from that; they are one row. Texts without any term don't count as hits.
     """
     terms = sorted({t.lower() for t in terms})
-    counted = documents.select(F.col(id).alias("id"), text.words(F.col(body)).alias("w"))
-    times = lambda term: F.size(F.filter("w", lambda x: x == term))
-    tf = [times(t).alias(f"tf{n}") for n, t in enumerate(terms)]
-    rows = counted.select("id", F.size("w").alias("length"), *tf)
+    low = documents.select(F.col(id).alias("id"), F.lower(body).alias("low"))
+    tf = [F.regexp_count("low", F.lit(text.word_pattern(t))).alias(f"tf{n}") for n, t in enumerate(terms)]
+    rows = kept(low.select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("length"), *tf))
     totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{n}") > 0).alias(f"df{n}") for n in range(len(terms))))
     score = F.lit(0.0)
     for n in range(len(terms)):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import relational, sampling, store
+from tessera.operators import relational, runs, sampling, shared, store
 from tessera.sources import articles, products, registry
 
 WORDS = ("the", "und", "que", "les", "licensed", "trash")
@@ -205,13 +205,74 @@ WHERE o_orderpriority <> '1-URGENT' OR o_orderkey IN (SELECT l_orderkey FROM lin
 """
 
 
+def _run_log(spark, sf_dir) -> DataFrame:
+    """Events as entries of a run log: of three one hasn't ended."""
+    ts = F.col("ts").cast("timestamp")
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.lit("dag").alias("dag"),
+        F.timestamp_micros(F.unix_micros(ts) * 100 + F.col("event_id") % 97).alias("started_at"),
+        F.col("event_type").alias("status"),
+        F.create_map(F.lit("event"), F.col("event_id")).alias("counts"),
+        F.when(F.col("event_id") % 3 > 0, F.date_trunc("day", ts)).alias("finished_at"),
+    )
+
+
+_RUN_LOG_SQL = "(SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) * 100 + event_id % 97 AS started, event_id, event_type, CASE WHEN event_id % 3 > 0 THEN date_trunc('day', ts) END AS finished FROM events)"
+
+
 def q16_run_log_latest(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
-    return last.select("user_id", "r.event_id", "r.event_type")
+    return runs.current(_run_log(spark, sf_dir)).select("run_id", F.col("counts")["event"].alias("event_id"), F.col("status").alias("event_type"))
+
+
+Q16 = f"SELECT run_id, event_id, event_type FROM {_RUN_LOG_SQL} QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY coalesce(finished, TIMESTAMP '1970-01-01') DESC, started DESC) = 1"
+
+
+def q48_run_by_id(spark, sf_dir):
+    return runs.of(_run_log(spark, sf_dir), "7").select("run_id", F.col("counts")["event"].alias("event_id"))
+
+
+Q48 = f"SELECT run_id, event_id FROM {_RUN_LOG_SQL} WHERE run_id = '7' ORDER BY coalesce(finished, TIMESTAMP '1970-01-01') DESC, started DESC LIMIT 1"
+
+
+def q49_dump_sample(spark, sf_dir):
+    """A dump as it is read: gzipped lines, blank ones among them, to the first eligible product of each code, then the quota sample."""
+    part = _table(spark, sf_dir, "part")
+    record = F.to_json(
+        F.struct(
+            (F.col("p_partkey") % 50).cast("string").alias("code"), F.col("p_name").alias("product_name"), F.array(F.lit("en:face"), F.lower("p_type")).alias("categories_tags"),
+            F.when(F.col("p_size") > 5, F.concat_ws(", ", "p_name", "p_type")).alias("ingredients_text"), F.when(F.col("p_size") > 30, "en").otherwise("fr").alias("lang"),
+        )
+    )
+    with shared.folder(spark) as at:
+        lines = part.orderBy("p_partkey").select(F.explode(F.array(record, F.lit("  "))).alias("value"))
+        lines.coalesce(1).write.option("compression", "gzip").text(at)
+        eligible = products.products(products.prune_columns(products.read_dump(spark, at)), "face")
+        first = relational.first_wins(eligible, ["source_id"], ["position"]).withColumn("late", (~F.col("english")).cast("int"))
+        chosen = sampling.quota_sample(first, ("economy", "promo"), "raw_ingredient_text", min_per_seed=3, limit=12, order=["late", "position"], id="source_id")
+        return shared.kept(chosen)
+
+
+Q49 = """
+WITH f AS (SELECT p_partkey % 50 AS code, p_partkey, lower(p_type) AS t, CAST(p_size <= 30 AS INT) AS late FROM part WHERE p_size > 5 QUALIFY row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) = 1),
+o AS (SELECT *, row_number() OVER (ORDER BY late, p_partkey) AS r FROM f),
+a AS (SELECT code, r - r AS list, row_number() OVER (ORDER BY r) AS n FROM o WHERE t LIKE 'economy%' QUALIFY n <= 3),
+b AS (SELECT code, 1 AS list, row_number() OVER (ORDER BY r) AS n FROM o WHERE t LIKE 'promo%' QUALIFY n <= 3),
+c AS (SELECT code, 2 AS list, row_number() OVER (ORDER BY r) AS n FROM o WHERE code NOT IN (SELECT code FROM a UNION ALL SELECT code FROM b))
+SELECT CAST(code AS VARCHAR) AS id, row_number() OVER (ORDER BY list, n) - 1 AS pick FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) QUALIFY pick < 12
+"""
+
+
+def q50_registry_pages(spark, sf_dir):
+    """Pages of search results, each row twice over the pages, and an answer that is an error: the first occurrence of an id counts."""
+    rows = _table(spark, sf_dir, "part").withColumn("metadata", _metadata())
+    rows = rows.select(F.explode(F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 5 + 7)).alias("page"), F.struct("metadata").alias("result"))
+    pages = rows.groupBy("page").agg(F.collect_list("result").alias("results")).select("page", F.to_json(F.struct("results")).alias("payload"))
+    pages = pages.union(spark.createDataFrame([(99, '{"error": "x"}')], "page long, payload string"))
+    return relational.first_wins(registry.parse(pages), ["cosing_id"], ["page", "position"]).select("cosing_id", "page", "inci_name")
 
 
-Q16 = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+Q50 = "SELECT CAST(p_partkey AS VARCHAR) AS cosing_id, p_partkey % 7 AS page, upper(p_name) AS inci_name FROM part WHERE p_type <> 'PROMO'"
 
 
 def q17_counter_map(spark, sf_dir):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, evals, resolve, search
+from tessera.operators import answers, evals, resolve, search, shared
+from tessera.streaming import refresh
 
 TERMS = ("the", "licensed", "trash", "que")
 TAGS = {"the": 1, "licensed": 2, "trash": 3}
@@ -73,6 +74,56 @@ def _nearest(spark, sf_dir, k: int) -> DataFrame:
     return resolve.nearest(queries, vectors, k).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _names(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    part = _table(spark, sf_dir, "part")
+    aliases = part.where("p_size % 2 = 0").groupBy(F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("entity_id"))
+    return _mentions(spark, sf_dir), aliases
+
+
+_PARTS_SQL = Q21.strip().removesuffix("SELECT * FROM c WHERE name <> ''").strip() + ", parts AS (SELECT * FROM c WHERE name <> '')"
+_ALIASES_SQL = "aliases AS (SELECT p_name AS alias, min(p_partkey) AS entity_id FROM part WHERE p_size % 2 = 0 GROUP BY 1)"
+
+
+def q51_exact_alias(spark, sf_dir):
+    mentions, aliases = _names(spark, sf_dir)
+    return resolve.exact(resolve.mention_parts(mentions), aliases).withColumn("part", F.col("part").cast("long"))
+
+
+Q51 = f"{_PARTS_SQL}, {_ALIASES_SQL} SELECT mention_id, part, entity_id FROM parts JOIN aliases ON alias = name"
+
+
+def q52_adjudicate(spark, sf_dir):
+    """Mentions with the nearest vectors as candidates; the judge takes the first of the mention's own label, or none."""
+    import pandas as pd
+
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("string").alias("name"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("mention_id"), F.lit(0).alias("part"), F.concat_ws(":", "name", "vec_id").alias("name"), "vector")  # the stated query set
+    found = resolve.embedded(asked.drop("vector"), asked.select("name", "vector"), e.withColumnRenamed("vec_id", "id").withColumn("name", F.when(F.col("id") % 2 == 0, F.lit("-")).otherwise(F.col("name"))))
+
+    def judge(name: pd.Series, names: pd.Series) -> pd.Series:
+        own = [n.split(":")[0] for n in name]
+        return pd.Series([list(c).index(n) if n in list(c) else None for n, c in zip(own, names, strict=True)], dtype="Int32")
+
+    return resolve.adjudicate(found, judge).select("mention_id", "entity_id")
+
+
+_JUDGED_SQL = """
+j AS (SELECT r.query_id AS mention_id, r.id AS entity_id, r.rank FROM r JOIN v q ON q.vec_id = r.query_id JOIN v o ON o.vec_id = r.id WHERE r.rank <= 5 AND r.id % 2 = 1 AND q.label = o.label)
+"""
+
+
+def q53_review_queue(spark, sf_dir):
+    """The mentions that no alias has, which wait for a reader."""
+    mentions, aliases = _names(spark, sf_dir)
+    parts = resolve.mention_parts(mentions)
+    known = resolve.exact(parts, aliases).withColumn("stage", F.lit("exact"))
+    resolved = parts.join(known.select("mention_id", "part", "stage"), ["mention_id", "part"], "left").withColumn("stage", F.coalesce("stage", F.lit("unresolved")))
+    return resolve.review_queue(resolved)
+
+
+Q53 = f"{_PARTS_SQL}, {_ALIASES_SQL} SELECT name, count(*) AS n FROM parts WHERE name NOT IN (SELECT alias FROM aliases) GROUP BY name"
+
+
 def q24_vector_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, 30).select("query_id", "id", "rank")
 
@@ -84,6 +135,9 @@ r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION
 Q24 = f"WITH {_NEAREST} SELECT query_id, id, rank FROM r WHERE rank <= 30"
 
 
+Q52 = f"WITH {_NEAREST}, {_JUDGED_SQL} SELECT mention_id, arg_min(entity_id, rank) AS entity_id FROM j GROUP BY 1"
+
+
 def _bm25(spark, sf_dir) -> DataFrame:
     return search.bm25(_table(spark, sf_dir, "documents"), TERMS, 30, id="doc_id").withColumn("rank", F.col("rank").cast("long"))
 
@@ -187,6 +241,20 @@ def q32_p95_latency(spark, sf_dir):
 Q32 = "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1"
 
 
+def q54_cost(spark, sf_dir):
+    """What answers cost by route, with texts as the units of two parts of a service."""
+    said = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), F.when(F.col("role") == "user", "in").otherwise("out").alias("part"), F.length("text").alias("units"))
+    calls = said.withColumn("route", F.when(F.col("call") % 3 == 0, "info").otherwise("interaction"))
+    prices = spark.createDataFrame([("in", 0.5), ("out", 2.0)], "part string, price double")
+    return evals.cost(calls, prices, "route").select("route", "calls", F.round("cost", 6).alias("cost"), F.round("mean", 6).alias("mean"))
+
+
+Q54 = """
+WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'info' ELSE 'interaction' END AS route, length(text) * CASE WHEN role = 'user' THEN 0.5 ELSE 2.0 END AS cost FROM conversations)
+SELECT route, count(DISTINCT conv_id) AS calls, round(CAST(sum(cost) AS DOUBLE), 6) AS cost, round(CAST(sum(cost) AS DOUBLE) / count(DISTINCT conv_id), 6) AS mean FROM c GROUP BY route
+"""
+
+
 def q33_regression_gate(spark, sf_dir):
     daily = _table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("metric"))
     return evals.gate(daily, "day", "metric", 1.0)
@@ -207,19 +275,15 @@ Q36 = "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text)
 
 
 def q37_stream_counts(spark, sf_dir):
-    """Events through a stream in micro-batches: each event once, counted by day and kind. A stream has no SQL."""
-    import uuid
-
-    from tessera.streaming import refresh
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Events through a stream in micro-batches: each event once, counted by day and kind. The stream's rows go when the counts are kept."""
     schema = _table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    once = refresh.deduplicated(events, "ts", ["event_id"], "365 days")
-    out = once.select("event_id", "ts", "event_type").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows")
-    out.awaitTermination()
-    return spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{at}/rows").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    with shared.folder(spark) as at:
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+        once = refresh.deduplicated(events, "ts", ["event_id"], "365 days")
+        out = once.select("event_id", "ts", "event_type").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows")
+        out.awaitTermination()
+        rows = spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{at}/rows")
+        return shared.kept(rows.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")))
 
 
 Q37 = "SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL"

@@ -19,10 +19,6 @@ def deduplicated(events: DataFrame, time: str, keys: list[str], delay: str) -> D
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(events: DataFrame, time: str, by: str, length: str, delay: str) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.window(time, length), by).agg(F.count("*").alias("n"))
-
-
 def keep_fresh(papers: DataFrame, store: Store, table: Table, checkpoint: str):
     """A query that upserts each micro-batch of papers that aren't in the table yet. A batch that is run again finds its rows there, so it does nothing."""
 

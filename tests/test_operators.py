@@ -152,6 +152,55 @@ def test_cascade(spark):
     assert {r.stage: r.n for r in resolve.stages(got).collect()} == {"exact": 3, "fuzzy": 1, "judged": 1, "unresolved": 1}
 
 
+def test_fuzzy_finds_subsets_of_any_length(spark):
+    aliases = spark.createDataFrame([("Glycerin USP vegetable derived pharmaceutical grade", 1), ("zinc", 2)], "alias string, entity_id long")
+    mentions = spark.createDataFrame([(1, "glycerin"), (2, "zinc from some far away mine of old"), (3, "copper of old")], "mention_id long, mention string")
+    got = resolve.cascade(mentions, aliases)
+    assert rows(got.select("mention_id", F.coalesce("entity_id", F.lit(-1)), "stage")) == [(1, 1, "fuzzy"), (2, 2, "fuzzy"), (3, -1, "unresolved")]
+    assert rows(resolve.review_queue(got)) == [("copper of old", 1)]
+
+
+def test_cascade_with_embeddings(spark):
+    import pandas as pd
+
+    aliases = spark.createDataFrame([("niacinamide", 1), ("retinol", 2)], "alias string, entity_id long")
+    mentions = spark.createDataFrame([(1, "vitamin b3"), (2, "retinol"), (3, "nothing"), (4, "vitamin B3 2%")], "mention_id long, mention string")
+    asked = spark.createDataFrame([("vitamin b3", [1.0, 0.1]), ("nothing", [0.0, 1.0]), ("retinol", [1.0, 1.0])], "name string, vector array<double>")
+    entities = spark.createDataFrame([(1, "niacinamide", [1.0, 0.0]), (2, "retinol", [0.0, 1.0])], "id long, name string, vector array<double>")
+    judge = lambda name, names: pd.Series([0 if n == "vitamin b3" else None for n in name], dtype="Int32")
+    run = lambda **more: rows(resolve.cascade(mentions, aliases, mention_vectors=asked, entity_vectors=entities, **more).select("mention_id", F.coalesce("entity_id", F.lit(-1)), "stage"))
+    assert run(judge=judge) == [(1, 1, "judged"), (2, 2, "exact"), (3, -1, "unresolved"), (4, 1, "judged")]
+    assert run() == [(1, -1, "unresolved"), (2, 2, "exact"), (3, -1, "unresolved"), (4, -1, "unresolved")]
+
+
+def test_quantile_is_exact(spark):
+    r = random.Random(3)
+    data = [(g, v) for g in ("a", "b", None) for v in [round(r.gauss(0, 5), 1) for _ in range(r.randint(1, 300))] + [None, 1000.0]] + [("c", 2.0), ("d", None)]
+    d = spark.createDataFrame(data, "g string, v double")
+    exact = {x.g: x.p for x in d.where("v is not null").groupBy("g").agg(F.percentile("v", F.lit(0.95)).alias("p")).collect()}
+    got = {x.g: x.p95 for x in evals.latency(d, "v", "g").collect()}
+    assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) < 1e-9 for k in exact)
+
+
+def test_api(spark, tmp_path):
+    from tessera.plans import api
+
+    chunks = spark.createDataFrame([(1, "retinol and niacinamide together are fine"), (2, "retinol alone at night"), (3, "water")], "chunk_id long, text string")
+    known = spark.createDataFrame([(2, 1, "fine", "small study", True)], "a long, b long, effect string, evidence string, reviewed boolean")
+    names = {"retinol": 1, "niacinamide": 2}
+    got = api.ask("Can I layer retinol with niacinamide?", chunks, names, known).collect()
+    assert [(x.route, x.effect, x.chunk_id, x.rank) for x in got] == [("interaction", "fine", "1", 1)]
+    got = api.ask("what is retinol", chunks, names, known).orderBy("rank").collect()
+    assert sorted((x.route, x.effect, x.chunk_id) for x in got) == [("info", None, "1"), ("info", None, "2")]
+    assert [(x.route, x.chunk_id) for x in api.ask("severe infection", chunks, names, known).collect()] == [("refused", None)]
+    positions = spark.createDataFrame([("p", 1), ("q", 2), ("r", 9)], "product_id string, entity_id long")
+    assert rows(api.check_routine(["p", "q"], positions, known)) == [(1, 2, "fine", "small study")] and api.check_routine(["p", "r"], positions, known).count() == 0
+    st = store.Store(spark, str(tmp_path))
+    assert {x.table: x.ready for x in api.ready(st).collect()} == {"ingredients": False, "products": False, "documents": False}
+    store.load(st, TABLES["ingredients"], spark.createDataFrame([("7", "AQUA", ["x"])], "cosing_id string, inci_name string, functions array<string>"))
+    assert [x.inci_name for x in api.ingredient(st, "7").collect()] == ["AQUA"] and api.ingredient(st, "8").count() == 0
+
+
 def test_adjudicate(spark):
     d = spark.createDataFrame([(1, 0, "b", ["a", "b"], [7, 8]), (2, 0, "z", ["a"], [7])], "mention_id long, part int, name string, names array<string>, ids array<long>")
     import pandas as pd
