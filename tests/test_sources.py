@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import json
 import urllib.request
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,15 @@ def test_papers_job(context):
     assert got == {"PMC1": "A nice title", "PMC3": "T"}
 
 
+@pytest.mark.parametrize(("key", "pace"), [("", 2.5), ("k", 8.0)])
+def test_papers_are_asked_at_the_pace_of_the_key(context, monkeypatch, key, pace):
+    seen, kept = [], jobs.Context.asking
+    monkeypatch.setattr(jobs.Context, "asking", lambda self, rate: seen.append(rate) or kept(self, 1e9))
+    context.settings = replace(context.settings, papers=replace(context.settings.papers, key=key))
+    jobs.run(context, "papers")
+    assert seen == [pace]
+
+
 def test_a_failed_job_leaves_no_rows(context):
     context.open_ = lambda request: (200, {}, b'{"error": 1}')
     with pytest.raises(ValueError, match="not a search result"):
