@@ -1,25 +1,30 @@
 """Versioned tables on a shared folder: upsert, prune, both in one swap.
 
-A table is a folder of Parquet versions and of commits. A writer claims the
-number after the last commit by making a file, which only one can, writes that
-version and then makes its commit, so readers see the old rows or all of the
-new ones and no writer's rows are lost. All files are reached through Hadoop's
-file systems, so the folder can be on any of them.
+A table is split by a hash of its key into parts, each a folder of Parquet. A version is a list of the folders of its
+parts: those that its writer has changed are new, the others are an earlier version's. A writer claims the number
+after the last commit by making a file, which only one can, writes the changed parts and the list and then makes its
+commit, so readers see the old rows or all of the new ones and no writer's rows are lost. All files are reached
+through Hadoop's file systems, so the folder can be on any of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Collection, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schemas import Table, violations
 
+PARTS = 16
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """`parts`: into how many parts a new table is split, best some 256 MB each; `commit` with another number splits anew."""
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -30,20 +35,49 @@ class Store:
         files, path = self._path(table.name, "commits")
         return sorted(int(s.getPath().getName()) for s in files.listStatus(path)) if files.exists(path) else []
 
-    def read(self, table: Table, version: int | None = None) -> DataFrame:
-        known = self.versions(table)
-        if version is None and not known:
-            return self.spark.createDataFrame([], table.schema)
-        return self.spark.read.schema(table.schema).parquet(f"{self.root}/{table.name}/v{version or known[-1]}")
-
-    def commit(self, table: Table, rows: DataFrame, base: int | None = None) -> int:
-        """The version after `base` (by default the last); fails if another writer has made or claimed it. A failed write gives its claim back."""
-        number = (base if base is not None else (self.versions(table) or [0])[-1]) + 1
+    def layout(self, table: Table, version: int | None) -> tuple[int, dict[int, int]]:
+        """The number of parts, and for each that has rows the version that wrote it."""
+        if not version:
+            return self.parts, {}
+        found = json.loads(self.spark.read.text(f"{self.root}/{table.name}/lists/{version}", wholetext=True).first()[0])
+        return found["parts"], {int(part): v for part, v in found["written"].items()}
+
+    def read(self, table: Table, version: int | None = None, parts: Collection[int] | None = None) -> DataFrame:
+        """A version's rows, by default the last one's; with `parts` only those of these parts."""
+        _, written = self.layout(table, version or (self.versions(table) or [None])[-1])
+        paths = [f"{self.root}/{table.name}/v{v}/part__={p}" for p, v in sorted(written.items()) if parts is None or p in parts]
+        return self.spark.read.schema(table.schema).parquet(*paths) if paths else self.spark.createDataFrame([], table.schema)
+
+    def touched(self, table: Table, rows: DataFrame, version: int | None = None) -> set[int]:
+        """The parts in which the keys of rows fall; no more numbers come to the driver than there are parts."""
+        count, _ = self.layout(table, version or (self.versions(table) or [None])[-1])
+        return {r[0] for r in rows.select(_part(table, count)).distinct().collect()}
+
+    def commit(self, table: Table, rows: DataFrame, base: int | None = None, replaced: Collection[int] | None = None, parts: int | None = None) -> int:
+        """The version after `base` (by default the last); fails if another writer has made or claimed it. A failed write gives its claim back.
+
+        rows are all of the table's, or with `replaced` all of these parts' alone; the other parts stay as they are.
+        """
+        last = base if base is not None else (self.versions(table) or [0])[-1]
+        number, (count, written) = last + 1, self.layout(table, last)
+        if parts is not None and replaced is None:
+            count = parts
         files, claim = self._path(table.name, "claims", str(number))
         if not files.createNewFile(claim):
             raise RuntimeError(f"{table.name}: version {number} belongs to another writer")
         try:
-            rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema)).write.mode("overwrite").parquet(f"{self.root}/{table.name}/v{number}")
+            typed = rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema)).withColumn("part__", _part(table, count))
+            folder = f"{self.root}/{table.name}/v{number}"
+            typed.repartitionById(count, "part__").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part__").parquet(folder)
+            new = {int(s.getPath().getName().split("=")[1]) for s in files.globStatus(self._path(table.name, f"v{number}", "part__=*")[1])}
+            if replaced is not None and not new <= set(replaced):
+                raise ValueError(f"{table.name}: rows of parts that aren't replaced")
+            stay = {p: v for p, v in written.items() if replaced is not None and p not in replaced}
+            out = files.create(self._path(table.name, "lists", str(number))[1], True)
+            try:
+                out.write(json.dumps({"parts": count, "written": {**stay, **dict.fromkeys(new, number)}}).encode())
+            finally:
+                out.close()
         except BaseException:
             files.delete(claim, False)
             raise
@@ -55,6 +89,27 @@ class Store:
         files, claim = self._path(table.name, "claims", str((self.versions(table) or [0])[-1] + 1))
         files.delete(claim, False)
 
+    def expire(self, table: Table, keep: int = 1) -> list[int]:
+        """Forgets all versions but the last `keep`, and removes the parts that none of these has; who still reads one fails."""
+        known = self.versions(table)
+        gone, stay = known[:-keep] if keep > 0 else [], known[-keep:]
+        used = {(v, p) for version in stay for p, v in self.layout(table, version)[1].items()}
+        for version in gone:
+            for place in ("commits", "lists"):
+                files, path = self._path(table.name, place, str(version))
+                files.delete(path, False)
+        for version in range(1, gone[-1] + 1 if gone else 1):
+            files, folder = self._path(table.name, f"v{version}")
+            held = [s.getPath() for s in files.globStatus(self._path(table.name, f"v{version}", "part__=*")[1]) or []]
+            old = [path for path in held if (version, int(path.getName().split("=")[1])) not in used]
+            for path in old if len(old) < len(held) else [folder]:
+                files.delete(path, True)
+        return gone
+
+
+def _part(table: Table, count: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast(table.schema[k].dataType) for k in table.key)), F.lit(count)).cast("int")
+
 
 def upsert_rows(target: DataFrame, staged: DataFrame, key: Sequence[str], preserve: Sequence[str] = ()) -> DataFrame:
     """The columns of target, and action: inserted, updated (even if nothing differs) or kept.
@@ -96,7 +151,10 @@ def pruned(rows: DataFrame, source: str, keep: DataFrame) -> DataFrame:
 
 
 def load(store: Store, table: Table, staged: DataFrame, *, prune_source: str | None = None, preserve: Sequence[str] = ()) -> dict[str, int]:
-    """Upserts staged rows, and with prune_source drops that source's other rows, in one version. Counts of inserted, updated and pruned rows."""
+    """Upserts staged rows, and with prune_source drops that source's other rows, in one version. Counts of inserted, updated and pruned rows.
+
+    Only the parts with staged or pruned keys are read and written anew.
+    """
     staged = staged.persist()
     try:
         check(table, staged)
@@ -105,12 +163,16 @@ def load(store: Store, table: Table, staged: DataFrame, *, prune_source: str | N
                 raise ValueError(f"refusing to prune every row of {prune_source}: nothing is staged")
             return {"inserted": 0, "updated": 0}
         base = (store.versions(table) or [0])[-1]
-        merged = upsert_rows(store.read(table, base or None), staged, table.key, preserve)
+        parts = store.touched(table, staged, base)
+        if prune_source is not None:
+            gone = store.read(table, base).where(F.col("source") == prune_source).join(staged.select(*table.key), list(table.key), "left_anti")
+            parts |= store.touched(table, gone, base)
+        merged = upsert_rows(store.read(table, base, parts), staged, table.key, preserve)
         is_gone = (F.col("action") == "kept") & (F.col("source") == prune_source) if prune_source is not None else F.lit(False)
         marked = merged.withColumn("action", F.when(is_gone, "pruned").otherwise(F.col("action"))).persist()
         try:
             counts = {r.action: r["count"] for r in marked.groupBy("action").count().collect()}
-            store.commit(table, marked.where("action <> 'pruned'").drop("action"), base)
+            store.commit(table, marked.where("action <> 'pruned'").drop("action"), base, parts)
         finally:
             marked.unpersist()
     finally:

@@ -20,10 +20,14 @@ def deduplicated(events: DataFrame, time: str, keys: list[str], delay: str) -> D
 
 
 def keep_fresh(papers: DataFrame, store: Store, table: Table, checkpoint: str):
-    """A query that upserts each micro-batch of papers that aren't in the table yet. A batch that is run again finds its rows there, so it does nothing."""
+    """A query that upserts each micro-batch of papers that aren't in the table yet. A batch that is run again finds its rows there, so it does nothing.
+
+    Of the table, a batch reads and rewrites the parts that its keys fall in.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        new = unseen(batch, store.read(table), list(table.key)).dropDuplicates(list(table.key))
+        known = store.read(table, parts=store.touched(table, batch))
+        new = unseen(batch, known, list(table.key)).dropDuplicates(list(table.key))
         if new.limit(1).count():
             load(store, table, new)
 

@@ -104,6 +104,35 @@ def test_two_writers(spark, tmp_path):
     assert st.commit(table, rows_) == 3
 
 
+def test_load_rewrites_only_touched_parts(spark, tmp_path):
+    st, table = store.Store(spark, str(tmp_path), parts=8), TABLES["products"]
+    make = lambda *p: spark.createDataFrame(list(p), PRODUCT)
+    ids = [str(i) for i in range(60)]
+    store.load(st, table, make(*(product(i) for i in ids), *(product(i, source="other") for i in ids)))
+    assert st.layout(table, 1) == (8, dict.fromkeys(range(8), 1))
+    one = make(product("7", name="new"))
+    [touched] = st.touched(table, one)
+    assert store.load(st, table, one) == {"inserted": 0, "updated": 1}
+    assert st.layout(table, 2)[1] == {p: 2 if p == touched else 1 for p in range(8)}
+    assert {(r.source, r.source_id) for r in st.read(table).where("name = 'new'").collect()} == {("s", "7")} and st.read(table).count() == 120
+    assert {r.name for r in st.read(table, 1).collect()} == {"n"}
+    # pruning reaches parts without staged keys
+    assert store.load(st, table, one, prune_source="s") == {"inserted": 0, "updated": 1, "pruned": 59}
+    assert rows(st.read(table).groupBy("source").count()) == [("other", 60), ("s", 1)]
+    with pytest.raises(ValueError, match="aren't replaced"):
+        st.commit(table, st.read(table), replaced=[0])
+    assert st.versions(table) == [1, 2, 3]
+    assert st.commit(table, st.read(table), parts=3) == 4 and st.layout(table, 4)[0] == 3
+    assert store.load(st, table, make(product("8"))) == {"inserted": 1, "updated": 0} and st.read(table).count() == 62
+    before = rows(st.read(table).drop("updated_at").fillna("-"))
+    assert st.expire(table, 1) == [1, 2, 3, 4] and st.versions(table) == [5]
+    assert rows(st.read(table).drop("updated_at").fillna("-")) == before
+    assert sorted(f.name for f in (tmp_path / table.name).glob("v*")) == ["v4", "v5"] and st.expire(table) == []
+    # all rows of a table can go
+    assert st.commit(table, st.read(table).where("false")) == 6 and st.read(table).count() == 0
+    assert store.load(st, table, make(product("1"))) == {"inserted": 1, "updated": 0}
+
+
 def test_pruned_needs_equal_source(spark):
     d = spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "1"), (None, "3")], "source string, source_id string")
     left = store.pruned(d, "s", spark.createDataFrame([("2",)], "source_id string"))
