@@ -30,6 +30,10 @@ SAMPLE_ROWS = 500
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
+_LETTERS = np.zeros(256, bool)  # ASCII letters, and bytes of any character beyond ASCII
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BULLETS = (b"-", b"*", "•".encode())
+_ELLIPSES = (b"...", "…".encode())
 
 
 class Text:
@@ -58,6 +62,21 @@ class Text:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def n_letter_words(self) -> int:
+        if not self.n_words:
+            return 0
+        edges = np.stack([self.words.start, self.words.end], 1).ravel()
+        return int(np.count_nonzero(np.logical_or.reduceat(np.append(_LETTERS[self.data], False), edges)[::2]))
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip().startswith(_BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return sum(x.rstrip().endswith(_ELLIPSES) for x in self.lines)
+
     @cached_property
     def n_repeat_words(self) -> int:
         keys = _words.windows(self.words.hash, 3)
@@ -83,6 +102,9 @@ RULES = (
     Rule("repeats", lambda t: 100 * t.n_repeat_words > 50 * t.n_words, base=True),
     Rule("symbols", lambda t: 10 * t.n_symbols > 3 * t.n_words),
     Rule("same_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
+    Rule("few_letters", lambda t: 10 * t.n_letter_words < 8 * t.n_words),
+    Rule("bullets", lambda t: t.n_bullets > 1 and 10 * t.n_bullets > 9 * len(t.lines)),
+    Rule("ellipses", lambda t: t.n_ellipses > 1 and 10 * t.n_ellipses > 3 * len(t.lines)),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
 )
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -62,11 +62,15 @@ m AS (
     CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len([x FOR x IN w IF regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS n_letter_words,
+    len([x FOR x IN lines IF regexp_matches(x, '^[\x20\x09-\x0D]*(-|\*|•)')]) AS n_bullets,
+    len([x FOR x IN lines IF regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')]) AS n_ellipses
   FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_dup_lines <= n_lines AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
+  NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_dup_lines <= n_lines AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+  AND 10 * n_letter_words >= 8 * n_words AND (n_bullets <= 1 OR 10 * n_bullets <= 9 * n_lines) AND (n_ellipses <= 1 OR 10 * n_ellipses <= 3 * n_lines) AS kept
 FROM b
 """
 

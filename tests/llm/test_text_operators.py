@@ -276,6 +276,52 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
 
 
+def verdict(text):
+    """Every rule in plain Python."""
+    text = text or ""
+    w, c = BLANK.findall(text), counts(text)
+    lines = [x.strip(" \t\n\v\f\r") for x in text.split("\n") if BLANK.search(x)]
+    bullets, ellipses = sum(x[0] in "-*•" for x in lines), sum(x.endswith(("...", "…")) for x in lines)
+    letters = sum(any(x.isascii() and x.isalpha() or not x.isascii() for x in word) for word in w)
+    rejected = [
+        c[0] < 50,
+        100 * c[4] > 50 * c[0],
+        10 * c[2] > 3 * c[0],
+        2 * c[3] > len(lines),
+        not 2 * c[0] <= c[1] <= 20 * c[0],
+        10 * letters < 8 * c[0],
+        bullets > 1 and 10 * bullets > 9 * len(lines),
+        ellipses > 1 and 10 * ellipses > 3 * len(lines),
+    ]
+    return not any(rejected)
+
+
+def test_each_rule_by_brute_force(make):
+    listed = lambda mark, n: "\n".join(f" {mark} {prose(100 + k, 12)}" for k in range(n))
+    cut = lambda mark, n: "\n".join(prose(200 + k, 12) + (f"{mark}\r" if k < n else ".") for k in range(6))
+    rows = [
+        *((k, listed(mark, 6)) for k, mark in enumerate("-*•—")),
+        (4, "- " + prose(40, 80)),
+        (5, listed("-", 9) + "\n" + prose(41, 10)),
+        (6, listed("-", 12) + "\n" + prose(42, 10)),
+        *((7 + n, cut("...", n)) for n in range(4)),
+        (11, cut("…", 2)),
+        (12, prose(43, 70) + "..."),
+        (13, prose(44, 60) + " 12 34-5 !" * 6),
+        (14, prose(45, 60) + " 12 34-5 !" * 3),
+        (15, " ".join(["12", "é1"] * 20 + [prose(46, 80)])),
+        (16, "12 34 5678 90 " * 20 + prose(47, 50)),
+        (17, "\x1c1 " + prose(48, 60)),
+    ]
+    got = {x.doc_id: x.kept for x in quality.cascade(make(rows)).collect()}
+    assert got == {i: verdict(t) for i, t in rows}
+    assert {i for i, kept in got.items() if not kept} == {0, 1, 2, 6, 9, 10, 11, 13, 16}
+    for name, rejected in (("bullets", 0), ("ellipses", 9), ("few_letters", 13)):
+        [rule] = [r for r in quality.RULES if r.name == name]
+        [t] = quality._texts(_words.pa.RecordBatch.from_pydict({"text": [dict(rows)[rejected]]}))
+        assert rule.rejects(t)
+
+
 def test_quality(spark, make, odd_rows):
     rows = [*odd_rows, (20, "a b c " * 40), (21, prose(30, 60) + " ## $"), (22, "\n".join([prose(31, 20)] * 2 + [prose(32, 40)])), (23, prose(33, 60) + " #" * 60), (24, " ".join("x" for _ in range(60)) + prose(5, 70))]
     got = quality.cascade(make(rows)).collect()
@@ -287,6 +333,7 @@ def test_quality(spark, make, odd_rows):
     assert sorted((x.doc_id or 0, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in got) == sorted(expected)
     assert all(not (x.kept and x.base_failed) for x in got)
     by = {x.doc_id: x.kept for x in got}
+    assert sorted((x.doc_id or 0, x.kept) for x in got) == sorted((i or 0, verdict(t)) for i, t in rows)
     assert by[1] and by[21] and not by[23] and not by[20]
     short = {x.doc_id: x.kept for x in quality.cascade(make(rows), metrics=False).collect()}
     assert short == by
