@@ -47,6 +47,7 @@ BATCH_BYTES = 6 << 20
 BLOCK_BYTES = 8 << 20  # of passages, whose text overlaps: some OVERLAP times that of the documents
 OVERLAP = 3.3
 HEAVY = 4  # times the mean
+TEXT_LEVEL, HEAD_LEVEL = 5, 3  # of compression; a higher one makes heads larger and texts hardly smaller
 
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("ref_start", "<u4"), ("ref_doc", "<i8")])
 
@@ -226,12 +227,12 @@ def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.
     low, size = found.start[at[new]], found.end[last] - found.start[at[new]]
     heads = np.stack([block.docs[at[new]], at[new] + docs_start[at[new]], size])
     cuts = np.flatnonzero(np.r_[True, np.diff(slot[new]) != 0, True])
-    codec = pa.Codec("zstd", 3)
+    texts, head = pa.Codec("zstd", TEXT_LEVEL), pa.Codec("zstd", HEAD_LEVEL)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         sizes = size[a:b]
         shift = np.repeat(low[a:b] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         text = data[np.arange(int(sizes.sum())) + shift].tobytes()
-        yield int(slot[new[a]]), codec.compress(_planes(heads[:, a:b]), asbytes=True), codec.compress(text, asbytes=True), b - a, len(text)
+        yield int(slot[new[a]]), head.compress(_planes(heads[:, a:b]), asbytes=True), texts.compress(text, asbytes=True), b - a, len(text)
 
 
 def _heavy(source: DataFrame, buckets: int, window: int, anchor: int) -> np.ndarray:
