@@ -72,11 +72,11 @@ def longest_matches(tokens: np.ndarray, docs: np.ndarray, most: int) -> tuple[np
     levels, depth = [rank.astype(np.int32)], 1
     while depth < most and len(tied := np.flatnonzero(~(new & np.r_[new[1:], True]))):
         at = order[tied]
-        own, then = rank[at], rank[np.minimum(at + depth, n)]
-        again = np.lexsort((at, then, own))
-        at, own, then = at[again], own[again], then[again]
+        both = rank[at] * (n + 2) + rank[np.minimum(at + depth, n)] + 1
+        again = np.argsort(both)
+        at, both = at[again], both[again]
         order[tied] = at
-        first = np.r_[True, (own[1:] != own[:-1]) | (then[1:] != then[:-1])]
+        first = np.r_[True, both[1:] != both[:-1]]
         new[tied] = first
         rank[at] = np.maximum.accumulate(np.where(first, tied, 0))
         levels.append(rank.astype(np.int32))
