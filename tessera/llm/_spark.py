@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -33,20 +34,28 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in names.items()))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder in spark.checkpoint.dir. Only a session of one process may leave it unset; then a temporary folder is as good.
-
-    Spark removes checkpoints that nothing refers to any more with spark.cleaner.referenceTracking.cleanCheckpoints.
-    """
-    context = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir. Only a session of one process may leave it unset; then a temporary folder is as good."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         given = context.getConf().get("spark.checkpoint.dir")
         if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the shared folder. Spark removes checkpoints that nothing refers to any more with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

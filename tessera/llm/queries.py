@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, near_dedup, pii, quality, substrings, token_counts, toxicity
-from tessera.llm._spark import table
+from tessera.llm import bpe, chat, decontaminate, html_text, near_dedup, periodic_runs, phrases, pii, quality, sharding, substrings, token_counts, toxicity
+from tessera.llm._spark import columns, shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op9_token_counts, op10_quality_rules)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, slot_map = sharding.digest(table(spark, sf_dir, "documents")), sharding.SlotMap(spark, shared_folder(spark, "slot-map"))
+    slot_map.create(40)
+    version = sharding.rebalance(slot_map, rows, 40)
+    placed = sharding.place(rows, slot_map, version)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, a tenth of the texts made periodic from some word on, as their ids' checksums say; rows with a null id stay."""
+    source = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = source.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    sized = words.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("rest", F.col("n") - F.col("a"))
+    period = placed.withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
+    cycle = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest").cast("int"))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
+    return period.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_periods(table(spark, sf_dir, "documents")))
+    rarer = lambda x, y: (y["length"] * x["period"] > x["length"] * y["period"])
+    best = F.reduce(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)), lambda x, y: F.when(rarer(x, y), y).otherwise(x))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    told = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(F.transform("runs", line), "").alias("lines"))
+    return told.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_minhash_near_dedup, op4_chat_format, op5_byte_bpe, op6_substring_dedup, op7_pii, op8_decontaminate, op9_token_counts, op10_quality_rules, op11_sharding, op12_periodic_runs, op13_phrases)}

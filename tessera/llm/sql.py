@@ -87,4 +87,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-SQL = {"op3_minhash_near_dedup": OP3, "op4_chat_format": OP4, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_quality_rules": OP10}
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, m, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM p, (VALUES (1), (2), (3), (4), (5)) AS sizes(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, x.a AS l, y.a AS r, n, CAST(1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN b z ON z.lang = b.lang AND z.m > b.m AND z.a >= b.a AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' '))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b ANTI JOIN held USING (lang, phrase)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL = {"op13_phrases": OP13, "op3_minhash_near_dedup": OP3, "op4_chat_format": OP4, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_quality_rules": OP10}
