@@ -78,4 +78,4 @@ def test_all_are_registered():
     import __spark_entry__ as entry
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
