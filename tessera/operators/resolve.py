@@ -82,20 +82,42 @@ def subset_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return held.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("l_name")), "l_name").join(right.select(F.col("id").alias("right_id"), F.col("name").alias("r_name")), "r_name").select("left_id", "right_id", "l_name", "r_name")
 
 
+def is_sure(a: Column, b: Column, accept: float = ACCEPT) -> Column:
+    """Whether a token-set ratio may decide: it reaches `accept`, and so does the ratio of all words where one text's are only some of the other's.
+
+    Shared words against the rest make 100 of any text that holds the other ("zinc oxide in water" and "water"), which says nothing on what the rest means.
+    """
+    ta, tb = (F.array_sort(F.array_distinct(text.words(x))) for x in (a, b))
+    whole = 100.0 * (1 - F.levenshtein(F.array_join(ta, " "), F.array_join(tb, " ")) / F.greatest(F.length(F.array_join(ta, " ")), F.length(F.array_join(tb, " ")), F.lit(1)))
+    shared = F.size(F.array_intersect(ta, tb))
+    part = (shared == F.least(F.size(ta), F.size(tb))) & (F.size(ta) != F.size(tb))
+    return (token_set_ratio(a, b) >= accept) & (~part | (whole >= accept))
+
+
 def fuzzy(parts: DataFrame, aliases: DataFrame, accept: float = ACCEPT, least: float = 0.3) -> DataFrame:
     """mention_id, part, entity_id, score: the best alias by token-set ratio, if it is good enough.
 
-    Scored are aliases whose trigram similarity is `least` or more, and those whose words hold all of the mention's or
-    are all among them, however long either is. The first by score, then trigram similarity, then least entity.
+    Scored are aliases whose trigram similarity is `least` or more; which may be accepted, `is_sure` tells. The first by score, then trigram similarity, then least entity.
     """
     keyed = parts.select(F.struct("mention_id", "part").alias("id"), "name")
     named = aliases.select(F.col("entity_id").alias("id"), text.normalise_mention(F.col("alias")).alias("name")).distinct()
-    near = trigram_pairs(keyed, named, least).unionByName(subset_pairs(keyed, named).withColumn("similarity", F.lit(0.0)))
-    scored = near.withColumn("score", token_set_ratio(F.col("l_name"), F.col("r_name"))).where(F.col("score") >= accept)
+    sure = trigram_pairs(keyed, named, least).where(is_sure(F.col("l_name"), F.col("r_name"), accept))
+    scored = sure.withColumn("score", token_set_ratio(F.col("l_name"), F.col("r_name")))
     best = scored.groupBy("left_id").agg(F.max(F.struct("score", "similarity", (-F.col("right_id")).alias("r"))).alias("b"))
     return best.select("left_id.*", (-F.col("b.r")).alias("entity_id"), F.col("b.score").alias("score"))
 
 
+def suggested(parts: DataFrame, aliases: DataFrame, k: int = CANDIDATES, least: float = 0.3) -> DataFrame:
+    """mention_id, part, name, names, ids, scores: candidates for a judge by their text, best first: aliases with similar trigrams, and those whose words hold all of the mention's or are all among them, however long either is."""
+    keyed = parts.select(F.struct("mention_id", "part", "name").alias("id"), "name")
+    named = aliases.select(F.col("entity_id").alias("id"), text.normalise_mention(F.col("alias")).alias("name")).distinct()
+    near = trigram_pairs(keyed, named, least).drop("similarity").union(subset_pairs(keyed, named)).distinct()
+    scored = near.withColumn("score", token_set_ratio(F.col("l_name"), F.col("r_name")))
+    best = top(scored, k, ["left_id"], F.desc(F.round("score", 9)), F.asc("r_name"), F.asc("right_id"))
+    grouped = best.groupBy("left_id").agg(F.array_sort(F.collect_list(F.struct("rank", "r_name", "right_id", "score"))).alias("c"))
+    return grouped.select("left_id.*", F.col("c.r_name").alias("names"), F.col("c.right_id").alias("ids"), F.col("c.score").alias("scores"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -180,8 +202,8 @@ def cascade(
 ) -> DataFrame:
     """mention_id, part, name, entity_id, stage (exact, fuzzy, judged or unresolved): each stage sees what the ones before left.
 
-    judged: earlier decisions (name, entity_id). With vectors, what is left then gets its nearest entities as candidates,
-    of which the judge names one or none.
+    judged: earlier decisions (name, entity_id). With a judge, what is left then gets candidates, by text and with vectors
+    also the nearest entities, of which the judge names one or none; `learned` makes aliases of its decisions.
     """
     parts = mention_parts(mentions, id, mention)
     names = parts.select("name").distinct().select(F.xxhash64("name").alias("mention_id"), F.lit(0).alias("part"), "name")  # each name once
@@ -192,13 +214,24 @@ def cascade(
     if judged is not None:
         three = judged.select(F.xxhash64("name").alias("mention_id"), F.lit(0).alias("part"), "entity_id", F.lit("judged").alias("stage"))
         found = found.unionByName(three.join(found, "mention_id", "left_anti"))
-    if mention_vectors is not None and entity_vectors is not None:
-        candidates = embedded(kept(names.join(found, "mention_id", "left_anti")), mention_vectors, entity_vectors)
+    if judge is not None:
+        waiting = kept(names.join(found, "mention_id", "left_anti"))
+        candidates = suggested(waiting, aliases)
+        if mention_vectors is not None and entity_vectors is not None:
+            candidates = candidates.unionByName(embedded(waiting, mention_vectors, entity_vectors))
+            both = candidates.groupBy("mention_id", "part", "name").agg(F.array_sort(F.collect_list(F.struct("names", "ids", "scores"))).alias("c"))
+            candidates = both.select("mention_id", "part", "name", *(F.flatten(f"c.{n}").alias(n) for n in ("names", "ids", "scores")))
         found = found.unionByName(adjudicate(candidates, judge).withColumn("stage", F.lit("judged")))
     known = names.join(found.drop("part"), "mention_id", "left").select("name", "entity_id", F.coalesce("stage", F.lit("unresolved")).alias("stage"))
     return parts.join(known, "name").select("mention_id", "part", "name", "entity_id", "stage")
 
 
+def learned(resolved: DataFrame, source: str, confidence: float) -> DataFrame:
+    """alias, ingredient_id, source, confidence: what a judge has decided, as rows of the table of aliases; a name once."""
+    decided = resolved.where("stage = 'judged'").groupBy(F.col("name").alias("alias")).agg(F.min("entity_id").alias("ingredient_id"))
+    return decided.select("alias", "ingredient_id", F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+
+
 def review_queue(resolved: DataFrame) -> DataFrame:
     """name, n: what no stage is sure of, and how many mentions wait for it."""
     return resolved.where("stage = 'unresolved'").groupBy("name").agg(F.count("*").alias("n"))

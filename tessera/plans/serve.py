@@ -68,6 +68,28 @@ def q23_resolve_cascade(spark, sf_dir):
     return resolve.cascade(_mentions(spark, sf_dir), aliases).withColumn("part", F.col("part").cast("long"))
 
 
+def _trigrams(name: str) -> str:
+    return f"list_distinct(flatten([[substr('  ' || w || ' ', k, 3) FOR k IN range(1, length(w) + 2)] FOR w IN string_split({name}, ' ')]))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1)) END"
+
+
+Q23 = f"""
+WITH {Q21.strip().removeprefix("WITH ").removesuffix("SELECT * FROM c WHERE name <> ''").strip()},
+parts AS (SELECT * FROM c WHERE name <> ''),
+al AS MATERIALIZED (SELECT p_name AS alias, min(p_partkey) AS entity_id, {_trigrams("p_name")} AS g, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part GROUP BY p_name),
+n AS MATERIALIZED (SELECT name, {_trigrams("regexp_replace(name, '[^a-z0-9]+', ' ', 'g')")} AS g, list_sort(list_distinct(string_split(name, ' '))) AS t FROM (SELECT DISTINCT name FROM parts) WHERE name NOT IN (SELECT alias FROM al)),
+met AS (SELECT name, alias, entity_id, n.t AS a, al.t AS b, list_sort(list_intersect(n.t, al.t)) AS s, len(list_intersect(n.g, al.g)) / (len(n.g) + len(al.g) - len(list_intersect(n.g, al.g))) AS similarity FROM n, al WHERE similarity >= 0.3),
+w AS (SELECT *, array_to_string(s, ' ') AS shared, array_to_string(list_concat(s, [x FOR x IN a IF NOT list_contains(s, x)]), ' ') AS l, array_to_string(list_concat(s, [x FOR x IN b IF NOT list_contains(s, x)]), ' ') AS r, array_to_string(a, ' ') AS ta, array_to_string(b, ' ') AS tb FROM met),
+scored AS (SELECT *, greatest({_ratio("l", "r")}, CASE WHEN shared <> '' THEN greatest({_ratio("shared", "l")}, {_ratio("shared", "r")}) ELSE 0 END) AS score, {_ratio("ta", "tb")} AS whole FROM w),
+best AS (SELECT name, entity_id FROM scored WHERE score >= 92 AND (len(s) < least(len(a), len(b)) OR len(a) = len(b) OR whole >= 92) QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, similarity DESC, entity_id) = 1)
+SELECT mention_id, part, name, coalesce(al.entity_id, best.entity_id) AS entity_id, CASE WHEN al.entity_id IS NOT NULL THEN 'exact' WHEN best.entity_id IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END AS stage
+FROM parts LEFT JOIN al ON alias = name LEFT JOIN best USING (name)
+"""
+
+
 def _nearest(spark, sf_dir, k: int) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")  # the stated query set

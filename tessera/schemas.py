@@ -25,6 +25,15 @@ RUNS = _struct(
     {"finished_at": _TIME},
 )
 
+ALIASES = _struct({"alias": _TEXT, "ingredient_id": T.LongType(), "source": _TEXT, "updated_at": _TIME}, {"confidence": T.DoubleType()})
+PRODUCT_INGREDIENTS = _struct({"product_id": _TEXT, "position": T.IntegerType(), "updated_at": _TIME}, {"ingredient_id": T.LongType(), "match_confidence": T.DoubleType()})
+CHUNKS = _struct({"chunk_id": _TEXT, "document_id": _TEXT, "text": _TEXT, "updated_at": _TIME}, {"embedding": T.ArrayType(T.FloatType()), "ingredient_ids": T.ArrayType(T.LongType())})
+INTERACTIONS = _struct(
+    {"ingredient_a": T.LongType(), "ingredient_b": T.LongType(), "effect": _TEXT, "updated_at": _TIME},
+    {"evidence_level": _TEXT, "chunk_ids": T.ArrayType(_TEXT), "reviewed": T.BooleanType()},
+)
+EVAL_RUNS = _struct({"run_id": _TEXT, "started_at": _TIME, "metric": _TEXT}, {"value": T.DoubleType()})
+
 
 @dataclass(frozen=True)
 class Table:
@@ -40,6 +49,11 @@ TABLES = {
         Table("ingredients", INGREDIENTS, ("cosing_id",), {"cosing_id": 32}),
         Table("products", PRODUCTS, ("source", "source_id"), {"source": 32, "source_id": 64}),
         Table("documents", DOCUMENTS, ("source", "source_id"), {"source": 32, "source_id": 64, "pmid": 16}),
+        Table("ingredient_aliases", ALIASES, ("alias", "ingredient_id"), {"source": 32}),
+        Table("product_ingredients", PRODUCT_INGREDIENTS, ("product_id", "position"), {"product_id": 64}),
+        Table("chunks", CHUNKS, ("chunk_id",), {}),
+        Table("interactions", INTERACTIONS, ("ingredient_a", "ingredient_b", "effect"), {"evidence_level": 16}),
+        Table("eval_runs", EVAL_RUNS, ("run_id", "metric"), {"metric": 64}),
         Table("ingestion_runs", RUNS, ("run_id",), {"dag": 64, "status": 16}),
     )
 }
