@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import relational, runs, sampling, shared, store
-from tessera.sources import articles, products, registry
+from tessera.sources import articles, products, registry, services
 
 WORDS = ("the", "und", "que", "les", "licensed", "trash")
 MIN_PER_SEED, LIMIT = 10, 60
@@ -275,6 +275,21 @@ def q50_registry_pages(spark, sf_dir):
 Q50 = "SELECT CAST(p_partkey AS VARCHAR) AS cosing_id, p_partkey % 7 AS page, upper(p_name) AS inci_name FROM part WHERE p_type <> 'PROMO'"
 
 
+def q55_registry_source(spark, sf_dir):
+    """Recorded pages of the registry through its data source: every other page of active ingredients."""
+    rows = _table(spark, sf_dir, "part").withColumn("metadata", _metadata()).withColumn("page", F.floor(F.col("p_partkey") / 100) + 1)
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("metadata")).alias("results"))).alias("value"))
+    named = pages.select(F.format_string("page-%03d-100.json", "page").alias("key"), "value")
+    with shared.folder(spark) as at:
+        named.write.partitionBy("key").text(at)
+        most = rows.agg(F.max("page")).first()[0] or 1
+        found = services.answers(spark, services.RegistryAnswers, recorded=at, pages=most, rows=100).where("item_type = 'ingredient' and status = 'Active' and page % 2 = 1")
+        return shared.kept(relational.first_wins(registry.parse(found.select("page", "payload")), ["cosing_id"], ["page", "position"]).select("cosing_id", "page", "inci_name"))
+
+
+Q55 = "SELECT CAST(p_partkey AS VARCHAR) AS cosing_id, CAST(p_partkey // 100 + 1 AS INTEGER) AS page, upper(p_name) AS inci_name FROM part WHERE p_type <> 'PROMO' AND (p_partkey // 100 + 1) % 2 = 1"
+
+
 def q17_counter_map(spark, sf_dir):
     return relational.counter_map(_table(spark, sf_dir, "events"), "event_type").select(F.explode("counts").alias("event_type", "n"))
 

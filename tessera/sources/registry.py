@@ -57,10 +57,3 @@ def parse(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     rest = [c for c in payloads.columns if c != payload]
     each = payloads.select(*rest, F.posexplode(results).alias("position", "result"))
     return ingredients(each.withColumn("metadata", F.try_variant_get("result", "$.metadata", "variant")).drop("result"))
-
-
-def requests(pages: int, page_size: int, seeds: tuple[str, ...]) -> list[dict]:
-    """What to ask, in order: active ingredients by page, then each seed by its exact name, inactive ones too."""
-    kind = {"term": {"itemType": "ingredient"}}
-    paged = [{"key": f"page-{n:03d}-{page_size}", "must": [kind, {"term": {"status": "Active"}}], "size": page_size, "page": n} for n in range(1, pages + 1)]
-    return paged + [{"key": f"seed-{'-'.join(s.lower().split())}", "must": [kind, {"term": {"inciName": s}}], "size": 5, "page": 1} for s in seeds]

@@ -145,7 +145,7 @@ def test_runs(spark, tmp_path):
     def bad(stats):
         raise RuntimeError("why")
 
-    runs.run(spark, log, "good", lambda stats: stats.counts.update({"fetched": 3}))
+    runs.run(spark, log, "good", lambda report: setattr(report, "fetched", 3))
     with pytest.raises(RuntimeError):
         runs.run(spark, log, "bad", bad)
     entries = spark.read.parquet(log)

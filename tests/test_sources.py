@@ -1,8 +1,11 @@
 import datetime as dt
 import gzip
 import json
+import re
 import urllib.request
 from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from tessera import config
 from tessera.operators import store
 from tessera.plans import jobs
 from tessera.schemas import TABLES, create, drop
-from tessera.sources import articles, http, products, registry
+from tessera.sources import articles, http, products, registry, services
 
 
 def result(**fields):
@@ -144,88 +147,166 @@ def test_snapshots(spark, tmp_path):
     none = lambda d: d.select("key", F.lit(None).cast("string").alias("fault"))
     good = lambda d: d.select("key", F.when(F.col("payload") != "good", "bad").alias("fault"))
     held = lambda s: {r.key: r.payload for r in s.read().collect()}
+
+    def answering(**payloads):
+        rows = [(k, v if v != "gone" else None, "StatusError: status 404" if v == "gone" else None) for k, v in payloads.items()]
+        return lambda keys: spark.createDataFrame([r for r in rows if r[0] in keys], "key string, payload string, error string")
+
     first = http.Snapshots(spark, root, "s", day=day(2026, 1, 1))
-    assert first.gather({"k": lambda: b"one"}, none) == {} and first.gather({"k": lambda: b"two"}, none) == {} and held(first) == {"k": "one"}
+    assert first.gather(["k"], answering(k="one"), none) == {} and first.gather(["k"], answering(k="two"), none) == {} and held(first) == {"k": "one"}
     assert first.used == {"stored": 1, "asked": 1}
     later = http.Snapshots(spark, root, "s", day=day(2026, 1, 5))
-    assert later.gather({"k": lambda: b"two"}, none) == {} and held(later) == {"k": "one"}
+    assert later.gather(["k"], answering(k="two"), none) == {} and held(later) == {"k": "one"}
     fresh = http.Snapshots(spark, root, "s", new=True, day=day(2026, 1, 5))
-    assert fresh.gather({"k": lambda: b"three"}, none) == {} and held(http.Snapshots(spark, root, "s")) == {"k": "three"}
-
-    def gone():
-        raise http.StatusError(404)
-
-    wrong = fresh.gather({"n": lambda: b"bad", "k": lambda: b"good", "m": gone}, good)
-    assert wrong["n"] == "bad" and isinstance(wrong["m"], http.StatusError) and len(wrong) == 2
+    assert fresh.gather(["k"], answering(k="three"), none) == {} and held(http.Snapshots(spark, root, "s")) == {"k": "three"}
+    assert fresh.gather(["n", "k", "m"], answering(n="bad", k="good", m="gone"), good) == {"n": "bad", "m": "StatusError: status 404"}
     assert held(fresh) == {"k": "good"} and fresh.used == {"stored": 0, "asked": 4}
 
 
 @pytest.fixture
-def context(spark, tmp_path, dump):
-    asked = []
-
-    def open_(request):
-        url = request.full_url
-        asked.append(url)
-        if "registry" in url:
-            body = json.loads(request.data.split(b"\r\n\r\n")[1].split(b"\r\n")[0])
-            named = [t["term"].get("inciName") for t in body["bool"]["must"]][1]
-            return 200, {}, json.dumps(RESULTS if named is None else {"results": [result(substanceId=[f"s-{named}"], inciName=[named])]}).encode()
-        if "esearch" in url:
-            return 200, {}, json.dumps({"esearchresult": {"idlist": ["1", "3", "9"] if "retinol" in url else ["3"]}}).encode()
-        if "id=9" in url:
-            return 404, {}, b""
-        return 200, {}, (ARTICLES if "id=1" in url else article(PMC.format("pmc", "3"))).encode()
+def served():
+    """A service on this host: (its address, what was asked, a place for the function that answers (path, body) with a status and a body)."""
+    asked, answer = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            body = self.rfile.read(int(self.headers.get("Content-Length", 0)))
+            asked.append(self.path)
+            status, payload = answer[-1](self.path, body)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(payload)
+
+        do_POST = do_GET  # noqa: N815
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked, answer
+    server.shutdown()
+    server.server_close()
+
+
+def terms(body):
+    return {k: v for t in json.loads(body.split(b"\r\n\r\n")[1].split(b"\r\n")[0])["bool"]["must"] for k, v in t["term"].items()}
+
+
+def plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registry_as_a_data_source(spark, served):
+    url, asked, answer = served
+    answer.append(lambda path, body: (200, json.dumps({"asked": terms(body), "page": re.search(r"pageNumber=(\d+)", path)[1]}).encode()))
+    d = services.answers(spark, services.RegistryAnswers, url=url, rate=1e9, rows=7, pages=3, key="k")
+    active = d.where("item_type = 'ingredient' and status = 'Active'")
+    got = {(r.page, r.key): json.loads(r.payload) for r in active.collect()}
+    assert got == {(n, f"page-{n:03d}-7.json"): {"asked": {"itemType": "ingredient", "status": "Active"}, "page": str(n)} for n in (1, 2, 3)}
+    assert all("apiKey=k" in p and "pageSize=7" in p for p in asked) and len(asked) == 3
+    assert not re.search(r"Filter .*(item_type|status)", plan(active))  # the service has filtered
+    named = d.where(F.col("inci_name").isin("AQUA", "Zinc Oxide", None)).where("length(payload) > 0")
+    assert {r.inci_name: json.loads(r.payload)["asked"] for r in named.collect()} == {n: {"inciName": n} for n in ("AQUA", "Zinc Oxide")}
+    assert "Filter" in plan(named) and d.where("page in (5, 2) and page > 3").count() == 1 and d.where("page = 4").first().key == "page-004-7.json"
+    two = services.answers(spark, services.RegistryAnswers, url=f"{url},{url}", rate=1e9, pages=5)
+    assert two.rdd.getNumPartitions() == 2 and two.count() == 5
+
+
+def test_failed_answers_are_rows(spark, served):
+    url, asked, answer = served
+    answer.append(lambda path, body: (503, b"") if "term=a" in path else (404, b"") if "term=b" in path else (200, b"fine"))
+    d = services.answers(spark, services.PaperHits, url=url, rate=1e9, tries=2, first_pause=0.001, most=4).where("term in ('a', 'b', 'c')")
+    assert {r.term: (r.payload, r.error) for r in d.collect()} == {"a": (None, "StatusError: status 503"), "b": (None, "StatusError: status 404"), "c": ("fine", None)}
+    assert sum("term=a" in p for p in asked) == 2 and sum("term=b" in p for p in asked) == 1
+
+
+def test_options_are_checked_before_anything_is_asked(spark):
+    given = {"url": "http://localhost", "rate": 1e9}
+    for source, options, why in [
+        (services.RegistryAnswers, given | {"colour": "x"}, "colour"),
+        (services.RegistryAnswers, given | {"rows": "0"}, "rows"),
+        (services.RegistryAnswers, {"url": "ftp://x"}, "http"),
+        (services.RegistryAnswers, {}, "either url or recorded"),
+        (services.PaperHits, given, "filter has to name the terms"),
+        (services.PaperRecords, given, "filter has to name the papers"),
+    ]:
+        with pytest.raises(Exception, match=why):
+            services.answers(spark, source, **options).collect()
+
+
+def test_recorded_answers(spark, tmp_path):
+    rows = [("page-001-100.json", "one"), ("page-002-100.json", "two\nlines"), ("seed-zinc-oxide.json", "named")]
+    spark.createDataFrame(rows, "key string, value string").write.partitionBy("key").text(str(tmp_path / "r"))
+    d = services.answers(spark, services.RegistryAnswers, recorded=str(tmp_path / "r"), pages=3)
+    assert [(r.page, r.payload, r.error) for r in d.orderBy("page").collect()] == [(1, "one", None), (2, "two\nlines", None), (3, None, "nothing is recorded")]
+    assert d.where("inci_name = 'ZINC oxide'").first().payload == "named"
+
 
+@pytest.fixture
+def context(spark, tmp_path, dump, served):
+    url, asked, answer = served
+
+    def answered(path, body):
+        if "registry" in path:
+            named = terms(body).get("inciName")
+            return 200, json.dumps(RESULTS if named is None else {"results": [result(substanceId=[f"s-{named}"], inciName=[named])]}).encode()
+        if "esearch" in path:
+            return 200, json.dumps({"esearchresult": {"idlist": ["1", "3", "9"] if "retinol" in path else ["3"]}}).encode()
+        if "id=9" in path:
+            return 404, b""
+        return 200, (ARTICLES if "id=1" in path else article(PMC.format("pmc", "3"))).encode()
+
+    answer.append(answered)
     s = config.Settings(
         data=str(tmp_path / "data"),
-        registry=config.Registry(url="http://registry", pages=1, rate=1e9),
-        papers=config.Papers(url="http://papers", email="a@b.c"),
+        requests=config.Requests(tries=2, first_pause=0.001),
+        registry=config.Registry(url=f"{url}/registry", pages=1, rate=1e9),
+        papers=config.Papers(url=f"{url}/papers", email="a@b.c", rate=1e9),
         products=config.Products(dump=dump, most=5),
     )
-    c = jobs.Context(spark, s, store.Store(spark, str(tmp_path / "store")), open_, seeds=("RETINOL", "PANTHENOL"), sleep=lambda _: None)
-    c.asked = asked
-    return c
+    return jobs.Work(spark, s, store.Store(spark, str(tmp_path / "store")), seeds=("RETINOL", "PANTHENOL"))
 
 
-def test_ingredients_job(context):
-    stats = jobs.run(context, "ingredients")
-    assert stats.counts["inserted"] == 5 and stats.counts["network_requests"] == 3
+def test_ingredients_job(context, served):
+    report = jobs.run(context, "ingredients")
+    assert report.inserted == 5 and report.network_requests == 3
     names = {r.cosing_id: r.inci_name for r in context.store.read(TABLES["ingredients"]).collect()}
     assert names["1"] == "AQUA" and names["s-PANTHENOL"] == "PANTHENOL"
-    again = jobs.run(context, "ingredients")
-    assert (again.counts["inserted"], again.counts["updated"], again.counts["cache_hits"], len(context.asked)) == (0, 5, 3, 3)
+    again = jobs.run(replace(context, prune=True), "ingredients")
+    assert (again.inserted, again.updated, again.cache_hits, len(served[1])) == (0, 5, 3, 3)
+    assert again.notes == ["not pruned: ingredients aren't sampled anew"] and again.pruned is None
+    assert jobs.run(replace(context, most=2), "ingredients").fetched == 2
+    with pytest.raises(ValueError):
+        jobs.run(replace(context, most=-1), "ingredients")
 
 
 def test_products_job(context):
-    context.options = jobs.Options(prune=True)
-    stats = jobs.run(context, "products")
-    assert (stats.counts["fetched"], stats.counts["inserted"], stats.counts["pruned"], stats.counts["english_names"]) == (2, 2, 0, 2)
-    assert stats.counts["seed:RETINOL"] == 1 and "too few products: 0 of PANTHENOL" in stats.errors
+    report = jobs.run(replace(context, prune=True), "products")
+    assert (report.fetched, report.inserted, report.pruned, report.english_names) == (2, 2, 0, 2)
+    assert report.seeds["RETINOL"] == 1 and report.counts()["seed:RETINOL"] == 1 and "too few products: 0 of PANTHENOL" in report.notes
     assert {r.source_id for r in context.store.read(TABLES["products"]).collect()} == {"1", "6"}
 
 
-def test_papers_job(context):
-    context.options = jobs.Options(prune=True)
-    stats = jobs.run(context, "papers")
-    assert (stats.counts["fetched"], stats.counts["fetch_errors"], stats.counts["rejected_license"]) == (2, 1, 2)
-    assert stats.counts["seed:RETINOL"] == 2 and stats.counts["seed:PANTHENOL"] == 1
-    assert "not pruned: 1 answers are missing" in stats.errors and "pruned" not in stats.counts
+def test_papers_job(context, served):
+    report = jobs.run(replace(context, prune=True), "papers")
+    assert (report.fetched, report.fetch_errors, report.rejected_license) == (2, 1, 2)
+    assert report.seeds == {"RETINOL": 2, "PANTHENOL": 1}
+    assert "not pruned: 1 answers are missing" in report.notes and report.pruned is None
     got = {r.source_id: r.title for r in context.store.read(TABLES["documents"]).collect()}
     assert got == {"PMC1": "A nice title", "PMC3": "T"}
+    asked = len(served[1])
+    again = jobs.run(context, "papers")
+    assert again.network_requests == 1 and len(served[1]) == asked + 1 and again.updated == 2  # what failed alone
 
 
-@pytest.mark.parametrize(("key", "pace"), [("", 2.5), ("k", 8.0)])
-def test_papers_are_asked_at_the_pace_of_the_key(context, monkeypatch, key, pace):
-    seen, kept = [], jobs.Context.asking
-    monkeypatch.setattr(jobs.Context, "asking", lambda self, rate: seen.append(rate) or kept(self, 1e9))
-    context.settings = replace(context.settings, papers=replace(context.settings.papers, key=key))
-    jobs.run(context, "papers")
-    assert seen == [pace]
+def test_papers_are_asked_at_the_pace_of_the_key():
+    s = config.Settings()
+    assert jobs.paper_rate(s) == 2.5 and jobs.paper_rate(replace(s, papers=config.Papers(key="k"))) == 8.0
 
 
-def test_a_failed_job_leaves_no_rows(context):
-    context.open_ = lambda request: (200, {}, b'{"error": 1}')
+def test_a_failed_job_leaves_no_rows(context, served):
+    served[2].append(lambda path, body: (200, b'{"error": 1}'))
     with pytest.raises(ValueError, match="not a search result"):
         jobs.run(context, "ingredients")
     assert context.store.versions(TABLES["ingredients"]) == []
