@@ -11,9 +11,9 @@ n log n comparisons. Places with two equal neighbours on a side are followed to
 the stretch's ends. A run is kept at its smallest period: where the q words from
 an equal place repeat something shorter, the shorter lag reports it.
 
-Documents over `long_bytes` are dealt out as pairs of a document and a range of
-lags; the ranges' runs are collected by document afterwards (there are fewer
-runs than words).
+Documents over `long_bytes` are written once and dealt out as pairs of a document
+and a range of lags; the ranges' runs are collected by document afterwards
+(there are fewer runs than words).
 
 Words are separated by ASCII blanks. Null and empty texts have no words and no
 runs. Rows with equal ids are judged each by itself, also with null ids; an
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,6 +162,7 @@ def find(docs: DataFrame, *, min_length: int = 6, min_exponent: int = 4, long_by
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.less_equal(pc.fill_null(pc.binary_length(batch.column("text")), 0), long_bytes))
             for low, data, found, ids, edges in _chunks(batch):
                 runs = _runs(ids, edges, (1, None), min_length, min_exponent)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, len(runs)), _array(runs), pa.array(_collapsed(data, found, edges, runs), pa.string())], names=["doc_id", "runs", "collapsed"])
@@ -180,10 +182,11 @@ def find(docs: DataFrame, *, min_length: int = 6, min_exponent: int = 4, long_by
                 runs = [sorted(x, key=lambda r: (r[0], r[2])) for x in given[low : low + len(edges) - 1]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, len(runs)), _array(runs), pa.array(_collapsed(data, found, edges, runs), pa.string())], names=["doc_id", "runs", "collapsed"])
 
-    is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
     schema = f"doc_id {kind}, runs {RUNS}, collapsed string"
-    short = source.where(~is_long).mapInArrow(_spark.freed(whole), schema)
-    long = source.where(is_long).withColumn("key", key)
+    short = source.mapInArrow(_spark.freed(whole), schema)
+    long = _spark.checkpoint(source.where(F.octet_length("text") > long_bytes).withColumn("key", key))
+    if long.isEmpty():
+        return short
     last = F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / min_exponent, F.lit(1)).cast("long")
     ranges = long.dropDuplicates(["key"]).select("key", "text", F.explode(F.sequence(F.lit(1), last, F.lit(lags))).alias("low"))
     parts = ranges.repartition("key", "low").mapInArrow(_spark.freed(ranged), f"key string, runs {RUNS}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontaminate, html_text, near_dedup, periodic_runs, phrases, pii, quality, sharding, substrings, token_counts, toxicity
@@ -86,15 +86,19 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, a tenth of the texts made periodic from some word on, as their ids' checksums say; rows with a null id stay."""
-    source = columns(docs, doc_id="doc_id", text="text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
-    words = source.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
-    sized = words.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
-    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("rest", F.col("n") - F.col("a"))
-    period = placed.withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
-    cycle = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
-    repeated = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest").cast("int"))
-    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
-    return period.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def made(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        cycle = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        repeated = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), repeated), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    once = F.transform(F.array(words), made)[0]  # the words are made once for a text
+    return columns(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce(F.when(h % 10 == 0, once), F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
