@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, relational, search
+from tessera.operators import answers, search
 from tessera.operators.store import Store
 from tessera.schemas import TABLES
 
@@ -42,7 +42,7 @@ def check_routine(products: Sequence[str], positions: DataFrame, interactions: D
 
 def ingredient(store: Store, cosing_id: str) -> DataFrame:
     """An ingredient by its id: one row, or none."""
-    return relational.by_key(store.read(TABLES["ingredients"]), cosing_id=cosing_id)
+    return store.lookup(TABLES["ingredients"], cosing_id=cosing_id)
 
 
 def ready(store: Store) -> DataFrame:

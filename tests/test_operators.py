@@ -104,32 +104,70 @@ def test_two_writers(spark, tmp_path):
     assert st.commit(table, rows_) == 3
 
 
-def test_load_rewrites_only_touched_parts(spark, tmp_path):
+def written(tmp_path, table, version):
+    return sum(f.stat().st_size for kind in "vd" for f in (tmp_path / table.name / f"{kind}{version}").rglob("*.parquet"))
+
+
+def test_load_writes_in_proportion_to_its_batch(spark, tmp_path):
     st, table = store.Store(spark, str(tmp_path), parts=8), TABLES["products"]
     make = lambda *p: spark.createDataFrame(list(p), PRODUCT)
-    ids = [str(i) for i in range(60)]
-    store.load(st, table, make(*(product(i) for i in ids), *(product(i, source="other") for i in ids)))
-    assert st.layout(table, 1) == (8, dict.fromkeys(range(8), 1))
+    r = random.Random(4)
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(40))
+    st.load = lambda d, **more: store.load(st, table, d, **more)
+    st.load(make(*(product(str(i), name(), source) for i in range(6000) for source in ("s", "other"))))
+    assert st.layout(table).base == dict.fromkeys(range(8), 1) and st.layout(table).rows == 12000
+    assert st.load(make(*(product(str(i), "new") for i in range(5980, 6040)))) == {"inserted": 40, "updated": 20}
+    at = st.layout(table)
+    assert at.base == dict.fromkeys(range(8), 1) and [d.rows for d in at.deltas] == [60]  # all parts have a new key, none is written
+    assert written(tmp_path, table, 2) < 0.05 * written(tmp_path, table, 1)
+    assert st.read(table).count() == 12040 and st.read(table, 1).count() == 12000
+    assert st.read(table).where("name = 'new'").count() == 60
+    # of a key that several deltas have the last row counts; a key that is gone can come again
+    assert st.load(make(product("1", "newer"))) == {"inserted": 0, "updated": 1}
+    gone = make(product("1")).selectExpr("*", "cast(null AS timestamp) AS updated_at", "true AS gone__")
+    assert st.change(table, gone) == 4 and st.read(table).where("source = 's' and source_id = '1'").count() == 0
+    assert st.load(make(product("1", "again"))) == {"inserted": 1, "updated": 0}
+    [one] = st.lookup(table, source="s", source_id="1").collect()
+    assert one.name == "again" and st.lookup(table, source="s", source_id="no").count() == 0 and st.read(table).count() == 12040
+    # a lookup opens its part, and the deltas that concern it
+    [part] = st.touched(table, make(product("77")))
+    opened = {f.split(str(tmp_path))[1].split("/")[2] + ("/" + f.split("part__=")[1].split("/")[0] if "part__=" in f else "") for f in st.lookup(table, source="s", source_id="77").inputFiles()}
+    assert opened == {f"v1/{part}", *(f"d{d.version}" for d in st.layout(table).deltas if part in d.parts)} and f"v1/{part}" in opened
+
+
+def test_deltas_are_merged_by_size_and_into_the_base(spark, tmp_path):
+    st, table, r = store.Store(spark, str(tmp_path), parts=4), TABLES["products"], random.Random(6)
+    make = lambda d: spark.createDataFrame([product(i, n) for i, n in d.items()], PRODUCT)
+    truth = {str(i): "n" for i in range(400)}
+    store.load(st, table, make(truth))
+    most, merged = 0, False
+    for step in range(12):
+        batch = {str(r.randrange(500)): f"n{step}" for _ in range(r.choice([3, 3, 40]))}
+        expected = {"inserted": len(batch.keys() - truth.keys()), "updated": len(batch.keys() & truth.keys())}
+        assert store.load(st, table, make(batch)) == expected
+        truth |= batch
+        most, merged = max(most, len(st.layout(table).deltas)), merged or any(d.rows > 40 for d in st.layout(table).deltas)
+        if step % 4 == 3:
+            assert {x.source_id: x.name for x in st.read(table).collect()} == truth
+    assert most <= 6 and merged and any(v > 1 for v in st.layout(table).base.values())
+    assert {x.source_id: x.name for x in st.read(table).collect()} == truth
+    assert st.expire(table, 1) and {x.source_id: x.name for x in st.read(table).collect()} == truth
+    at = st.layout(table)
+    kept_folders = {f"v{v}" for v in at.base.values()} | {f"d{d.version}" for d in at.deltas}
+    assert {f.name for f in (tmp_path / table.name).glob("[vd][0-9]*")} == kept_folders and st.expire(table) == []
+
+
+def test_prune_and_new_split(spark, tmp_path):
+    st, table = store.Store(spark, str(tmp_path), parts=8), TABLES["products"]
+    make = lambda *p: spark.createDataFrame(list(p), PRODUCT)
+    store.load(st, table, make(*(product(str(i)) for i in range(60)), *(product(str(i), source="other") for i in range(60))))
     one = make(product("7", name="new"))
-    [touched] = st.touched(table, one)
-    assert store.load(st, table, one) == {"inserted": 0, "updated": 1}
-    assert st.layout(table, 2)[1] == {p: 2 if p == touched else 1 for p in range(8)}
-    assert {(r.source, r.source_id) for r in st.read(table).where("name = 'new'").collect()} == {("s", "7")} and st.read(table).count() == 120
-    assert {r.name for r in st.read(table, 1).collect()} == {"n"}
-    # pruning reaches parts without staged keys
     assert store.load(st, table, one, prune_source="s") == {"inserted": 0, "updated": 1, "pruned": 59}
     assert rows(st.read(table).groupBy("source").count()) == [("other", 60), ("s", 1)]
-    with pytest.raises(ValueError, match="aren't replaced"):
-        st.commit(table, st.read(table), replaced=[0])
-    assert st.versions(table) == [1, 2, 3]
-    assert st.commit(table, st.read(table), parts=3) == 4 and st.layout(table, 4)[0] == 3
+    assert st.commit(table, st.read(table), parts=3) == 3 and st.layout(table).parts == 3
     assert store.load(st, table, make(product("8"))) == {"inserted": 1, "updated": 0} and st.read(table).count() == 62
-    before = rows(st.read(table).drop("updated_at").fillna("-"))
-    assert st.expire(table, 1) == [1, 2, 3, 4] and st.versions(table) == [5]
-    assert rows(st.read(table).drop("updated_at").fillna("-")) == before
-    assert sorted(f.name for f in (tmp_path / table.name).glob("v*")) == ["v4", "v5"] and st.expire(table) == []
     # all rows of a table can go
-    assert st.commit(table, st.read(table).where("false")) == 6 and st.read(table).count() == 0
+    assert st.commit(table, st.read(table).where("false")) == 5 and st.read(table).count() == 0
     assert store.load(st, table, make(product("1"))) == {"inserted": 1, "updated": 0}
 
 
