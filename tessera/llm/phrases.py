@@ -1,17 +1,19 @@
 """Collocations: phrases of two to five words that are frequent in a language, scored against chance.
 
-Patterns grow as in PrefixSpan, by contiguous extension to the right. Two scans
-find what can be frequent: words, then pairs of neighbours that are both
-frequent words. Pairs are counted under 64-bit keys, and both kinds are looked
-up in a bitmap of fixed size, so a collision lets something more through and
-never leaves anything out. The third scan projects: from every place whose pair
-may be frequent, the window of up to `longest` words as far as its neighbours
-may be, equal ones counted together before the shuffle. All windows of a prefix
-go to one task, which holds pointers to their rows, divides these by the next
-word, and follows each that is frequent depth-first. A prefix with more than
-`group_rows` different windows is replaced by the longer prefixes that begin
-with it, until none is; the counts of the short prefixes that several tasks
-share are added up, so nothing depends on how the prefixes were dealt out.
+Patterns grow as in PrefixSpan, by contiguous extension to the right. Scans of
+the texts first find what can be frequent: words, then pairs of neighbours whose
+words both can be, then triples whose pairs both can be. They are counted under
+64-bit keys and looked up in bitmaps of fixed size, so a collision lets
+something more through and never leaves anything out. The last scan projects:
+from every place with a word that may be frequent, the window of up to `longest`
+words as far as its triples may be, equal ones counted together before the
+shuffle. All windows of a prefix (their first PRUNED words, or all if they have
+fewer) go to one task, packed with those of other prefixes in its bucket. There a
+prefix holds pointers to its windows, divides these by the next word, and follows
+each that is frequent depth-first. Windows of a triple differ in what follows it
+alone, and only as far as triples are frequent, so a word that everything follows
+isn't one task's group; the counts of shorter prefixes, which several tasks
+share, are added up.
 
 Counts of words and phrases then meet in joins: each cut of a candidate finds
 the counts of its parts (which are frequent, since they occur at least as
@@ -39,9 +41,9 @@ from tessera.llm import _spark, _words
 
 U64 = np.uint64
 BITS = 1 << 26  # of the bitmap: 8 MB
-HELD = 1 << 21  # different pairs that a task holds before it passes them on
-GROUP_ROWS = 1 << 18  # different windows of a prefix that one task takes
-BUFFER_ROWS = 1 << 17
+HELD = 1 << 21  # different keys that a task holds before it passes them on
+PRUNED = 3  # words of the longest phrases that are counted by keys before windows are made
+BUCKETS = 1024  # of prefixes; more where the session has more partitions
 _PIECE_ENDS = np.zeros(256, bool)
 _PIECE_ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _SEPARATORS = _PIECE_ENDS.copy()
@@ -87,10 +89,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[_Text, pa.Array, np.ndarray]
         yield _Text(data, offsets, codes[low:high]), seeds, hashes
 
 
-def _pair_keys(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _words.mix(keys[at] * U64(0x9E3779B97F4A7C15) + keys[at + 1])
-
-
 class Bitmap:
     """Hashes of what may be frequent. Built by tasks, in fragments; BITS bits in all."""
 
@@ -107,32 +105,25 @@ class Bitmap:
         return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def count_words(source: DataFrame) -> DataFrame:
-    """lang, word, key (its hash) and n; a null word has the language's number of words."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, names, seeds in _texts(batch):
-                if not len(text.lang):
-                    continue
-                ids, _ = text.identify()
-                _, at, n = np.unique(text.lang.astype(np.int64) * (int(ids.max()) + 1) + ids, return_index=True, return_counts=True)
-                whole, all_n = np.unique(text.lang, return_counts=True)
-                columns = [
-                    names.take(pa.array(np.concatenate([text.lang[at], whole]))),
-                    pa.concat_arrays([text.strings(at), pa.nulls(len(whole), pa.string())]),
-                    pa.array(np.concatenate([text.keys(seeds)[at].view(np.int64), np.zeros(len(whole), np.int64)])),
-                    pa.array(np.concatenate([n, all_n]), pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "key", "n"])
-
-    rows = source.mapInArrow(_spark.freed(counted), "lang string, word string, key long, n long")
-    return rows.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+def _grams(text: _Text, seeds: np.ndarray, maps: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Where phrases of 1, 2, ... words begin that the bitmaps have; then the places and keys of those one word longer whose two parts they have."""
+    single = text.keys(seeds)
+    at, keys, goods = np.arange(len(single)), single, []
+    for size, bits in enumerate(maps, 1):
+        has = Bitmap.has(bits, keys)
+        at, keys = at[has], keys[has]
+        good = np.zeros(len(single) + 1, bool)
+        good[at] = True
+        goods.append(good)
+        longer = good[at + 1] & text.joined[at]
+        at, keys = at[longer], keys[longer]
+        keys = _words.mix(keys * U64(0x9E3779B97F4A7C15) + single[at + size])
+    return goods, at, keys
 
 
-def count_pairs(source: DataFrame, words: np.ndarray) -> DataFrame:
-    """key and n of neighbours, both of which the bitmap has; n is at least the pair's count."""
-    shared = _spark.share(source.sparkSession, words)
+def count_keys(source: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """key and n of the phrases one word longer than there are bitmaps, whose parts these have; n is at least the phrase's count. With a null key, lang and n: a language's words."""
+    shared = _spark.share(source.sparkSession, maps)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -143,48 +134,62 @@ def count_pairs(source: DataFrame, words: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.r_[True, keys[order[1:]] != keys[order[:-1]]])
             return keys[order[first]], np.add.reduceat(n[order], first)
 
-        def passed() -> pa.RecordBatch:
+        def passed(langs: pa.Array, keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([langs, keys, pa.array(n, pa.int64())], names=["lang", "key", "n"])
+
+        def all_held() -> pa.RecordBatch:
             keys, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+            return passed(pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), n)
 
         for batch in batches:
-            for text, _, seeds in _texts(batch):
-                keys = text.keys(seeds)
-                has = Bitmap.has(shared.value, keys)
-                at = np.flatnonzero(text.joined & has & np.append(has[1:], False)) if len(has) else np.zeros(0, np.int64)
-                if len(at):
-                    held.append(np.unique(_pair_keys(keys, at), return_counts=True))
+            for text, names, seeds in _texts(batch):
+                if not len(text.lang):
+                    continue
+                if not shared.value:
+                    langs, n = np.unique(text.lang, return_counts=True)
+                    yield passed(names.take(pa.array(langs)), pa.nulls(len(n), pa.int64()), n)
+                keys = _grams(text, seeds, shared.value)[2]
+                if len(keys):
+                    held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [merged()]
                 if len(held[0][0]) > HELD // 2:
-                    yield passed()
+                    yield all_held()
                     held = []
         if held:
-            yield passed()
+            yield all_held()
 
-    return source.mapInArrow(_spark.freed(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(_spark.freed(counted), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def project(source: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
-    """lang, window (words joined by a blank) and n, from each place whose pair the bitmap has, as far as the next pairs are in it."""
-    shared = _spark.share(source.sparkSession, pairs)
+def project(source: DataFrame, maps: list[np.ndarray], longest: int, buckets: int) -> DataFrame:
+    """bucket and windows, a packed table of lang, window (words joined by a blank) and n, from each place whose word the first bitmap has, as far as the others have the phrases that begin there and after."""
+    shared = _spark.share(source.sparkSession, maps)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's different windows with their counts, a row for each bucket, in several parts if there are very many."""
+        held: list[pa.Table] = []
+        for made in windows(batches):
+            held.append(pa.Table.from_batches([made]))
+            if sum(map(len, held)) > HELD // 2:
+                held = [_summed(held)]
+                if len(held[0]) > HELD // 4:
+                    yield _packed(held[0])
+                    held = []
+        if held:
+            yield _packed(_summed(held))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, names, seeds in _texts(batch):
-                at = np.flatnonzero(text.joined)
-                if not len(at):
-                    continue
-                keys = text.keys(seeds)
-                good = np.zeros(len(keys) + longest, bool)
-                good[at[Bitmap.has(shared.value, _pair_keys(keys, at))]] = True
-                at = np.flatnonzero(good)
+                goods = [np.append(g, np.zeros(longest, bool)) for g in _grams(text, seeds, shared.value)[0]]
+                at = np.flatnonzero(goods[0])
                 if not len(at):
                     continue
+                size = sum(g[at].astype(np.int64) for g in goods)
+                for k in range(len(goods), longest):
+                    size += goods[-1][at + k - len(goods) + 1] & (size == k)
                 ids, first = text.identify()
-                size = np.full(len(at), 2)
-                for k in range(1, longest - 1):
-                    size += good[at + k] & (size == k + 1)
                 width = np.arange(longest)
                 rows = np.where(width < size[:, None], np.append(ids, np.zeros(longest, np.int64))[at[:, None] + width], -1)
                 rows = np.column_stack([text.lang[at], rows]).astype(np.int64)
@@ -194,12 +199,39 @@ def project(source: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
                 numbers, places = _words.numbered(mixed, lambda a, b, rows=rows: (rows[a] == rows[b]).all(1))
                 n = np.bincount(numbers)
                 chosen = rows[places]
-                words = text.strings(first)
-                parts = [words.take(pa.array(chosen[:, k], mask=chosen[:, k] < 0)) for k in range(1, longest + 1)]
+                used, column = np.unique(chosen[:, 1:], return_inverse=True)
+                words = text.strings(first[np.maximum(used, 0)])
+                column = column.reshape(len(chosen), longest)
+                parts = [words.take(pa.array(column[:, k], mask=chosen[:, k + 1] < 0)) for k in range(longest)]
                 window = pc.binary_join_element_wise(*parts, pa.scalar(" "), null_handling="skip")
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(chosen[:, 0])), window, pa.array(n, pa.int64())], names=["lang", "window", "n"])
+                single = text.keys(seeds)
+                heads = single[at[places]]
+                for k in range(1, len(goods)):
+                    longer = size[places] > k
+                    heads[longer] = _words.mix(heads[longer] * U64(0x9E3779B97F4A7C15) + single[at[places[longer]] + k])
+                bucket = (heads % U64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), names.take(pa.array(chosen[:, 0])), window, pa.array(n, pa.int64())], names=["bucket", "lang", "window", "n"])
+
+    return source.mapInArrow(_spark.freed(projected), "bucket int, windows binary")
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Equal windows once, with the sum of their counts."""
+    keys = [c for c in tables[0].column_names if c != "n"]
+    return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
-    return source.mapInArrow(_spark.freed(projected), "lang string, window string, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
+
+def _packed(table: pa.Table) -> pa.RecordBatch:
+    table = table.sort_by("bucket").combine_chunks()
+    bucket = table.column("bucket").to_numpy()
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    rows, blobs = table.drop_columns(["bucket"]), []
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows.slice(low, high - low))
+        blobs.append(out.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "windows"])
 
 
 def _words_of(phrase: str, count: Column) -> Column:
@@ -207,47 +239,25 @@ def _words_of(phrase: str, count: Column) -> Column:
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), count)
 
 
-def deal(windows: DataFrame, longest: int, group_rows: int) -> DataFrame:
-    """Windows with head, the prefix whose task takes them, and depth, its number of words: the shortest that has at most group_rows windows."""
-    out = windows.withColumn("depth", F.lit(1))
-    for depth in range(1, longest):
-        heads = out.where(F.col("depth") == depth).groupBy("lang", _words_of("window", F.lit(depth)).alias("head")).count()
-        hot = heads.where(F.col("count") > group_rows).select("lang", "head", F.lit(depth).alias("depth"), F.lit(True).alias("hot"))
-        if hot.isEmpty():
-            break
-        out = out.withColumn("head", _words_of("window", F.lit(depth))).join(hot, ["lang", "head", "depth"], "left").withColumn("depth", F.col("depth") + F.when(F.col("hot"), 1).otherwise(0)).drop("hot", "head")
-    return out.withColumn("head", _words_of("window", F.col("depth")))
-
-
-def grow(dealt: DataFrame, longest: int, support: int) -> DataFrame:
-    """lang, phrase and n of phrases of two words and more, `support` times in a task at least; prefixes that several tasks share have a row in each."""
+def grow(packed: DataFrame, longest: int, support: int) -> DataFrame:
+    """lang, phrase and n of phrases that a task has `support` times at least, and of all that are shorter than the prefixes that were dealt out, which several tasks have."""
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_heads(batches):
-            yield from _grown(table, longest, support)
-
-    spread = dealt.select("lang", "head", "depth", "window", "n").repartition("lang", "head").sortWithinPartitions("lang", "head")
-    return spread.mapInArrow(_spark.freed(grown), "lang string, phrase string, n long")
-
-
-def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of some BUFFER_ROWS rows or one prefix, none of which goes on in the next table."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        if sum(map(len, held)) < BUFFER_ROWS:
-            continue
-        table = pa.Table.from_batches(held)
-        lang, head = table.column("lang"), table.column("head")
-        other = pc.or_(pc.not_equal(lang, lang[-1]), pc.not_equal(head, head[-1]))
-        n = int(pc.sum(other).as_py() or 0)  # rows are sorted: the last prefix's are the last
-        if n:
-            yield table.slice(0, n).combine_chunks()
-            held = table.slice(n).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("windows"), strict=True):
+                if bucket != last and held:
+                    yield from _grown(_summed(held).combine_chunks(), longest, support)
+                    held = []
+                last = bucket
+                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                if len(held) > 64:
+                    held = [_summed(held)]
+        if held:
+            yield from _grown(_summed(held).combine_chunks(), longest, support)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spark.freed(grown), "lang string, phrase string, n long")
 
 
 def _grown(table: pa.Table, longest: int, support: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +268,7 @@ def _grown(table: pa.Table, longest: int, support: int) -> Iterator[pa.RecordBat
     width = np.arange(longest)
     place = np.minimum(edges[:, None] + width, len(flat) - 1)
     rows = np.where(width < size[:, None], flat[place], -1)
-    n, depth = table.column("n").to_numpy(), table.column("depth").to_numpy()
+    n = table.column("n").to_numpy()
     langs = table.column("lang").combine_chunks().dictionary_encode()
     lang = langs.indices.to_numpy()
     found: list[tuple[int, int, int]] = []  # a pointer, the prefix's words, its count
@@ -270,11 +280,9 @@ def _grown(table: pa.Table, longest: int, support: int) -> Iterator[pa.RecordBat
         first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
         sums = np.add.reduceat(n[pointers[order]], first)
         lasts = np.append(first[1:], len(by))
-        partly = depth[pointers[order[first]]] > words + 1
-        for k in np.flatnonzero((by[first] >= 0) & ((sums >= support) | partly)).tolist():
+        for k in np.flatnonzero((by[first] >= 0) & ((sums >= support) | (words + 1 < PRUNED))).tolist():
             own = pointers[order[first[k] : lasts[k]]]
-            if words:
-                found.append((int(own[0]), words + 1, int(sums[k])))
+            found.append((int(own[0]), words + 1, int(sums[k])))
             if words + 1 < longest:
                 extend(own, words + 1, rows[own, words + 1])
 
@@ -288,19 +296,23 @@ def _grown(table: pa.Table, longest: int, support: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[at])), phrase, pa.array(count, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def frequent(docs: DataFrame, *, support: int = 100, longest: int = 5, group_rows: int = GROUP_ROWS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, *, support: int = 100, longest: int = 5, buckets: int = BUCKETS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of up to `longest` words that occur `support` times or more, and (lang, n)."""
     if support < 1 or longest < 2:
         raise ValueError("support is at least 1, longest at least 2")
     source = _spark.columns(docs, text=text, lang=lang).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    words = _spark.checkpoint(count_words(source).where(F.col("word").isNull() | (F.col("n") >= support)))
-    single = words.where(F.col("word").isNotNull())
-    pairs = count_pairs(source, Bitmap(single.select("key")).bits).where(F.col("n") >= support)
-    windows = _spark.checkpoint(project(source, Bitmap(pairs.select("key")).bits, longest))
-    grown = grow(deal(windows, longest, group_rows), longest, support).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    more = grown.select("lang", "phrase", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("words"), "a")
-    all_of_them = single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a")).unionByName(more)
-    return _spark.checkpoint(all_of_them), words.where(F.col("word").isNull()).select("lang", "n")
+    maps: list[np.ndarray] = []
+    totals = None
+    for _ in range(min(longest, PRUNED)):
+        keys = count_keys(source, maps).where(F.col("key").isNull() | (F.col("n") >= support))
+        if totals is None:
+            keys = _spark.checkpoint(keys)
+            totals = keys.where(F.col("key").isNull()).select("lang", "n")
+        maps.append(Bitmap(keys.where(F.col("key").isNotNull()).select("key")).bits)
+    packed = project(source, maps, longest, max(buckets, _spark.partitions(docs.sparkSession)))
+    grown = grow(packed, longest, support).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
+    words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
+    return _spark.checkpoint(grown.select("lang", "phrase", words.alias("words"), "a")), totals
 
 
 def _exact(column: str) -> Column:
@@ -325,9 +337,9 @@ def held_as_often(phrases: DataFrame) -> DataFrame:
     return phrases.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
 
 
-def mine(docs: DataFrame, *, support: int = 100, longest: int = 5, top: int | None = 2000, group_rows: int = GROUP_ROWS, text: str = "text", lang: str = "lang") -> DataFrame:
+def mine(docs: DataFrame, *, support: int = 100, longest: int = 5, top: int | None = 2000, buckets: int = BUCKETS, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first `top` collocations (None: all) by score, count and phrase."""
-    phrases, totals = frequent(docs, support=support, longest=longest, group_rows=group_rows, text=text, lang=lang)
+    phrases, totals = frequent(docs, support=support, longest=longest, buckets=buckets, text=text, lang=lang)
     kept = score(phrases, totals).join(held_as_often(phrases), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.lit(True) if top is None else F.col("rank") <= top)

@@ -205,11 +205,11 @@ def written(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("support", "group_rows", "longest", "top"), [(3, 1 << 18, 5, 2000), (3, 2, 5, 40), (2, 1, 3, 2000), (8, 5, 2, 2000)])
-def test_collocations_match_brute_force(spark, support, group_rows, longest, top):
+@pytest.mark.parametrize(("support", "buckets", "longest", "top"), [(3, 1024, 5, 2000), (3, 2, 5, 40), (2, 7, 3, 2000), (8, 5, 2, 2000)])
+def test_collocations_match_brute_force(spark, support, buckets, longest, top):
     rows = written(support, 220)
     docs = spark.createDataFrame([(t, g, *["x"] * 6) for t, g in rows], DOCS)
-    got = phrases.mine(docs, support=support, longest=longest, top=top, group_rows=group_rows)
+    got = phrases.mine(docs, support=support, longest=longest, top=top, buckets=buckets)
     assert sorted(tuple(x) for x in got.collect()) == brute_phrases(rows, support, longest, top)
 
 
