@@ -58,10 +58,20 @@ def routine_pairs(items: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def routine_check(items: DataFrame, interactions: DataFrame, group: str, item: str) -> DataFrame:
-    """The reviewed interactions within each routine. Items without any interaction leave before the pairs are made."""
+    """group, a, b, effect, evidence: the reviewed interactions within each routine.
+
+    No pairs of items are made: each interaction hangs on the one of its two items that has fewer of them, items of a
+    routine find what hangs on them, and what they find stays if the routine has the other item too. So the work is
+    that of the items' interactions, whatever the routines' sizes, and an item that interacts with all others costs little.
+    """
     known = reviewed(interactions)
-    involved = known.select(F.col("a").alias(item)).union(known.select("b")).distinct()
-    return lookup(routine_pairs(items.join(involved, item, "left_semi"), group, item), interactions)
+    ends = known.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
+    marked = known.join(ends.select(F.col("x").alias("a"), F.col("degree").alias("da")), "a").join(ends.select(F.col("x").alias("b"), F.col("degree").alias("db")), "b")
+    hung = marked.withColumn("x", F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b"))).withColumn("y", F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")))
+    own = items.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    half = own.join(hung, F.col("i") == F.col("x")).select("g", "y", "a", "b", "effect", "evidence")
+    whole = half.join(own.select("g", F.col("i").alias("y")), ["g", "y"], "left_semi")
+    return whole.select(F.col("g").alias(group), "a", "b", "effect", "evidence")
 
 
 def suitability(ingredients: DataFrame, flags: DataFrame, product: str, item: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, evals, resolve, search, shared
+from tessera.functions import text
+from tessera.operators import answers, dictionary, evals, neighbours, postings, resolve, search, shared
 from tessera.streaming import refresh
 
 TERMS = ("the", "licensed", "trash", "que")
@@ -184,6 +185,78 @@ b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round({score}, 9) DESC, d
 Q25 = f"WITH {_bm25_sql()} SELECT id, rank FROM b"
 
 
+def _benchmark_questions(spark, sf_dir) -> DataFrame:
+    """The words of q25 as question -1, and those of each benchmark item."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question"), text.words(F.coalesce("text", F.lit(""))).alias("terms"))
+    return items.union(spark.createDataFrame([("-1", list(TERMS))], "question string, terms array<string>"))
+
+
+def q56_bm25_index(spark, sf_dir):
+    """A batch of questions against an index of two segments."""
+    docs = _table(spark, sf_dir, "documents")
+    with shared.folder(spark) as at:
+        index = postings.Postings(spark, at)
+        index.add(docs.where("doc_id % 3 = 0"), id="doc_id")
+        index.add(docs.where("doc_id % 3 <> 0"), id="doc_id")
+        return shared.kept(index.best(_benchmark_questions(spark, sf_dir), 10).select("question", "id", F.col("rank").cast("long").alias("rank")))
+
+
+Q56 = f"""
+WITH q AS (SELECT DISTINCT question, unnest(terms) AS term FROM (
+  SELECT CAST(item_id AS VARCHAR) AS question, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> ''] AS terms FROM benchmark UNION ALL SELECT '-1', {list(TERMS)!r})),
+d AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> ''] AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+a AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+s AS (SELECT question, doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term), a GROUP BY ALL)
+SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10
+"""
+
+
+def _listed(spark, sf_dir, at: str) -> tuple[DataFrame, neighbours.Lists]:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = neighbours.Lists(spark, at)
+    index.build(vectors, 32)
+    return vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), index  # the stated query set
+
+
+def q57_vector_lists(spark, sf_dir):
+    """The neighbours of q24 from lists around centres, exactly."""
+    with shared.folder(spark) as at:
+        queries, index = _listed(spark, sf_dir, at)
+        return shared.kept(index.nearest(queries, 30).select("query_id", "id", F.col("rank").cast("long").alias("rank")))
+
+
+Q57 = Q24
+
+
+def q58_vector_probe_recall(spark, sf_dir):
+    """Whether the nearest 24 of 32 lists have nine tenths of the neighbours. These vectors have no clusters, so a list is hardly better than a random part; clustered ones need a quarter of their lists."""
+    with shared.folder(spark) as at:
+        queries, index = _listed(spark, sf_dir, at)
+        near, exact = (shared.kept(d.where("rank <= 30").select("query_id", "id")) for d in (index.probe(queries, 30, 24), index.nearest(queries, 30)))
+        found = exact.join(near.withColumn("found", F.lit(1)), ["query_id", "id"], "left")
+        return shared.kept(found.agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("enough")))
+
+
+Q58 = "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def q59_dictionary(spark, sf_dir):
+    """The words of all benchmark items as one dictionary, over all documents."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(text.words(F.coalesce("text", F.lit("")))).alias("name")).distinct()
+    found = dictionary.mentioned(_table(spark, sf_dir, "documents").select("doc_id", "text"), words.select(F.col("name").alias("id"), "name"))
+    return found.select("doc_id", F.size("tags").cast("long").alias("n"), F.md5(F.array_join("tags", ",")).alias("names"))
+
+
+Q59 = """
+WITH n AS (SELECT DISTINCT unnest([x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') IF x <> '']) AS name FROM benchmark),
+w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) AS name FROM documents),
+m AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM w JOIN n USING (name) GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n, md5(coalesce(names, '')) AS names FROM documents d LEFT JOIN m USING (doc_id)
+"""
+
+
 def q26_rank_fusion(spark, sf_dir):
     longest = _table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), F.asc("doc_id")).limit(30)
     from tessera.operators.relational import top

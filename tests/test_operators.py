@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import answers, evals, relational, resolve, runs, sampling, search, store
+from tessera.operators import answers, dictionary, evals, neighbours, postings, relational, resolve, runs, sampling, search, store
 from tessera.schemas import TABLES
 from tessera.streaming import refresh
 
@@ -405,3 +406,88 @@ def test_stream_refresh(spark, tmp_path):
         spark.createDataFrame(batch, PRODUCT).coalesce(1).write.mode("append").parquet(source)
         refresh.keep_fresh(spark.readStream.schema(PRODUCT).parquet(source), st, table, str(tmp_path / "cp")).awaitTermination()
     assert rows(st.read(table).select("source_id", "name")) == [("1", "n"), ("2", "n"), ("3", "n")]
+
+
+def test_postings_rank_as_a_scan_does(spark, tmp_path):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(r.choices(words, [1 / (n + 1) for n in range(60)], k=r.randint(0, 30)))) for k in range(900)] + [(900, None), (901, "W1 w1-w1"), (902, "w59 " * 40)]
+    frame = lambda d: spark.createDataFrame(d, "id long, text string")
+    index = postings.Postings(spark, str(tmp_path))
+    assert index.best(spark.createDataFrame([(1, ["w1"])], "question int, terms array<string>")).count() == 0
+    for low, high in ((0, 500), (500, 501), (501, 903)):
+        index.add(frame(docs[low:high]))
+    questions = [(1, ["w1", "W2", "w2", None]), (2, ["w59"]), (3, ["w0", "w3", "w7", "w40"]), (4, ["none"]), (5, [])]
+    asked = spark.createDataFrame(questions, "question int, terms array<string>")
+    got = {}
+    for x in index.best(asked, 7).orderBy("question", "rank").collect():
+        got.setdefault(x.question, []).append((x.id, round(x.score, 9)))
+    for q, terms in questions:
+        wanted = {t.lower() for t in terms if t}
+        exact = [(x.id, round(x.score, 9)) for x in search.bm25(frame([(i, t or "") for i, t in docs]), sorted(wanted), 7).orderBy("rank").collect()] if wanted else []
+        assert got.get(q, []) == exact
+    # what is opened: the buckets of the terms alone, and of their blocks those that can matter
+    rare = spark.createDataFrame([("w59",)], "term string")
+    plan = index.of(rare)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "Scan parquet" in x]
+    assert len(scans) == 3 and all(re.search(r"PartitionFilters: \[[^]]*bucket", x) and re.search(r"PushedFilters: \[[^]]*term", x) for x in scans)
+
+
+def test_postings_skip_blocks(spark, tmp_path):
+    rows_ = [(k, "common " + ("rare " * 5 if k % 997 == 0 else "filler " * (k % 7))) for k in range(6000)]
+    index = postings.Postings(spark, str(tmp_path))
+    index.add(spark.createDataFrame(rows_, "id long, text string"))
+    asked = spark.createDataFrame([(1, ["common", "rare"])], "question int, terms array<string>")
+    opened, there = index.opened(asked, 3)
+    exact = [x.id for x in search.bm25(spark.createDataFrame(rows_, "id long, text string"), ["common", "rare"], 3).orderBy("rank").collect()]
+    assert [x.id for x in index.best(asked, 3).orderBy("rank").collect()] == exact and opened < there
+
+
+def test_lists_of_vectors(spark, tmp_path):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    middles = g.normal(size=(12, 16))
+    data = [(k, [float(x) for x in middles[k % 12] + 0.25 * g.normal(size=16)]) for k in range(1500)] + [(2000, [0.0] * 16), (2001, [0.0] * 16)]
+    vectors = spark.createDataFrame(data, "id long, vector array<float>")
+    asked = vectors.where("id % 50 = 0").selectExpr("id AS query_id", "vector")
+    index = neighbours.Lists(spark, str(tmp_path))
+    index.build(vectors, 12, sample=400)
+    key = lambda d: sorted((x.query_id, x.rank, x.id) for x in d.collect())
+    exact = key(resolve.nearest(asked, vectors, 10))
+    assert key(index.nearest(asked, 10, probes=1)) == exact
+    near = key(index.probe(asked, 10, probes=3))
+    some = {(q, i) for q, _, i in exact if q < 2000}
+    assert len(some & {(q, i) for q, _, i in near}) >= 0.9 * len(some)
+    assert index.share_read(asked.where("query_id < 2000"), 10, 3, exact=False) < 0.5
+    assert index.nearest(asked.where("false"), 3).count() == 0
+    index.build(vectors.where("false"), 4)
+    assert index.nearest(asked, 3).count() == 0
+
+
+@pytest.mark.parametrize("block", [dictionary.BLOCK_BYTES, 200])
+def test_dictionary_matches_as_patterns_do(spark, block):
+    r = random.Random(5)
+    names = {"zinc": 1, "zinc oxide": 2, "oxide": 3, "vitamin b-3": 4, "b": 5, "acid.": 6, "é": 7, "\\E": 8} | {"".join(r.choice("ab ") for _ in range(3)).strip() or "x": 20 + k for k in range(12)}
+    texts = ["Zinc Oxide", "zincoxide zinc", "vitamin B-3, b", "acid.", "acid.x é", None, "", "x\\Ey \\E", *("".join(r.choice("ab z-") for _ in range(30)) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    expected = {x.id: sorted(x.tags or []) for x in search.tagged(docs.fillna(""), names).collect()}
+    listed = spark.createDataFrame([(v, k) for k, v in names.items()] + [(90, None), (91, "")], "id int, name string")
+    got = dictionary.mentioned(docs, listed, block_bytes=block)
+    assert {x.id: list(x.tags) for x in got.collect()} == expected and got.columns == ["id", "text", "tags"]
+
+
+def test_a_hundred_thousand_names_in_one_pass(spark):
+    names = spark.range(100_000).selectExpr("id", "concat('name ', id) AS name")
+    docs = spark.range(200).selectExpr("id", "concat('a name ', id * 499, ', name ', id, 'x Name ', id + 7) AS text")
+    got = {x.id: list(x.tags) for x in dictionary.mentioned(docs, names).collect()}
+    assert got == {k: sorted({k * 499, k + 7}) for k in range(200)}
+
+
+def test_a_routine_of_a_hundred_thousand_items(spark):
+    items = spark.range(100_000).selectExpr("0 AS g", "id AS i").union(spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 5)], "g int, i long"))
+    known = spark.range(2, 60_000).selectExpr("0L AS a", "id AS b", "'x' AS effect", "'e' AS evidence", "true AS reviewed").union(
+        spark.createDataFrame([(6, 5, "y", "e", True), (5, 200_000, "z", "e", True), (7, 8, "n", "e", False)], "a long, b long, effect string, evidence string, reviewed boolean")
+    )
+    got = answers.routine_check(items, known, "g", "i")
+    assert got.where("a = 0").count() == 59_998 and rows(got.where("a <> 0")) == [(0, 5, 6, "y", "e"), (1, 5, 6, "y", "e")]
