@@ -2,7 +2,9 @@
 
 From labelled documents the trainer takes the words and word beginnings whose
 documents are marked far more often than others: all that the sample gives
-EVIDENCE for, of at most TERM_SIZE characters. A trie of them is intersected with
+EVIDENCE for, of any length. Words end at ASCII signs and at the punctuation,
+symbols and blanks of all scripts; letters count in lower case, full-width ones
+as plain ones. A trie of them is intersected with
 Levenshtein automata (one edit, of a character, for words of four characters or
 more and beginnings of five or more, which match any ending) into one
 deterministic automaton, and all words of a batch go through it together, a
@@ -20,6 +22,7 @@ the smoothed share of marked documents. Empty tables give no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +38,6 @@ from tessera.llm import _spark, _words
 TRAIN_ROWS = 20_000
 EVIDENCE = 10.0  # for EVIDENCE_ROWS training rows; more rows have more terms that stand out by chance
 EVIDENCE_ROWS = 400
-TERM_SIZE = 64
 SHORT = 4  # characters of a word that is only counted when it is misspelled
 COUNTED_TERMS = 50_000  # held by a task before it passes them on
 STEM = (4, 8)  # characters of a word's beginning
@@ -50,6 +52,47 @@ _OPENS = frozenset(c.encode() for c in "“„‟‘‚‛")  # an open quotatio
 _PERSONS = frozenset(b"you your yours u du dich dir dein tu te toi ton vous votre usted ti".split())
 
 
+_TABLED = 0x20000  # code points beyond have neither punctuation nor capitals worth a table
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it ends a word (beyond ASCII), and the one that it counts as."""
+    cuts, folds = np.zeros(_TABLED, bool), np.arange(_TABLED, dtype=np.uint32)
+    for c in range(_TABLED):
+        kind = unicodedata.category(chr(c))
+        cuts[c] = c >= 0x80 and (kind[0] in "PSZ" or kind == "Cc")
+        if kind == "Lu":
+            lower = chr(c).lower()
+            folds[c] = ord(lower) if len(lower) == 1 else c
+    wide = np.arange(0xFF01, 0xFF5F)  # full-width forms of ASCII
+    folds[wide] = folds[wide - 0xFEE0]
+    return cuts, folds
+
+
+_CUTS, _FOLDS = _tables()
+
+
+class _Read:
+    """The words of a chunk: their places in its bytes, and its characters as they count, with the place of each byte among them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        first = (data & 0xC0) != 0x80
+        self.place = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(first, out=self.place[1:])
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        low = np.minimum(points, _TABLED - 1)
+        self.characters = np.where(points < _TABLED, _FOLDS[low], points)
+        bare = data
+        if len(points) < len(data):
+            cut = (points < _TABLED) & _CUTS[low]
+            bare = np.where(cut[np.maximum(self.place[1:] - 1, 0)], np.uint8(32), data)  # all bytes of a mark are blanks
+        self.words = _words.words(bare, offsets, _words.NOT_ALNUM, lower=True)
+        self.start, self.end = self.place[self.words.start], self.place[self.words.end]
+
+    def term(self, k: int) -> str:
+        return self.characters[self.start[k] : self.end[k]].astype("<u4").tobytes().decode("utf-32-le")
+
+
 # The automaton.
 
 
@@ -223,12 +266,9 @@ def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
     weights = np.array([w for _, _, w in matcher.terms])
     short = np.array([len(t) <= SHORT for t, _, _ in matcher.terms], bool)
     for low, high, data, offsets in _words.text_chunks(column):
-        words = _words.words(data, offsets, _words.NOT_ALNUM, lower=True)
-        folded = _words.lowered(data)
-        place = np.zeros(len(folded) + 1, np.int32)
-        np.cumsum((folded & 0xC0) != 0x80, out=place[1:])
-        characters = np.frombuffer(folded.tobytes().decode().encode("utf-32-le"), "<u4")
-        state = matcher.run(characters, place[words.start], place[words.end])
+        read = _Read(data, offsets)
+        words = read.words
+        state = matcher.run(read.characters, read.start, read.end)
         hits = np.flatnonzero(matcher.term[state] >= 0)
         edges = _words.by_row(words.row, high - low)
         for row in np.unique(words.row[hits]):
@@ -285,11 +325,11 @@ def _counts(train: DataFrame, stems: bool) -> DataFrame:
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
             for low, high, data, offsets in _words.text_chunks(batch.column("text"), 1 << 20):
-                found, folded = _words.words(data, offsets, _words.NOT_ALNUM, lower=True), _words.lowered(data)
-                edges = _words.by_row(found.row, high - low)
+                read = _Read(data, offsets)
+                edges = _words.by_row(read.words.row, high - low)
                 for row in range(high - low):
-                    own = {folded[found.start[k] : found.end[k]].tobytes().decode() for k in range(edges[row], edges[row + 1])}
-                    terms = {(w, False) for w in own if len(w) <= TERM_SIZE} | {(w[:n], True) for w in own for n in range(STEM[0], min(STEM[1] + 1, len(w))) if stems}
+                    own = {read.term(k) for k in range(edges[row], edges[row + 1])}
+                    terms = {(w, False) for w in own} | {(w[:n], True) for w in own for n in range(STEM[0], min(STEM[1] + 1, len(w))) if stems}
                     for t in terms:
                         seen.setdefault(t, [0, 0])[1 - labels[low + row]] += 1
                     if len(seen) >= COUNTED_TERMS:

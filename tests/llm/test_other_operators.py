@@ -158,6 +158,27 @@ def test_toxicity_long_quotations(text, quoted):
     assert toxicity.features(pa.array(["w " * 9, text]), matcher)[1, 4] == pytest.approx(np.log1p(quoted))
 
 
+@pytest.mark.parametrize(
+    ("text", "exact", "quoted"),
+    [
+        ("w1 “gromble” w2", 1, 1), ("w1 «gromble» w2", 1, 1), ("w1 »gromble« w2", 1, 1), ("gromble’s w1", 1, 0), ("gromble… w1", 1, 0), ("w1—gromble—w2", 1, 0), ("w1\u00a0gromble\u3000w2", 1, 0),
+        ("ｇｒｏｍｂｌｅ w1", 1, 0), ("ＧＲＯＭＢＬＥ！", 1, 0), ("GROMBLE", 1, 0), ("「gromble」", 1, 1), ("gromble🙂", 1, 0), ("w1 gromble。w2", 1, 0), ("¿gromble?", 1, 0), ("grombleé", 0, 0), ("ÉTÉ w1", 1, 0), ("‘gromble’ w1", 1, 1),
+    ],
+)
+def test_toxicity_beside_typographic_marks(text, exact, quoted):
+    matcher = toxicity.compile_terms([("gromble", False, 1.0), ("été", False, 1.0)])
+    found = toxicity.features(pa.array(["é w " * 9, text, "gromble"]), matcher)
+    assert (round(np.expm1(found[1, 2])), round(np.expm1(found[1, 4]))) == (exact, quoted) and found[2, 2] > 0 and not found[0].any()
+
+
+def test_toxicity_learns_terms_of_any_length(spark, make):
+    long = "scum" * 40
+    rows = [(k, prose(k, 20) + (f" „{long}“" if k % 2 else "")) for k in range(200)]
+    model = toxicity.train(make(rows), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
+    assert long in {t for t, _, _ in model.matcher.terms} or any(long.startswith(t) for t, stem, _ in model.matcher.terms if stem)
+    assert all((x.score >= 0.5) == bool(x.doc_id % 2) for x in toxicity.score(make(rows), model).collect())
+
+
 def test_toxicity_edges(spark, make, odd_rows, learnt):
     model = learnt[2]
     assert toxicity.score(make(odd_rows), model).count() == len(odd_rows)
