@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.shared import kept
+
 
 def retrieval(ranked: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     """recall_at_k (questions with a gold id among the first k), mrr, questions; ranked: question, id, rank; gold: question, id."""
@@ -28,31 +33,98 @@ def share(rows: DataFrame, **conditions: Column) -> DataFrame:
     return rows.agg(*(F.avg(c.cast("double")).alias(n) for n, c in conditions.items()))
 
 
-BINS = 4096
+SKETCH = 4096  # values of a KLL sketch: a rank is off by some 0.05 % of all
+GRID = 1024  # quantiles that are read off a sketch
+RANKED = 1 << 16  # values between two bounds that are put in order
+
+
+def sketches(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, sketch: a mergeable sketch of each group's values, of bounded size; nulls don't count. Those of days make one of a year."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH).alias("sketch"))
+
+
+def merged(sketched: DataFrame, *by: str) -> DataFrame:
+    return sketched.groupBy(*by).agg(F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
 
 
-def latency(rows: DataFrame, value: str, by: str, share: float = 0.95) -> DataFrame:
+def latency(rows: DataFrame, value: str, by: str, share: float = 0.95, sketched: DataFrame | None = None, ranked: int = RANKED) -> DataFrame:
     """by, p95: the exact quantile of each group, interpolated between its neighbours; nulls don't count.
 
-    No task holds a group's values: values are counted in bins between the least and greatest, and only the one or two
-    bins with the wanted places are put in order.
+    A group's sketch (made here, or given as by, sketch) says between which values the wanted places lie, up to its error;
+    what is below is counted, what is between is sketched again, until no group has more than `ranked` different values
+    between its bounds. Only these are put in order, equal ones as one, so neither tails nor a value that many rows
+    share make a task large. Each round reads the values once and narrows the bounds some two hundredfold.
     """
     given = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
-    edges = given.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    place = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
-    binned = given.alias("a").join(edges.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g"))).select("b.g", "v", "n", F.coalesce(place, F.lit(0)).alias("bin"))
-    counts = binned.groupBy("g", "bin", "n").agg(F.count("*").alias("held"))
-    before = F.sum("held").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))  # a group has BINS rows here at most
-    at = (F.col("n") - 1) * F.lit(share)
-    wanted = counts.where((F.ceil(at) >= F.col("before")) & (F.floor(at) < F.col("before") + F.col("held"))).select(F.col("g").alias("wg"), F.col("bin").alias("wbin"), "before")
-    held = binned.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("bin") == F.col("wbin")))
-    ranked = held.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("g", "bin").orderBy("v")) - 1)
-    low, high = (F.max(F.when(F.col("k") == f(at), F.col("v"))) for f in (F.floor, F.ceil))
-    found = ranked.groupBy("g", "n").agg(low.alias("x"), high.alias("y"))
+    bounds = kept(given.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    sketch = given.groupBy("g").agg(F.kll_sketch_agg_double("v", SKETCH).alias("sketch")) if sketched is None else sketched.select(F.col(by).alias("g"), "sketch")
+    same = F.col("a.g").eqNullSafe(F.col("b.g"))
+    at = (F.col("n") - 1) * F.lit(share)  # places from 0
+    below = F.lit(0).cast("long")
+    bounds = bounds.withColumn("below", below)
+    for _ in range(8):
+        # Among the values between, the wanted places; the sketch's answers to a little before and after are tried as new bounds.
+        inside = bounds.alias("a").join(sketch.alias("b"), same).select("a.g", "n", "low", "high", "below", "sketch")
+        held = F.greatest(F.kll_sketch_get_n_double("sketch"), F.lit(1))
+        cuts = F.kll_sketch_get_quantile_double("sketch", F.array(*(F.lit(k / GRID) for k in range(GRID + 1))))
+        place = lambda p, off: F.greatest(F.least(F.floor((p - F.col("below")) / held * GRID) + 1 + off, F.lit(GRID + 1)), F.lit(1)).cast("int")
+        first, last = (F.element_at("cuts", place(f(at), off)) for f, off in ((F.floor, -2), (F.ceil, 3)))
+        inside = inside.withColumn("cuts", cuts)
+        tried = kept(inside.select("g", "n", "low", "high", F.greatest(first, F.col("low")).alias("first"), F.least(last, F.col("high")).alias("last")))
+        counts = given.alias("a").join(tried.alias("b"), same).groupBy("b.g", "n", "low", "high", "first", "last").agg(F.count_if(F.col("v") < F.col("first")).alias("before"), F.count_if(F.col("v") <= F.col("last")).alias("to"), F.count_if(F.col("v") < F.col("low")).alias("older"))
+        # A sketch's bound is taken where it proves right.
+        fits_low, fits_high = F.col("before") <= F.floor(at), F.col("to") > F.ceil(at)
+        bounds = kept(counts.select("g", "n", F.when(fits_low, F.col("first")).otherwise(F.col("low")).alias("low"), F.when(fits_high, F.col("last")).otherwise(F.col("high")).alias("high"), F.when(fits_low, F.col("before")).otherwise(F.col("older")).alias("below")))
+        between = given.alias("a").join(bounds.alias("b"), same).where(F.col("v").between(F.col("low"), F.col("high"))).select("b.g", "n", "below", "v")
+        values = between.groupBy("g", "n", "below", "v").agg(F.count("*").alias("times"))
+        most = values.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+        if most <= ranked:
+            break
+        sketch = between.groupBy("g").agg(F.kll_sketch_agg_double("v", SKETCH).alias("sketch"))
+    up_to = F.sum("times").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumn("to", F.col("below") + up_to)
+    low, high = (F.min(F.when(F.col("to") > f(at), F.col("v"))) for f in (F.floor, F.ceil))
+    found = placed.groupBy("g", "n").agg(low.alias("x"), high.alias("y"))
     return found.select(F.col("g").alias(by), (F.col("x") + (F.col("y") - F.col("x")) * (at - F.floor(at))).alias("p95"))
 
 
+def ablations(rows: DataFrame, stages: Sequence[str], predicted: str, stage: str, actual: str, id: str, draws: int = 200) -> DataFrame:
+    """left_out, tp, fp, fn, precision, recall, f1, f1_low, f1_high for the whole cascade ('' left out) and for it without each stage, in one pass.
+
+    rows: a labelled mention with what is predicted, by which stage, and what is right; nulls stand for no answer. What a
+    left-out stage has answered counts as unanswered. The interval holds 95 % of `draws` Poisson bootstraps: a mention's
+    weight in each is a Poisson(1) number that follows from its id, so any partitioning gives the same.
+    """
+    if not stages:
+        raise ValueError("there is no stage")
+    right = F.col(predicted).isNotNull() & F.col(predicted).eqNullSafe(F.col(actual))
+    told = rows.select(
+        F.coalesce(F.when(F.col(predicted).isNotNull(), F.col(stage)), F.lit("")).alias("stage"),
+        right.alias("right"), (F.col(predicted).isNotNull() & ~right).alias("wrong"), F.col(actual).isNotNull().alias("has"),
+        F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"), F.col(id).alias("id"),
+    )
+    u = (F.pmod(F.xxhash64("draw", "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    weight, p, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(12):
+        total += p
+        weight = weight + (u > F.lit(total)).cast("int")
+        p /= k + 1
+    weighed = told.withColumn("w", F.when(F.col("draw") < 0, 1).otherwise(weight).cast("long"))
+    # One pass: sums by stage and draw, and over all stages of a draw.
+    count = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("w"))), F.lit(0))
+    sums = kept(weighed.groupingSets([[F.col("stage"), F.col("draw")], [F.col("draw")]], "stage", "draw").agg(F.grouping("stage").alias("all"), count("right").alias("right"), count("wrong").alias("wrong"), count("has").alias("has")))
+    whole = sums.where(F.col("all") == 1).select("draw", F.col("right").alias("r"), F.col("wrong").alias("w"), F.col("has").alias("h"))
+    names = rows.sparkSession.createDataFrame([("",), *((s,) for s in stages)], "left_out string")
+    own = sums.where((F.col("all") == 0) & (F.col("stage") != "")).select(F.col("stage").alias("left_out"), "draw", "right", "wrong")
+    each = whole.join(F.broadcast(names)).join(own, ["left_out", "draw"], "left")  # draws times stages rows
+    tp, fp = (F.col(a) - F.coalesce(b, F.lit(0)) for a, b in (("r", "right"), ("w", "wrong")))
+    scored = each.select("left_out", "draw", tp.alias("tp"), fp.alias("fp"), (F.col("h") - tp).alias("fn"))
+    scored = scored.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+    range_ = scored.where("draw >= 0").groupBy("left_out").agg(F.percentile("f1", F.lit(0.025)).alias("f1_low"), F.percentile("f1", F.lit(0.975)).alias("f1_high"))
+    main = scored.where("draw < 0").select("left_out", "tp", "fp", "fn", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), "f1")
+    return main.join(range_, "left_out", "left")
+
+
 def cost(calls: DataFrame, prices: DataFrame, by: str) -> DataFrame:
     """by, calls, cost, mean: what the answers of each kind cost; calls: call, by, part, units; prices: part, price of a unit, a row for each part of the service."""
     priced = calls.join(F.broadcast(prices), "part")

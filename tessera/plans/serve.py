@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -69,6 +69,14 @@ def q23_resolve_cascade(spark, sf_dir):
     return resolve.cascade(_mentions(spark, sf_dir), aliases).withColumn("part", F.col("part").cast("long"))
 
 
+def q60_ablations(spark, sf_dir):
+    """The cascade of q23 on the names of parts, whole and without each of its stages."""
+    truth = _table(spark, sf_dir, "part").withColumn("actual", F.min("p_partkey").over(Window.partitionBy("p_name"))).select(F.col("p_partkey").alias("mention_id"), "actual")
+    rows = q23_resolve_cascade(spark, sf_dir).where("part = 0").join(truth, "mention_id")
+    found = evals.ablations(rows, ["exact", "fuzzy"], "entity_id", "stage", "actual", "mention_id", draws=50)
+    return found.select("left_out", "tp", "fp", "fn", F.round("f1", 9).alias("f1"), (F.col("f1_low") <= F.col("f1_high")).alias("has_interval"))
+
+
 def _trigrams(name: str) -> str:
     return f"list_distinct(flatten([[substr('  ' || w || ' ', k, 3) FOR k IN range(1, length(w) + 2)] FOR w IN string_split({name}, ' ')]))"
 
@@ -91,6 +99,16 @@ FROM parts LEFT JOIN al ON alias = name LEFT JOIN best USING (name)
 """
 
 
+Q60 = f"""
+WITH x AS ({Q23}),
+t AS (SELECT p_partkey AS mention_id, min(p_partkey) OVER (PARTITION BY p_name) AS actual FROM part),
+m AS (SELECT x.*, actual FROM x JOIN t USING (mention_id) WHERE part = 0),
+r AS (SELECT left_out, CASE WHEN stage <> left_out THEN entity_id END AS entity_id, actual FROM m, (VALUES (''), ('exact'), ('fuzzy')) AS l(left_out)),
+c AS (SELECT left_out, count(*) FILTER (entity_id = actual) AS tp, count(*) FILTER (entity_id <> actual) AS fp, count(*) - count(*) FILTER (entity_id = actual) AS fn FROM r GROUP BY left_out)
+SELECT left_out, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, true AS has_interval FROM c
+"""
+
+
 def _nearest(spark, sf_dir, k: int) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")  # the stated query set

@@ -314,6 +314,35 @@ def test_quantile_is_exact(spark):
     assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) < 1e-9 for k in exact)
 
 
+@pytest.mark.parametrize("ranked", [evals.RANKED, 3])
+def test_quantile_under_heavy_tails(spark, ranked):
+    """One outlier, a value that a third of all rows share, and sketches of days: exact, and few values are put in order."""
+    d = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS g", "id % 7 AS day", "CASE WHEN id = 17 THEN 1e9 WHEN id % 3 = 1 THEN 5.0 ELSE sqrt(id) END AS v")
+    exact = {x.g: x.p for x in d.groupBy("g").agg(F.percentile("v", F.lit(0.95)).alias("p")).collect()}
+    daily = evals.sketches(d, "v", "g", "day")
+    got = {x.g: x.p95 for x in evals.latency(d, "v", "g", sketched=evals.merged(daily, "g"), ranked=ranked).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) < 1e-9 for k in exact)
+
+
+def test_ablations(spark):
+    r = random.Random(2)
+    data = [(k, r.choice([None, 1, 2, 2]), r.choice(["exact", "fuzzy"]), r.choice([None, 2, 2, 1])) for k in range(400)]
+    data = [(k, p, s if p else None, a) for k, p, s, a in data]
+    d = spark.createDataFrame(data, "id int, p int, s string, a int")
+    got = {x.left_out: x for x in evals.ablations(d, ["exact", "fuzzy", "judged"], "p", "s", "a", "id", draws=60).collect()}
+    assert set(got) == {"", "exact", "fuzzy", "judged"}
+    for left, x in got.items():
+        rows_ = [(p if s != left else None, a) for _, p, s, a in data]
+        tp = sum(p is not None and p == a for p, a in rows_)
+        fp, fn = sum(p is not None and p != a for p, a in rows_), sum(a is not None for _, a in rows_) - tp
+        assert (x.tp, x.fp, x.fn) == (tp, fp, fn) and abs(x.f1 - 2 * tp / (2 * tp + fp + fn)) < 1e-12
+        assert x.f1_low <= x.f1 <= x.f1_high and 0.02 < x.f1_high - x.f1_low < 0.3
+    again = {x.left_out: x for x in evals.ablations(d.repartition(7), ["exact", "fuzzy", "judged"], "p", "s", "a", "id", draws=60).collect()}
+    assert again == got and got["judged"][1:] == got[""][1:]
+    with pytest.raises(ValueError):
+        evals.ablations(d, [], "p", "s", "a", "id")
+
+
 def test_api(spark, tmp_path):
     from tessera.plans import api
 
