@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 import re
 
@@ -437,6 +438,41 @@ def test_stream_refresh(spark, tmp_path):
     assert rows(st.read(table).select("source_id", "name")) == [("1", "n"), ("2", "n"), ("3", "n")]
 
 
+def test_newest_versions_of_a_stream(spark, tmp_path):
+    """New and changed papers go on, late and repeated ones don't; a stream that stops in between gives the same; state is forgotten by time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "source string, source_id string, name string, made timestamp"
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    batches = [
+        [("s", "1", "a", day(1)), ("s", "2", "b", day(1)), ("s", "1", "a", day(1)), ("s", "3", "x", None)],
+        [("s", "1", "a", day(3)), ("s", "2", "old", day(0)), ("s", "2", "c", day(2)), ("s", "2", "d", day(4))],
+        [("s", "2", "c", day(3)), ("s", "4", "e", day(60))],
+        [("s", "5", "f", day(61))],
+        [("s", "1", "a", day(62))],
+    ]
+
+    def run(name, stops):
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        for n, batch in enumerate(batches):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+            if n in stops:
+                stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+                found = refresh.newest(stream, "made", ["source", "source_id"], delay="10 days", forget=dt.timedelta(days=20))
+                found.writeStream.format("parquet").option("checkpointLocation", f"{source}-cp").trigger(availableNow=True).start(out).awaitTermination()
+        return rows(spark.read.parquet(out).select("source_id", "name", "made", "change"))
+
+    expected = sorted([("1", "a", day(1), "new"), ("2", "b", day(1), "new"), ("2", "d", day(4), "changed"), ("4", "e", day(60), "new"), ("5", "f", day(61), "new"), ("1", "a", day(62), "new")])
+    assert run("whole", {4}) == expected and run("stopped", {0, 1, 2, 3, 4}) == expected
+
+    st, table = store.Store(spark, str(tmp_path / "store")), TABLES["products"]
+    products_ = f"{PRODUCT}, updated_at timestamp"
+    source = str(tmp_path / "products")
+    for n, name in enumerate(["first", "second"]):
+        spark.createDataFrame([(*product("1", name), day(n)), (*product(str(n + 2)), day(n))], products_).coalesce(1).write.mode("append").parquet(source)
+        refresh.keep_newest(spark.readStream.schema(products_).parquet(source), st, table, str(tmp_path / "cp")).awaitTermination()
+    assert rows(st.read(table).select("source_id", "name")) == [("1", "second"), ("2", "n"), ("3", "n")]
+
+
 def test_postings_rank_as_a_scan_does(spark, tmp_path):
     r = random.Random(12)
     words = [f"w{k}" for k in range(60)]
