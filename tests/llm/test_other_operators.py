@@ -227,7 +227,8 @@ def test_html(html, text):
     "html",
     [
         "<ul><li>x" * 60_000, "<blockquote>x" * 60_000, "<table><tr><td>" + "<b>" * 30_000 + "</i></p></u>" * 40_000, "<td></b>" * 60_000, "<table><tr><td>x" * 40_000, "<table><tr>" + "<td rowspan=60000>x" * 200 + "<tr><td>y" * 60_000,
-        "<table>" + "<tr><td colspan=100><td>x" * 40_000, "<table><tr><td><p>" + "<b>" * 50_000 + "<p>x" * 50_000, "<style>" + "p.a{display:none}" * 30_000 + "</style>" + "<p class=a>x" * 40_000, "<style>" + "a{" * 300_000, "<li>x<table>" * 50_000,
+        "<table>" + "".join(f"<td rowspan={2 + k % 7919}>x" for k in range(20_000)) + "<tr><td>x" * 20_000, "<style>" + "".join(f".a.b{k}" + "{display:none}" f".x{k} .a" + "{display:none}" for k in range(9000)) + "</style>" + "<p class='a c'>x" * 40_000,
+        "<style>" + "div " * 20_000 + "p{display:none}</style>" + "<div>" * 20_000 + "x", "<table>" + "<tr><td colspan=100><td>x" * 40_000, "<table><tr><td><p>" + "<b>" * 50_000 + "<p>x" * 50_000, "<style>" + "p.a{display:none}" * 30_000 + "</style>" + "<p class=a>x" * 40_000, "<style>" + "a{" * 300_000, "<li>x<table>" * 50_000,
         "<table><tr><td>" + "x" * 300_000 + "<td>y" + "<tr><td>z<td>w" * 40_000, "<table><tr>" + "<td>x" * 100_000 + "<tr><td>y" * 30_000, "<!--" * 200_000, "&amp" * 200_000, "<div class='" + "a " * 300_000 + "'>x",
     ],
 )
@@ -241,6 +242,63 @@ def test_html_is_linear(html):
     assert "display:none" in html or sum(text.count(c) for c in "xyzw") >= marks
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<style>@media all{.a{display:none}} @media screen , print{.b{display:none}} @media print{.c{display:none}} @media (min-width:9px){.d{display:none}} @supports(x){.e{display:none}}</style>" + "".join(f"<p class={c}>{c}" for c in "abcde"), "c\n\nd\n\ne"),
+        ("<style>.a .b{display:none} .d.e{display:none} p>i{visibility:hidden} .a.x .y{display:none}</style><div class=a>1<b class=b>no</b></div><b class=b>2</b><i class='e d'>no</i><i class=d>3</i><p><i>no</i><b><i>4</i></b></p><div class='x a'><p><u class=y>no</u>5</div>", "1\n23\n\n4\n\n5"),
+        ("<style>#q .z,h1 h2 h3{display:none} .z{display:inline}</style><p id=q>a<b class=z>no</b><p>b<b class=z>c", "a\n\nbc"),
+        ("<style>a:hover{display:none} b[x]{display:none} u+u{display:none} @import url(x); i{display:none}</style><a>1</a><b x>2</b><u>3</u><u>4</u><i>no</i>", "1234"),
+        ("<ol type=a reversed><li value=7>x<li>y<li type=I>z</ol>", "g. x\nf. y\nV. z"), ("<ol type=I start=9><li>x<li>y<li value=-3>z<li value=4000>w</ol>", "IX. x\nX. y\n-3. z\n4000. w"),
+        ("<ol reversed><li>x<li>y</ol><ol type=A start=26><li>p<li>q</ol>", "2. x\n1. y\n\nZ. p\nAA. q"),
+        ("<table><tr><td>日本<td>x<tr><td>abcde<td>y<tr><td>e\u0301<td>z</table>", "日本   x\nabcde  y\ne\u0301      z"),
+        ("<table>" + "<tr>" + "<td>a" * 300 + "<tr>" + "<td>bb" * 300 + "</table>", "   ".join(["a"] * 300) + "\n" + "  ".join(["bb"] * 300)),
+        ("<table><tr><td>" + "x" * 90 + "<td>p<tr><td>ab<td>q<tr><td>abc<td>r</table>", "x" * 90 + "  p\nab   q\nabc  r"),
+    ],
+)
+def test_html_rules_lists_and_widths(html, text):
+    assert html_text.page_text(html) == text
+
+
+def test_html_one_wide_cell_keeps_a_long_table_aligned():
+    wide = "y" * 39
+    html = "<table><tr><td>h<td>" + wide + "<td>t" + "<tr><td>a<td>b<td>e" * 400 + "</table>"
+    assert html_text.page_text(html) == "\n".join([f"h  {wide}  t", *["a  b" + " " * 40 + "e"] * 400])
+
+
+def test_html_tables_as_by_hand():
+    """Random tables with spans against a grid that is filled cell by cell."""
+    r = random.Random(21)
+    for _ in range(300):
+        rows = [[("".join(r.choice("abcü語") for _ in range(r.randint(0, 6))), r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 1, 2, 3])) for _ in range(r.randint(1, 5))] for _ in range(r.randint(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={n}>{t}" for t, c, n in row) for row in rows) + "</table>"
+        taken, places = set(), []
+        for k, row in enumerate(rows):
+            column, own = 0, []
+            for t, c, n in row:
+                while (k, column) in taken:
+                    column += 1
+                own.append((column, t))
+                taken |= {(k + i, column + j) for i in range(1, n) for j in range(c)}
+                column += c
+            places.append(own)
+        wide = lambda t: sum(1 + (c == "語") for c in t)
+        widths = {}
+        for row, own in zip(rows, places, strict=True):
+            for (t, c, _), (column, _) in zip(row, own, strict=True):
+                if c == 1:
+                    widths[column] = max(widths.get(column, 0), wide(t))
+        lines = []
+        for own in places:
+            line = ""
+            for column, t in own:
+                start = sum(widths.get(c, 0) + 2 for c in range(column))
+                if t:
+                    line += (" " * (start - wide(line)) if wide(line) + 2 <= start or not line else "  ") + t
+            lines.append(line)
+        assert html_text.page_text(html) == "\n".join(x for x in lines if x).strip("\n") or not any(lines), html
+
+
 def test_html_table_of_pages(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, "y"), (2, "<div>" * 50_000 + "deep", "z"), (3, "<a " * 50_000, "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
