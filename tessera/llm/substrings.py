@@ -5,8 +5,8 @@ array of the block's words gives, for each place, the longest match in a
 document with a smaller id; a match of a window or more is a factor, the parse
 goes on at its end, and there the windows that straddle the boundary are
 checked, of which the one that reaches farthest begins the next factor. Words
-in factors are duplicates. Matches are taken up to LONGEST words, so a longer
-repeat is several factors in a row.
+in factors are duplicates. The index tells matches apart up to LONGEST words; a
+factor that is as long is followed in its source to where they differ.
 
 Which blocks can match is known beforehand: a window's block is the one of its
 rarest 4-word anchor (of least hash), and equal windows have equal anchors, so
@@ -17,9 +17,14 @@ batch has are left out: a passage that a third of all documents share reaches
 its block once a batch.
 
 Blocks are as many as the text's measured bytes ask for. The windows of each
-block are counted first; where one has far more than the mean, as a frequent
-anchor in many contexts makes it, each of its windows goes to a block by its own
-hash instead, which spreads them and keeps equal ones together.
+block are counted first, in a sketch of at most COUNTERS numbers; where a block has far
+more than the mean, as a frequent anchor in many contexts makes it, each of its
+windows goes to a block by its own hash instead, which spreads them and keeps
+equal ones together. Where such a block is still far over the mean, a window that
+nearly every batch has is in it: its passages are first parsed in SALTS groups of
+batches, each of which passes on the smallest document's copy alone. Blocks that
+share a counter with a heavy one are treated as it is, which moves their windows
+and changes no result.
 
 Words are separated by ASCII blanks. Hashes only choose blocks and skip windows
 that are alone; matches are of words. Null, empty and shorter texts have no
@@ -32,9 +37,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +54,8 @@ BATCH_BYTES = 6 << 20
 BLOCK_BYTES = 8 << 20  # of passages, whose text overlaps: some OVERLAP times that of the documents
 OVERLAP = 3.3
 HEAVY = 4  # times the mean
+COUNTERS = 1 << 20  # of windows by block: 8 MB in a task, 1 MB of bits for all
+SALTS = 64
 TEXT_LEVEL, HEAD_LEVEL = 5, 3  # of compression; a higher one makes heads larger and texts hardly smaller
 
 FACTOR = np.dtype([("start", "<u4"), ("n", "<u4"), ("ref_start", "<u4"), ("ref_doc", "<i8")])
@@ -158,10 +167,32 @@ class Block:
         again = np.zeros(n, bool)
         again[word_of[length >= window]] = True
         self.again = again[self.at]
-        factors = np.array(parse(length, window), np.int64)
+        factors = _followed(np.array(parse(length, window), np.int64), length, source, tokens)
         self.start, self.n, self.source = word_of[factors], length[factors], word_of[source[factors]]
 
 
+def _followed(factors: np.ndarray, length: np.ndarray, source: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The factors that are left when those of LONGEST words go on as far as their sources do; `length` is changed. A factor within another goes."""
+    out: list[int] = []
+    end = -1
+    for f in factors.tolist():
+        if f + length[f] <= end:
+            continue
+        if length[f] == LONGEST:
+            n, step, a, b = LONGEST, LONGEST, f, int(source[f])
+            while True:
+                size = min(step, len(tokens) - max(a, b) - n)
+                same = tokens[a + n : a + n + size] == tokens[b + n : b + n + size]
+                if size <= 0 or not same.all():
+                    n += int(np.argmin(same)) if size > 0 else 0
+                    break
+                n, step = n + size, 2 * step
+            length[f] = n
+        out.append(f)
+        end = f + length[f]
+    return np.array(out, np.int64)
+
+
 def _packed(block: Block, starts: np.ndarray) -> dict[int, bytes]:
     """Each document's factors; starts: where the passage of each word's row begins in its document, less its place in the block."""
     out = np.empty(len(block.start), FACTOR)
@@ -209,13 +240,28 @@ def _heads(planes: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").reshape(3, -1), axis=1)
 
 
-def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.ndarray, window: int, anchor: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(block, heads, text, passages, bytes of text): the windows that are left, as passages for each block. Heads have document, first word and bytes of each."""
-    found, buckets = block.found, len(heavy)
+@dataclass
+class Spread:
+    """Which blocks' windows go by their own hash, and which blocks are still heavy then, by counter."""
+
+    buckets: int
+    heavy: np.ndarray
+    hot: np.ndarray
+
+    def slots(self, anchors: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block of each window, and whether it is a hot one."""
+        slot, own = _slots(anchors, self.buckets), _slots(keys, self.buckets)
+        by_own = self.heavy[slot % len(self.heavy)]
+        return np.where(by_own, own, slot), by_own & self.hot[own % len(self.hot)]
+
+
+def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, spread: Spread, window: int, anchor: int) -> Iterator[tuple[int, bool, bytes, bytes, int, int]]:
+    """(block, whether it is hot, heads, text, passages, bytes of text): the windows that are left, as passages for each block. Heads have document, first word and bytes of each."""
+    found = block.found
     if not len(block.at):
         return
-    slot = _slots(_anchors(found.hash, window, anchor)[block.at], buckets)
-    slot = np.where(heavy[slot], _slots(block.keys, buckets), slot)
+    slot, hot = spread.slots(_anchors(found.hash, window, anchor)[block.at], block.keys)
+    slot = 2 * slot + hot
     left = np.flatnonzero(~block.again)
     left = left[np.argsort(slot[left], kind="stable")]
     at, slot = block.at[left], slot[left]
@@ -232,70 +278,94 @@ def _passages(block: Block, data: np.ndarray, docs_start: np.ndarray, heavy: np.
         sizes = size[a:b]
         shift = np.repeat(low[a:b] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         text = data[np.arange(int(sizes.sum())) + shift].tobytes()
-        yield int(slot[new[a]]), head.compress(_planes(heads[:, a:b]), asbytes=True), texts.compress(text, asbytes=True), b - a, len(text)
+        yield int(slot[new[a]]) // 2, bool(slot[new[a]] % 2), head.compress(_planes(heads[:, a:b]), asbytes=True), texts.compress(text, asbytes=True), b - a, len(text)
 
 
-def _heavy(source: DataFrame, buckets: int, window: int, anchor: int) -> np.ndarray:
-    """Which blocks have HEAVY times the mean of windows: a bit for each block; less than a quarter of them come to the driver."""
+def _spread(source: DataFrame, buckets: int, window: int, anchor: int) -> Spread:
+    """Blocks with HEAVY times the mean of windows, by anchors and by the windows' own hashes; what comes to the driver is bounded by COUNTERS."""
 
-    batch_bytes = BATCH_BYTES
+    batch_bytes, counters = BATCH_BYTES, min(buckets, COUNTERS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.int64)
+        counts = np.zeros(2 * counters, np.int64)
         for data, offsets, _ in _batches(batches, batch_bytes):
             found = _words.words(data, offsets, _words.BLANKS, lower=False)
             m = max(len(found.row) - window + 1, 0)
             at = np.flatnonzero(found.row[:m] == found.row[len(found.row) - m :]) if m else np.zeros(0, np.int64)
             if len(at):
-                _, first = np.unique(_words.windows(found.hash, window)[at], return_index=True)
-                counts += np.bincount(_slots(_anchors(found.hash, window, anchor)[at[first]], buckets), minlength=buckets)
+                keys, first = np.unique(_words.windows(found.hash, window)[at], return_index=True)
+                counts[:counters] += np.bincount(_slots(_anchors(found.hash, window, anchor)[at[first]], buckets) % counters, minlength=counters)
+                counts[counters:] += np.bincount(_slots(keys, buckets) % counters, minlength=counters)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64())})
 
     counts = source.mapInArrow(_spark.freed(counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).select((HEAVY * F.col("total") / buckets).alias("most"))
-    heavy = np.zeros(buckets, bool)
+    # A counter has the windows of several blocks where there are more blocks than counters; one of these is heavy if that many more are there.
+    total = counts.where(F.col("slot") < counters).agg(F.sum("n").alias("total")).select((F.col("total") / counters + (HEAVY - 1) * F.col("total") / buckets).alias("most"))
+    heavy = np.zeros(2 * counters, bool)
     heavy[[r.slot for r in counts.join(F.broadcast(total), F.col("n") > F.col("most")).select("slot").collect()]] = True  # total is one row
-    return heavy
+    return Spread(buckets, heavy[:counters], heavy[counters:])
 
 
 def spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spans: the factors of each document that has any, as arrays of packed FACTOR records: first word, words, and where they are in a smaller document."""
     source = _spark.columns(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null and text is not null")
     buckets = max(_spark.partitions(docs.sparkSession), int(OVERLAP * _spark.total_bytes(source, "text") / block_bytes) + 1)
-    heavy, batch_bytes = _spark.share(docs.sparkSession, _heavy(source, buckets, window, anchor)), BATCH_BYTES
+    spread = _spread(source, buckets, window, anchor)
+    shared, batch_bytes, salts = _spark.share(docs.sparkSession, spread), BATCH_BYTES, SALTS
+    kinds = {"block": pa.int64(), "salt": pa.int64(), "doc_id": pa.int64(), "heads": pa.binary(), "passages": pa.binary(), "n": pa.int64(), "size": pa.int64()}
+    schema = "block long, salt long, doc_id long, heads binary, passages binary, n long, size long"
+
+    def rows_of(block: Block, data: np.ndarray, docs_start: np.ndarray, salt: int | None) -> list[tuple]:
+        """Factors that are found, and passages for the blocks; those of hot windows with a salt, if there is one."""
+        rows = [(int(_slots(np.array([i], np.int64).view(np.uint64), buckets)[0]), None, i, x, None, 0, 0) for i, x in _packed(block, docs_start).items()]
+        return rows + [(b, salt if hot else None, None, *rest) for b, hot, *rest in _passages(block, data, docs_start, shared.value, window, anchor)]
+
+    def columns(rows: list[tuple]) -> list[pa.Array]:
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return [pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, ids in _batches(batches, batch_bytes):
             block = Block(data, offsets, ids, window)
             edges = _words.by_row(block.found.row, len(ids))
-            docs_start = -edges[:-1][block.found.row]
-            rows = [(int(_slots(np.array([i], np.int64).view(np.uint64), buckets)[0]), i, x, None, 0, 0) for i, x in _packed(block, docs_start).items()]
-            rows += [(b, None, *rest) for b, *rest in _passages(block, data, docs_start, heavy.value, window, anchor)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "heads": pa.binary(), "passages": pa.binary(), "n": pa.int64(), "size": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+            salt = int(_slots(ids[:1].view(np.uint64), salts)[0])
+            yield pa.RecordBatch.from_arrays(columns(rows_of(block, data, -edges[:-1][block.found.row], salt)), names=list(kinds))
+
+    def read(heads: list[np.ndarray], texts: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray]:
+        """A block of passages, its bytes, and where each word is in its document, less its place in the block."""
+        (docs, starts, sizes), data = np.concatenate(heads, axis=1), np.frombuffer(b"".join(texts), np.uint8)
+        block = Block(data, np.r_[0, np.cumsum(sizes)], docs, window)
+        return block, data, (starts - _words.by_row(block.found.row, len(docs))[:-1])[block.found.row]
+
+    def passages_of(group: pa.Table) -> tuple[list[np.ndarray], list[bytes]]:
+        heads, texts = [], []
+        for h, t, n, size in zip(*(group.column(c).to_pylist() for c in ("heads", "passages", "n", "size")), strict=True):
+            heads.append(_heads(pa.decompress(h, 24 * n, "zstd", asbytes=True)))
+            texts.append(pa.decompress(t, size, "zstd", asbytes=True))
+        return heads, texts
+
+    def reduced(group: pa.Table) -> pa.Table:
+        """Of a hot block's passages in one group of batches, the windows' first copies."""
+        return pa.table(columns(rows_of(*read(*passages_of(group)), None)), names=list(kinds))
 
     def factor(group: pa.Table) -> pa.Table:
         done: dict[str, list] = {"doc_id": [], "spans": []}
-        heads, texts = [], []
-        for i, h, t, n, size in zip(*(group.column(c).to_pylist() for c in ("doc_id", "heads", "passages", "n", "size")), strict=True):
-            if i is not None:
-                done["doc_id"].append(i)
-                done["spans"].append(h)
-            else:
-                heads.append(_heads(pa.decompress(h, 24 * n, "zstd", asbytes=True)))
-                texts.append(pa.decompress(t, size, "zstd", asbytes=True))
+        known = pc.is_valid(group.column("doc_id"))
+        done["doc_id"], done["spans"] = (group.filter(known).column(c).to_pylist() for c in ("doc_id", "heads"))
+        heads, texts = passages_of(group.filter(pc.invert(known)))
         if heads:
-            (docs, starts, sizes), data = np.concatenate(heads, axis=1), np.frombuffer(b"".join(texts), np.uint8)
-            block = Block(data, np.r_[0, np.cumsum(sizes)], docs, window)
-            first = _words.by_row(block.found.row, len(docs))[:-1]
-            found = _packed(block, (starts - first)[block.found.row])
+            block, _, starts = read(heads, texts)
+            found = _packed(block, starts)
             done["doc_id"] += found
             done["spans"] += found.values()
         return pa.table(done, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
 
-    passages = source.mapInArrow(_spark.freed(split), "block long, doc_id long, heads binary, passages binary, n long, size long")
+    passages = source.mapInArrow(_spark.freed(split), schema)
+    if spread.hot.any():
+        passages = _spark.checkpoint(passages)  # not parsed once for each of the two branches
+        first = passages.where("salt is not null").groupBy("block", "salt").applyInArrow(reduced, schema)
+        passages = passages.where("salt is null").unionByName(first)
     found = passages.groupBy("block").applyInArrow(factor, "doc_id long, spans binary")
     return found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 

@@ -194,10 +194,10 @@ def test_factors_are_longest_matches():
             assert b > end or b + length[b] == max(c + length[c] for c in range(a, min(end, len(length) - 1) + 1) if length[c] >= window and c > end - window)
 
 
-@pytest.mark.parametrize("batch", [1, 1 << 22])
-@pytest.mark.parametrize("heavy", [0, 4])
-def test_substrings(spark, make, odd_rows, monkeypatch, batch, heavy):
+@pytest.mark.parametrize(("batch", "heavy", "counters"), [(1, 0, 1 << 20), (1, 4, 2), (1 << 22, 0, 3), (1 << 22, 4, 1 << 20)])
+def test_substrings(spark, make, odd_rows, monkeypatch, batch, heavy, counters):
     monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    monkeypatch.setattr(substrings, "COUNTERS", counters)
     monkeypatch.setattr(substrings, "HEAVY", heavy)
     r = random.Random(3)
     shared = [prose(100 + k, n) for k, n in enumerate((12, 13, 14, 40, 90))]
@@ -207,6 +207,38 @@ def test_substrings(spark, make, odd_rows, monkeypatch, batch, heavy):
     assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == removed(rows)
 
 
+def test_a_window_of_every_batch_is_one_row_of_a_salt(spark, make, monkeypatch):
+    """A passage that all documents share, each a batch: its block gets it once from each group of batches, and all but the first document lose it."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 1)
+    monkeypatch.setattr(substrings, "HEAVY", 3)
+    monkeypatch.setattr(substrings, "SALTS", 2)
+    passage = prose(77, 13)
+    rows = [(k, f"{prose(1000 + k, 3)} {passage} {prose(2000 + k, 2)}") for k in range(120)]
+    seen = []
+    kept = substrings._spark.checkpoint
+
+    def watched(df):
+        out = kept(df)
+        if "salt" in out.columns:
+            seen.append(out.where("salt is not null").count())
+        return out
+
+    monkeypatch.setattr(substrings._spark, "checkpoint", watched)
+    spans = substrings.spans(make(rows), block_bytes=400)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert seen and seen[0] >= 120 and plan.count("FlatMapGroupsInArrow") == 2
+    assert sorted(x.doc_id for x in spans.collect()) == list(range(1, 120))
+    got = substrings.remove(make(rows), block_bytes=400).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == removed(rows)
+
+
+def test_factors_are_followed_beyond_the_index(spark, make):
+    text = " ".join(f"u{k}" for k in range(500))
+    spans = substrings.spans(make([(1, text), (2, "x " + text)]).coalesce(1)).collect()
+    found = _words.np.frombuffer(b"".join(spans[0].spans), substrings.FACTOR)
+    assert [tuple(f) for f in found.tolist()] == [(1, 500, 0, 1)] and len(spans) == 1
+
+
 def test_substrings_null_id_and_empty(spark, make):
     text = prose(4, 30)
     got = {x.doc_id: x.n_removed for x in substrings.remove(make([(1, text), (None, text), (2, text)])).collect()}
