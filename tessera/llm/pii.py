@@ -2,8 +2,10 @@
 
 Plain e-mail addresses, IPv4 addresses, card numbers and phone numbers are
 found first. A text that has signs of a disguise then goes through two
-transducers: one folds homoglyphs, fullwidth and other digits and drops
-invisible characters, one reads spelled digits and "at" and "dot" written out.
+transducers: one folds homoglyphs, letters in circles, fullwidth and other digits,
+blanks and hyphens of all kinds between digits, and drops invisible characters,
+one reads spelled numbers and "at", "dot" and "underscore" written out, set off
+by blanks, or as references of HTML.
 Each normalised character keeps the source span it came from, so what is found
 in the normalised text maps back to source characters. Such a span is added if
 it holds a changed character and isn't inside another span of its kind.
@@ -84,8 +86,8 @@ def plain(text: str) -> list[Span]:
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKES = dict(
     zip(
-        "аеорсухіјѕԁԛԝһкмтв" "АВЕКМНОРСТУХІЈЅ" "αορνικυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-        "aeopcyxijsdqwhkmtb" "ABEKMHOPCTYXIJS" "aopviku" "ABEZHIKMNOPTYX",
+        "аеорсухіјѕԁԛԝһкмтв" "АВЕКМНОРСТУХІЈЅ" "αορνικυ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ɑɡɩʏոսօհցԼ",
+        "aeopcyxijsdqwhkmtb" "ABEKMHOPCTYXIJS" "aopviku" "ABEZHIKMNOPTYX" "agiynuohgL",
         strict=True,
     )
 )
@@ -94,7 +96,7 @@ _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 def _folded() -> dict[str, str]:
     table = dict(_LOOKALIKES) | dict.fromkeys(_INVISIBLE, "")
-    for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2070, 0x208A), *range(0x2460, 0x2469), 0xFE52, 0xFE6B]):
+    for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2070, 0x208A), *range(0x2460, 0x2469), *range(0x24B6, 0x24EA), 0xFE52, 0xFE6B]):
         if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii():
             table[c] = n
     for c in map(chr, range(0x80, 0x20000)):  # digits of every script
@@ -114,6 +116,10 @@ def _ranges(characters: set[int]) -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
 
 
+# Blanks and hyphens of other kinds: between digits they stand for plain ones.
+_BLANK, _HYPHEN = "\u00a0\u2000-\u200a\u202f\u3000\t", "\u2010-\u2015\u2212\ufe63\uff0d"
+_BETWEEN = re.compile(rf"(?<=[^\W_)])[{_BLANK}{_HYPHEN} -]?[{_BLANK}{_HYPHEN}][{_BLANK}{_HYPHEN} -]?(?=[^\W_(])")
+_BLANKS = re.compile(f"[{_BLANK}]")
 _FOLD = _folded()
 _FOLD_CHARS = re.compile(_ranges(set(map(ord, _FOLD))))
 
@@ -128,8 +134,11 @@ _DIGITS = {
     )
     for n, word in enumerate(words.split())
 } | {"oh": "0", "une": "1", "zwo": "2", "fuenf": "5"}
-_NUMBER = "(?:" + "|".join(_DIGITS) + ")"
-_AT_WORD, _AT_NAME, _DOT_WORD = "at", "(?:arobase|arroba|klammeraffe)", "(?:dot|point|punkt|punto)"
+_TENS = {w: str(n) for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_DIGITS |= {w: str(n) for n, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 10)} | {w: f"{d}0" for w, d in _TENS.items()}
+_NUMBER = "(?:" + "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w))) + ")"
+_AT_WORD, _AT_NAME, _DOT_WORD = "(?:at|ät)", "(?:arobase|arroba|klammeraffe)", "(?:dot|point|punkt|punto)"
+_AT_CODE, _DOT_CODE = r"&(?:#0{0,6}64|#x0{0,6}40|commat);", r"&(?:#0{0,6}46|#x0{0,6}2e|period);"
 _OPEN, _CLOSE = r"[ ]{0,2}[\[({<][ ]{0,2}", r"[ ]{0,2}[\])}>][ ]{0,2}"
 # An "at" without brackets may be prose: these endings, after dots written out, make it an address with any word before it.
 _ENDS = "(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es|it|nl|ch|at|ru|cn|jp|in|br|ca|au|test)"
@@ -137,10 +146,11 @@ _DOT = rf"(?:\.|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE
 # Other endings need only the shape of one, but then _is_address looks at the words around.
 _HOST = rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}}){{0,8}}{_DOT}[a-z]{{2,24}}\b"
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:{_AT_WORD}|{_AT_NAME}|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}[a-z0-9]))"
+    rf"(?P<at>{_AT_CODE}|{_OPEN}(?:{_AT_WORD}|{_AT_NAME}|@){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?=[a-z0-9-]{{1,63}}(?:(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}[a-z0-9-]{{1,63}}){{0,4}}[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}{_ENDS}\b|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}[a-z0-9]))"
     rf"|(?<=[a-z0-9])[ ]{{1,2}}{_AT_NAME}[ ]{{1,2}}(?={_HOST}))"
-    rf"|(?P<bare>(?<=[a-z0-9])[ ]{{1,2}}at[ ]{{1,2}}(?={_HOST}))"
-    rf"|(?P<dot>{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}(?=[a-z0-9]))"
+    rf"|(?P<bare>(?<=[a-z0-9])(?:[ ]{{1,2}}at[ ]{{1,2}}|[ ]{{1,2}}@[ ]{{0,2}}|@[ ]{{1,2}})(?={_HOST}))"
+    rf"|(?P<under>(?<=[a-z0-9])[ ]{{1,2}}(?:underscore|unterstrich)[ ]{{1,2}}(?=[a-z0-9]))"
+    rf"|(?P<dot>{_DOT_CODE}|(?<=[a-z0-9])(?:[ ]{{1,2}}\.[ ]{{0,2}}|\.[ ]{{1,2}})(?={_ENDS}\b)|{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|(?<=[a-z0-9])[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus[ -]{{1,2}}(?={_NUMBER}\b|[0-9]))"
     rf"|(?P<digits>\b{_NUMBER}\b(?:[ -]{{1,2}}{_NUMBER}\b)*)",
     re.IGNORECASE,
@@ -168,20 +178,63 @@ _AFTER = re.compile(rf"[ ().-]*(?:[0-9\[({{<]|(?:{_NUMBER}|{_DOT_WORD})\b)", re.
 _JOINT = re.compile("[ -]{1,2}(?=[0-9])")
 _BACK_JOINT = re.compile(r"(?<=[0-9])[ -]{1,2}\Z")
 _KEPT_DOT = re.compile(r" at {1,2}[a-z0-9-]{1,63}\.[a-z0-9]")
+_AT_APART = re.compile("[a-z0-9](?: {1,2}@|@ )")
+_DOT_APART = re.compile(rf"[a-z0-9](?: {{1,2}}\.|\. ) {{0,2}}{_ENDS}\b")
 _NEAR = 12  # characters that are looked at on each side
 # What a text has that can be rewritten, by plain searches first. A sign of its own stands for each alternative of _DISGUISE.
-_SIGNED = re.compile(rf"[\[({{<][ ]{{0,2}}(?:at|{_AT_NAME}|@|\.|{_DOT_WORD})|[a-z0-9][ ]{{1,2}}(?:{_AT_NAME}|{_DOT_WORD})[ ]{{1,2}}[a-z0-9-]|plus[ -]")
-_TOUCHING = re.compile(rf"(?:{_NUMBER}|[0-9])[ ().+-]+{_NUMBER}|{_NUMBER}[ ().+-]+[0-9]")
+_BRACKETED_AT = re.compile(rf"[\[({{<][ ]{{0,2}}(?:at|ät|{_AT_NAME}|@)")
+_NAMED_AT = re.compile(rf"[a-z0-9][ ]{{1,2}}{_AT_NAME}[ ]{{1,2}}[a-z0-9-]")
+_CODED_AT, _CODED_DOT = re.compile(_AT_CODE), re.compile(_DOT_CODE)
+_PLUS = re.compile(rf"plus[ -]{{1,2}}(?:{_NUMBER}|[0-9])")
+_BRACKETED_DOT = re.compile(rf"[\[({{<][ ]{{0,2}}(?:\.|{_DOT_WORD})")
+_SPACED_DOT = re.compile(rf"[a-z0-9][ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}[a-z0-9-]")
+_DOTTED_NUMBER = re.compile(rf"(?:{_NUMBER}|[0-9])(?:[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:\.|{_DOT_WORD})|[ ]{{1,2}}{_DOT_WORD}[ ]|{_DOT_CODE})")
+_NUMBER_WORD = re.compile(rf"\W{_NUMBER}(?!\w)")
+_TOUCHED_BEFORE, _TOUCHED_AFTER = re.compile(rf"(?:{_NUMBER}|[0-9])[ ().+-]+\Z"), re.compile(rf"[ ().+-]+(?:{_NUMBER}|[0-9])")
+_OTHER_BLANK, _OTHER_JOINT = re.compile("[\t    　]"), re.compile(f"[{_BLANK}{_HYPHEN}]")
+_LINE_END = re.compile(r"(?<=[ \n]at)\n(?=[a-z0-9])|(?<=[a-z0-9])\n(?=at[ \n]|@[a-z0-9]|dot )|(?<= dot)\n(?=[a-z0-9])", re.IGNORECASE)
+_AT_NAMES, _DOT_NAMES = ("arobase", "arroba", "klammeraffe"), ("dot", "point", "punkt", "punto")
+_BROKEN = ("at\n", "\nat", "\n@", "dot\n", "\ndot ")
+
+
+def _flat(text: str) -> str:
+    """The text with blanks of all kinds as plain ones, and with line ends beside "at" and "dot" as blanks; as long as the text."""
+    text = _OTHER_BLANK.sub(" ", text)
+    if "\n" in text:
+        folded = text.lower()
+        if any(b in folded for b in _BROKEN):
+            text = _LINE_END.sub(" ", text)
+    return text
+
+
+def _touching(folded: str) -> bool:
+    """Whether a number word has another or a digit beside it."""
+    for m in _NUMBER_WORD.finditer(" " + folded):
+        if _TOUCHED_AFTER.match(folded, m.end() - 1) or _TOUCHED_BEFORE.search(folded, max(0, m.start() - 24), m.start()):
+            return True
+    return False
 
 
 def _signs(text: str) -> bool:
-    """Whether a text can hold a disguise: a quick test, which may say yes in vain."""
+    """Whether a text can hold a disguise: a quick test, which may say yes in vain. Plain searches come before patterns.
+
+    A dot written out matters in an address, which has an @ or an "at", and between numbers.
+    """
     if not text.isascii() and _FOLD_CHARS.search(text):
         return True
     folded = text.lower()
-    if _SIGNED.search(folded) or (" at " in folded and _KEPT_DOT.search(folded)):
+    if _BRACKETED_AT.search(folded) or ("&" in folded and _CODED_AT.search(folded)) or ("plus" in folded and _PLUS.search(folded)):
+        return True
+    if any(n in folded for n in _AT_NAMES) and _NAMED_AT.search(folded):
+        return True
+    if _touching(folded):
+        return True
+    at, at_word = "@" in folded, " at " in folded
+    if at and (_AT_APART.search(folded) or _DOT_APART.search(folded)) or at_word and _KEPT_DOT.search(folded):
         return True
-    return bool(_TOUCHING.search(folded))
+    named = any(n in folded for n in _DOT_NAMES)
+    dotted = _BRACKETED_DOT.search(folded) or ("&" in folded and _CODED_DOT.search(folded)) or (named and _SPACED_DOT.search(folded))
+    return bool(dotted and (at or at_word or _DOTTED_NUMBER.search(folded)))
 
 
 class Normalised:
@@ -219,12 +272,15 @@ def _is_address(text: str, start: int, end: int) -> bool:
     local, host = found[0], _HOSTS.match(text, end)[0]
     if _MAILBOX.match(local):
         return True
+    if "@" in text[start:end] and not local.isdigit():
+        return local.lower() not in _BEFORE_AT
     if local.lower() in _BEFORE_AT or _LABEL.match(host)[0].lower() in _AFTER_AT:
         return False
     # A kept dot is how prose names a site, too: a bare word needs a cue before it, or to stand alone with its host.
     if not _KEPT.fullmatch(host) or _CUE.search(text, max(0, found.start() - 24), found.start()):
         return True
-    return bool(_ALONE_BEFORE.search(text, max(0, found.start() - 24), found.start()) and _ALONE_AFTER.match(text, end + len(host)))
+    # A name in capitals that stands alone before a site is as likely its author.
+    return not local[0].isupper() and bool(_ALONE_BEFORE.search(text, max(0, found.start() - 24), found.start()) and _ALONE_AFTER.match(text, end + len(host)))
 
 
 def _readings(text: str) -> list[tuple[list[Edit], str]]:
@@ -235,7 +291,7 @@ def _readings(text: str) -> list[tuple[list[Edit], str]]:
         if m.lastgroup == "bare" and not _is_address(text, m.start(), m.end()):
             continue
         if m.lastgroup != "digits":
-            signs.append((m.start(), m.end(), {"at": "@", "bare": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
+            signs.append((m.start(), m.end(), {"at": "@", "bare": "@", "dot": ".", "plus": "+", "under": "_"}[m.lastgroup]))
             continue
         words = list(_WORD.finditer(m[0]))
         low, high = text[max(0, m.start() - _NEAR) : m.start()], text[m.end() : m.end() + _NEAR]
@@ -244,7 +300,10 @@ def _readings(text: str) -> list[tuple[list[Edit], str]]:
             continue
         # A blank after a number word belongs to no digit: it goes with the word before, but for the last.
         stops = [m.start() + w.start() for w in words[1:]] + [m.end()]
-        edits = [(m.start() + w.start(), stop, _DIGITS[w[0].lower()]) for w, stop in zip(words, stops, strict=True)]
+        named = [w[0].lower() for w in words]
+        # "forty nine" is 49, "forty" alone 40.
+        digits = [_TENS[n] if n in _TENS and after in _DIGITS and _DIGITS[after] in "123456789" else _DIGITS[n] for n, after in zip(named, [*named[1:], ""], strict=True)]
+        edits = [(m.start() + w.start(), stop, d) for w, stop, d in zip(words, stops, digits, strict=True)]
         for name, wanted in (("long", len(words) > 2), ("near", True), ("begun", begun), ("ended", ended), ("inner", begun and ended)):
             runs[name] += edits if wanted else []
         if gap := _BACK_JOINT.search(low):
@@ -257,10 +316,15 @@ def _readings(text: str) -> list[tuple[list[Edit], str]]:
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
-    if not _signs(text):
+    flat = _flat(text)
+    between = _OTHER_JOINT.search(text)
+    joints = [m for m in _BETWEEN.finditer(text) if m[0] and (text[m.start() - 1].isdigit() or text[m.start() - 1] == ")") and (text[m.end()].isdigit() or text[m.end()] == "(")] if between else []
+    if not joints and not _signs(flat):
         return []
-    folded = Normalised(text)
-    folded.rewrite([(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text) if m[0] in _FOLD] if not text.isascii() else [])
+    folded = Normalised(flat)
+    folds = [(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLD_CHARS.finditer(text) if m[0] in _FOLD] if not text.isascii() else []
+    spaced = [(k, k + 1, " " if c == " " or _BLANKS.match(c) else "-") for m in joints for k, c in enumerate(m[0], m.start()) if c not in " -"]
+    folded.rewrite(sorted([*folds, *spaced]))
     plain_ones = [[(s, e) for s, k, e in known if k == kind] for kind in range(len(KINDS))]
     found = set()
     for edits, reading in _readings(folded.text):

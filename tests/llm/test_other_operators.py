@@ -453,11 +453,66 @@ def test_pii_unbracketed_at(text, found):
     assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("card 4111\u00a01111\u00a01111\u00a01111 ok", "4111\u00a01111\u00a01111\u00a01111"), ("card 4111\u20111111\u20111111\u20111111", "4111\u20111111\u20111111\u20111111"), ("4111–1111–1111–1111", "4111–1111–1111–1111"),
+        ("+49\u202f151\u202f23456789", "+49\u202f151\u202f23456789"), ("jɑne@exɑmple.com", "jɑne@exɑmple.com"), ("j@ɡmail.com", "j@ɡmail.com"), ("jaոe@example.com", "jaոe@example.com"), ("Ⓙane@example.com", "Ⓙane@example.com"),
+        ("mail jane @ example.com now", "jane @ example.com"), ("mail jane@ example.com", "jane@ example.com"), ("jane@example . com", "jane@example . com"), ("jane@mail. example.com", None),
+        ("to jane\tat\texample\tdot\tcom", "jane\tat\texample\tdot\tcom"), ("jane\u00a0at\u00a0example\u00a0dot\u00a0com", "jane\u00a0at\u00a0example\u00a0dot\u00a0com"), ("jane at\nexample dot com", "jane at\nexample dot com"),
+        ("jane(ät)example.de", "jane(ät)example.de"), ("call plus forty nine one five one two three four five six seven", "plus forty nine one five one two three four five six seven"),
+        ("jane underscore doe at example dot com", "jane underscore doe at example dot com"), ("jane&#64;example.com", "jane&#64;example.com"), ("jane&#x40;example&period;com", "jane&#x40;example&period;com"),
+        ("Trump at nytimes.com", None), ("two – three", None), ("3 @ 4.50", None), ("a plus un", None), ("1990–1995 1234–5678", None), ("see me @ example.com", None), ("au point de", None), ("5\t6\t7", None),
+    ],
+)
+def test_pii_other_blanks_hyphens_and_letters(text, found):
+    spans = pii.disguised(text, pii.plain(text))
+    assert [text[s:e] for s, _, e in spans if (s, e) not in {(a, b) for a, _, b in pii.plain(text)}] == ([found] if found else [])
+
+
+def test_pii_made_disguises():
+    """Identifiers of which characters, signs and digits are replaced at random, in prose: each is found, from its first to its last character."""
+    r = random.Random(17)
+    alike = {}
+    for c, plain in pii._LOOKALIKES.items():
+        alike.setdefault(plain, []).append(c)
+    english = {str(n): w for n, w in enumerate("zero one two three four five six seven eight nine".split())}
+    say = lambda digits: " ".join(english[d] for d in digits)
+    for k in range(4000):
+        name, host = "".join(r.choices("aceopxy", k=r.randint(3, 8))), "".join(r.choices("bdghikmn", k=r.randint(3, 8)))
+        kind = r.randrange(7)
+        if kind == 0:
+            at, dot = r.choice([" at ", " [at] ", "(at)", " {at} ", "<at>", "&#64;", " arroba ", " arobase "]), r.choice([" dot ", "[dot]", " (dot) ", "{.}"])
+            made = f"{name}{at}{host}{dot}{r.choice(['com', 'org', 'de', 'fr'])}"
+        elif kind == 1:
+            swap = lambda t: "".join(r.choice(alike[c]) if c in alike and r.random() < 0.5 else c for c in t)
+            made = f"{swap(name)}@{swap(host)}.com"
+            if made.isascii():
+                continue
+        elif kind == 2:
+            made = "".join(chr(ord(c) + 0xFEE0) for c in f"{name}@{host}.com")
+        elif kind == 3:
+            digits = [r.randrange(10) for _ in range(15)]
+            check = next(d for d in range(10) if pii._luhn([*digits, d]))
+            shown = "".join(map(str, [*digits, check]))
+            made = r.choice([say(shown), "\u00a0".join(shown[i : i + 4] for i in range(0, 16, 4)), "–".join(shown[i : i + 4] for i in range(0, 16, 4))])
+        elif kind == 4:
+            made = "plus " + say("".join(str(r.randrange(10)) for _ in range(r.randint(10, 15))))
+        elif kind == 5:
+            made = " dot ".join(say(str(r.randrange(256))) for _ in range(4))
+        else:
+            made = ".".join("".join(chr(0x660 + int(d)) for d in str(r.randrange(256))) for _ in range(4))
+        before, after = r.choice(["write to ", "it was: ", "(", "", "zu "]), r.choice([", and", " ok", ")", "", ";"])
+        text = before + made + after
+        spans = {(s, e) for s, _, e in pii.disguised(text, pii.plain(text))}
+        assert (len(before), len(before) + len(made)) in spans, (text, [text[s:e] for s, e in spans])
+
+
 def test_pii_signs_only_save_work(monkeypatch):
     text = "call plus 49 151 23456789 now"
     assert [text[s:e] for s, _, e in pii.disguised(text, [])] == ["plus 49 151 23456789"]
     r = random.Random(6)
-    parts = ["punto", "point", "arroba", "(arobase)", "fünf", "Un", "dos", "১", "。", "plus", "Plus-", "49", "151", "23456789", "one", "Two", "seven", "127", "0", "at", "dot", "[at]", "(dot)", "<.>", ".", "-", "+", "bob", "mail", "com", "é", "@", "four"]
+    parts = ["punto", "point", "arroba", "(arobase)", "fünf", "Un", "dos", "১", "。", "plus", "Plus-", "49", "151", "23456789", "one", "Two", "seven", "127", "0", "at", "dot", "[at]", "(dot)", "<.>", ".", "-", "+", "bob", "mail", "com", "é", "@", "four", "\t", "\u00a0", "–", "underscore", "&#64;", "&period;", "forty", "1234", "\n"]
     texts = ["".join(r.choice(parts) + r.choice(["", " ", " ", "  "]) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
     quick = [pii.disguised(t, pii.plain(t)) for t in texts]
     monkeypatch.setattr(pii, "_signs", lambda text: True)
