@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import first_wins
+from tessera.operators.relational import first_wins, top
 
 # How strong each kind of evidence is.
 EVIDENCE = {"clinical trial": "strong", "small study": "moderate", "in vitro": "weak", "anecdotal": "weak"}
@@ -74,6 +74,24 @@ def routine_check(items: DataFrame, interactions: DataFrame, group: str, item: s
     return whole.select(F.col("g").alias(group), "a", "b", "effect", "evidence")
 
 
+def evidence(flagged: DataFrame, chunks: DataFrame, group: str, *, chunk: str = "chunk_id", ids: str = "ingredient_ids", score: Column | None = None, k: int = 8) -> DataFrame:
+    """flagged (group, a, b and more) with the k best chunks that are tagged with both of a pair: chunk, rank. A pair without any isn't there.
+
+    Pairs are ranked once, however many groups share them: chunks meet the distinct pairs on the rarer of their two
+    items and keep those that have the other, so no pairs of a chunk's tags are made.
+    """
+    pairs = flagged.select("a", "b").distinct()
+    each = chunks.select(F.col(chunk).alias("chunk__"), F.col(ids).alias("ids__"), (F.lit(0) if score is None else score).alias("score__"))
+    items = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    tagged = each.select("chunk__", "ids__", "score__", F.explode(F.array_distinct("ids__")).alias("x"))
+    often = tagged.join(items, "x", "left_semi").groupBy("x").agg(F.count("*").alias("n"))
+    rarity = pairs.join(often.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(often.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+    hung = rarity.select("a", "b", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("x"))
+    both = tagged.join(hung, "x").where(F.array_contains("ids__", F.col("a")) & F.array_contains("ids__", F.col("b")))
+    best = top(both, k, ["a", "b"], F.desc("score__"), F.asc("chunk__")).select("a", "b", F.col("chunk__").alias(chunk), "rank")
+    return flagged.join(best, ["a", "b"])
+
+
 def suitability(ingredients: DataFrame, flags: DataFrame, product: str, item: str) -> DataFrame:
     """product, n_items, n_flagged, flagged (in order), suitable, for every product."""
     marked = ingredients.select(product, item).distinct().join(flags.select(item).distinct().withColumn("__flag", F.lit(True)), item, "left")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.shared import kept
+from tessera.operators.store import Store, load
+from tessera.schemas import TABLES
 
 
 def retrieval(ranked: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
@@ -131,6 +134,20 @@ def cost(calls: DataFrame, prices: DataFrame, by: str) -> DataFrame:
     return priced.groupBy(by).agg(F.countDistinct("call").alias("calls"), F.sum(F.col("units") * F.col("price")).alias("cost")).withColumn("mean", F.col("cost") / F.col("calls"))
 
 
+def recorded(store: Store, run_id: str, metrics: DataFrame, started_at: datetime) -> dict[str, int]:
+    """Stores a run's metrics, one row with a column each, in the table of evaluation runs; a run that is recorded again replaces its values."""
+    names = [c for c, t in metrics.dtypes if t in ("double", "float", "int", "bigint", "boolean")]
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names)))
+    rows = metrics.select(pairs.alias("m")).select(F.lit(run_id).alias("run_id"), F.lit(started_at).alias("started_at"), "m.*")
+    return load(store, TABLES["eval_runs"], rows)
+
+
+def regressions(store: Store, metric: str, most: float = 3.0) -> DataFrame:
+    """`gate` over what is stored of a metric, by the runs' beginnings."""
+    runs = store.read(TABLES["eval_runs"]).where(F.col("metric") == metric)
+    return gate(runs.select("started_at", "value"), "started_at", "value", most)
+
+
 def gate(metrics: DataFrame, order: str, value: str, most: float = 3.0) -> DataFrame:
     """Each run's value, the one before and whether it fell by more than `most`. metrics has a row a run: one partition holds them."""
     before = F.lag(value).over(Window.partitionBy(F.lit(0)).orderBy(order))

@@ -40,6 +40,12 @@ def check_routine(products: Sequence[str], positions: DataFrame, interactions: D
     return answers.routine_check(wanted, interactions, "routine", "item").drop("routine")
 
 
+def routine_evidence(products: Sequence[str], positions: DataFrame, interactions: DataFrame, chunks: DataFrame, *, k: int = 8) -> DataFrame:
+    """What check_routine flags, with the k best chunks (chunk_id, ingredient_ids, published) that are tagged with both ingredients, the newest first."""
+    flagged = check_routine(products, positions, interactions).withColumn("routine", F.lit(0))
+    return answers.evidence(flagged, chunks, "routine", score=F.col("published"), k=k).drop("routine")
+
+
 def ingredient(store: Store, cosing_id: str) -> DataFrame:
     """An ingredient by its id: one row, or none."""
     return store.lookup(TABLES["ingredients"], cosing_id=cosing_id)

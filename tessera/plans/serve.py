@@ -85,10 +85,11 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1)) END"
 
 
-Q23 = f"""
+def _cascade_sql(aliases: str) -> str:
+    return f"""
 WITH {Q21.strip().removeprefix("WITH ").removesuffix("SELECT * FROM c WHERE name <> ''").strip()},
 parts AS (SELECT * FROM c WHERE name <> ''),
-al AS MATERIALIZED (SELECT p_name AS alias, min(p_partkey) AS entity_id, {_trigrams("p_name")} AS g, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part GROUP BY p_name),
+al AS MATERIALIZED (SELECT p_name AS alias, min(p_partkey) AS entity_id, {_trigrams("p_name")} AS g, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE {aliases} GROUP BY p_name),
 n AS MATERIALIZED (SELECT name, {_trigrams("regexp_replace(name, '[^a-z0-9]+', ' ', 'g')")} AS g, list_sort(list_distinct(string_split(name, ' '))) AS t FROM (SELECT DISTINCT name FROM parts) WHERE name NOT IN (SELECT alias FROM al)),
 met AS (SELECT name, alias, entity_id, n.t AS a, al.t AS b, list_sort(list_intersect(n.t, al.t)) AS s, len(list_intersect(n.g, al.g)) / (len(n.g) + len(al.g) - len(list_intersect(n.g, al.g))) AS similarity FROM n, al WHERE similarity >= 0.3),
 w AS (SELECT *, array_to_string(s, ' ') AS shared, array_to_string(list_concat(s, [x FOR x IN a IF NOT list_contains(s, x)]), ' ') AS l, array_to_string(list_concat(s, [x FOR x IN b IF NOT list_contains(s, x)]), ' ') AS r, array_to_string(a, ' ') AS ta, array_to_string(b, ' ') AS tb FROM met),
@@ -99,6 +100,10 @@ FROM parts LEFT JOIN al ON alias = name LEFT JOIN best USING (name)
 """
 
 
+Q23 = _cascade_sql("true")
+Q53 = f"SELECT name, count(*) AS n FROM ({_cascade_sql('p_size % 2 = 0')}) WHERE stage = 'unresolved' GROUP BY name"
+
+
 Q60 = f"""
 WITH x AS ({Q23}),
 t AS (SELECT p_partkey AS mention_id, min(p_partkey) OVER (PARTITION BY p_name) AS actual FROM part),
@@ -154,15 +159,11 @@ j AS (SELECT r.query_id AS mention_id, r.id AS entity_id, r.rank FROM r JOIN v q
 
 
 def q53_review_queue(spark, sf_dir):
-    """The mentions that no alias has, which wait for a reader."""
+    """The mentions that the cascade isn't sure of, which wait for a reader."""
     mentions, aliases = _names(spark, sf_dir)
-    parts = resolve.mention_parts(mentions)
-    known = resolve.exact(parts, aliases).withColumn("stage", F.lit("exact"))
-    resolved = parts.join(known.select("mention_id", "part", "stage"), ["mention_id", "part"], "left").withColumn("stage", F.coalesce("stage", F.lit("unresolved")))
-    return resolve.review_queue(resolved)
+    return resolve.review_queue(resolve.cascade(mentions, aliases))
 
 
-Q53 = f"{_PARTS_SQL}, {_ALIASES_SQL} SELECT name, count(*) AS n FROM parts WHERE name NOT IN (SELECT alias FROM aliases) GROUP BY name"
 
 
 def q24_vector_topk(spark, sf_dir):
@@ -473,6 +474,29 @@ WITH {_bm25_sql()}
 SELECT b.id, row_number() OVER (ORDER BY len(list_intersect(d.w, {list(TERMS)!r})) / {len(TERMS)} - b.rank / 1000 DESC, b.id) AS rank FROM b JOIN d ON d.doc_id = b.id QUALIFY row_number() OVER (ORDER BY len(list_intersect(d.w, {list(TERMS)!r})) / {len(TERMS)} - b.rank / 1000 DESC, b.id) <= 8
 """
 
+def _evidence(spark, sf_dir) -> DataFrame:
+    """Flagged pairs of routines: documents by source, whose items are the words of TAGS."""
+    tagged = search.tagged(_table(spark, sf_dir, "documents"), TAGS).select("source", F.explode("tags").alias("item"))
+    known = spark.createDataFrame([(1, 2, "x", "small study", True), (2, 3, "y", "in vitro", True), (1, 3, "z", "anecdotal", False)], "a long, b long, effect string, evidence string, reviewed boolean")
+    return answers.routine_check(tagged.withColumn("item", F.col("item").cast("long")), known, "source", "item")
+
+
+def q61_routine_evidence(spark, sf_dir):
+    """The best documents on each pair that a check of routines has flagged."""
+    docs = _table(spark, sf_dir, "documents")
+    chunks = search.tagged(docs, TAGS).select("doc_id", F.transform("tags", lambda t: t.cast("long")).alias("ids"), "n_chars")
+    found = answers.evidence(_evidence(spark, sf_dir), chunks, "source", chunk="doc_id", ids="ids", score=F.col("n_chars"), k=3)
+    return found.select("source", "a", "b", "effect", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+Q61 = f"""
+WITH t AS (SELECT doc_id, source, n_chars, {", ".join(f"{_has(w)} AS h{i}" for w, i in TAGS.items())} FROM documents),
+s AS (SELECT source, {", ".join(f"bool_or(h{i}) AS s{i}" for i in TAGS.values())} FROM t GROUP BY source),
+p AS (SELECT source, 1 AS a, 2 AS b, 'x' AS effect FROM s WHERE s1 AND s2 UNION ALL SELECT source, 2, 3, 'y' FROM s WHERE s2 AND s3),
+d AS (SELECT 1 AS a, 2 AS b, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM t WHERE h1 AND h2 UNION ALL SELECT 2, 3, doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM t WHERE h2 AND h3)
+SELECT source, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, effect, doc_id, rank FROM p JOIN d USING (a, b) WHERE rank <= 3
+"""
+
 _OWN = {k: v for k, v in globals().items() if k.startswith("q") and callable(v)}
 QUERIES = dict(sorted(_OWN.items()))
 SQL = {k: globals()[k[:3].upper()] for k in QUERIES if k[:3].upper() in globals()}

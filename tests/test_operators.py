@@ -363,6 +363,25 @@ def test_api(spark, tmp_path):
     assert [x.inci_name for x in api.ingredient(st, "7").collect()] == ["AQUA"] and api.ingredient(st, "8").count() == 0
 
 
+def test_evaluations_are_stored_and_compared(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path))
+    for day, recall in enumerate([90.0, 88.0, 84.0], 1):
+        metrics = spark.createDataFrame([(recall, 12, "text")], "recall double, questions int, note string")
+        assert evals.recorded(st, f"run{day}", metrics, dt.datetime(2026, 1, day)) == {"inserted": 2, "updated": 0}
+    assert evals.recorded(st, "run3", spark.createDataFrame([(84.5,)], "recall double"), dt.datetime(2026, 1, 3)) == {"inserted": 0, "updated": 1}
+    assert [(x.value, x.regressed) for x in evals.regressions(st, "recall").orderBy("started_at").collect()] == [(90.0, False), (88.0, False), (84.5, True)]
+
+
+def test_evidence_of_a_routine(spark):
+    from tessera.plans import api
+
+    positions = spark.createDataFrame([("p", 1), ("q", 2), ("q", 3), ("r", 9)], "product_id string, entity_id long")
+    known = spark.createDataFrame([(2, 1, "dry", "small study", True), (2, 3, "fine", "in vitro", True), (1, 9, "no", "x", True)], "a long, b long, effect string, evidence string, reviewed boolean")
+    chunks = spark.createDataFrame([("c1", [1, 2], 5), ("c2", [1, 2, 3], 7), ("c3", [2], 9), ("c4", [2, 1, 1], 6), ("c5", None, 1)], "chunk_id string, ingredient_ids array<long>, published int")
+    got = api.routine_evidence(["p", "q"], positions, known, chunks, k=2)
+    assert rows(got.select("a", "b", "effect", "chunk_id", "rank")) == [(1, 2, "dry", "c2", 1), (1, 2, "dry", "c4", 2), (2, 3, "fine", "c2", 1)]
+
+
 def test_adjudicate(spark):
     d = spark.createDataFrame([(1, 0, "b", ["a", "b"], [7, 8]), (2, 0, "z", ["a"], [7])], "mention_id long, part int, name string, names array<string>, ids array<long>")
     import pandas as pd
