@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, html_text, pii, token_counts, toxicity
 from tests.llm.conftest import prose
@@ -580,3 +581,28 @@ def test_pipeline(spark, tmp_path, reference):
     text = {x.doc_id: x.text for x in docs.collect()}
     assert "[EMAIL]" in text[503] and "a@b.c" not in text[503]
     assert all(np.frombuffer(bytes(x.ids), "<u4").tolist() == reference.encode_ordinary(text[i] or "") for i, x in got.items())
+
+
+def test_pipeline_of_odd_and_no_rows(spark, tmp_path, odd_rows):
+    """Each stage over nulls, repeats, empty tables and columns with the names that the operators use themselves."""
+    import corpus_pipeline
+    from tests.llm.conftest import SCHEMA
+
+    write = lambda data, schema, at, name: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / at / f"{name}.parquet"))
+    for at, rows in (("odd", [(i, t, *["x"] * 10) for i, t in odd_rows]), ("none", [])):
+        write(rows, SCHEMA, at, "documents")
+        write([(1, 0), (None, None)] if rows else [], "doc_id long, toxic int", at, "labels")
+        write([(1, None), (2, "")] if rows else [], "item_id long, text string", at, "benchmark")
+        docs = spark.read.parquet(str(tmp_path / at / "documents.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path / at))
+            assert docs.columns == [*SCHEMA.names, "n_chars"]
+            docs.write.parquet(out := str(tmp_path / at / f"{stage.__name__}"))
+            docs = spark.read.parquet(out)
+        got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path / at)).collect()
+        kept = [r.doc_id for r in docs.collect()]
+        assert sorted(map(str, kept)) == sorted(str(r.doc_id) for r in got)
+        if rows:  # of the equal texts the first stays, as do rows without a text or an id
+            assert {1, 2, 3, 4, 6, None} <= set(kept) and 5 not in kept
+        else:
+            assert kept == []
