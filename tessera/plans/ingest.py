@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import config
 from tessera.functions import text
 from tessera.operators import relational, runs, sampling, shared, store
+from tessera.plans import jobs
+from tessera.schemas import TABLES
 from tessera.sources import articles, products, registry, services
 
 WORDS = ("the", "und", "que", "les", "licensed", "trash")
@@ -235,8 +238,8 @@ def q48_run_by_id(spark, sf_dir):
 Q48 = f"SELECT run_id, event_id FROM {_RUN_LOG_SQL} WHERE run_id = '7' ORDER BY coalesce(finished, TIMESTAMP '1970-01-01') DESC, started DESC LIMIT 1"
 
 
-def q49_dump_sample(spark, sf_dir):
-    """A dump as it is read: gzipped lines, blank ones among them, to the first eligible product of each code, then the quota sample."""
+def _dump(spark, sf_dir, at: str) -> None:
+    """A dump as it is published: gzipped lines, blank ones among them."""
     part = _table(spark, sf_dir, "part")
     record = F.to_json(
         F.struct(
@@ -244,9 +247,14 @@ def q49_dump_sample(spark, sf_dir):
             F.when(F.col("p_size") > 5, F.concat_ws(", ", "p_name", "p_type")).alias("ingredients_text"), F.when(F.col("p_size") > 30, "en").otherwise("fr").alias("lang"),
         )
     )
+    lines = part.orderBy("p_partkey").select(F.explode(F.array(record, F.lit("  "))).alias("value"))
+    lines.coalesce(1).write.option("compression", "gzip").text(at)
+
+
+def q49_dump_sample(spark, sf_dir):
+    """A dump as it is read: to the first eligible product of each code, then the quota sample."""
     with shared.folder(spark) as at:
-        lines = part.orderBy("p_partkey").select(F.explode(F.array(record, F.lit("  "))).alias("value"))
-        lines.coalesce(1).write.option("compression", "gzip").text(at)
+        _dump(spark, sf_dir, at)
         eligible = products.products(products.prune_columns(products.read_dump(spark, at)), "face")
         first = relational.first_wins(eligible, ["source_id"], ["position"]).withColumn("late", (~F.col("english")).cast("int"))
         chosen = sampling.quota_sample(first, ("economy", "promo"), "raw_ingredient_text", min_per_seed=3, limit=12, order=["late", "position"], id="source_id")
@@ -395,6 +403,85 @@ def q45_relevance(spark, sf_dir):
 
 Q45 = r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\bthe\b') AND regexp_matches(lower(text), '\b(and|und)\b') AND regexp_matches(lower(text), '\bfor\b|\blicens\w*')"
 
+def q62_store_loads(spark, sf_dir):
+    """A table after three loads: staged rows come in, others of their keys go, and a prune drops what its sample lacks."""
+    part = _table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("b").alias("source"), F.col("p_partkey").cast("string").alias("source_id"), F.col("p_name").alias("name"),
+        F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"), F.col("p_type").alias("category"), F.lit("x").alias("raw_ingredient_text"), "p_size",
+    )
+    with shared.folder(spark) as at:
+        st, table = store.Store(spark, at), TABLES["products"]
+        store.load(st, table, part.where("p_size <= 25").drop("p_size"))
+        store.load(st, table, part.where("p_size between 20 and 35").withColumn("name", F.upper("name")).withColumn("brand", F.lit(None).cast("string")).drop("p_size"), preserve=["brand"])
+        store.load(st, table, part.where("p_size > 15 and source = 'a'").withColumn("category", F.lit("last")).drop("p_size"), prune_source="a")
+        return shared.kept(st.read(table).select("source", "source_id", "name", "brand", "category"))
+
+
+Q62 = """
+WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' END AS source FROM part WHERE p_size <= 35 OR p_partkey % 3 = 0)
+SELECT source, CAST(p_partkey AS VARCHAR) AS source_id, CASE WHEN source = 'b' AND p_size >= 20 THEN upper(p_name) ELSE p_name END AS name,
+  CASE WHEN p_size > 10 AND (source = 'a' OR p_size <= 25) THEN p_brand END AS brand, CASE WHEN source = 'a' THEN 'last' ELSE p_type END AS category
+FROM p WHERE source = 'b' OR p_size > 15
+"""
+
+
+def _work(spark, at: str, **given) -> jobs.Work:
+    return jobs.Work(spark, config.Settings(data=f"{at}/data", **given.pop("settings")), store.Store(spark, f"{at}/store"), **given)
+
+
+def q63_load_ingredients(spark, sf_dir):
+    """The loader of the registry, from recorded pages to the table, run twice: the second finds its answers stored."""
+    rows = _table(spark, sf_dir, "part").withColumn("metadata", _metadata()).withColumn("page", F.floor(F.col("p_partkey") / 100) + 1)
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("metadata")).alias("results"))).alias("value"))
+    with shared.folder(spark) as at:
+        pages.select(F.format_string("page-%03d-100.json", "page").alias("key"), "value").write.partitionBy("key").text(f"{at}/pages")
+        most = rows.agg(F.max("page")).first()[0] or 1
+        work = _work(spark, at, settings={"registry": config.Registry(url=f"recorded:{at}/pages", pages=most)}, seeds=())
+        for _ in range(2):
+            jobs.run(work, "ingredients")
+        log = runs.current(spark.read.parquet(f"{at}/store/ingestion_runs")).select(F.col("counts").getItem("network_requests").alias("asked"), F.col("counts").getItem("updated").alias("updated"))
+        again = log.agg(F.min("asked").alias("asked"), F.max("updated").alias("updated"))
+        table = work.store.read(TABLES["ingredients"]).select("cosing_id", "inci_name", "cas_number")
+        return shared.kept(table.join(F.broadcast(again)))  # one row
+
+
+Q63 = """
+SELECT CAST(p_partkey AS VARCHAR) AS cosing_id, upper(p_name) AS inci_name, CASE WHEN p_size <= 25 THEN '50-00-' || p_size END AS cas_number, 0 AS asked, count(*) OVER () AS updated
+FROM part WHERE p_type <> 'PROMO'
+"""
+
+
+def q64_load_products(spark, sf_dir):
+    """The loader of a dump, from gzipped lines over the kept sample to the table."""
+    with shared.folder(spark) as at:
+        _dump(spark, sf_dir, f"{at}/dump")
+        work = _work(spark, at, settings={"products": config.Products(dump=f"{at}/dump", most=12, quota=3, wanted="face"), "few": 3}, seeds=("economy", "promo"))
+        jobs.run(work, "products")
+        return shared.kept(work.store.read(TABLES["products"]).select("source_id", "name"))
+
+
+Q64 = f"WITH ids AS ({Q49}) SELECT id AS source_id, p_name AS name FROM ids JOIN (SELECT CAST(p_partkey % 50 AS VARCHAR) AS id, p_name FROM part WHERE p_size > 5 QUALIFY row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) = 1) USING (id)"
+
+
+def q65_article_dates(spark, sf_dir):
+    """Articles with several dates and ids: the electronic date counts, else the first with a year; of the ids the first kind that is there."""
+    date = lambda attribute, c, month: F.concat(F.lit(f"<pub-date {attribute}><month>{month}</month><year>"), c, F.lit("</year></pub-date>"))
+    year, key = F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string")
+    dates = F.concat(date('pub-type="ppub"', F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(year), 2), date('pub-type="collection"', F.lit("1999"), 3), F.when(F.col("o_orderkey") % 2 == 0, date('pub-type="epub"', year, 4)).otherwise(""))
+    ids = F.concat(F.lit('<article-id pub-id-type="pmc">'), key, F.lit('</article-id><article-id pub-id-type="doi">d</article-id>'), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<article-id pub-id-type="pmcid">pmc9'), key, F.lit("</article-id>"))).otherwise(""))
+    xml = F.concat(
+        F.lit('<set xmlns:xlink="http://www.w3.org/1999/xlink"><article><front><article-meta>'), ids, F.lit("<title-group><article-title>t</article-title></title-group>"), dates,
+        F.lit('<permissions><license xlink:href="https://creativecommons.org/publicdomain/zero/1.0/"/></permissions></article-meta></front></article></set>'),
+    )
+    return articles.articles(articles.read(_table(spark, sf_dir, "orders").select(xml.alias("payload")))).where("accepted").select("source_id", "published_at", "license")
+
+
+Q65 = """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'PMC9' ELSE 'PMC' END || o_orderkey AS source_id, 'CC0 1.0' AS license,
+  CASE WHEN o_orderkey % 2 = 0 THEN make_date(year(o_orderdate), 4, 1) WHEN o_orderkey % 5 = 0 THEN DATE '1999-03-01' ELSE make_date(year(o_orderdate), 2, 1) END AS published_at
+FROM orders
+"""
+
 _OWN = {k: v for k, v in globals().items() if k.startswith("q") and callable(v)}
 QUERIES = dict(sorted(_OWN.items()))
 SQL = {k: globals()[k[:3].upper()] for k in QUERIES if k[:3].upper() in globals()}
