@@ -21,6 +21,7 @@ def sf_dir(tmp_path_factory):
     n = range
     tables = {
         "documents": {"doc_id": list(n(80)), "text": [say(r.randint(1, 120)) for _ in n(80)], "lang": [r.choice(["en", "de", "fr", "es"]) for _ in n(80)], "source": [f"src{r.randrange(5)}" for _ in n(80)], "n_chars": [r.randrange(600) for _ in n(80)]},
+        "benchmark": {"item_id": list(n(12)), "text": [None, "", *(say(5) for _ in n(10))]},
         "labels": {"doc_id": list(n(0, 80, 2)), "quality": pa.array([r.randrange(2) for _ in n(40)], pa.int32()), "toxic": pa.array([r.randrange(2) for _ in n(40)], pa.int32())},
         "part": {"p_partkey": list(n(60)), "p_name": [f"{r.choice(WORDS)} {r.choice(WORDS)}" for _ in n(60)], "p_brand": [f"Brand#{r.randrange(30)}" for _ in n(60)], "p_type": [r.choice(["ECONOMY", "PROMO", "SMALL"]) for _ in n(60)], "p_size": pa.array([r.randrange(1, 51) for _ in n(60)], pa.int32()), "p_retailprice": [1.0] * 60},
         "customer": {"c_custkey": list(n(50)), "c_name": ["c"] * 50, "c_nationkey": pa.array([1] * 50, pa.int32()), "c_acctbal": [round(r.uniform(-900, 900), 2) for _ in n(50)], "c_mktsegment": [r.choice(["BUILDING", "AUTO"]) for _ in n(50)]},
@@ -48,7 +49,7 @@ def test_query(spark, sf_dir, name):
     names = sorted(got.columns)
     mine = sorted((tuple(plain(v) for v in r) for r in got.select(*names).collect()), key=repr)
     with duckdb.connect() as db:
-        for t in ("documents", "labels", "part", "customer", "orders", "lineitem", "events", "pages", "conversations", "embeddings"):
+        for t in ("documents", "labels", "part", "customer", "orders", "lineitem", "events", "pages", "conversations", "embeddings", "benchmark"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         found = db.execute(catalog.SQL[name])
         columns = [d[0] for d in found.description]
