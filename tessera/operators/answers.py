@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators.relational import first_wins, top
 
 # How strong each kind of evidence is.
@@ -29,7 +30,7 @@ def route(question: Column) -> Column:
     """One of four classes, or refused for medical questions, which get no advice."""
     out = F.lit("info")
     for name, pattern in reversed(ROUTES):
-        out = F.when(F.lower(question).rlike(pattern), name).otherwise(out)
+        out = F.when(text.lowered(question).rlike(pattern.replace(r"\b", text.EDGE)), name).otherwise(out)
     return out
 
 
