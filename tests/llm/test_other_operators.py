@@ -267,6 +267,23 @@ def test_html_one_wide_cell_keeps_a_long_table_aligned():
     assert html_text.page_text(html) == "\n".join([f"h  {wide}  t", *["a  b" + " " * 40 + "e"] * 400])
 
 
+def test_html_layout_does_not_depend_on_the_size():
+    """A row, an indent and a table within tables are laid out alike on short and on very long pages."""
+    cells = "<tr><td>" + "y" * 39 + "<td>" + "z" * 39 + "<td>t"
+    table = lambda n: "<table>" + cells + "<tr><td>a<td>b<td>e" * n + "</table>"
+    lines = lambda html: html_text.page_text(html).split("\n")
+    assert lines(table(50_000)) == [lines(table(1))[0], *[lines(table(1))[1]] * 50_000] and lines(table(1))[1] == "a" + " " * 40 + "b" + " " * 40 + "e"
+    spans = lambda n: "<table><tr>" + "<td rowspan=0>x" * 90 + "<td>u" + "<tr><td>y" * n + "</table>"
+    assert lines(spans(70_000))[1:] == [lines(spans(1))[1]] * 70_000 and lines(spans(1))[1] == " " * 240 + "y"
+    quoted = "<blockquote>" * 50
+    assert lines(quoted + "<div>q</div>" * 45_000) == [" " * 100 + "q"] * 45_000
+    inner = "<table><tr><td>1<td>2<tr><td>333<td>4</table>"
+    within = "<table><tr><td>" * 4 + inner + "</table>" * 4
+    assert lines(within + "<table><tr><td>" * 2 + "w<br>" * 150_000)[:2] == lines(within) == ["1    2", "333  4"]
+    tall = "<table><tr>" + "<td>c" * 20_000 + "<td>" + "<br>d" * 20_000 + "</table>"
+    assert sum(x.count("d") for x in lines(tall)) == 20_000
+
+
 def test_html_tables_as_by_hand():
     """Random tables with spans against a grid that is filled cell by cell."""
     r = random.Random(21)
