@@ -17,7 +17,10 @@ from tessera.schemas import TABLES
 
 def retrieval(ranked: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     """recall_at_k (questions with a gold id among the first k), mrr, questions; ranked: question, id, rank; gold: question, id."""
-    first = gold.join(ranked, ["question", "id"], "left").groupBy("question").agg(F.min("rank").alias("rank"))
+    return _found(gold.join(ranked, ["question", "id"], "left").groupBy("question").agg(F.min("rank").alias("rank")), k)
+
+
+def _found(first: DataFrame, k: int) -> DataFrame:
     return first.agg(
         F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias("recall_at_k"),
         F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"),
@@ -25,6 +28,19 @@ def retrieval(ranked: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
+def retrieval_by_class(ranked: DataFrame, questions: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
+    """`retrieval` where the gold ids of a question are the other items of its class; ranked: question, id, rank; questions: question, class; items: id, class.
+
+    Only what is ranked is looked up, so no pairs of a class are made: a question has gold if its class has another item.
+    """
+    asked = questions.where("class is not null").select("question", "class").distinct()
+    has = items.groupBy("class").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    with_gold = asked.join(has, "class").where((F.col("low") != F.col("question")) | (F.col("high") != F.col("question"))).select("question").distinct()
+    hits = ranked.where(F.col("question") != F.col("id")).join(asked, "question").join(items.select("id", "class").distinct(), ["id", "class"], "left_semi")
+    first = with_gold.join(hits.groupBy("question").agg(F.min("rank").alias("rank")), "question", "left")
+    return _found(first, k)
+
+
 def precision_recall(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     counts = rows.agg(F.count_if(predicted & actual).alias("tp"), F.count_if(predicted & ~actual).alias("fp"), F.count_if(~predicted & actual).alias("fn"))
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))

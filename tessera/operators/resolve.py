@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,35 +126,33 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 QUERY_BYTES = 64 << 20
+TILE = 2048, 1024  # vectors and queries that are multiplied at once
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """query_id, id, score, rank: the k nearest of vectors (id, vector) to each of queries (query_id, vector), by exact cosine; null without a direction.
 
-    Queries go to the tasks in blocks of QUERY_BYTES, which are measured first. A task multiplies a batch of vectors
-    with a block at once and passes on no more than k of its own for each query, so little is shuffled.
+    Queries go to the tasks in blocks of QUERY_BYTES, their best included, which are measured first. The vectors are dealt
+    to as many tasks as run at once, whatever their number; a task multiplies tiles of them with the block and keeps the
+    best k for each query, so its memory doesn't grow, and what is shuffled grows with the queries alone.
     """
-    size = queries.agg(F.sum(8 * F.size("vector") + 16)).first()[0] or 0
-    n = max(1, -(-size // QUERY_BYTES))
+    n = query_blocks(queries, k)
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    dealt = vectors.select("id", "vector").repartition(queries.sparkSession.sparkContext.defaultParallelism)
+    dealt = kept(dealt) if n > 1 else dealt
     out = None
     for part in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part).select("query_id", "vector").collect()
-        ids, block = [r.query_id for r in rows], _unit([r.vector for r in rows])
+        ids, block = query_block(queries, n, part)
         shared = queries.sparkSession.sparkContext.broadcast((ids, block))
 
-        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, block = shared.value
+            best = Best(ids, block, k)
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                scores = block @ _unit(list(batch["vector"])).T
-                least = min(k, scores.shape[1])
-                floor = np.partition(scores, -least, axis=1)[:, -least]
-                q, at = np.nonzero(scores >= floor[:, None] - 1e-9)  # with all ties
-                yield pd.DataFrame({"query_id": [ids[n] for n in q], "id": batch["id"].to_numpy()[at], "score": scores[q, at]})
-
-        found = vectors.select("id", "vector").mapInPandas(scored, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+                best.add(None, unit_rows(batch.column("vector")), batch.column("id"))
+            yield from best.rows()
+
+        found = dealt.mapInArrow(scored, f"query_id {kinds[0]}, id {kinds[1]}, score double")
         if n > 1:  # one block is held at a time
             found = kept(top(found, k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id")).drop("rank"))
             shared.unpersist()
@@ -160,8 +160,102 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> Data
     return top(out, k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id"))
 
 
+def query_blocks(queries: DataFrame, k: int) -> int:
+    """Blocks of QUERY_BYTES of queries (query_id, vector), with room for the k best of each."""
+    size = queries.agg(F.sum(8 * F.size("vector") + 16 + 24 * k)).first()[0] or 0
+    return max(1, -(-size // QUERY_BYTES))
+
+
+def query_block(queries: DataFrame, blocks: int, number: int) -> tuple[pa.Array, np.ndarray]:
+    rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "vector").toArrow()
+    return rows.column("query_id").combine_chunks(), unit_rows(rows.column("vector").combine_chunks())
+
+
+class Best:
+    """The k best for each query of a block among the vectors that a task sees: by score to 9 digits as Spark rounds it, then id."""
+
+    def __init__(self, queries: pa.Array, block: np.ndarray, k: int):
+        self.queries, self.block, self.k = queries, block, k
+        self.score = np.zeros((len(block), k))
+        self.rounded = np.full((len(block), k), np.iinfo(np.int64).min)  # of places that aren't taken
+        self.id: np.ndarray | None = None
+
+    def add(self, asking: np.ndarray | None, units: np.ndarray, ids: pa.Array) -> None:
+        """Compares vectors of one batch with the queries at `asking`, by default all."""
+        whole = pa.types.is_integer(ids.type) and not ids.null_count
+        keys = ids.to_numpy() if whole else _objects([(i is not None, i) for i in ids.to_pylist()])  # nulls first, as Spark has them
+        if self.id is None:
+            self.id = np.zeros(self.score.shape, keys.dtype) if whole else _objects([(False, None)] * self.score.size).reshape(self.score.shape)
+        elif self.id.dtype != keys.dtype:  # the first batch with a null
+            objects = lambda x: x if x.dtype == object else _objects([(True, i) for i in x.ravel().tolist()]).reshape(x.shape)
+            self.id, keys = objects(self.id), objects(keys)
+        asked = np.arange(len(self.block)) if asking is None else asking
+        for at in range(0, len(units), TILE[0]):
+            for q in range(0, len(asked), TILE[1]):
+                self._tile(asked[q : q + TILE[1]], units[at : at + TILE[0]], keys[at : at + TILE[0]])
+
+    def _tile(self, asked: np.ndarray, units: np.ndarray, keys: np.ndarray) -> None:
+        scores = self.block[asked] @ units.T
+        full = self.rounded[asked, -1] > np.iinfo(np.int64).min
+        floor = np.where(full, self.score[asked].min(axis=1), -np.inf)
+        least = min(self.k, scores.shape[1])
+        if not full.all():
+            floor = np.maximum(floor, np.partition(scores, -least, axis=1)[:, -least])
+        q, at = np.nonzero(scores >= floor[:, None] - 2e-9)
+        values = scores[q, at]
+        q, rounded, ids = asked[q], _nine_digits(values), keys[at]
+        last = self.rounded[q, -1]
+        better = (rounded > last) | ((rounded == last) & (ids < self.id[q, -1]))
+        q, rounded, ids, values = q[better], rounded[better], ids[better], values[better]
+        if not len(q):
+            return
+        changed = np.unique(q)
+        held, place = np.nonzero(self.rounded[changed] > np.iinfo(np.int64).min)
+        held = changed[held]
+        q, rounded, ids, values = (np.concatenate(x) for x in ((q, held), (rounded, self.rounded[held, place]), (ids, self.id[held, place]), (values, self.score[held, place])))
+        order = np.lexsort((ids, -rounded, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, rank = order[rank < self.k], q[rank < self.k], rank[rank < self.k]
+        self.rounded[q, rank], self.id[q, rank], self.score[q, rank] = rounded[order], ids[order], values[order]
+
+    def rows(self, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """query_id, id, score."""
+        q, place = np.nonzero(self.rounded > np.iinfo(np.int64).min)
+        for at in range(0, len(q), size):
+            own, n = q[at : at + size], place[at : at + size]
+            ids = self.id[own, n]
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(own)), pa.array([i for _, i in ids] if ids.dtype == object else ids), pa.array(self.score[own, n])], names=["query_id", "id", "score"])
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _nine_digits(scores: np.ndarray) -> np.ndarray:
+    """Billionths, halves away from 0, as `round(score, 9)` gives them; what is all but a half is decided by its decimal digits."""
+    scaled = scores * 1e9
+    out = np.rint(scaled).astype(np.int64)
+    for n in np.flatnonzero(np.abs(np.abs(scaled - np.floor(scaled)) - 0.5) < 1e-5):
+        out[n] = int(Decimal(repr(float(scores[n]))).scaleb(9).to_integral_value(ROUND_HALF_UP))
+    return out
+
+
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Arrow lists as `_unit` has them."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    if len(vectors) and not vectors.null_count and not vectors.flatten().null_count and (lengths == lengths[0]).all():
+        return _normed(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64))
+    return _unit(vectors.to_pylist())
+
+
 def _unit(vectors: list) -> np.ndarray:
-    rows = np.array([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return _normed(np.array([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1)))
+
+
+def _normed(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 

@@ -407,6 +407,44 @@ def test_nearest_is_exact(spark, monkeypatch, bytes_):
     assert rows(resolve.nearest(queries, d, 5).select("query_id", "id", "rank")) == expected
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_best_of_tiles(monkeypatch, kind):
+    """Tasks hold a tile and the best alone, whatever the numbers of queries and vectors; equal scores go by id, null ids first."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(5)
+    units = resolve._unit(list(g.integers(-2, 3, (400, 3)).astype(float)))
+    names = [None if k == 77 and kind == "string" else k if kind == "long" else f"é{k}" for k in range(400)]
+    monkeypatch.setattr(resolve, "TILE", (37, 11))
+    best = resolve.Best(pa.array(range(60)), units[:60], 7)
+    for at in range(0, 400, 90):
+        best.add(None, units[at : at + 90], pa.array(names[at : at + 90]))
+    blank = lambda i: "" if i is None else i
+    got = sorted((q, blank(i), round(x, 9)) for b in best.rows(50) for q, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    key = lambda n: (n[0], n[1] is not None, n[1] or 0)
+    wanted = [(q, sorted(((-round(float(x), 9), n) for x, n in zip(units[q] @ units.T, names, strict=True)), key=key)[:7]) for q in range(60)]
+    assert got == sorted((q, blank(n), -x) for q, most in wanted for x, n in most)
+    monkeypatch.undo()
+    many = resolve._unit(list(g.normal(size=(20_000, 8))))
+    tracemalloc.start()
+    best = resolve.Best(pa.array(range(10_000)), many[:10_000], 5)
+    best.add(None, many, pa.array(range(20_000)))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20  # all scores are 1,600 MB
+    tracemalloc.stop()
+
+
+def test_retrieval_by_class(spark):
+    ranked = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (4, 1, 9), (5, 5, 1), (6, 1, 1)], "question long, id long, rank int")
+    items = spark.createDataFrame([(1, "a"), (3, "a"), (2, "b"), (4, "a"), (5, "c"), (6, None)], "id long, class string")
+    asked = items.where("id in (1, 4, 5, 6)").withColumnRenamed("id", "question")
+    gold = asked.join(items, "class").where("question <> id").select("question", "id")
+    found = evals.retrieval_by_class(ranked, asked, items).first()
+    assert tuple(found) == tuple(evals.retrieval(ranked, gold).first()) == (0.5, (1 / 2 + 1 / 9) / 2, 2)
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "zinc oxide sunscreen"), (2, "retinol at night"), (3, "zinc and retinol together"), (4, "")], "id long, text string")
     got = search.bm25(docs, ("zinc", "sunscreen"), 2).orderBy("rank").collect()
