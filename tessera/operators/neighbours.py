@@ -17,15 +17,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import top
-from tessera.operators.resolve import _unit
+from tessera.operators.resolve import Best, _unit, query_block, query_blocks, unit_rows
 from tessera.operators.shared import kept
 
 SAMPLE = 20_000  # vectors on which the centres are fitted
-QUERY_BYTES = 64 << 20
 
 
 def _centres(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -101,21 +101,20 @@ class Lists:
 
     def _ranked(self, queries: DataFrame, k: int, probes: int, exact: bool) -> tuple[DataFrame, float]:
         centres = self.spark.read.parquet(f"{self.root}/centres").orderBy("list").collect()
-        size = queries.agg(F.sum(8 * F.size("vector") + 16)).first()[0] or 0
-        blocks = max(1, -(-size // QUERY_BYTES))
+        blocks = query_blocks(queries, k)
         out, compared, asked = [], 0, 0
         for block in range(blocks):
-            rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").collect()
-            if not rows or not centres:
+            asked_ids, units = query_block(queries, blocks, block)
+            if not len(asked_ids) or not centres:
                 continue
-            ids, units = [r.query_id for r in rows], _unit([r.vector for r in rows])
+            ids = asked_ids.to_pylist()
             middle, radius = np.array([c.centre for c in centres]), np.array([c.radius for c in centres])
-            away = np.sqrt(np.maximum(((units[:, None, :] - middle[None]) ** 2).sum(2), 0)) if units.shape[1] == middle.shape[1] else np.zeros((len(units), len(middle)))
+            away = np.sqrt(np.maximum((units**2).sum(1)[:, None] + (middle**2).sum(1) - 2 * units @ middle.T, 0)) if units.shape[1] == middle.shape[1] else np.zeros((len(units), len(middle)))
             first = np.argsort(away, axis=1, kind="stable")[:, :probes]
             chosen = np.zeros(away.shape, bool)
             np.put_along_axis(chosen, first, True, axis=1)
             kind = queries.schema["query_id"].dataType.simpleString()
-            found = kept(top(self._compared(ids, units, chosen, centres, k, kind), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id")))
+            found = kept(top(self._compared(asked_ids, units, chosen, centres, k, kind), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id")))
             if exact:
                 last = {r.query_id: r.score for r in found.where(F.col("rank") == k).collect()}  # a row a query of the block
                 worst = np.array([np.sqrt(max(0.0, 2 - 2 * last[i])) if i in last and (u**2).sum() > 0 else np.inf for i, u in zip(ids, units, strict=True)])
@@ -124,7 +123,7 @@ class Lists:
                 bound[:, 0] = np.minimum(bound[:, 0], np.sqrt(2.0))
                 more = (bound <= worst[:, None] + 1e-6) & ~chosen
                 if more.any():
-                    rest = self._compared(ids, units, more, centres, k, kind)
+                    rest = self._compared(asked_ids, units, more, centres, k, kind)
                     found = kept(top(found.drop("rank").unionByName(rest), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("id")))
                 chosen |= more
             out.append(found)
@@ -134,23 +133,21 @@ class Lists:
         empty = self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {centres[0].id_kind if centres else 'long'}, score double, rank int")
         return reduce(DataFrame.unionByName, out) if out else empty, compared / max(total, 1)
 
-    def _compared(self, ids: list, units: np.ndarray, chosen: np.ndarray, centres: list, k: int, kind: str) -> DataFrame:
-        """query_id, id, score: of each list that is opened, its tasks' best for the queries that want it."""
+    def _compared(self, ids: pa.Array, units: np.ndarray, chosen: np.ndarray, centres: list, k: int, kind: str) -> DataFrame:
+        """query_id, id, score: the tasks' best for the queries among the members of the lists that each of them wants; as many tasks as run at once."""
         by_list: dict[int, np.ndarray] = {centres[c].list: np.flatnonzero(chosen[:, c]) for c in range(len(centres)) if chosen[:, c].any()}
         shared = self.spark.sparkContext.broadcast((ids, units, by_list))
 
-        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, units, by_list = shared.value
+            best = Best(ids, units, k)
             for batch in batches:
-                for number, own in batch.groupby("list", sort=False):
-                    asking = by_list.get(int(number))
-                    if asking is None:
-                        continue
-                    scores = units[asking] @ _unit(list(own["vector"])).T
-                    least = min(k, scores.shape[1])
-                    floor = np.partition(scores, -least, axis=1)[:, -least]
-                    q, at = np.nonzero(scores >= floor[:, None] - 1e-9)  # with all ties
-                    yield pd.DataFrame({"query_id": [ids[asking[n]] for n in q], "id": own["id"].to_numpy()[at], "score": scores[q, at]})
-
-        rows = self._read(centres[0].id_kind, centres[0].vector_kind).where(F.col("list").isin(*by_list))
-        return rows.select("id", "vector", "list").mapInPandas(scored, f"query_id {kind}, id {centres[0].id_kind}, score double")
+                lists, vectors = batch.column("list").to_numpy(), unit_rows(batch.column("vector"))
+                for number in np.unique(lists):
+                    at = np.flatnonzero(lists == number)
+                    best.add(by_list[int(number)], vectors[at], batch.column("id").take(pa.array(at)))
+            yield from best.rows()
+
+        rows = self._read(centres[0].id_kind, centres[0].vector_kind).where(F.col("list").isin(*by_list)).select("id", "vector", "list")
+        dealt = rows.repartition(self.spark.sparkContext.defaultParallelism).sortWithinPartitions("list")
+        return dealt.mapInArrow(scored, f"query_id {kind}, id {centres[0].id_kind}, score double")
