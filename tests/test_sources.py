@@ -323,3 +323,18 @@ def test_tables(spark):
         assert spark.table(f"made.{t.name}").columns == t.schema.fieldNames()
         drop(spark, t, "made")
     assert jobs.health() == {"status": "ok"}
+
+
+def test_articles_of_a_batch_are_parsed_in_slices(spark, monkeypatch):
+    """Slices hold few bytes or one payload, and rows, errors and other columns are the same whatever they hold."""
+    import pyarrow as pa
+
+    payloads = pa.array(["ab", None, "", "abcdefgh", "c", "d"])
+    assert list(articles._slices(payloads, 3)) == [(0, 3), (3, 1), (4, 2)] and list(articles._slices(payloads.slice(3), 9)) == [(0, 2), (2, 1)]
+    assert list(articles._slices(payloads[:0], 3)) == []
+    one = "<article><front><article-meta><article-id pub-id-type='pmc'>{}</article-id></article-meta></front></article>"
+    rows = [(n, [n], None if n == 3 else "<x" if n == 4 else f"<set>{one.format(n)}{one.format(n)}</set>") for n in range(40)]
+    d = spark.createDataFrame(rows, "k long, l array<long>, payload string")
+    whole = sorted(map(str, articles.read(d).collect()))
+    monkeypatch.setattr(articles, "SLICE_BYTES", 1)
+    assert sorted(map(str, articles.read(d).collect())) == whole and len(whole) == 78
