@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,14 +119,26 @@ class Postings:
         return before.drop("rank").unionByName(scores(blocks.where("wanted and not first"))), blocks
 
 
+SLICE_WORDS = 1 << 18  # words that are counted at once
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, term, tf, length of each different word of each row."""
+    """id, term, tf, length of each different word of each row, by slices of SLICE_WORDS or one row."""
     for batch in batches:
-        w = batch.column("w")
-        row, word = pc.list_parent_indices(w), pc.list_flatten(w)
-        counts = pa.table({"row": row, "term": word}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-        if not counts.num_rows:
-            continue
-        at = counts.column("row").combine_chunks()
-        columns = [batch.column("id").take(at), counts.column("term").combine_chunks(), counts.column("count_all").combine_chunks().cast(pa.int32()), pc.list_value_length(w).take(at)]
-        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["id", "term", "tf", "length"])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, side="right")))
+            yield from _counts(batch.slice(at, to - at))
+            at = to
+
+
+def _counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    w = batch.column("w")
+    row, word = pc.list_parent_indices(w), pc.list_flatten(w)
+    counts = pa.table({"row": row, "term": word}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+    if not counts.num_rows:
+        return
+    at = counts.column("row").combine_chunks()
+    columns = [batch.column("id").take(at), counts.column("term").combine_chunks(), counts.column("count_all").combine_chunks().cast(pa.int32()), pc.list_value_length(w).take(at)]
+    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["id", "term", "tf", "length"])

@@ -555,6 +555,17 @@ def test_postings_rank_as_a_scan_does(spark, tmp_path):
     assert len(scans) == 3 and all(re.search(r"PartitionFilters: \[[^]]*bucket", x) and re.search(r"PushedFilters: \[[^]]*term", x) for x in scans)
 
 
+def test_postings_count_words_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "SLICE_WORDS", 4)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4, 5], "w": [["a", "b", "a"], [], ["c"] * 9, None, ["a", "d"]]})
+    got = [b.to_pydict() for b in postings._counted(iter([batch]))]
+    assert len(got) == 3 and all(len(g["id"]) <= 4 for g in got)
+    flat = sorted(zip(*(sum((g[c] for g in got), []) for c in ("id", "term", "tf", "length")), strict=True))
+    assert flat == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "c", 9, 9), (5, "a", 1, 2), (5, "d", 1, 2)]
+
+
 def test_postings_skip_blocks(spark, tmp_path):
     rows_ = [(k, "common " + ("rare " * 5 if k % 997 == 0 else "filler " * (k % 7))) for k in range(6000)]
     index = postings.Postings(spark, str(tmp_path))
