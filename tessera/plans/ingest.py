@@ -247,7 +247,7 @@ def _dump(spark, sf_dir, at: str) -> None:
             F.when(F.col("p_size") > 5, F.concat_ws(", ", "p_name", "p_type")).alias("ingredients_text"), F.when(F.col("p_size") > 30, "en").otherwise("fr").alias("lang"),
         )
     )
-    lines = part.orderBy("p_partkey").select(F.explode(F.array(record, F.lit("  "))).alias("value"))
+    lines = part.select("p_partkey", record.alias("record")).orderBy("p_partkey").select(F.explode(F.array("record", F.lit("  "))).alias("value"))
     lines.coalesce(1).write.option("compression", "gzip").text(at)
 
 

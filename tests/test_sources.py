@@ -338,3 +338,31 @@ def test_articles_of_a_batch_are_parsed_in_slices(spark, monkeypatch):
     whole = sorted(map(str, articles.read(d).collect()))
     monkeypatch.setattr(articles, "SLICE_BYTES", 1)
     assert sorted(map(str, articles.read(d).collect())) == whole and len(whole) == 78
+
+
+def test_lines_of_one_dump_are_parsed_by_several_tasks(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "d.gz").write_bytes(gzip.compress("".join('{"code": "%d"}\n' % n for n in range(500)).encode()))
+    read = products.read_dump(spark, str(tmp_path / "d.gz"))
+    assert read.rdd.getNumPartitions() > 1
+    assert [r.c for r in read.selectExpr("position", "variant_get(record, '$.code', 'string') AS c").orderBy("position").collect()] == [str(n) for n in range(500)]
+
+
+def test_recorded_pages_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from tessera import config
+    from tessera.operators import runs, store
+    from tessera.plans import jobs
+
+    counts = []
+
+    def gather(self, wanted, fetch, faults):
+        counts.append(fetch(list(wanted)).rdd.getNumPartitions())
+        return {"x": "stop"}
+
+    monkeypatch.setattr(http.Snapshots, "gather", gather)
+    for url in (f"recorded:{tmp_path}", "http://127.0.0.1:9"):
+        work = jobs.Work(spark, config.Settings(data=str(tmp_path), registry=config.Registry(url=url, pages=64)), store.Store(spark, str(tmp_path)), seeds=())
+        with pytest.raises(ValueError, match="stop"):
+            jobs.ingredients(work, runs.Report())
+    assert counts == [4, 1]
