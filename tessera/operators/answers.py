@@ -11,6 +11,7 @@ from tessera.operators.relational import first_wins, top
 # How strong each kind of evidence is.
 EVIDENCE = {"clinical trial": "strong", "small study": "moderate", "in vitro": "weak", "anecdotal": "weak"}
 MEDICAL = r"\b(prescri\w*|infect\w*|severe|pregnan\w*|bleed\w*|swollen|swelling)\b"
+FEW = 32  # items of a routine that makes its pairs
 ROUTES = (
     ("refused", MEDICAL),
     ("routine_check", r"\b(routine|regimen|morning and night|all of these)\b"),
@@ -61,18 +62,43 @@ def routine_pairs(items: DataFrame, group: str, item: str) -> DataFrame:
 def routine_check(items: DataFrame, interactions: DataFrame, group: str, item: str) -> DataFrame:
     """group, a, b, effect, evidence: the reviewed interactions within each routine.
 
-    No pairs of items are made: each interaction hangs on the one of its two items that has fewer of them, items of a
-    routine find what hangs on them, and what they find stays if the routine has the other item too. So the work is
-    that of the items' interactions, whatever the routines' sizes, and an item that interacts with all others costs little.
+    A routine of at most FEW items makes the pairs of those that interact with anything, at most FEW / 2 for each, and
+    pairs look up their interaction. In larger ones no pairs are made (_within_large). Items and pairs meet what is
+    grouped by them as structs (items of the same type), so both sides are dealt out anew and Spark can split a frequent one.
     """
     known = reviewed(interactions)
-    ends = known.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
-    marked = known.join(ends.select(F.col("x").alias("a"), F.col("degree").alias("da")), "a").join(ends.select(F.col("x").alias("b"), F.col("degree").alias("db")), "b")
-    hung = marked.withColumn("x", F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b"))).withColumn("y", F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")))
-    own = items.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    half = own.join(hung, F.col("i") == F.col("x")).select("g", "y", "a", "b", "effect", "evidence")
-    whole = half.join(own.select("g", F.col("i").alias("y")), ["g", "y"], "left_semi")
-    return whole.select(F.col("g").alias(group), "a", "b", "effect", "evidence")
+    either = interactions.where("reviewed").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ends = either.select(F.explode(F.array("a", "b")).alias("x"), (F.col("a") == F.col("b")).alias("same")).groupBy("x").agg(F.bool_or("same").alias("same"))
+    own = items.select(F.col(group).alias("g"), F.col(item).alias("i"))
+    sizes = own.groupBy("g").agg(F.count("*").alias("n"))
+    key = (lambda c: F.struct(F.col(c).alias("x"))) if own.schema["i"].dataType == ends.schema["x"].dataType else F.col
+    met = own.select("g", key("i").alias("i")).join(ends.select(key("x").alias("end"), "x", "same"), F.col("i") == F.col("end"))
+    some = met.select("g", "x", "same").join(sizes.where(F.col("n") <= FEW).select("g"), "g")
+    lists = some.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("x", "same"))).alias("xs"))
+    each = lists.select("g", "xs", F.posexplode("xs").alias("at", "one"))
+    later = F.expr("slice(xs, at + if(one.same, 1, 2), size(xs))")  # an item that interacts with itself is a pair of its own
+    pairs = each.select("g", F.col("one.x").alias("a"), F.explode(later).alias("two")).select("g", "a", F.col("two.x").alias("b"))
+    found = pairs.unionByName(_within_large(own.join(sizes.where(F.col("n") > FEW), "g", "left_semi"), either))
+    met = found.select("g", F.struct("a", "b").alias("pair")).join(known.select(F.struct("a", "b").alias("pair"), "effect", "evidence"), "pair")
+    return met.select(F.col("g").alias(group), "pair.a", "pair.b", "effect", "evidence")
+
+
+def _within_large(own: DataFrame, either: DataFrame) -> DataFrame:
+    """g, a, b: the pairs of `either` (a <= b) within each routine (g, i).
+
+    Each pair hangs on the one of its two items that has fewer of them, items of a routine find what hangs on them, and
+    what they find stays if the routine has the other item too. So the work is that of the items' interactions, whatever
+    the routines' sizes, and an item that interacts with all others costs little.
+    """
+    there = own.select("i").distinct()
+    pairs = either.join(there, F.col("a") == F.col("i"), "left_semi").join(there, F.col("b") == F.col("i"), "left_semi").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
+    marked = pairs.join(ends.select(F.col("x").alias("a"), F.col("degree").alias("da")), "a").join(ends.select(F.col("x").alias("b"), F.col("degree").alias("db")), "b")
+    fewer = F.col("da") <= F.col("db")
+    hung = marked.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("y"))
+    once = own.distinct()
+    half = once.join(hung, F.col("i") == F.col("x")).select("g", "y", "a", "b")
+    return half.join(once.select("g", F.col("i").alias("y")), ["g", "y"], "left_semi").select("g", "a", "b")
 
 
 def evidence(flagged: DataFrame, chunks: DataFrame, group: str, *, chunk: str = "chunk_id", ids: str = "ingredient_ids", score: Column | None = None, k: int = 8) -> DataFrame:

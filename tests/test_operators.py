@@ -624,3 +624,41 @@ def test_a_routine_of_a_hundred_thousand_items(spark):
     )
     got = answers.routine_check(items, known, "g", "i")
     assert got.where("a = 0").count() == 59_998 and rows(got.where("a <> 0")) == [(0, 5, 6, "y", "e"), (1, 5, 6, "y", "e")]
+
+
+def test_routines_of_all_sizes_find_what_all_pairs_do(spark):
+    r = random.Random(7)
+    owned = [(g, r.randrange(90)) for g, n in enumerate([0, 1, 2, 5, 31, 32, 33, 34, 60, 200]) for _ in range(n)] + [(None, 1), (None, 2), (3, None), (50, 4), (50, 4), (51, 4), (51, 5)] + [(52, 7)] * 40
+    told = [(r.randrange(90), r.randrange(90), r.choice("xyz"), r.choice("ef"), r.random() < 0.8) for _ in range(900)]
+    told += [(4, 4, "own", "e", True), (5, 4, "pair", "e", True), (4, 5, "pair", "a", True), (7, 7, "own", "f", True), (7, None, "z", "z", None)]
+    known = {}
+    for a, b, *said, shown in told:
+        if shown:
+            known[min(a, b), max(a, b)] = min(known.get((min(a, b), max(a, b)), ("~",)), tuple(said))
+    routines = {g: {i for h, i in owned if h == g} for g, _ in owned if g is not None}
+    expected = sorted((g, a, b, *said) for g, its in routines.items() for (a, b), said in known.items() if a in its and b in its)
+    interactions = spark.createDataFrame(told, "a long, b long, effect string, evidence string, reviewed boolean")
+    for kind in ("long", "int", "string"):
+        got = answers.routine_check(spark.createDataFrame(owned, "r long, i long").withColumn("i", F.col("i").cast(kind)), interactions, "r", "i")
+        assert rows(got) == expected and got.dtypes == [("r", "bigint"), ("a", "bigint"), ("b", "bigint"), ("effect", "string"), ("evidence", "string")]
+
+
+def test_small_routines_shuffle_no_more_than_their_pairs(spark):
+    items = spark.range(20_000).selectExpr("id DIV 8 AS g", "pmod(xxhash64(id), 500) AS i")
+    known = spark.range(25_000).selectExpr("pmod(id, 500) AS a", "500 + pmod(xxhash64(id), 400) AS b", "'x' AS effect", "'e' AS evidence", "true AS reviewed")
+    known = known.union(spark.createDataFrame([(1, 2, "y", "e", True)], known.schema))
+    context, old = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    context.setJobGroup("small routines", "")
+    try:
+        found = answers.routine_check(items, known, "g", "i").collect()
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("small routines") for s in tracker.getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    both = {r.g for r in items.where("i = 1").join(items.where("i = 2").select("g"), "g").collect()}
+    assert {(r.g, r.a, r.b) for r in found} == {(g, 1, 2) for g in both}
+    assert 0 < moved < 8 * (20_000 + 25_000)  # 27 of 500 interactions for each item, made and shuffled, are 540,000 alone
